@@ -104,6 +104,20 @@ class FitResult:
     val_loss: list[float] = field(default_factory=list)         # soft target, after each update
 
 
+def run_pass(blocks, payload: list[dict], tree_depth: int = 1) -> list[dict]:
+    """One Spark job: every model of ``payload`` over every block, summed.
+
+    The payload (weights of the bundled models) is broadcast once per pass
+    and destroyed afterwards.
+    """
+    sc = blocks.context
+    bc = sc.broadcast(payload)
+    try:
+        return blocks.map(lambda b: K.block_pass(b, bc.value)).treeReduce(K.merge_results, depth=tree_depth)
+    finally:
+        bc.destroy()
+
+
 def fit_models(blocks, n_features: int, specs: list[ModelSpec], init: list | None = None,
                tree_depth: int | None = None) -> list[FitResult]:
     """Train every spec together, one Spark job per epoch (plus one final
@@ -113,7 +127,6 @@ def fit_models(blocks, n_features: int, specs: list[ModelSpec], init: list | Non
     two-level tree beyond that, so the driver never merges more than a few
     dozen gradient sets per epoch.
     """
-    sc = blocks.context
     if tree_depth is None:
         tree_depth = 1 if blocks.getNumPartitions() <= 64 else 2
     results, optims = [], []
@@ -135,9 +148,7 @@ def fit_models(blocks, n_features: int, specs: list[ModelSpec], init: list | Non
             }
             for i in active
         ]
-        bc = sc.broadcast(payload)
-        sums = blocks.map(lambda b: K.block_pass(b, bc.value)).treeReduce(K.merge_results, depth=tree_depth)
-        bc.destroy()
+        sums = run_pass(blocks, payload, tree_depth)
         for i, acc in zip(active, sums):
             res, spec = results[i], specs[i]
             if p >= 2 and acc["val_n"] > 0:

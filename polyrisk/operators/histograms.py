@@ -84,7 +84,7 @@ def equal_width_histogram(values: DataFrame, value_col: str, group_col: str | No
     )
     keys = [group_col] if group_col else []
     binned = values.select(*keys, bin_index.alias("bin"))
-    counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
+    counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("episodes"))
     edge_lo = lo + (width * (F.col("bin") - 1)) / k
     edge_hi = lo + (width * F.col("bin")) / k
     return counts.select(
@@ -92,5 +92,5 @@ def equal_width_histogram(values: DataFrame, value_col: str, group_col: str | No
         "bin",
         edge_lo.cast("double").alias("bin_lo"),
         F.when(width == 0, hi.cast("double")).otherwise(edge_hi.cast("double")).alias("bin_hi"),
-        "count",
+        "episodes",
     )

@@ -233,7 +233,7 @@ binned AS (
 SELECT b.outcome, b.bin,
        lo + CAST((hi - lo) * (b.bin - 1) AS DOUBLE) / CAST(k AS DOUBLE) AS bin_lo,
        CASE WHEN hi = lo THEN CAST(hi AS DOUBLE) ELSE lo + CAST((hi - lo) * b.bin AS DOUBLE) / CAST(k AS DOUBLE) END AS bin_hi,
-       count(*) AS count
+       count(*) AS episodes
 FROM binned b, bounds GROUP BY b.outcome, b.bin, lo, hi, k"""
 
     sql["ranked_probability_curve"] = with_base(brand, STATS_CTE) + """SELECT
