@@ -107,7 +107,7 @@ def code_array(codes: DataFrame) -> Column:
     inlined into the consuming expressions, so no shuffle of episodes is
     needed to test membership.
     """
-    return codes.agg(F.array_sort(F.collect_set("code"))).scalar()
+    return codes.agg(F.sort_array(F.collect_set("code"))).scalar()
 
 
 def exclude_exposed(episodes: DataFrame, codes: DataFrame, method: str = "inline") -> DataFrame:

@@ -36,7 +36,7 @@ def build_episodes(exposures: DataFrame) -> DataFrame:
         & F.col("episode_id").isNotNull()
         & F.col("outcome").isNotNull()
     )
-    combo = F.array_sort(F.collect_set("code"))
+    combo = F.sort_array(F.collect_set("code"))
     grouped = keyed.groupBy(*EPISODE_KEYS).agg(combo.alias("combo"))
     return grouped.withColumn("n_codes", F.size("combo"))
 

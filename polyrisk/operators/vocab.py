@@ -41,12 +41,6 @@ def frequency_vocabulary(episodes: DataFrame) -> DataFrame:
     return ordered_vocabulary(counts, [F.desc("_n")])
 
 
-def vocabulary_positions(vocab: DataFrame):
-    """(codes in order) as an array scalar subquery."""
-    ordered = vocab.agg(F.array_sort(F.collect_list(F.struct("position", "code"))).alias("_v"))
-    return ordered.select(F.transform("_v", lambda s: s.getField("code"))).scalar()
-
-
 def vocab_common(first: DataFrame, second: DataFrame) -> DataFrame:
     """Codes in both vocabularies, in the first one's order: G2."""
     both = first.join(second.select("code"), "code", "left_semi")

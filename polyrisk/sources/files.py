@@ -60,7 +60,7 @@ def read_multi_hot_csv(
         F.when(F.col(f"`{c}`").cast("int") == 1, F.lit(c[len(prefix):] if c.startswith(prefix) else c))
         for c in code_cols
     ]
-    combo = F.array_sort(F.array_compact(F.array(*present))) if present else F.array().cast("array<string>")
+    combo = F.sort_array(F.array_compact(F.array(*present))) if present else F.array().cast("array<string>")
     subject = F.col(keys[0]).cast("bigint") if len(keys) >= 1 else F.lit(None).cast("bigint")
     episode = F.col(keys[1]) if len(keys) >= 2 else F.monotonically_increasing_id().cast("string")
     out = wide.select(

@@ -104,7 +104,7 @@ def episodes(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFrame
         .distinct()
     )
     joined = keys.join(per_order, keys.episode_id == per_order.l_orderkey)
-    combo = F.array_sort(F.col("codes"))
+    combo = F.sort_array(F.col("codes"))
     return joined.select(
         "subject_id",
         "episode_id",
