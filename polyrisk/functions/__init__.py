@@ -4,6 +4,7 @@ from polyrisk.functions.expr import (
     bce_terms,
     combo_key,
     hash_unit,
+    penalised_bce_terms,
     ratio,
     round_half_even,
     unit_threshold,
@@ -13,6 +14,7 @@ __all__ = [
     "bce_terms",
     "combo_key",
     "hash_unit",
+    "penalised_bce_terms",
     "ratio",
     "round_half_even",
     "unit_threshold",

@@ -73,3 +73,19 @@ def bce_terms(n: str | Column, n_pos: str | Column, p: str | Column) -> Column:
     """
     n_c, pos_c, p_c = _col(n), _col(n_pos), _col(p)
     return -(pos_c * safe_log(p_c) + (n_c - pos_c) * safe_log(F.lit(1.0) - p_c))
+
+
+# Offset inside the logs of the penalised loss (reference's compute_loss).
+PENALTY_LOG_OFFSET = 1e-7
+
+
+def penalised_bce_terms(n, n_pos, p, weight=1.0) -> Column:
+    """Summed penalised BCE: -(w * y * ln(p + 1e-7) + (1 - y) * ln(1 - p + 1e-7)).
+
+    Defined by the reference's penalty models but never used for training
+    there (their penalties stay 1); exposed as an aggregate term.
+    """
+    n_c, pos_c, p_c = _col(n), _col(n_pos), _col(p)
+    w = weight if isinstance(weight, Column) else F.lit(float(weight))
+    off = F.lit(PENALTY_LOG_OFFSET)
+    return -(w * pos_c * F.log(p_c + off) + (n_c - pos_c) * F.log(F.lit(1.0) - p_c + off))

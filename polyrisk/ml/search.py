@@ -25,6 +25,12 @@ HIDDEN_CHOICES = (100, 200, 300, 400, 500)
 LEARNING_RATE_RANGE = (1e-5, 1e-2)          # log-uniform
 PENALTY_LEARNING_RATE_RANGE = (1e-4, 1e-1)  # log-uniform, penalty modes only
 
+# The penalty variants train exactly like their plain counterparts: in the
+# reference the penalty never enters the loss that is differentiated, so its
+# optimiser has no gradient.  Their trials still carry the extra
+# sampled learning rate.
+MODELS = ("network", "network_penalty", "logistic", "logistic_penalty")
+
 
 def _uniform(seed: int, name: str):
     key = F.concat(F.col("trial_id").cast("string"), F.lit(f"|{name}"))
@@ -52,8 +58,11 @@ def trial_table(
     """One row per trial: trial_id, epoch, activation, layers, hidden_dim_1,
     hidden_dim_2 (NULL unless 2 layers), learning_rate[, learning_rate_penalty]."""
     t = spark.range(n_trials).select(F.col("id").cast("int").alias("trial_id"))
+    if model not in MODELS:
+        raise ValueError(f"model must be one of {MODELS}")
+    with_penalty = with_penalty or model.endswith("_penalty")
     cols = [F.col("trial_id"), _choice(seed, "epoch", epoch_choices).alias("epoch")]
-    if model == "network":
+    if model.startswith("network"):
         layers = _choice(seed, "layers", LAYER_CHOICES)
         cols += [
             _choice(seed, "activation", ACTIVATION_CHOICES).alias("activation"),

@@ -119,14 +119,20 @@ def run_pass(blocks, payload: list[dict], tree_depth: int = 1) -> list[dict]:
 
 
 def fit_models(blocks, n_features: int, specs: list[ModelSpec], init: list | None = None,
-               tree_depth: int | None = None) -> list[FitResult]:
+               tree_depth: int | None = None, keep: str = "last") -> list[FitResult]:
     """Train every spec together, one Spark job per epoch (plus one final
     validation pass).  ``init`` optionally injects starting weights.
 
     Partial sums are combined with a plain reduce for few partitions and a
     two-level tree beyond that, so the driver never merges more than a few
     dozen gradient sets per epoch.
+
+    ``keep="last"`` returns the weights after the final update (what the
+    reference saves); ``keep="best"`` returns the weights that achieved the
+    lowest recorded training loss (a real copy, K15).
     """
+    if keep not in ("last", "best"):
+        raise ValueError("keep must be 'last' or 'best'")
     if tree_depth is None:
         tree_depth = 1 if blocks.getNumPartitions() <= 64 else 2
     results, optims = [], []
@@ -136,6 +142,7 @@ def fit_models(blocks, n_features: int, specs: list[ModelSpec], init: list | Non
         params = init[i] if init else K.init_params(n_features, spec.hidden, spec.seed)
         results.append(FitResult(spec, params))
         optims.append(K.Adam(params, spec.learning_rate))
+    best: dict[int, list] = {}
     n_passes = max(s.epochs for s in specs) + 1
     for p in range(1, n_passes + 1):
         active = [i for i, s in enumerate(specs) if p <= s.epochs + 1]
@@ -157,9 +164,13 @@ def fit_models(blocks, n_features: int, specs: list[ModelSpec], init: list | Non
                 if acc["train_n"] <= 0:
                     raise ValueError("a model has no training rows")
                 res.train_loss.append(acc["train_soft"] / acc["train_n"])
+                if keep == "best" and res.train_loss[-1] <= min(res.train_loss):
+                    best[i] = [(w.copy(), b.copy()) for w, b in res.params]
                 res.train_loss_hard.append(acc["train_hard"] / acc["train_n"])
                 grads = [(gw / acc["train_n"], gb / acc["train_n"]) for gw, gb in acc["grads"]]
                 res.params = optims[i].step(res.params, grads)
+    for i, params in best.items():
+        results[i].params = params
     return results
 
 
@@ -215,6 +226,16 @@ def params_from_table(df: DataFrame, model_id: str = "model") -> list:
     return params
 
 
+def save_weights(spark, params, path: str, model_id: str = "model", mode: str = "overwrite") -> None:
+    """Model write as Parquet (replaces the reference's .pth file): B8."""
+    weights_table(spark, params, model_id).write.mode(mode).parquet(path)
+
+
+def load_weights(spark, path: str, model_id: str = "model") -> list:
+    """Model read: A4."""
+    return params_from_table(spark.read.parquet(path), model_id)
+
+
 def score(patterns: DataFrame, params, activation: str, n_features: int) -> DataFrame:
     """Predicted risk per pattern (forward pass in Arrow batches): K13.
 

@@ -106,3 +106,18 @@ def sampling_error(
         risk_sample.alias("risk_sample"),
         (risk_full - risk_sample).alias("error"),
     )
+
+
+def errors_wide(errors: DataFrame, fractions: Sequence[float] = (0.25, 0.5, 0.75, 1.0)) -> DataFrame:
+    """One row per combination, one error column per fraction: D7.
+
+    The reference pads four unequal-length error series by position; pairing
+    by position is meaningless, so the columns are aligned on the
+    combination instead (NULL where the combination was not sampled).
+    One conditional aggregation, no pivot value discovery.
+    """
+    cols = [
+        F.max(F.when(F.col("fraction") == F.lit(float(f)), F.col("error"))).alias(f"error_{round(f * 100)}")
+        for f in fractions
+    ]
+    return errors.groupBy("combo").agg(*cols)

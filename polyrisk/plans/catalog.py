@@ -233,6 +233,10 @@ def q_sampling_error(spark, sf_dir):
     return _show_combo(_errors(spark, sf_dir))
 
 
+def q_sampling_error_wide(spark, sf_dir):
+    return _show_combo(S.errors_wide(_errors(spark, sf_dir), P.ERROR_FRACTIONS))
+
+
 def q_sampling_error_box(spark, sf_dir):
     box = D.box_stats(_errors(spark, sf_dir), "error", "fraction")
     d = P.QUANTILE_DECIMALS
@@ -301,6 +305,7 @@ RELATIONAL: dict[str, Query] = {
     "holdout_unseen": q_holdout_unseen,
     "kfold_assignment": q_kfold_assignment,
     "sampling_error": q_sampling_error,
+    "sampling_error_wide": q_sampling_error_wide,
     "sampling_error_box": q_sampling_error_box,
     "sampling_error_kde": q_sampling_error_kde,
     "bce_constant_model": q_bce_constant_model,

@@ -101,6 +101,28 @@ def q_logistic_scores(spark, sf_dir):
     return LG.score_logistic(feats, model, patterns)
 
 
+def score_new_dataset(episodes: DataFrame, params, activation: str, vocab: list[str]) -> DataFrame:
+    """Score another dataset with a stored model: K14.
+
+    Combination risk is computed on the new data, codes are aligned to the
+    model's vocabulary (unknown codes dropped), and every distinct
+    (combination, risk) gets the model's prediction.
+    """
+    return TR.score(TR.training_patterns(episodes, vocab), params, activation, len(vocab))
+
+
+def q_logistic_holdout_scores(spark, sf_dir):
+    """Fit on a 40% sample of combinations, score the unseen ones (J5 + K14)."""
+    from polyrisk.operators.sampling import holdout_unseen
+
+    ep = tables.episodes(spark, sf_dir, P.CODE)
+    vocab = observed_vocabulary(ep)
+    seen = TR.training_patterns(group_sample(ep, P.SAMPLE_FRACTION, P.SAMPLE_SEED), vocab)
+    unseen = TR.training_patterns(holdout_unseen(ep, P.SAMPLE_FRACTION, P.SAMPLE_SEED), vocab)
+    feats, model = LG.fit_logistic(seen, vocab)
+    return LG.score_logistic(feats, model, unseen)
+
+
 def run_cv_search(episodes: DataFrame, n_trials: int = CV_TRIALS, k: int = P.N_SPLITS,
                   seed: int = P.SAMPLE_SEED, epoch_choices=SR.EPOCH_CHOICES):
     vocab = observed_vocabulary(episodes)
@@ -131,6 +153,7 @@ def q_trial_running_best(spark, sf_dir):
 
 MODEL_QUERIES = {
     "logistic_scores": q_logistic_scores,
+    "logistic_holdout_scores": q_logistic_holdout_scores,
     "network_scores": q_network_scores,
     "network_loss_curve": q_network_loss_curve,
     "calibration_table": q_calibration_table,

@@ -288,6 +288,11 @@ aligned AS (
 
     err = with_base(brand, sampling_error_cte(P.ERROR_SEED, P.ERROR_FRACTIONS, P.MIN_COMBO_COUNT))
     sql["sampling_error"] = err + "SELECT * FROM err"
+    wide_cols = ", ".join(
+        f"max(CASE WHEN fraction = CAST({f!r} AS DOUBLE) THEN error END) AS error_{round(f * 100)}"
+        for f in P.ERROR_FRACTIONS
+    )
+    sql["sampling_error_wide"] = err + f"SELECT combo, {wide_cols} FROM err GROUP BY combo"
     sql["sampling_error_box"] = err + f""", q AS (
   SELECT fraction, count(error) AS n, quantile_cont(error, 0.25) AS q1, quantile_cont(error, 0.5) AS median,
          quantile_cont(error, 0.75) AS q3 FROM err GROUP BY fraction)

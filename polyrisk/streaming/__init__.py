@@ -1,0 +1,5 @@
+"""Streaming execution of the batch operators (not part of the reference)."""
+
+from polyrisk.streaming.combo_risk import pattern_stream, start_pattern_table
+
+__all__ = ["pattern_stream", "start_pattern_table"]

@@ -1,0 +1,19 @@
+from polyrisk.operators.patterns import combo_patterns
+from polyrisk.sources import tables
+from polyrisk.streaming import start_pattern_table
+
+
+def test_stream_matches_batch_patterns(spark, tmp_path):
+    eps = tables.episodes(spark, "/root/testdata/sf0.001", "type")
+    src = str(tmp_path / "episodes")
+    first, second = eps.randomSplit([0.5, 0.5], seed=1)
+    first.write.parquet(src + "/part1")
+    # two arrivals: a second file set lands in the same folder
+    q = start_pattern_table(spark, src + "/*", str(tmp_path / "patterns"), str(tmp_path / "ckpt"))
+    q.awaitTermination()
+    second.write.parquet(src + "/part2")
+    q = start_pattern_table(spark, src + "/*", str(tmp_path / "patterns"), str(tmp_path / "ckpt"))
+    q.awaitTermination()
+    got = {tuple(r.combo): (r.n, r.n_pos) for r in spark.read.parquet(str(tmp_path / "patterns")).collect()}
+    want = {tuple(r.combo): (r.n, r.n_pos) for r in combo_patterns(eps).collect()}
+    assert got == want
