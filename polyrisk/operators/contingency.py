@@ -99,6 +99,20 @@ def codes_in(screened: DataFrame, screen: str) -> DataFrame:
     return screened.where(F.col("screen") == screen).select("code")
 
 
+def screen_code_sets(screened: DataFrame) -> Column:
+    """The kept / removed / end code lists of a screen as one struct-valued
+    scalar subquery (one small job for all three lists)."""
+    lists = [
+        F.sort_array(F.collect_set(F.when(F.col("screen") == s, F.col("code")))).alias(s)
+        for s in (SCREEN_KEPT, SCREEN_REMOVED, SCREEN_END)
+    ]
+    return screened.agg(F.struct(*lists)).scalar()
+
+
+def _as_array(codes) -> Column:
+    return codes if isinstance(codes, Column) else code_array(codes)
+
+
 def code_array(codes: DataFrame) -> Column:
     """The codes of a per-code table as one array-valued scalar subquery.
 
@@ -110,7 +124,7 @@ def code_array(codes: DataFrame) -> Column:
     return codes.agg(F.sort_array(F.collect_set("code"))).scalar()
 
 
-def exclude_exposed(episodes: DataFrame, codes: DataFrame, method: str = "inline") -> DataFrame:
+def exclude_exposed(episodes: DataFrame, codes, method: str = "inline") -> DataFrame:
     """Drop every episode exposed to any listed code: D3.
 
     ``inline`` filters with ``arrays_overlap`` against the code array (a
@@ -120,9 +134,11 @@ def exclude_exposed(episodes: DataFrame, codes: DataFrame, method: str = "inline
     no surviving episode contains it.
     """
     if method == "inline":
-        overlap = F.arrays_overlap("combo", code_array(codes))
+        overlap = F.arrays_overlap("combo", _as_array(codes))
         return episodes.where(~F.coalesce(overlap, F.lit(False)))
     if method == "join":
+        if isinstance(codes, Column):
+            raise ValueError("method='join' needs the codes as a DataFrame")
         exposed = (
             exposures_of(episodes)
             .join(codes.select("code"), "code", "left_semi")
@@ -133,30 +149,30 @@ def exclude_exposed(episodes: DataFrame, codes: DataFrame, method: str = "inline
     raise ValueError(f"method must be 'inline' or 'join', got {method!r}")
 
 
-def exclusion_counts(episodes: DataFrame, codes: DataFrame) -> DataFrame:
+def exclusion_counts(episodes: DataFrame, codes) -> DataFrame:
     """Episodes exposed to each listed code, counted on the input: E10.
 
-    Every listed code gets a row, with 0 when no episode contains it.
+    ``codes`` is a per-code DataFrame or an array column.  Every listed code
+    gets a row, with 0 when no episode contains it.
     """
+    arr = _as_array(codes)
     counts = (
         exposures_of(episodes)
-        .join(codes.select("code"), "code", "left_semi")
+        .where(F.array_contains(arr, F.col("code")))
         .groupBy("code")
         .agg(F.count(F.lit(1)).alias("n_excluded"))
     )
-    return (
-        codes.select("code")
-        .distinct()
-        .join(counts, "code", "left")
-        .select("code", F.coalesce("n_excluded", F.lit(0)).cast("bigint").alias("n_excluded"))
+    listed = episodes.sparkSession.range(1).select(F.explode(arr).alias("code"))
+    return listed.join(counts, "code", "left").select(
+        "code", F.coalesce("n_excluded", F.lit(0)).cast("bigint").alias("n_excluded")
     )
 
 
-def restrict_codes(episodes: DataFrame, codes: DataFrame) -> DataFrame:
+def restrict_codes(episodes: DataFrame, codes) -> DataFrame:
     """Keep only listed codes in each combination (column projection C1/C4).
 
     Episodes stay even when nothing is left (the reference keeps all-zero
     rows after projecting columns).
     """
-    combo = F.array_intersect("combo", code_array(codes))
+    combo = F.array_intersect("combo", _as_array(codes))
     return episodes.withColumn("combo", combo).withColumn("n_codes", F.size("combo"))

@@ -27,6 +27,7 @@ from polyrisk.operators.contingency import (
     exclude_exposed,
     exclusion_counts,
     restrict_codes,
+    screen_code_sets,
     screen_codes,
 )
 from polyrisk.operators.episodes import non_empty
@@ -56,9 +57,8 @@ def run_screening(episodes: DataFrame, thres: int = 0) -> ScreeningResult:
     base = non_empty(episodes)
     stats = code_contingency(base, require_non_empty=False)
     screen = screen_codes(stats, thres)
-    removed = codes_in(screen, SCREEN_REMOVED)
-    end = codes_in(screen, SCREEN_END)
-    kept = codes_in(screen, SCREEN_KEPT)
+    sets = screen_code_sets(screen)
+    removed, end, kept = (sets.getField(s) for s in (SCREEN_REMOVED, SCREEN_END, SCREEN_KEPT))
     removed_counts = exclusion_counts(base, removed)
     after_removed = exclude_exposed(base, removed)
     end_counts = exclusion_counts(after_removed, end)
