@@ -9,6 +9,7 @@ number of epochs (use ``train.fit_models`` with ``hidden=()`` for that).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -45,7 +46,14 @@ def fit_logistic(patterns: DataFrame, vocab_codes: list[str], max_iter: int = 10
         maxIter=max_iter,
         tol=tol,
     )
-    model = lr.fit(feats.transform(weighted_rows(patterns)))
+    # MLlib makes several passes (label scan, statistics, L-BFGS iterations,
+    # summary); keep the small weighted pattern rows instead of re-running
+    # the episode build for each, and release them after the fit.
+    rows = feats.transform(weighted_rows(patterns)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = lr.fit(rows)
+    finally:
+        rows.unpersist()
     return feats, model
 
 
