@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyrisk.functions import bce_terms, combo_key, ratio, round_half_even
+from polyrisk.functions import bce_terms, combo_key, penalised_bce_terms, ratio, round_half_even
 from polyrisk.operators import contingency as C
 from polyrisk.operators import describe as D
 from polyrisk.operators import episodes as E
@@ -265,6 +265,16 @@ def q_bce_constant_model(spark, sf_dir):
     )
 
 
+def q_penalised_bce_constant_model(spark, sf_dir):
+    """Penalised loss (K6) of the constant model, penalty weights 1 as initialised."""
+    pt = _patterns(spark, sf_dir)
+    p = pt.agg(ratio(F.sum("n_pos"), F.sum("n"))).scalar()
+    losses = pt.agg(F.sum(penalised_bce_terms("n", "n_pos", p, 1.0)).alias("_s"), F.sum("n").alias("n_rows"))
+    return losses.select(
+        "n_rows", p.alias("p"), round_half_even(F.col("_s") / F.col("n_rows"), P.LOSS_DECIMALS).alias("loss")
+    )
+
+
 def q_entropy_floor(spark, sf_dir):
     pt = _patterns(spark, sf_dir)
     agg = pt.agg(F.sum("n").alias("n_rows"), F.sum(bce_terms("n", "n_pos", "risk")).alias("_s"))
@@ -310,6 +320,7 @@ RELATIONAL: dict[str, Query] = {
     "sampling_error_kde": q_sampling_error_kde,
     "bce_constant_model": q_bce_constant_model,
     "entropy_floor": q_entropy_floor,
+    "penalised_bce_constant_model": q_penalised_bce_constant_model,
 }
 
 

@@ -28,7 +28,7 @@ from polyrisk.sinks import vocabulary_codes
 from polyrisk.sources import tables
 from polyrisk.operators.vocab import ordered_vocabulary
 
-# Best configuration published with the reference (Expe4 best_params); fixed values.
+# The best published configuration of the reference (one of its two runs).
 BEST_NETWORK = {"epoch": 500, "activation": "RELU", "layers": 1, "hidden_dim_1": 100,
                 "learning_rate": 0.0026933629243587895}
 

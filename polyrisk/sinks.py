@@ -62,7 +62,7 @@ def write_screens(screen: DataFrame, path: str, mode: str = "overwrite") -> None
 
 
 def write_multi_hot_csv(episodes: DataFrame, vocab: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The reference's sparse_med CSV layout: keys, outcome, one 0/1 column per code: B1."""
+    """The reference's wide CSV layout: keys, outcome, one 0/1 column per code: B1."""
     multi_hot(episodes, vocab).write.mode(mode).option("header", True).csv(path)
 
 

@@ -11,9 +11,9 @@ import ast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Column names of the reference's raw long table.
+# Column names of the reference's raw long table, and the
+# vocabulary entries that are not codes.
 RAW_COLUMNS = {"subject_id": "ID", "episode_id": "fin_grossesse", "code": "medicament", "outcome": "diagnosis"}
-# Entries of a vocabulary file that are not codes.
 NON_CODE_ENTRIES = ("risk", "diagnosis")
 
 

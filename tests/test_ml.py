@@ -173,3 +173,41 @@ def test_weights_roundtrip_and_scoring(spark, golden_episodes):
     scored = {r.combo: r.risk_predicted for r in TR.score(pt, params, "RELU", 4).collect()}
     expect = K.predict_indices(params, "RELU", [[0, 1]], 4)[0]
     assert scored["A|B"] == pytest.approx(expect)
+
+
+def test_keep_best_returns_lowest_loss_weights(spark, golden_episodes):
+    _, blocks = _golden_blocks(golden_episodes)
+    # a learning rate this large oscillates, so the last weights are not the best
+    spec = TR.ModelSpec(hidden=(), learning_rate=5.0, epochs=6, seed=3)
+    best = TR.fit_models(blocks, 4, [spec], keep="best")[0]
+    acc = TR.run_pass(blocks, [{"params": best.params, "activation": "RELU", "fold": -1, "grad": False}])[0]
+    assert acc["train_soft"] / acc["train_n"] == pytest.approx(min(best.train_loss))
+
+
+def test_save_load_and_score_new_dataset(spark, golden_episodes, tmp_path):
+    from polyrisk.plans.modeling import score_new_dataset
+
+    params = K.init_params(4, (3,), seed=4)
+    path = str(tmp_path / "weights")
+    TR.save_weights(spark, params, path)
+    loaded = TR.load_weights(spark, path)
+    scored = {r.combo: r.risk_predicted for r in score_new_dataset(non_empty(golden_episodes), loaded, "LRELU", VOCAB).collect()}
+    assert scored["C"] == pytest.approx(K.predict_indices(params, "LRELU", [[2]], 4)[0])
+    assert set(scored) == {"A", "A|B", "B", "C", "D"}
+
+
+def test_penalty_models_sample_extra_learning_rate(spark):
+    t = SR.trial_table(spark, 5, seed=1, model="logistic_penalty").collect()
+    assert all(r.layers == 0 and 1e-4 <= r.learning_rate_penalty <= 1e-1 for r in t)
+    with pytest.raises(ValueError):
+        SR.trial_table(spark, 1, model="forest")
+
+
+def test_penalised_bce_equals_bce_without_floor(spark):
+    from pyspark.sql import functions as F
+
+    from polyrisk.functions import bce_terms, penalised_bce_terms
+
+    df = spark.createDataFrame([(10, 3, 0.4), (5, 5, 0.9)], "n long, n_pos long, p double")
+    row = df.agg(F.sum(bce_terms("n", "n_pos", "p")).alias("a"), F.sum(penalised_bce_terms("n", "n_pos", "p")).alias("b")).first()
+    assert row.a == pytest.approx(row.b, rel=1e-5)
