@@ -12,8 +12,10 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from polyrisk.functions import round_half_even
 
@@ -22,35 +24,141 @@ KDE_GRID = 200
 KDE_CUT = 3.0
 
 
+QUANTILE_BINS = 1024
+QUANTILE_EXACT_LIMIT = 100_000
+
+
+def exact_quantiles(
+    values: DataFrame,
+    value_col: str,
+    group_col: str,
+    probs,
+    bins: int = QUANTILE_BINS,
+    exact_limit: int = QUANTILE_EXACT_LIMIT,
+) -> DataFrame:
+    """Exact quantiles (linear interpolation between order statistics) per group.
+
+    No group is ever gathered in one task.  Each needed order statistic
+    (rank r of its group) starts with the interval [min, max] of its group;
+    every round is one distributed aggregation that histograms the values
+    still inside an interval into ``bins`` equal-width bins, keeping count,
+    min and max per bin.  The bin holding rank r becomes the new interval,
+    bounded by actual data values, so membership stays exact.  Once an
+    interval holds at most ``exact_limit`` values (or a single repeated
+    value) those values are fetched and the statistic read off.  The driver
+    keeps a few numbers per target; groups are expected to be few (e.g. one
+    per sampling fraction), and each round moves at most targets x bins
+    summary rows.  Result: (group, prob, value).
+    """
+    spark = values.sparkSession
+    g_type = values.schema[group_col].dataType
+    base = values.select(F.col(group_col).alias("_g"), F.col(value_col).cast("double").alias("_v")).where(
+        F.col("_v").isNotNull()
+    )
+    # Several small jobs read the values: keep them (two columns) for the
+    # duration instead of recomputing their lineage each round.
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _select_quantiles(spark, base, g_type, group_col, probs, bins, exact_limit)
+    finally:
+        base.unpersist()
+
+
+def _select_quantiles(spark, base, g_type, group_col, probs, bins, exact_limit) -> DataFrame:
+    groups = base.groupBy("_g").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
+    ).collect()
+
+    # state per (group, rank): [lo, hi, below, count]; targets share intervals
+    state: dict = {}
+    wanted = []
+    for row in groups:
+        for p in probs:
+            pos = p * (row.n - 1)
+            lo_r, hi_r = math.floor(pos), math.ceil(pos)
+            wanted.append((row._g, p, pos, lo_r, hi_r))
+            for r in (lo_r, hi_r):
+                state.setdefault((row._g, r), [row.lo, row.hi, 0, row.n])
+
+    interval_schema = T.StructType(
+        [T.StructField("_g", g_type), T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())]
+    )
+
+    def in_interval(keys):
+        ints = spark.createDataFrame(sorted({(g, lo, hi) for (g, lo, hi) in keys}, key=repr), interval_schema)
+        joined = base.join(F.broadcast(ints), "_g")  # one row per group and open interval: bounded
+        return joined.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+
+    while True:
+        open_ = {k: st for k, st in state.items() if st[3] > exact_limit and st[0] < st[1]}
+        if not open_:
+            break
+        width = F.col("_hi") - F.col("_lo")
+        b = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * bins).cast("int"), F.lit(bins - 1))
+        hist = (
+            in_interval((g, st[0], st[1]) for (g, _), st in open_.items())
+            .groupBy("_g", "_lo", "_hi", b.alias("_b"))
+            .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx"))
+            .collect()
+        )
+        by_interval: dict = {}
+        for h in hist:
+            by_interval.setdefault((h._g, h._lo, h._hi), []).append(h)
+        for (g, r), st in open_.items():
+            below = st[2]
+            for h in sorted(by_interval[(g, st[0], st[1])], key=lambda x: x._b):
+                if below + h.c > r:
+                    state[(g, r)] = [h.mn, h.mx, below, h.c]
+                    break
+                below += h.c
+
+    fetch = {(g, st[0], st[1]) for (g, _), st in state.items() if st[0] < st[1]}
+    pools: dict = {}
+    if fetch:
+        for row in in_interval(fetch).select("_g", "_lo", "_hi", "_v").collect():
+            pools.setdefault((row._g, row._lo, row._hi), []).append(row._v)
+        for key in pools:
+            pools[key].sort()
+
+    def order_stat(g, r):
+        lo, hi, below, _ = state[(g, r)]
+        return lo if lo == hi else pools[(g, lo, hi)][r - below]
+
+    rows = []
+    for g, p, pos, lo_r, hi_r in wanted:
+        x_lo, x_hi = order_stat(g, lo_r), order_stat(g, hi_r)
+        rows.append((g, float(p), x_lo + (x_hi - x_lo) * (pos - lo_r)))
+    schema = T.StructType(
+        [T.StructField(group_col, g_type), T.StructField("prob", T.DoubleType()), T.StructField("value", T.DoubleType())]
+    )
+    result = spark.createDataFrame(rows, schema)
+    result.count()  # materialise before the cached values are released
+    return result
+
+
 def box_stats(values: DataFrame, value_col: str, group_col: str, whis: float = WHISKER) -> DataFrame:
     """Quartiles (linear interpolation), 1.5 IQR whiskers and outlier count: E19.
 
-    Whiskers are the most extreme values inside the fences, as in box plots.
-    The quartile table has one row per group; it meets the values through a
-    join on the group key (AQE broadcasts it, since it is tiny).
+    Quartiles come from ``exact_quantiles`` (no group gathered in one task);
+    whiskers are the most extreme values inside the fences and outliers the
+    values beyond them, one aggregation over the values joined with the
+    per-group quartile row (a table of one row per group).
     """
     values = values.select(group_col, value_col)
-    quart = values.groupBy(group_col).agg(
-        F.percentile(value_col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-        F.count(value_col).alias("n"),
-    )
-    quart = quart.select(
-        group_col,
-        "n",
-        F.col("_q")[0].alias("q1"),
-        F.col("_q")[1].alias("median"),
-        F.col("_q")[2].alias("q3"),
+    q = exact_quantiles(values, value_col, group_col, (0.25, 0.5, 0.75))
+    quart = q.groupBy(group_col).agg(
+        *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
     )
-    fenced = values.join(quart, group_col).withColumn("_iqr", F.col("q3") - F.col("q1"))
+    fenced = values.join(F.broadcast(quart), group_col).withColumn("_iqr", F.col("q3") - F.col("q1"))
     lo_fence = F.col("q1") - F.col("_iqr") * whis
     hi_fence = F.col("q3") + F.col("_iqr") * whis
     v = F.col(value_col)
-    whiskers = fenced.groupBy(group_col, "n", "q1", "median", "q3").agg(
+    return fenced.groupBy(group_col, "q1", "median", "q3").agg(
+        F.count(v).alias("n"),
         F.min(F.when(v >= lo_fence, v)).alias("whisker_lo"),
         F.max(F.when(v <= hi_fence, v)).alias("whisker_hi"),
         F.count_if((v < lo_fence) | (v > hi_fence)).alias("n_outliers"),
     )
-    return whiskers
 
 
 def _kde_partials(grid_size: int):

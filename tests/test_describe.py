@@ -44,3 +44,16 @@ def test_ranked_curves(golden_episodes):
 
     curve = D.ranked_probability_curve(code_contingency(golden_episodes)).orderBy("rank").collect()
     assert [r.code for r in curve] == ["D", "B", "A", "C"]
+
+
+@pytest.mark.parametrize("limit,bins", [(100_000, 1024), (5, 4)])
+def test_exact_quantiles_match_numpy(spark, limit, bins):
+    rng = np.random.default_rng(7)
+    a = np.concatenate([rng.normal(size=300), np.zeros(200)])  # a hot repeated value
+    b = rng.exponential(size=41)
+    df = spark.createDataFrame([(0.5, float(v)) for v in a] + [(1.0, float(v)) for v in b], "fraction double, error double")
+    probs = (0.0, 0.25, 0.5, 0.75, 1.0)
+    got = {(r.fraction, r.prob): r.value for r in D.exact_quantiles(df, "error", "fraction", probs, bins=bins, exact_limit=limit).collect()}
+    for frac, data in ((0.5, a), (1.0, b)):
+        for p in probs:
+            assert got[(frac, p)] == pytest.approx(np.percentile(data, p * 100), abs=1e-12)
