@@ -34,10 +34,17 @@ def attach_risk(episodes: DataFrame, patterns: DataFrame, combo_col: str = "comb
     An equi-join on the combination rather than a window partitioned by it: a
     window would place a hot combination's rows in one task, while the join
     lets AQE broadcast a small pattern table or split a skewed partition.
+    The 64-bit hash of the combination leads the join keys, so a sort-merge
+    join sorts mostly on a long; array equality keeps the match exact.
     """
-    risk = patterns.select(F.col("combo").alias("_risk_combo"), "risk")
-    joined = episodes.join(risk, episodes[combo_col] == risk["_risk_combo"])
-    return joined.drop("_risk_combo")
+    risk = patterns.select(
+        F.xxhash64("combo").alias("_rh"), F.col("combo").alias("_risk_combo"), "risk"
+    )
+    keyed = episodes.withColumn("_eh", F.xxhash64(combo_col))
+    joined = keyed.join(
+        risk, (F.col("_eh") == F.col("_rh")) & (keyed[combo_col] == F.col("_risk_combo"))
+    )
+    return joined.drop("_risk_combo", "_rh", "_eh")
 
 
 def frequent_episodes(episodes: DataFrame, min_count: int = 2, combo_col: str = "combo") -> DataFrame:
@@ -45,9 +52,11 @@ def frequent_episodes(episodes: DataFrame, min_count: int = 2, combo_col: str =
     frequent = (
         combo_patterns(episodes, combo_col)
         .where(F.col("n") > min_count)
-        .select(F.col("combo").alias("_freq_combo"))
+        .select(F.xxhash64("combo").alias("_fh"), F.col("combo").alias("_freq_combo"))
     )
-    return episodes.join(frequent, episodes[combo_col] == frequent["_freq_combo"], "left_semi")
+    keyed = episodes.withColumn("_eh", F.xxhash64(combo_col))
+    cond = (F.col("_eh") == F.col("_fh")) & (keyed[combo_col] == F.col("_freq_combo"))
+    return keyed.join(frequent, cond, "left_semi").drop("_eh")
 
 
 def risk_frequency(risk_rows: DataFrame, combo_col: str = "combo") -> DataFrame:
