@@ -92,7 +92,13 @@ def bce_sum(n: np.ndarray, n_pos: np.ndarray, p: np.ndarray) -> float:
 
 
 def dense_chunks(block: dict):
-    """Yield (slice, dense 0/1 matrix) chunks of bounded size."""
+    """Yield (slice, dense 0/1 matrix) chunks of bounded size.
+
+    Dense chunks with BLAS products beat gather/scatter over the code
+    indices even for a vocabulary of ~1,200 codes with ~4 codes per row
+    (measured: 59 ms dense vs 112 ms sparse for 4,000 rows x 300 units), so
+    the CSR block is densified chunk by chunk.
+    """
     ptr, idx, n_features = block["ptr"], block["idx"], block["n_features"]
     rows = len(ptr) - 1
     step = max(1, CHUNK_CELLS // max(1, n_features))
