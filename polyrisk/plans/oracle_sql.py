@@ -319,14 +319,14 @@ GROUP BY g.fraction, g.grid_index, g.x, g.n, g.bw"""
 
     L = P.LOSS_DECIMALS
     sql["bce_constant_model"] = with_base(brand, PATTERNS_CTE) + f""", overall AS (
-  SELECT sum(n) AS n_rows, CAST(sum(n_pos) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS p FROM patterns)
+  SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n_pos) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS p FROM patterns)
 SELECT o.n_rows, o.p, round_even(sum({_bce('pt.n', 'pt.n_pos', 'o.p')}) / o.n_rows, {L}) AS loss
 FROM patterns pt, overall o GROUP BY o.n_rows, o.p"""
     sql["penalised_bce_constant_model"] = with_base(brand, PATTERNS_CTE) + f""", overall AS (
-  SELECT sum(n) AS n_rows, CAST(sum(n_pos) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS p FROM patterns)
+  SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n_pos) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS p FROM patterns)
 SELECT o.n_rows, o.p,
        round_even(sum(-(1.0 * pt.n_pos * ln(o.p + 1e-7) + (pt.n - pt.n_pos) * ln(1.0 - o.p + 1e-7))) / o.n_rows, {L}) AS loss
 FROM patterns pt, overall o GROUP BY o.n_rows, o.p"""
-    sql["entropy_floor"] = with_base(brand, PATTERNS_CTE) + f"""SELECT sum(n) AS n_rows,
+    sql["entropy_floor"] = with_base(brand, PATTERNS_CTE) + f"""SELECT CAST(sum(n) AS BIGINT) AS n_rows,
   round_even(sum({_bce('n', 'n_pos', 'risk')}) / sum(n), {L}) AS loss FROM patterns"""
     return sql
