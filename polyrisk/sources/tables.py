@@ -65,15 +65,18 @@ def episodes(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFrame
 
     Plan shape, chosen for a lineitem table far larger than the others:
 
-    1. ``part`` is reduced to distinct (partkey, code) first, so duplicated
-       part rows cannot multiply line items; AQE broadcasts it when its
-       measured size is small and shuffles it otherwise.
+    1. ``part`` is grouped by its key into a set of codes.  Copies of a part
+       collapse map-side, and the result is already hash-partitioned on the
+       join key, so the line-item join moves only line items (AQE broadcasts
+       the part side instead when its measured size is small).
     2. Line items are grouped per order *before* meeting ``orders``: the
        partial ``collect_set`` runs map-side, so a hot order (even a third of
        all line items) reaches the shuffle as one small set per map task.
-    3. ``orders`` is reduced to distinct episode keys (copies collapse
-       map-side) and joined on the order key; the per-order side is already
-       hash-partitioned on it, so only the reduced orders side moves.
+    3. ``orders`` is grouped by order key into its distinct (subject,
+       outcome) variants (copies collapse map-side).  Both sides of the
+       order join are then partitioned on the order key: no further shuffle.
+       Conflicting variants of one order become separate episodes, as the
+       reference's grouping by (subject, episode, outcome) makes them.
 
     Null keys are dropped (the reference's group-by drops them); a null code
     leaves an episode with an empty combination.
@@ -85,30 +88,28 @@ def episodes(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFrame
     )
     part = (
         read_table(spark, sf_dir, "part")
-        .select("p_partkey", F.col(code_column(code)).alias("code"))
-        .distinct()
+        .groupBy("p_partkey")
+        .agg(F.collect_set(F.col(code_column(code))).alias("p_codes"))
     )
-    per_order = (
-        line.join(part, line.l_partkey == part.p_partkey)
-        .groupBy("l_orderkey")
-        .agg(F.collect_set("code").alias("codes"))
+    # a part whose code is NULL still exposes its line items (empty code set)
+    coded = line.join(part, line.l_partkey == part.p_partkey).select(
+        "l_orderkey", F.explode_outer("p_codes").alias("code")
     )
-    keys = (
+    per_order = coded.groupBy("l_orderkey").agg(F.collect_set("code").alias("codes"))
+    variants = (
         read_table(spark, sf_dir, "orders")
-        .select(
-            F.col("o_orderkey").alias("episode_id"),
-            F.col("o_custkey").alias("subject_id"),
-            _outcome().alias("outcome"),
-        )
-        .where(F.col("episode_id").isNotNull() & F.col("subject_id").isNotNull())
-        .distinct()
+        .where(F.col("o_orderkey").isNotNull() & F.col("o_custkey").isNotNull())
+        .groupBy("o_orderkey")
+        .agg(F.collect_set(F.struct(F.col("o_custkey").alias("subject_id"), _outcome().alias("outcome"))).alias("v"))
     )
-    joined = keys.join(per_order, keys.episode_id == per_order.l_orderkey)
+    joined = variants.join(per_order, variants.o_orderkey == per_order.l_orderkey)
     combo = F.sort_array(F.col("codes"))
     return joined.select(
-        "subject_id",
+        F.col("o_orderkey").alias("episode_id"), F.explode("v").alias("_v"), combo.alias("combo")
+    ).select(
+        F.col("_v.subject_id").alias("subject_id"),
         "episode_id",
-        "outcome",
-        combo.alias("combo"),
-        F.size(combo).alias("n_codes"),
+        F.col("_v.outcome").alias("outcome"),
+        "combo",
+        F.size("combo").alias("n_codes"),
     )
