@@ -29,6 +29,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _episodes(spark: SparkSession, sf_dir: str, code: str = P.CODE) -> DataFrame:
+    if P.MATERIALISE_EPISODES:
+        return tables.materialised_episodes(spark, sf_dir, code)
     return tables.episodes(spark, sf_dir, code)
 
 

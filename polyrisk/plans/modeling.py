@@ -25,7 +25,7 @@ from polyrisk.operators.episodes import exposures_of
 from polyrisk.operators.sampling import group_sample
 from polyrisk.plans import params as P
 from polyrisk.sinks import vocabulary_codes
-from polyrisk.sources import tables
+from polyrisk.plans.catalog import _episodes
 from polyrisk.operators.vocab import ordered_vocabulary
 
 # The best published configuration of the reference (one of its two runs).
@@ -74,7 +74,7 @@ def train_network(episodes: DataFrame, config: dict = BEST_NETWORK, fraction: fl
 def _network(spark: SparkSession, sf_dir: str) -> TrainedNetwork:
     key = ("network", id(spark), sf_dir)
     if key not in _CACHE:
-        _CACHE[key] = train_network(tables.episodes(spark, sf_dir, P.CODE))
+        _CACHE[key] = train_network(_episodes(spark, sf_dir))
     return _CACHE[key]
 
 
@@ -94,7 +94,7 @@ def q_calibration_table(spark, sf_dir):
 
 
 def q_logistic_scores(spark, sf_dir):
-    ep = tables.episodes(spark, sf_dir, P.CODE)
+    ep = _episodes(spark, sf_dir)
     vocab = observed_vocabulary(ep)
     patterns = TR.training_patterns(ep, vocab)
     feats, model = LG.fit_logistic(patterns, vocab)
@@ -115,7 +115,7 @@ def q_logistic_holdout_scores(spark, sf_dir):
     """Fit on a 40% sample of combinations, score the unseen ones (J5 + K14)."""
     from polyrisk.operators.sampling import holdout_unseen
 
-    ep = tables.episodes(spark, sf_dir, P.CODE)
+    ep = _episodes(spark, sf_dir)
     vocab = observed_vocabulary(ep)
     seen = TR.training_patterns(group_sample(ep, P.SAMPLE_FRACTION, P.SAMPLE_SEED), vocab)
     unseen = TR.training_patterns(holdout_unseen(ep, P.SAMPLE_FRACTION, P.SAMPLE_SEED), vocab)
@@ -138,7 +138,7 @@ def run_cv_search(episodes: DataFrame, n_trials: int = CV_TRIALS, k: int = P.N_S
 def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ("search", id(spark), sf_dir)
     if key not in _CACHE:
-        ep = tables.episodes(spark, sf_dir, P.CODE)
+        ep = _episodes(spark, sf_dir)
         _CACHE[key] = run_cv_search(ep, epoch_choices=CV_EPOCH_CHOICES)
     return _CACHE[key]
 

@@ -16,3 +16,8 @@ ERROR_FRACTIONS = (0.25, 0.5, 0.75, 1.0)
 QUANTILE_DECIMALS = 12
 DENSITY_DECIMALS = 9
 LOSS_DECIMALS = 12
+
+# Registered queries read episodes materialised once per session (the
+# reference's build-once, read-many multi-hot file); False rebuilds them in
+# every query plan.
+MATERIALISE_EPISODES = True

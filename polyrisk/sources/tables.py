@@ -15,6 +15,8 @@ shuffles (see the function docstring).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,3 +115,27 @@ def episodes(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFrame
         "combo",
         F.size("combo").alias("n_codes"),
     )
+
+
+_MATERIALISED: dict = {}
+
+
+def materialised_episodes(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFrame:
+    """Episodes written once per session to the shared checkpoint folder and
+    read back by every later query.
+
+    The reference builds its multi-hot table once and every later step reads
+    that file; this is the same data flow.  A written table also cuts the
+    lineage: a lost executor re-reads Parquet instead of re-running the
+    build.  Keyed by session, input folder and code mapping (the inputs are
+    read-only).
+    """
+    from polyrisk.session import ensure_checkpoint_dir
+
+    key = (id(spark), sf_dir.rstrip("/"), code)
+    path = _MATERIALISED.get(key)
+    if path is None:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/episodes-{code}-{uuid.uuid4().hex}"
+        episodes(spark, sf_dir, code).write.parquet(path)
+        _MATERIALISED[key] = path
+    return spark.read.parquet(path)
