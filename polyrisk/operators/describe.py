@@ -26,6 +26,7 @@ KDE_CUT = 3.0
 
 QUANTILE_BINS = 1024
 QUANTILE_EXACT_LIMIT = 100_000
+QUANTILE_MAX_GROUPS = 10_000  # per-group state lives on the driver
 
 
 def exact_quantiles(
@@ -65,9 +66,14 @@ def exact_quantiles(
 
 
 def _select_quantiles(spark, base, g_type, group_col, probs, bins, exact_limit) -> DataFrame:
-    groups = base.groupBy("_g").agg(
-        F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
-    ).collect()
+    groups = (
+        base.groupBy("_g")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        .limit(QUANTILE_MAX_GROUPS + 1)  # size probe, not a result cap
+        .collect()
+    )
+    if len(groups) > QUANTILE_MAX_GROUPS:
+        raise ValueError(f"exact_quantiles supports at most {QUANTILE_MAX_GROUPS} groups")
 
     # state per (group, rank): [lo, hi, below, count]; targets share intervals
     state: dict = {}
@@ -149,7 +155,7 @@ def box_stats(values: DataFrame, value_col: str, group_col: str, whis: float = W
     quart = q.groupBy(group_col).agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
     )
-    fenced = values.join(F.broadcast(quart), group_col).withColumn("_iqr", F.col("q3") - F.col("q1"))
+    fenced = values.join(quart, group_col).withColumn("_iqr", F.col("q3") - F.col("q1"))
     lo_fence = F.col("q1") - F.col("_iqr") * whis
     hi_fence = F.col("q3") + F.col("_iqr") * whis
     v = F.col(value_col)
