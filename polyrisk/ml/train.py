@@ -23,6 +23,7 @@ trials share one pass over the data.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -184,7 +185,10 @@ def prepare(episodes: DataFrame, vocab_codes: list[str], k: int | None = None, s
     parallelism = episodes.sparkSession.sparkContext.defaultParallelism
     patterns = patterns.repartition(max(parallelism, 1), "combo")
     if checkpoint:
-        patterns = cut_lineage(patterns)
+        try:
+            patterns = cut_lineage(patterns)
+        except RuntimeError as exc:  # no shared checkpoint folder configured
+            warnings.warn(f"{exc}; keeping the pattern lineage", stacklevel=2)
     blocks = build_blocks(patterns, len(vocab_codes))
     return patterns, blocks
 

@@ -135,7 +135,12 @@ def materialised_episodes(spark: SparkSession, sf_dir: str, code: str = "brand")
     key = (id(spark), sf_dir.rstrip("/"), code)
     path = _MATERIALISED.get(key)
     if path is None:
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/episodes-{code}-{uuid.uuid4().hex}"
+        try:
+            folder = ensure_checkpoint_dir(spark)
+        except RuntimeError:
+            # no shared folder configured on a cluster: build inside each plan
+            return episodes(spark, sf_dir, code)
+        path = f"{folder.rstrip('/')}/episodes-{code}-{uuid.uuid4().hex}"
         episodes(spark, sf_dir, code).write.parquet(path)
         _MATERIALISED[key] = path
     return spark.read.parquet(path)
