@@ -58,8 +58,19 @@ def exposure_rows(spark: SparkSession, sf_dir: str, code: str = "brand") -> Data
 
 
 def exposures(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFrame:
-    """Distinct (subject_id, episode_id, code, outcome): E1."""
-    return exposure_rows(spark, sf_dir, code).distinct()
+    """Distinct (subject_id, episode_id, code, outcome): E1.
+
+    Equal to ``exposure_rows(...).distinct()`` but derived from the per-order
+    code sets of ``episodes`` (same shuffles: the line items move twice, as
+    partial sets the second time) instead of a distinct over the raw join,
+    which would shuffle line-item-sized data a third time.  A NULL code is
+    kept as its own row, as a distinct over the raw rows keeps it.
+    """
+    ep = _episode_rows(spark, sf_dir, code)
+    codes = F.when(F.col("has_null"), F.concat(F.col("codes"), F.array(F.lit(None).cast("string")))).otherwise(
+        F.col("codes")
+    )
+    return ep.select("subject_id", "episode_id", F.explode(codes).alias("code"), "outcome")
 
 
 def episodes(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFrame:
@@ -83,6 +94,14 @@ def episodes(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFrame
     Null keys are dropped (the reference's group-by drops them); a null code
     leaves an episode with an empty combination.
     """
+    ep = _episode_rows(spark, sf_dir, code)
+    combo = F.sort_array(F.col("codes"))
+    return ep.select("subject_id", "episode_id", "outcome", combo.alias("combo"), F.size(combo).alias("n_codes"))
+
+
+def _episode_rows(spark: SparkSession, sf_dir: str, code: str) -> DataFrame:
+    """(subject_id, episode_id, outcome, codes, has_null) per episode, built
+    as described in ``episodes``."""
     line = (
         read_table(spark, sf_dir, "lineitem")
         .select("l_orderkey", "l_partkey")
@@ -91,13 +110,16 @@ def episodes(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFrame
     part = (
         read_table(spark, sf_dir, "part")
         .groupBy("p_partkey")
-        .agg(F.collect_set(F.col(code_column(code))).alias("p_codes"))
+        .agg(F.collect_set(F.col(code_column(code))).alias("p_codes"),
+             F.max(F.col(code_column(code)).isNull()).alias("p_null"))
     )
     # a part whose code is NULL still exposes its line items (empty code set)
     coded = line.join(part, line.l_partkey == part.p_partkey).select(
-        "l_orderkey", F.explode_outer("p_codes").alias("code")
+        "l_orderkey", F.explode_outer("p_codes").alias("code"), "p_null"
+    )
+    per_order = coded.groupBy("l_orderkey").agg(
+        F.collect_set("code").alias("codes"), F.max("p_null").alias("has_null")
     )
-    per_order = coded.groupBy("l_orderkey").agg(F.collect_set("code").alias("codes"))
     variants = (
         read_table(spark, sf_dir, "orders")
         .where(F.col("o_orderkey").isNotNull() & F.col("o_custkey").isNotNull())
@@ -105,15 +127,14 @@ def episodes(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFrame
         .agg(F.collect_set(F.struct(F.col("o_custkey").alias("subject_id"), _outcome().alias("outcome"))).alias("v"))
     )
     joined = variants.join(per_order, variants.o_orderkey == per_order.l_orderkey)
-    combo = F.sort_array(F.col("codes"))
     return joined.select(
-        F.col("o_orderkey").alias("episode_id"), F.explode("v").alias("_v"), combo.alias("combo")
+        F.col("o_orderkey").alias("episode_id"), F.explode("v").alias("_v"), "codes", "has_null"
     ).select(
         F.col("_v.subject_id").alias("subject_id"),
         "episode_id",
         F.col("_v.outcome").alias("outcome"),
-        "combo",
-        F.size("combo").alias("n_codes"),
+        "codes",
+        "has_null",
     )
 
 
