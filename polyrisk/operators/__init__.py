@@ -1,0 +1 @@
+"""Relational operators over exposures, episodes, patterns and per-code tables."""

@@ -1,0 +1 @@
+"""Workflows, registered queries, their DuckDB twins and parameters."""

@@ -1,0 +1 @@
+"""Readers: driver parquet tables (tables) and the reference file formats (files)."""
