@@ -37,34 +37,53 @@ def pattern_stream(
     )
 
 
+TABLE_BUCKETS = 64
+
+
 def start_pattern_table(
     spark: SparkSession,
     source_dir: str,
     table_path: str,
     checkpoint_location: str | None = None,
     available_now: bool = True,
+    buckets: int = TABLE_BUCKETS,
 ) -> StreamingQuery:
-    """Keep a Parquet pattern table up to date; each micro-batch rewrites it.
+    """Keep a Parquet pattern table up to date.
 
-    Update mode emits only the combinations touched by the batch; the
-    foreachBatch writer merges them into the table by anti-joining the old
-    rows on the combination, so the table stays one row per combination.
+    Update mode emits, per micro-batch, the running totals of the
+    combinations it touched.  The table is partitioned by a hash bucket of
+    the combination; a batch replaces its combinations' rows in the touched
+    buckets only (dynamic partition overwrite), so its cost follows the batch,
+    not the table.  Writes go through a staging folder because a bucket is
+    read and rewritten in the same step.
     """
     location = checkpoint_location or os.path.join(ensure_checkpoint_dir(spark), "pattern-stream")
-    stream = pattern_stream(spark, source_dir)
+    stream = pattern_stream(spark, source_dir).withColumn(
+        "bucket", F.pmod(F.xxhash64("combo"), F.lit(buckets)).cast("int")
+    )
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        # at most ``buckets`` values: the partitions this batch rewrites
+        touched = [r.bucket for r in batch.select("bucket").distinct().collect()]
+        if not touched:
+            return
         try:
-            old = session.read.parquet(table_path)
+            old = session.read.parquet(table_path).where(F.col("bucket").isin(touched))
         except Exception:  # noqa: BLE001 - first batch: no table yet
             old = None
         fresh = batch
         if old is not None:
             fresh = old.join(batch.select("combo"), "combo", "left_anti").unionByName(batch)
-        staged = f"{table_path.rstrip('/')}-batch-{batch_id}"
-        fresh.write.mode("overwrite").parquet(staged)
-        session.read.parquet(staged).write.mode("overwrite").parquet(table_path)
+        staged = f"{table_path.rstrip('/')}-staging-{batch_id}"
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(staged)
+        (
+            session.read.parquet(staged)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("bucket")
+            .parquet(table_path)
+        )
 
     writer = stream.writeStream.outputMode("update").option("checkpointLocation", location).foreachBatch(merge)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
