@@ -72,7 +72,7 @@ def train_network(episodes: DataFrame, config: dict = BEST_NETWORK, fraction: fl
 
 
 def _network(spark: SparkSession, sf_dir: str) -> TrainedNetwork:
-    key = ("network", id(spark), sf_dir)
+    key = ("network", spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
         _CACHE[key] = train_network(_episodes(spark, sf_dir))
     return _CACHE[key]
@@ -136,7 +136,7 @@ def run_cv_search(episodes: DataFrame, n_trials: int = CV_TRIALS, k: int = P.N_S
 
 
 def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = ("search", id(spark), sf_dir)
+    key = ("search", spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
         ep = _episodes(spark, sf_dir)
         _CACHE[key] = run_cv_search(ep, epoch_choices=CV_EPOCH_CHOICES)

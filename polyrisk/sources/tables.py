@@ -153,7 +153,7 @@ def materialised_episodes(spark: SparkSession, sf_dir: str, code: str = "brand")
     """
     from polyrisk.session import ensure_checkpoint_dir
 
-    key = (id(spark), sf_dir.rstrip("/"), code)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), code)
     path = _MATERIALISED.get(key)
     if path is None:
         try:
