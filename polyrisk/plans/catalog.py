@@ -114,6 +114,14 @@ def q_record_size_histogram_with_outcome(spark, sf_dir):
     return H.record_size_histogram(_screening(spark, sf_dir).cleaned, include_outcome=True)
 
 
+def q_record_size_equal_width(spark, sf_dir):
+    """E14 as the reference draws it: the row sum (codes + outcome) of the
+    cleaned episodes in k equal-width bins, k = number of distinct sums."""
+    cleaned = _screening(spark, sf_dir).cleaned
+    sums = cleaned.select((F.col("n_codes") + F.col("outcome")).alias("row_sum"))
+    return H.equal_width_histogram(sums, "row_sum")
+
+
 def _kept_sizes(spark, sf_dir):
     ep = _episodes(spark, sf_dir)
     screen = C.screen_codes(C.code_contingency(ep), P.THRES)
@@ -298,6 +306,7 @@ RELATIONAL: dict[str, Query] = {
     "co_exposure_grid": q_co_exposure_grid,
     "record_size_histogram": q_record_size_histogram,
     "record_size_histogram_with_outcome": q_record_size_histogram_with_outcome,
+    "record_size_equal_width": q_record_size_equal_width,
     "codes_per_episode_by_class": q_codes_per_episode_by_class,
     "equal_width_histogram": q_equal_width_histogram,
     "ranked_probability_curve": q_ranked_probability_curve,

@@ -216,6 +216,18 @@ GROUP BY x.code"""
     sql["record_size_histogram_with_outcome"] = chain + (
         "SELECT n_codes + outcome AS n_codes, count(*) AS episodes FROM cleaned GROUP BY n_codes + outcome"
     )
+    sql["record_size_equal_width"] = chain.rstrip("\n") + """,
+sums AS (SELECT n_codes + outcome AS row_sum FROM cleaned),
+bounds AS (SELECT min(row_sum) AS lo, max(row_sum) AS hi, count(DISTINCT row_sum) AS k FROM sums),
+binned AS (
+  SELECT CASE WHEN hi = lo THEN 1
+         ELSE least(CAST(floor(CAST((row_sum - lo) * k AS DOUBLE) / CAST(hi - lo AS DOUBLE)) AS BIGINT) + 1, k) END AS bin
+  FROM sums, bounds)
+SELECT b.bin,
+       lo + CAST((hi - lo) * (b.bin - 1) AS DOUBLE) / CAST(k AS DOUBLE) AS bin_lo,
+       CASE WHEN hi = lo THEN CAST(hi AS DOUBLE) ELSE lo + CAST((hi - lo) * b.bin AS DOUBLE) / CAST(k AS DOUBLE) END AS bin_hi,
+       count(*) AS episodes
+FROM binned b, bounds GROUP BY b.bin, lo, hi, k"""
     kept_sizes = """,
 kept_sizes AS (
   SELECT subject_id, episode_id, outcome, CAST(count(*) AS INTEGER) AS n_codes
