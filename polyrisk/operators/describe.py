@@ -25,8 +25,8 @@ KDE_CUT = 3.0
 
 
 QUANTILE_BINS = 1024
-QUANTILE_EXACT_LIMIT = 100_000
-QUANTILE_MAX_GROUPS = 10_000  # per-group state lives on the driver
+QUANTILE_FETCH_BUDGET = 1_000_000  # values fetched to the driver, all targets together
+QUANTILE_MAX_GROUPS = 1_000        # per-group state lives on the driver
 
 
 def exact_quantiles(
@@ -35,7 +35,7 @@ def exact_quantiles(
     group_col: str,
     probs,
     bins: int = QUANTILE_BINS,
-    exact_limit: int = QUANTILE_EXACT_LIMIT,
+    exact_limit: int | None = None,
 ) -> DataFrame:
     """Exact quantiles (linear interpolation between order statistics) per group.
 
@@ -49,7 +49,9 @@ def exact_quantiles(
     value) those values are fetched and the statistic read off.  The driver
     keeps a few numbers per target; groups are expected to be few (e.g. one
     per sampling fraction), and each round moves at most targets x bins
-    summary rows.  Result: (group, prob, value).
+    summary rows.  By default ``exact_limit`` is derived from a total fetch
+    budget, so the values reaching the driver are bounded by a constant
+    whatever the data size.  Result: (group, prob, value).
     """
     spark = values.sparkSession
     g_type = values.schema[group_col].dataType
@@ -74,6 +76,9 @@ def _select_quantiles(spark, base, g_type, group_col, probs, bins, exact_limit)
     )
     if len(groups) > QUANTILE_MAX_GROUPS:
         raise ValueError(f"exact_quantiles supports at most {QUANTILE_MAX_GROUPS} groups")
+    if exact_limit is None:
+        n_targets = max(1, 2 * len(probs) * len(groups))
+        exact_limit = max(1_000, QUANTILE_FETCH_BUDGET // n_targets)
 
     # state per (group, rank): [lo, hi, below, count]; targets share intervals
     state: dict = {}
