@@ -99,6 +99,18 @@ def codes_in(screened: DataFrame, screen: str) -> DataFrame:
     return screened.where(F.col("screen") == screen).select("code")
 
 
+# Inlined code lists are bounded by the code vocabulary; the guard fails a
+# query (on the executors, before anything reaches the driver) whose list is
+# longer, for which ``exclude_exposed(method="join")`` is the way.
+MAX_INLINE_CODES = 100_000
+
+
+def _guarded(arrays: Column, n: Column) -> Column:
+    return F.when(n > MAX_INLINE_CODES, F.raise_error(F.lit(
+        f"more than {MAX_INLINE_CODES} codes to inline; use the join-based operators"
+    ))).otherwise(arrays)
+
+
 def screen_code_sets(screened: DataFrame) -> Column:
     """The kept / removed / end code lists of a screen as one struct-valued
     scalar subquery (one small job for all three lists)."""
@@ -106,7 +118,8 @@ def screen_code_sets(screened: DataFrame) -> Column:
         F.sort_array(F.collect_set(F.when(F.col("screen") == s, F.col("code")))).alias(s)
         for s in (SCREEN_KEPT, SCREEN_REMOVED, SCREEN_END)
     ]
-    return screened.agg(F.struct(*lists)).scalar()
+    probe = screened.limit(MAX_INLINE_CODES + 1)  # size probe, not a result cap
+    return probe.agg(_guarded(F.struct(*lists), F.count(F.lit(1)))).scalar()
 
 
 def _as_array(codes) -> Column:
@@ -121,7 +134,8 @@ def code_array(codes: DataFrame) -> Column:
     inlined into the consuming expressions, so no shuffle of episodes is
     needed to test membership.
     """
-    return codes.agg(F.sort_array(F.collect_set("code"))).scalar()
+    probe = codes.select("code").limit(MAX_INLINE_CODES + 1)  # size probe, not a result cap
+    return probe.agg(_guarded(F.sort_array(F.collect_set("code")), F.count(F.lit(1)))).scalar()
 
 
 def exclude_exposed(episodes: DataFrame, codes, method: str = "inline") -> DataFrame:
