@@ -5,6 +5,7 @@ from polyrisk.operators import contingency as C
 from polyrisk.operators.episodes import build_episodes
 from polyrisk.plans.screening import run_screening
 
+
 def test_golden_code_stats(golden_episodes):
     stats = {r.code: r for r in C.code_contingency(golden_episodes).collect()}
     assert (stats["A"].count_outcome_0, stats["A"].count_outcome_1) == (3, 2)
@@ -15,12 +16,14 @@ def test_golden_code_stats(golden_episodes):
     assert stats["C"].p_pos_nodrug == 4 / 7 and stats["C"].p_pos_drug == 0.0
     assert stats["D"].p_pos_nodrug == 3 / 7 and stats["D"].p_pos_drug == 1.0
 
+
 def test_probabilities_complement(golden_episodes):
     """P(neg|x) + P(pos|x) = 1 where defined."""
     for r in C.code_contingency(golden_episodes).collect():
         assert r.p_neg_drug + r.p_pos_drug == pytest.approx(1.0)
         assert r.p_neg_nodrug + r.p_pos_nodrug == pytest.approx(1.0)
 
+
 def test_golden_screen(golden_episodes):
     screen = {r.code: r for r in C.screen_codes(C.code_contingency(golden_episodes), thres=2).collect()}
     assert {c: r.screen for c, r in screen.items()} == {"A": "end", "B": "kept", "C": "end", "D": "removed"}
@@ -31,6 +34,7 @@ def test_golden_screen(golden_episodes):
     # rank inside the 'end' screen: A (0.4) before C (0.0)
     assert (screen["A"].rank, screen["C"].rank) == (0, 1)
 
+
 def test_screen_partition_is_disjoint_and_complete(spark, golden):
     """I3 with an undecidable code: present in every episode -> NULL screen."""
     rows = [(i, f"e{i}", "Z", i % 2) for i in range(6)] + [(i, f"e{i}", "Y", i % 2) for i in range(3)]
@@ -39,6 +43,7 @@ def test_screen_partition_is_disjoint_and_complete(spark, golden):
     assert screen["Z"] is None
     assert screen["Y"] in {"kept", "removed", "end"}
 
+
 def test_rounding_is_half_even(spark):
     from polyrisk.functions import round_half_even
 
@@ -46,6 +51,7 @@ def test_rounding_is_half_even(spark):
     got = [r[0] for r in df.select(round_half_even("x", 2)).collect()]
     assert got == [0.12, 0.38, 0.14, 0.0]
 
+
 def test_golden_exclusion_chain(golden_episodes):
     res = run_screening(golden_episodes, thres=2)
     assert {r.code: r.n_excluded for r in res.removed_counts.collect()} == {"D": 1}
@@ -58,6 +64,7 @@ def test_golden_exclusion_chain(golden_episodes):
     steps = {(r.step, r.code): r.n_excluded for r in res.excluded_counts().collect()}
     assert steps == {(1, "D"): 1, (2, "A"): 5, (2, "C"): 1}
 
+
 def test_exclusion_methods_agree(golden_episodes, spark):
     codes = spark.createDataFrame([("A",), ("D",)], "code string")
     inline = C.exclude_exposed(golden_episodes, codes, "inline")
@@ -65,11 +72,13 @@ def test_exclusion_methods_agree(golden_episodes, spark):
     assert sorted(map(tuple, inline.collect())) == sorted(map(tuple, joined.collect()))
     assert inline.where(F.arrays_overlap("combo", F.array(F.lit("A"), F.lit("D")))).count() == 0
 
+
 def test_exclusion_counts_include_unseen_codes(golden_episodes, spark):
     codes = spark.createDataFrame([("A",), ("Q",)], "code string")
     got = {r.code: r.n_excluded for r in C.exclusion_counts(golden_episodes, codes).collect()}
     assert got == {"A": 5, "Q": 0}
 
+
 def test_inline_code_lists_are_size_guarded(spark, golden_episodes, monkeypatch):
 
     monkeypatch.setattr(C, "MAX_INLINE_CODES", 2)
