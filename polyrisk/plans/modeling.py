@@ -24,9 +24,8 @@ from polyrisk.operators import describe as D
 from polyrisk.operators.episodes import exposures_of
 from polyrisk.operators.sampling import group_sample
 from polyrisk.plans import params as P
-from polyrisk.sinks import vocabulary_codes
+from polyrisk.sinks import MAX_WIDE_COLUMNS
 from polyrisk.plans.catalog import _episodes
-from polyrisk.operators.vocab import ordered_vocabulary
 
 # The best published configuration of the reference (one of its two runs).
 BEST_NETWORK = {"epoch": 500, "activation": "RELU", "layers": 1, "hidden_dim_1": 100,
@@ -51,7 +50,10 @@ _CACHE: dict = {}
 def observed_vocabulary(episodes: DataFrame) -> list[str]:
     """All observed codes in code order, size-checked before reaching the driver."""
     codes = exposures_of(episodes).select("code").distinct()
-    return vocabulary_codes(ordered_vocabulary(codes, []))
+    probe = codes.orderBy("code").limit(MAX_WIDE_COLUMNS + 1).collect()  # size probe, not a result cap
+    if len(probe) > MAX_WIDE_COLUMNS:
+        raise ValueError(f"more than {MAX_WIDE_COLUMNS} codes: too many model features")
+    return [r.code for r in probe]
 
 
 def train_network(episodes: DataFrame, config: dict = BEST_NETWORK, fraction: float = TRAIN_FRACTION,
