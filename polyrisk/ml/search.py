@@ -111,6 +111,8 @@ def run_search(trials: DataFrame, blocks, n_features: int, k: int, seed: int = 4
     """
     rows = [r.asDict() for r in trials.orderBy("trial_id").collect()]
     specs = [spec_from_trial(r, seed, fold) for r in rows for fold in range(k)]
+    # bundle models of similar epoch budgets: a bundle costs max(epochs) + 1 passes
+    specs.sort(key=lambda sp: (sp.epochs, sp.tag, sp.fold))
     results: list[FitResult] = []
     for start in range(0, len(specs), max_models_per_pass):
         results.extend(fit_models(blocks, n_features, specs[start : start + max_models_per_pass]))
