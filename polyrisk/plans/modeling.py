@@ -15,7 +15,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from polyrisk.ml import logistic as LG
 from polyrisk.ml import search as SR
