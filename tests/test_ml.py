@@ -211,3 +211,35 @@ def test_penalised_bce_equals_bce_without_floor(spark):
     df = spark.createDataFrame([(10, 3, 0.4), (5, 5, 0.9)], "n long, n_pos long, p double")
     row = df.agg(F.sum(bce_terms("n", "n_pos", "p")).alias("a"), F.sum(penalised_bce_terms("n", "n_pos", "p")).alias("b")).first()
     assert row.a == pytest.approx(row.b, rel=1e-5)
+
+
+def test_distributed_fit_matches_single_process_adam_on_raw_rows(spark):
+    """K8: Spark passes over collapsed patterns reproduce a plain full-batch
+    Adam loop over raw episode rows (same initial weights)."""
+    from polyrisk.plans.modeling import observed_vocabulary
+    from polyrisk.sources import tables
+
+    eps = tables.episodes(spark, "/root/testdata/sf0.001", "type")
+    vocab = observed_vocabulary(eps)
+    pt, blocks = TR.prepare(eps, vocab)
+    init = K.init_params(len(vocab), (6,), seed=21)
+    spec = TR.ModelSpec(hidden=(6,), activation="LRELU", learning_rate=0.01, epochs=8)
+    res = TR.fit_models(blocks, len(vocab), [spec], init=[init])[0]
+    blocks.unpersist()
+
+    rows = eps.select("combo", "outcome").collect()
+    x = np.zeros((len(rows), len(vocab)))
+    for i, r in enumerate(rows):
+        for c in r.combo:
+            x[i, vocab.index(c)] = 1.0
+    y = np.array([float(r.outcome) for r in rows])
+    params, opt, losses = init, K.Adam(init, 0.01), []
+    for _ in range(8):
+        p, cache = K.forward(params, x, "LRELU")
+        losses.append(K.bce_sum(np.ones_like(y), y, p) / len(y))
+        pq = p * (1 - p)
+        grads = K.backward(params, cache, (p - y) * pq / np.maximum(pq, K.CLAMP_EPS), "LRELU")
+        params = opt.step(params, [(gw / len(y), gb / len(y)) for gw, gb in grads])
+    assert np.allclose(res.train_loss_hard, losses, rtol=1e-9, atol=1e-12)
+    for (w1, b1), (w2, b2) in zip(res.params, params):
+        assert np.allclose(w1, w2, rtol=1e-8, atol=1e-10) and np.allclose(b1, b2, rtol=1e-8, atol=1e-10)
