@@ -64,30 +64,32 @@ def size_by_class(sizes: DataFrame) -> DataFrame:
 def equal_width_histogram(values: DataFrame, value_col: str, group_col: str | None = None) -> DataFrame:
     """Equal-width bins with k = number of distinct values: E15.
 
-    Range and k come from the whole column (one aggregate, inlined as a
-    scalar subquery); counts are per ``group_col`` when given.  The last bin
-    is closed on the right; a zero-width range puts everything in bin 1.
-    Integer-valued columns are binned with exact integer arithmetic.
+    Range and k come from the whole column; counts are per ``group_col`` when
+    given.  The last bin is closed on the right; a zero-width range puts
+    everything in bin 1.  Integer-valued columns are binned with exact
+    integer arithmetic.  The values are first counted per (group, value) --
+    one hash aggregate -- and both the bounds and the bins are computed from
+    that small table.
     """
-    bounds = values.agg(
-        F.struct(
-            F.min(value_col).alias("lo"),
-            F.max(value_col).alias("hi"),
-            F.count_distinct(value_col).alias("k"),
-        )
-    ).scalar()
-    lo, hi, k = bounds.getField("lo"), bounds.getField("hi"), bounds.getField("k")
+    keys = [group_col] if group_col else []
     v = F.col(value_col)
+    counts = values.where(v.isNotNull()).groupBy(*keys, v.alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    # One row (min, max, k) fetched eagerly: inlining it as a scalar subquery
+    # would re-plan any subqueries already inside ``values``.
+    b = counts.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count_distinct("_x").alias("k")).first()
+    x_type = counts.schema["_x"].dataType
+    lo, hi = F.lit(b.lo).cast(x_type), F.lit(b.hi).cast(x_type)
+    k = F.lit(b.k).cast("bigint")
+    x = F.col("_x")
     width = hi - lo
     bin_index = F.when(width == 0, F.lit(1).cast("bigint")).otherwise(
-        F.least(F.floor(((v - lo) * k) / width).cast("bigint") + 1, k)
+        F.least(F.floor(((x - lo) * k) / width).cast("bigint") + 1, k)
     )
-    keys = [group_col] if group_col else []
-    binned = values.select(*keys, bin_index.alias("bin"))
-    counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("episodes"))
+    binned = counts.select(*keys, bin_index.alias("bin"), "_c")
+    per_bin = binned.groupBy(*keys, "bin").agg(F.sum("_c").cast("bigint").alias("episodes"))
     edge_lo = lo + (width * (F.col("bin") - 1)) / k
     edge_hi = lo + (width * F.col("bin")) / k
-    return counts.select(
+    return per_bin.select(
         *keys,
         "bin",
         edge_lo.cast("double").alias("bin_lo"),
