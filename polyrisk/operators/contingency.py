@@ -122,6 +122,29 @@ def screen_code_sets(screened: DataFrame) -> Column:
     return probe.agg(_guarded(F.struct(*lists), F.count(F.lit(1)))).scalar()
 
 
+def fetch_screen_code_sets(screened: DataFrame) -> dict[str, Column]:
+    """The kept / removed / end lists fetched now, as literal arrays.
+
+    One small job over the per-code table (size-guarded like the subquery
+    form); downstream plans then carry literals instead of nested scalar
+    subqueries, which Spark would otherwise re-plan inside every further
+    subquery built on them.
+    """
+    sets = screened.limit(MAX_INLINE_CODES + 1).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[
+            F.sort_array(F.collect_set(F.when(F.col("screen") == s, F.col("code")))).alias(s)
+            for s in (SCREEN_KEPT, SCREEN_REMOVED, SCREEN_END)
+        ],
+    ).first()
+    if sets.n > MAX_INLINE_CODES:
+        raise ValueError(f"more than {MAX_INLINE_CODES} codes to inline; use the join-based operators")
+    return {
+        s: F.array(*[F.lit(c) for c in sets[s]]).cast("array<string>")
+        for s in (SCREEN_KEPT, SCREEN_REMOVED, SCREEN_END)
+    }
+
+
 def _as_array(codes) -> Column:
     return codes if isinstance(codes, Column) else code_array(codes)
 

@@ -26,6 +26,7 @@ from polyrisk.operators.contingency import (
     codes_in,
     exclude_exposed,
     exclusion_counts,
+    fetch_screen_code_sets,
     restrict_codes,
     screen_code_sets,
     screen_codes,
@@ -53,12 +54,21 @@ class ScreeningResult:
         return first.unionByName(second)
 
 
-def run_screening(episodes: DataFrame, thres: int = 0) -> ScreeningResult:
+def run_screening(episodes: DataFrame, thres: int = 0, lists: str = "literal") -> ScreeningResult:
+    """``lists="literal"`` fetches the three code lists once (one small job)
+    and inlines them as literal arrays; ``"subquery"`` keeps the whole chain
+    lazy with one struct-valued scalar subquery."""
     base = non_empty(episodes)
     stats = code_contingency(base, require_non_empty=False)
     screen = screen_codes(stats, thres)
-    sets = screen_code_sets(screen)
-    removed, end, kept = (sets.getField(s) for s in (SCREEN_REMOVED, SCREEN_END, SCREEN_KEPT))
+    if lists == "literal":
+        sets = fetch_screen_code_sets(screen)
+        removed, end, kept = sets[SCREEN_REMOVED], sets[SCREEN_END], sets[SCREEN_KEPT]
+    elif lists == "subquery":
+        sets = screen_code_sets(screen)
+        removed, end, kept = (sets.getField(s) for s in (SCREEN_REMOVED, SCREEN_END, SCREEN_KEPT))
+    else:
+        raise ValueError("lists must be 'literal' or 'subquery'")
     removed_counts = exclusion_counts(base, removed)
     after_removed = exclude_exposed(base, removed)
     end_counts = exclusion_counts(after_removed, end)
