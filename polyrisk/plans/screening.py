@@ -6,9 +6,10 @@
              -> project combinations to 'kept' codes
 
 Order matters: the second set of counts is taken over the survivors of the
-first exclusion.  Every step is a lazy DataFrame; the per-code screen is a
-small table whose code lists enter the episode filters as inlined arrays, so
-the episode table is scanned, never shuffled, by the exclusions.
+first exclusion.  The per-code screen is a small table whose three code
+lists are fetched once (one bounded, size-guarded row) and enter the episode
+filters as literal arrays, so the episode table is scanned, never shuffled,
+by the exclusions; everything else stays lazy.
 """
 
 from __future__ import annotations
