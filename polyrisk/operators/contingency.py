@@ -145,6 +145,15 @@ def fetch_screen_code_sets(screened: DataFrame) -> dict[str, Column]:
     }
 
 
+def literal_code_array(codes: DataFrame) -> Column:
+    """The codes of a per-code table fetched now (bounded, size-guarded) as a
+    literal array: the eager counterpart of ``code_array``."""
+    rows = codes.select("code").distinct().limit(MAX_INLINE_CODES + 1).collect()  # size probe
+    if len(rows) > MAX_INLINE_CODES:
+        raise ValueError(f"more than {MAX_INLINE_CODES} codes to inline; use the join-based operators")
+    return F.array(*[F.lit(c) for c in sorted(r.code for r in rows if r.code is not None)]).cast("array<string>")
+
+
 def _as_array(codes) -> Column:
     return codes if isinstance(codes, Column) else code_array(codes)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyrisk.operators.contingency import code_array
+from polyrisk.operators.contingency import _as_array
 
 MAX_COMBINATION_SIZE = 20
 
@@ -46,10 +46,10 @@ def record_size_histogram(episodes: DataFrame, include_outcome: bool = False) ->
     return episodes.groupBy(size.alias("n_codes")).agg(F.count(F.lit(1)).alias("episodes"))
 
 
-def codes_per_episode(episodes: DataFrame, codes: DataFrame) -> DataFrame:
+def codes_per_episode(episodes: DataFrame, codes) -> DataFrame:
     """Per episode, how many of the listed codes it has; episodes with none
     are absent (they had no rows after the membership filter): E4 + D2."""
-    kept = F.size(F.array_intersect("combo", code_array(codes)))
+    kept = F.size(F.array_intersect("combo", _as_array(codes)))
     return (
         episodes.select("subject_id", "episode_id", "outcome", kept.alias("n_codes"))
         .where(F.col("n_codes") > 0)

@@ -125,7 +125,7 @@ def q_record_size_equal_width(spark, sf_dir):
 def _kept_sizes(spark, sf_dir):
     ep = _episodes(spark, sf_dir)
     screen = C.screen_codes(C.code_contingency(ep), P.THRES)
-    return H.codes_per_episode(ep, C.codes_in(screen, C.SCREEN_KEPT))
+    return H.codes_per_episode(ep, C.literal_code_array(C.codes_in(screen, C.SCREEN_KEPT)))
 
 
 def q_codes_per_episode_by_class(spark, sf_dir):
@@ -210,7 +210,7 @@ def _aligned(spark, sf_dir):
     ep = _episodes(spark, sf_dir)
     a, _ = _vocabularies(ep)
     risk_rows = PT.attach_risk(ep, PT.combo_patterns(ep))
-    return V.align_lenient(risk_rows, a)
+    return V.align_lenient(risk_rows, C.literal_code_array(a))
 
 
 def q_vocab_align_lenient(spark, sf_dir):
