@@ -1,8 +1,10 @@
 """Registered queries: name -> fn(spark, sf_dir) -> DataFrame.
 
-Every query reads the driver's parquet tables in full and composes library
-operators; column names equal those of the DuckDB twin in ``oracle_sql``.
-Combinations are output as '|'-joined keys so both engines compare strings.
+Every query reads the driver's parquet tables in full -- episodes are built
+from them once per session and read back (``params.MATERIALISE_EPISODES``)
+-- and composes library operators; column names equal those of the DuckDB
+twin in ``oracle_sql``.  Combinations are output as '|'-joined keys so both
+engines compare strings.
 """
 
 from __future__ import annotations
