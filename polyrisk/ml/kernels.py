@@ -20,7 +20,7 @@ import numpy as np
 LEAKY_SLOPE = 0.01        # default negative slope of leaky ReLU
 LOG_FLOOR = -100.0        # BCE clamps each log at -100
 CLAMP_EPS = 1e-12         # BCE backward divides by max(p(1-p), eps)
-CHUNK_CELLS = 4_000_000   # dense chunk size (patterns x features) per step
+CHUNK_CELLS = 4_000_000   # rows x max(features, widest layer) per dense chunk
 
 ACTIVATIONS = ("RELU", "LRELU")
 
@@ -45,12 +45,6 @@ def _act(a: np.ndarray, activation: str) -> np.ndarray:
     return np.where(a > 0, a, LEAKY_SLOPE * a)
 
 
-def _act_grad(a: np.ndarray, activation: str) -> np.ndarray:
-    if activation == "RELU":
-        return (a > 0).astype(a.dtype)
-    return np.where(a > 0, 1.0, LEAKY_SLOPE)
-
-
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * z))
 
@@ -77,7 +71,13 @@ def backward(params, cache, dz: np.ndarray, activation: str):
         w, _ = params[layer]
         grads[layer] = (delta.T @ inputs[layer], delta.sum(axis=0))
         if layer > 0:
-            delta = (delta @ w) * _act_grad(pre[layer - 1], activation)
+            delta = delta @ w
+            # activation gradient applied in place (no float mask temporary)
+            a = pre[layer - 1]
+            if activation == "RELU":
+                np.multiply(delta, a > 0, out=delta)
+            else:
+                np.multiply(delta, np.where(a > 0, 1.0, LEAKY_SLOPE), out=delta)
     return grads
 
 
@@ -91,7 +91,7 @@ def bce_sum(n: np.ndarray, n_pos: np.ndarray, p: np.ndarray) -> float:
     return float(-(n_pos * _log(p) + (n - n_pos) * _log(1.0 - p)).sum())
 
 
-def dense_chunks(block: dict):
+def dense_chunks(block: dict, width: int = 1):
     """Yield (slice, dense 0/1 matrix) chunks of bounded size.
 
     Dense chunks with BLAS products beat gather/scatter over the code
@@ -101,7 +101,7 @@ def dense_chunks(block: dict):
     """
     ptr, idx, n_features = block["ptr"], block["idx"], block["n_features"]
     rows = len(ptr) - 1
-    step = max(1, CHUNK_CELLS // max(1, n_features))
+    step = max(64, CHUNK_CELLS // max(1, n_features, width))
     for start in range(0, rows, step):
         stop = min(rows, start + step)
         x = np.zeros((stop - start, n_features))
@@ -132,7 +132,8 @@ def block_pass(block: dict, models: list[dict]) -> list[dict]:
                 "val_n": 0.0,
             }
         )
-    for sl, x in dense_chunks(block):
+    width = max((w.shape[0] for spec in models for w, _ in spec["params"]), default=1)
+    for sl, x in dense_chunks(block, width):
         n, n_pos, risk, fold = block["n"][sl], block["n_pos"][sl], block["risk"][sl], block["fold"][sl]
         soft_pos = n * risk
         for spec, acc in zip(models, out):
@@ -224,6 +225,6 @@ def predict_indices(params, activation: str, index_lists, n_features: int) -> np
     if block is None:
         return np.zeros(0)
     out = np.empty(len(block["n"]))
-    for sl, x in dense_chunks(block):
+    for sl, x in dense_chunks(block, max(w.shape[0] for w, _ in params)):
         out[sl] = forward(params, x, activation)[0]
     return out
