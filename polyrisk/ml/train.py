@@ -176,14 +176,19 @@ def fit_models(blocks, n_features: int, specs: list[ModelSpec], init: list | Non
 
 
 def prepare(episodes: DataFrame, vocab_codes: list[str], k: int | None = None, seed: int = 40,
-            checkpoint: bool = True):
-    """Training patterns with folds, checkpointed, and their cached blocks."""
+            checkpoint: bool = True, partitions: int | None = None):
+    """Training patterns with folds, checkpointed, and their cached blocks.
+
+    ``partitions`` sets how many tasks run each epoch (default: the
+    cluster's default parallelism).  Every partition sends one partial
+    gradient per model and epoch, so per-epoch traffic is partitions x
+    bundled model size: for wide models on a large cluster, use about one
+    partition per executor (each task's BLAS uses the executor's cores).
+    Hash partitioning on the combination keeps retries deterministic.
+    """
     patterns = assign_folds(training_patterns(episodes, vocab_codes), k, seed)
-    # Spread the (already aggregated) patterns over at least one partition per
-    # core: every epoch is a pass over these partitions.  Hash partitioning on
-    # the combination keeps retries deterministic.
-    parallelism = episodes.sparkSession.sparkContext.defaultParallelism
-    patterns = patterns.repartition(max(parallelism, 1), "combo")
+    n_parts = partitions or episodes.sparkSession.sparkContext.defaultParallelism
+    patterns = patterns.repartition(max(n_parts, 1), "combo")
     if checkpoint:
         try:
             patterns = cut_lineage(patterns)
