@@ -87,7 +87,10 @@ def _log(p: np.ndarray) -> np.ndarray:
 
 
 def bce_sum(n: np.ndarray, n_pos: np.ndarray, p: np.ndarray) -> float:
-    """Summed BCE of n rows (n_pos positive) predicted p; target may be soft (n_pos = n * risk)."""
+    """Summed BCE of n rows (n_pos positive) predicted p; target may be soft (n_pos = n * risk).
+
+    Always summed in float64, whatever the model's dtype."""
+    p = p.astype(np.float64, copy=False)
     return float(-(n_pos * _log(p) + (n - n_pos) * _log(1.0 - p)).sum())
 
 
@@ -133,11 +136,15 @@ def block_pass(block: dict, models: list[dict]) -> list[dict]:
             }
         )
     width = max((w.shape[0] for spec in models for w, _ in spec["params"]), default=1)
-    for sl, x in dense_chunks(block, width):
+    for sl, x64 in dense_chunks(block, width):
         n, n_pos, risk, fold = block["n"][sl], block["n_pos"][sl], block["risk"][sl], block["fold"][sl]
         soft_pos = n * risk
+        by_dtype = {np.dtype(np.float64): x64}
         for spec, acc in zip(models, out):
-            p, cache = forward(spec["params"], x, spec["activation"])
+            dtype = spec["params"][0][0].dtype
+            if dtype not in by_dtype:
+                by_dtype[dtype] = x64.astype(dtype)
+            p, cache = forward(spec["params"], by_dtype[dtype], spec["activation"])
             held_out = fold == spec["fold"]
             train = ~held_out
             if held_out.any():
@@ -149,7 +156,7 @@ def block_pass(block: dict, models: list[dict]) -> list[dict]:
                 acc["train_n"] += float(n[train].sum())
                 if spec["grad"]:
                     pq = p * (1.0 - p)
-                    dz = np.where(train, (n * p - n_pos) * (pq / np.maximum(pq, CLAMP_EPS)), 0.0)
+                    dz = np.where(train, (n * p - n_pos) * (pq / np.maximum(pq, CLAMP_EPS)), 0.0).astype(dtype)
                     for (gw, gb), (dw, db) in zip(acc["grads"], backward(spec["params"], cache, dz, spec["activation"])):
                         gw += dw
                         gb += db

@@ -83,7 +83,7 @@ def trial_table(
     return t.select(*cols)
 
 
-def spec_from_trial(row, seed: int, fold: int | None) -> ModelSpec:
+def spec_from_trial(row, seed: int, fold: int | None, dtype: str = "float64") -> ModelSpec:
     hidden = ()
     if row["layers"] >= 1:
         hidden = (int(row["hidden_dim_1"]),)
@@ -97,20 +97,24 @@ def spec_from_trial(row, seed: int, fold: int | None) -> ModelSpec:
         seed=seed + int(row["trial_id"]),
         fold=fold,
         tag=int(row["trial_id"]),
+        dtype=dtype,
     )
 
 
 def run_search(trials: DataFrame, blocks, n_features: int, k: int, seed: int = 40,
-               max_models_per_pass: int = 12) -> tuple[DataFrame, dict[int, list[FitResult]]]:
+               max_models_per_pass: int = 12,
+               dtype: str = "float32") -> tuple[DataFrame, dict[int, list[FitResult]]]:
     """Cross-validated objective per trial; returns the trial table with
     ``value`` (sorted by value, then trial_id) and the fold results.
 
     The trial table is small (one row per trial) and is read on the driver to
     configure the models; models are trained in bundles of at most
-    ``max_models_per_pass`` so that broadcast weights stay bounded.
+    ``max_models_per_pass`` so that broadcast weights stay bounded.  Search
+    models run in float32 (the reference's tensor type; about 1.6x faster
+    passes and half the gradient traffic), final fits default to float64.
     """
     rows = [r.asDict() for r in trials.orderBy("trial_id").collect()]
-    specs = [spec_from_trial(r, seed, fold) for r in rows for fold in range(k)]
+    specs = [spec_from_trial(r, seed, fold, dtype) for r in rows for fold in range(k)]
     # bundle models of similar epoch budgets: a bundle costs max(epochs) + 1 passes
     specs.sort(key=lambda sp: (sp.epochs, sp.tag, sp.fold))
     results: list[FitResult] = []

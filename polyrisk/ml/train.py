@@ -94,6 +94,9 @@ class ModelSpec:
     seed: int = 42
     fold: int | None = None
     tag: object = None
+    # "float64" (default, exact) or "float32" (the reference's tensor type:
+    # half the memory traffic in tasks and half the gradient traffic per epoch)
+    dtype: str = "float64"
 
 
 @dataclass
@@ -149,7 +152,7 @@ def fit_models(blocks, n_features: int, specs: list[ModelSpec], init: list | Non
         active = [i for i, s in enumerate(specs) if p <= s.epochs + 1]
         payload = [
             {
-                "params": results[i].params,
+                "params": [(w.astype(specs[i].dtype), b.astype(specs[i].dtype)) for w, b in results[i].params],
                 "activation": specs[i].activation,
                 "fold": -1 if specs[i].fold is None else specs[i].fold,
                 "grad": p <= specs[i].epochs,
@@ -168,7 +171,10 @@ def fit_models(blocks, n_features: int, specs: list[ModelSpec], init: list | Non
                 if keep == "best" and res.train_loss[-1] <= min(res.train_loss):
                     best[i] = [(w.copy(), b.copy()) for w, b in res.params]
                 res.train_loss_hard.append(acc["train_hard"] / acc["train_n"])
-                grads = [(gw / acc["train_n"], gb / acc["train_n"]) for gw, gb in acc["grads"]]
+                grads = [
+                    (gw.astype(np.float64) / acc["train_n"], gb.astype(np.float64) / acc["train_n"])
+                    for gw, gb in acc["grads"]
+                ]
                 res.params = optims[i].step(res.params, grads)
     for i, params in best.items():
         results[i].params = params

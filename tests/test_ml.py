@@ -243,3 +243,18 @@ def test_distributed_fit_matches_single_process_adam_on_raw_rows(spark):
     assert np.allclose(res.train_loss_hard, losses, rtol=1e-9, atol=1e-12)
     for (w1, b1), (w2, b2) in zip(res.params, params):
         assert np.allclose(w1, w2, rtol=1e-8, atol=1e-10) and np.allclose(b1, b2, rtol=1e-8, atol=1e-10)
+
+
+def test_float32_training_tracks_float64(spark, golden_episodes):
+    from polyrisk.plans.modeling import observed_vocabulary
+    from polyrisk.sources import tables
+
+    eps = tables.episodes(spark, "/root/testdata/sf0.001", "brand")
+    vocab = observed_vocabulary(eps)
+    _, blocks = TR.prepare(eps, vocab)
+    init = K.init_params(len(vocab), (16,), seed=5)
+    specs = [TR.ModelSpec(hidden=(16,), learning_rate=0.01, epochs=10, dtype=d) for d in ("float64", "float32")]
+    r64, r32 = TR.fit_models(blocks, len(vocab), specs, init=[init, init])
+    blocks.unpersist()
+    assert np.allclose(r64.train_loss, r32.train_loss, rtol=1e-4)
+    assert np.allclose(r64.params[0][0], r32.params[0][0], atol=1e-3)
