@@ -73,3 +73,12 @@ def test_vocabulary_size_guard(spark, monkeypatch):
     vocab = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "position int, code string")
     with pytest.raises(ValueError):
         sinks.vocabulary_codes(vocab)
+
+
+def test_multi_hot_reader_without_keys(spark, tmp_path):
+    p = tmp_path / "wide.csv"
+    p.write_text("_A,_B,_C,risk,diagnosis\n1,0,1,0.5,1\n0,0,0,1.0,0\n0,1,0,0.0,1\n")
+    eps = files.read_multi_hot_csv(spark, str(p))
+    rows = sorted((tuple(r.combo), r.outcome) for r in eps.collect())
+    assert rows == [((), 0), (("A", "C"), 1), (("B",), 1)]
+    assert eps.select("episode_id").distinct().count() == 3
