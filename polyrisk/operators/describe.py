@@ -142,9 +142,8 @@ def _select_quantiles(spark, base, g_type, group_col, probs, bins, exact_limit)
     schema = T.StructType(
         [T.StructField(group_col, g_type), T.StructField("prob", T.DoubleType()), T.StructField("value", T.DoubleType())]
     )
-    result = spark.createDataFrame(rows, schema)
-    result.count()  # materialise before the cached values are released
-    return result
+    # a local relation: independent of the cached values released afterwards
+    return spark.createDataFrame(rows, schema)
 
 
 def box_stats(values: DataFrame, value_col: str, group_col: str, whis: float = WHISKER) -> DataFrame:
