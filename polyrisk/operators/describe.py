@@ -8,6 +8,7 @@ and the density is accumulated as per-partition partial sums on a fixed grid.
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -67,7 +68,7 @@ def exact_quantiles(
         base.unpersist()
 
 
-def _select_quantiles(spark, base, g_type, group_col, probs, bins, exact_limit) -> DataFrame:
+def _group_bounds(base) -> list:
     groups = (
         base.groupBy("_g")
         .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
@@ -75,21 +76,27 @@ def _select_quantiles(spark, base, g_type, group_col, probs, bins, exact_limit)
         .collect()
     )
     if len(groups) > QUANTILE_MAX_GROUPS:
-        raise ValueError(f"exact_quantiles supports at most {QUANTILE_MAX_GROUPS} groups")
+        raise ValueError(f"exact order statistics support at most {QUANTILE_MAX_GROUPS} groups")
+    return groups
+
+
+def order_statistics(spark, base, g_type, groups, ranks: dict, bins: int = QUANTILE_BINS,
+                     exact_limit: int | None = None) -> dict:
+    """Exact order statistics of ``base`` (columns ``_g``, ``_v`` double).
+
+    ``groups``: rows (_g, n, lo, hi); ``ranks``: group -> 0-based ranks.
+    Returns (group, rank) -> (value, number of values strictly below it),
+    by the interval refinement described in ``exact_quantiles``.
+    """
     if exact_limit is None:
-        n_targets = max(1, 2 * len(probs) * len(groups))
+        n_targets = max(1, sum(len(set(r)) for r in ranks.values()))
         exact_limit = max(1_000, QUANTILE_FETCH_BUDGET // n_targets)
 
     # state per (group, rank): [lo, hi, below, count]; targets share intervals
     state: dict = {}
-    wanted = []
     for row in groups:
-        for p in probs:
-            pos = p * (row.n - 1)
-            lo_r, hi_r = math.floor(pos), math.ceil(pos)
-            wanted.append((row._g, p, pos, lo_r, hi_r))
-            for r in (lo_r, hi_r):
-                state.setdefault((row._g, r), [row.lo, row.hi, 0, row.n])
+        for r in ranks.get(row._g, ()):
+            state.setdefault((row._g, r), [row.lo, row.hi, 0, row.n])
 
     interval_schema = T.StructType(
         [T.StructField("_g", g_type), T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())]
@@ -131,13 +138,30 @@ def _select_quantiles(spark, base, g_type, group_col, probs, bins, exact_limit)
         for key in pools:
             pools[key].sort()
 
-    def order_stat(g, r):
-        lo, hi, below, _ = state[(g, r)]
-        return lo if lo == hi else pools[(g, lo, hi)][r - below]
+    out = {}
+    for (g, r), (lo, hi, below, _) in state.items():
+        if lo == hi:
+            out[(g, r)] = (lo, below)
+        else:
+            pool = pools[(g, lo, hi)]
+            value = pool[r - below]
+            out[(g, r)] = (value, below + bisect.bisect_left(pool, value))
+    return out
+
 
+def _select_quantiles(spark, base, g_type, group_col, probs, bins, exact_limit) -> DataFrame:
+    groups = _group_bounds(base)
+    wanted, ranks = [], {}
+    for row in groups:
+        for p in probs:
+            pos = p * (row.n - 1)
+            lo_r, hi_r = math.floor(pos), math.ceil(pos)
+            wanted.append((row._g, p, pos, lo_r, hi_r))
+            ranks.setdefault(row._g, set()).update((lo_r, hi_r))
+    stats = order_statistics(spark, base, g_type, groups, ranks, bins, exact_limit)
     rows = []
     for g, p, pos, lo_r, hi_r in wanted:
-        x_lo, x_hi = order_stat(g, lo_r), order_stat(g, hi_r)
+        x_lo, x_hi = stats[(g, lo_r)][0], stats[(g, hi_r)][0]
         rows.append((g, float(p), x_lo + (x_hi - x_lo) * (pos - lo_r)))
     schema = T.StructType(
         [T.StructField(group_col, g_type), T.StructField("prob", T.DoubleType()), T.StructField("value", T.DoubleType())]

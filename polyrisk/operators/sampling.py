@@ -55,6 +55,61 @@ def kfold_assign(patterns: DataFrame, k: int = 3, seed: int = DEFAULT_SEED, comb
     return patterns.withColumn("fold", F.pmod(combo_bucket(seed, combo_col), F.lit(k)).cast("int"))
 
 
+def _episode_key() -> Column:
+    return F.concat_ws("|", F.col("subject_id").cast("string"), F.col("episode_id").cast("string"))
+
+
+def second_bucket(seed: int, key: Column) -> Column:
+    """Bits 33-64 of the same md5 digest: the tie-breaker of ``hash_unit``."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
+    return F.conv(F.substring(digest, 9, 8), 16, 10).cast("bigint")
+
+
+def exact_row_sample(episodes: DataFrame, fraction: float, seed: int = DEFAULT_SEED) -> DataFrame:
+    """Exactly round(fraction * n) episodes (a fixed-size sample, as
+    ``sample(frac=...)`` returns; Python rounding, half to even): J2 exact-n.
+
+    The episodes with the smallest (hash bucket, second bucket, key) are
+    taken.  No global sort: the k-th smallest bucket is found by the exact
+    order-statistic refinement (distributed histograms), rows below it are
+    selected by a filter, and only the few rows tied on that bucket
+    (about n / 2**32 of them) are ordered, on the driver, to fill the count.
+    """
+    from polyrisk.operators.describe import _group_bounds, order_statistics
+    from pyspark import StorageLevel
+    from pyspark.sql import types as T
+
+    spark = episodes.sparkSession
+    key = _episode_key()
+    keyed = episodes.withColumn("_h1", hash_unit(seed, key)).withColumn("_key", key)
+    base = keyed.select(F.lit(0).alias("_g"), F.col("_h1").cast("double").alias("_v"))
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        groups = _group_bounds(base)
+        n = groups[0].n if groups else 0
+        k = round(fraction * n)
+        if k <= 0:
+            return episodes.where(F.lit(False))
+        if k >= n:
+            return episodes
+        (t, below), = order_statistics(spark, base, T.IntegerType(), groups, {0: [k - 1]}).values()
+    finally:
+        base.unpersist()
+    need = k - below
+    ties = (
+        keyed.where(F.col("_h1") == F.lit(int(t)))
+        .select(second_bucket(seed, F.col("_key")).alias("_h2"), "_key")
+        .orderBy("_h2", "_key")
+        .limit(need)  # the sample's own size: the first ``need`` tied rows
+        .collect()
+    )
+    chosen = F.array(*[F.lit(r._key) for r in ties]).cast("array<string>")
+    picked = (F.col("_h1") < F.lit(int(t))) | (
+        (F.col("_h1") == F.lit(int(t))) & F.array_contains(chosen, F.col("_key"))
+    )
+    return keyed.where(picked).drop("_h1", "_key")
+
+
 def row_sample(episodes: DataFrame, fraction: float, seed: int = DEFAULT_SEED) -> DataFrame:
     """Row sample without replacement by episode key: J2."""
     return episodes.where(episode_bucket(seed) < F.lit(unit_threshold(fraction)))

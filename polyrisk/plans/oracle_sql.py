@@ -294,6 +294,14 @@ aligned AS (
     sql["holdout_unseen"] = with_base(brand) + (
         f"SELECT * FROM episodes WHERE {bucket} >= {_threshold(P.SAMPLE_FRACTION)}"
     )
+    ekey = "CAST(subject_id AS VARCHAR) || '|' || CAST(episode_id AS VARCHAR)"
+    sql["row_sample_exact"] = with_base(brand) + f""", keyed AS (
+  SELECT *, {_bucket(P.ERROR_SEED, ekey)} AS h1,
+         CAST(('0x' || substr(md5('{P.ERROR_SEED}|' || {ekey}), 9, 8)) AS BIGINT) AS h2, {ekey} AS k
+  FROM episodes),
+ranked AS (SELECT *, row_number() OVER (ORDER BY h1, h2, k) AS rn, count(*) OVER () AS n FROM keyed)
+SELECT subject_id, episode_id, outcome, combo, n_codes FROM ranked
+WHERE rn <= round_even(CAST({P.SAMPLE_FRACTION!r} AS DOUBLE) * n, 0)"""
     sql["kfold_assignment"] = with_base(brand, PATTERNS_CTE) + (
         f"SELECT *, CAST({bucket} % {P.N_SPLITS} AS INTEGER) AS fold FROM patterns"
     )

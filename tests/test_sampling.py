@@ -54,3 +54,26 @@ def test_sampling_error_matches_two_pass_definition(spark):
         for r in full.join(sample, full.combo == sample.c).collect()
     }
     assert one == two
+
+
+def test_exact_row_sample_size_and_order(spark):
+    """J2 exact-n: exactly round(f * n) episodes, the smallest (bucket, second bucket, key)."""
+    import hashlib
+
+    eps = tables.episodes(spark, SF, "brand")
+    rows = eps.select("subject_id", "episode_id").collect()
+    n = len(rows)
+
+    def order_key(r, seed=42):
+        key = f"{r.subject_id}|{r.episode_id}"
+        d = hashlib.md5(f"{seed}|{key}".encode()).hexdigest()
+        return (int(d[:8], 16), int(d[8:16], 16), key)
+
+    ranked = sorted(rows, key=order_key)
+    for f in (0.25, 1 / 3, 0.5, 0.999):
+        k = round(f * n)
+        got = {r.episode_id for r in S.exact_row_sample(eps, f, 42).collect()}
+        assert len(got) == k
+        assert got == {r.episode_id for r in ranked[:k]}
+    assert S.exact_row_sample(eps, 0.0, 42).count() == 0
+    assert S.exact_row_sample(eps, 1.0, 42).count() == n
