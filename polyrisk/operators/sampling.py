@@ -110,6 +110,66 @@ def exact_row_sample(episodes: DataFrame, fraction: float, seed: int = DEFAULT_S
     return keyed.where(picked).drop("_h1", "_key")
 
 
+def _ordered_cut_points(keyed: DataFrame, seed: int, ranks: list[int]) -> list[tuple]:
+    """The (bucket, second bucket, key) tuples at the given 0-based ranks of
+    the order by (_h1, second bucket, _key), found without a global sort."""
+    from polyrisk.operators.describe import _group_bounds, order_statistics
+    from pyspark import StorageLevel
+    from pyspark.sql import types as T
+
+    spark = keyed.sparkSession
+    base = keyed.select(F.lit(0).alias("_g"), F.col("_h1").cast("double").alias("_v"))
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        groups = _group_bounds(base)
+        stats = order_statistics(spark, base, T.IntegerType(), groups, {0: ranks})
+    finally:
+        base.unpersist()
+    cuts = []
+    for r in ranks:
+        t, below = stats[(0, r)]
+        # rows tied on this bucket: about n / 2**32 of them
+        tied = (
+            keyed.where(F.col("_h1") == F.lit(int(t)))
+            .select(second_bucket(seed, F.col("_key")).alias("_h2"), "_key")
+            .orderBy("_h2", "_key")
+            .limit(r - below + 1)  # up to the cut row itself
+            .collect()
+        )
+        row = tied[r - below]
+        cuts.append((int(t), int(row._h2), row._key))
+    return cuts
+
+
+def _at_or_after(cut: tuple, seed: int) -> Column:
+    t, h2, key = cut
+    h1c, keyc = F.col("_h1"), F.col("_key")
+    h2c = second_bucket(seed, keyc)
+    return (h1c > F.lit(t)) | (
+        (h1c == F.lit(t)) & ((h2c > F.lit(h2)) | ((h2c == F.lit(h2)) & (keyc >= F.lit(key))))
+    )
+
+
+def kfold_assign_exact(patterns: DataFrame, k: int = 3, seed: int = DEFAULT_SEED, combo_col: str = "combo") -> DataFrame:
+    """Group K-fold with exactly equal fold sizes (the first n % k folds one
+    larger, as a shuffled K-fold split makes them): J4 exact variant.
+
+    Combinations are ordered by (hash bucket, second bucket, key); the k - 1
+    fold boundaries are exact order statistics of that order (distributed
+    histogram refinement plus the few rows tied on a bucket), and each
+    combination's fold is the number of boundaries at or before it: one
+    narrow projection, no global sort or window.
+    """
+    key = combo_key(combo_col)
+    keyed = patterns.withColumn("_h1", hash_unit(seed, key)).withColumn("_key", key)
+    n = keyed.count()
+    sizes = [n // k + (1 if i < n % k else 0) for i in range(k)]
+    starts = [sum(sizes[:i]) for i in range(1, k) if sizes[i] > 0]
+    cuts = _ordered_cut_points(keyed, seed, starts) if n else []
+    fold = sum((_at_or_after(c, seed).cast("int") for c in cuts), F.lit(0))
+    return keyed.withColumn("fold", fold.cast("int")).drop("_h1", "_key")
+
+
 def row_sample(episodes: DataFrame, fraction: float, seed: int = DEFAULT_SEED) -> DataFrame:
     """Row sample without replacement by episode key: J2."""
     return episodes.where(episode_bucket(seed) < F.lit(unit_threshold(fraction)))

@@ -231,6 +231,10 @@ def q_holdout_unseen(spark, sf_dir):
     return _episode_out(S.holdout_unseen(_episodes(spark, sf_dir), P.SAMPLE_FRACTION, P.SAMPLE_SEED))
 
 
+def q_kfold_assignment_exact(spark, sf_dir):
+    return _show_combo(S.kfold_assign_exact(_patterns(spark, sf_dir), P.N_SPLITS, P.SAMPLE_SEED))
+
+
 def q_row_sample_exact(spark, sf_dir):
     return _episode_out(S.exact_row_sample(_episodes(spark, sf_dir), P.SAMPLE_FRACTION, P.ERROR_SEED))
 
@@ -332,6 +336,7 @@ RELATIONAL: dict[str, Query] = {
     "holdout_unseen": q_holdout_unseen,
     "row_sample_exact": q_row_sample_exact,
     "kfold_assignment": q_kfold_assignment,
+    "kfold_assignment_exact": q_kfold_assignment_exact,
     "sampling_error": q_sampling_error,
     "sampling_error_wide": q_sampling_error_wide,
     "sampling_error_box": q_sampling_error_box,

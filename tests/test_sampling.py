@@ -77,3 +77,11 @@ def test_exact_row_sample_size_and_order(spark):
         assert got == {r.episode_id for r in ranked[:k]}
     assert S.exact_row_sample(eps, 0.0, 42).count() == 0
     assert S.exact_row_sample(eps, 1.0, 42).count() == n
+
+
+def test_exact_kfold_sizes(spark):
+    pt = S.kfold_assign_exact(combo_patterns(tables.episodes(spark, SF, "brand")), 3, 40)
+    n = pt.count()
+    sizes = sorted((r.fold, r["count"]) for r in pt.groupBy("fold").count().collect())
+    assert sizes == [(i, n // 3 + (1 if i < n % 3 else 0)) for i in range(3)]
+    assert pt.groupBy("combo").agg(F.countDistinct("fold").alias("k")).where("k != 1").count() == 0
