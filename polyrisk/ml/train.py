@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from polyrisk.functions import combo_key
 from polyrisk.ml import kernels as K
 from polyrisk.operators.patterns import combo_patterns
-from polyrisk.operators.sampling import combo_bucket
+from polyrisk.operators.sampling import combo_bucket, kfold_assign_exact
 from polyrisk.session import cut_lineage
 
 # Tasks receive the kernels by value: executors need numpy, not this package.
@@ -59,11 +59,20 @@ def training_patterns(episodes: DataFrame, vocab_codes: list[str]) -> DataFrame:
     return grouped.withColumn("idx", idx)
 
 
-def assign_folds(patterns: DataFrame, k: int | None, seed: int) -> DataFrame:
-    """Group folds by aligned combination (every risk variant of it together)."""
+def assign_folds(patterns: DataFrame, k: int | None, seed: int, folds: str = "exact") -> DataFrame:
+    """Group folds by aligned combination (every risk variant of it together).
+
+    ``folds="exact"``: equal fold sizes as a shuffled K-fold split gives
+    (``operators.sampling.kfold_assign_exact``); ``"hash"``: near-equal hash
+    buckets, no extra job.
+    """
     if not k:
         return patterns.withColumn("fold", F.lit(None).cast("int"))
-    return patterns.withColumn("fold", F.pmod(combo_bucket(seed, "combo"), F.lit(k)).cast("int"))
+    if folds == "exact":
+        return kfold_assign_exact(patterns, k, seed)
+    if folds == "hash":
+        return patterns.withColumn("fold", F.pmod(combo_bucket(seed, "combo"), F.lit(k)).cast("int"))
+    raise ValueError("folds must be 'exact' or 'hash'")
 
 
 def build_blocks(patterns: DataFrame, n_features: int, rows_per_block: int = ROWS_PER_BLOCK):
@@ -182,7 +191,7 @@ def fit_models(blocks, n_features: int, specs: list[ModelSpec], init: list | Non
 
 
 def prepare(episodes: DataFrame, vocab_codes: list[str], k: int | None = None, seed: int = 40,
-            checkpoint: bool = True, partitions: int | None = None):
+            checkpoint: bool = True, partitions: int | None = None, folds: str = "exact"):
     """Training patterns with folds, checkpointed, and their cached blocks.
 
     ``partitions`` sets how many tasks run each epoch (default: the
@@ -192,7 +201,7 @@ def prepare(episodes: DataFrame, vocab_codes: list[str], k: int | None = None, s
     partition per executor (each task's BLAS uses the executor's cores).
     Hash partitioning on the combination keeps retries deterministic.
     """
-    patterns = assign_folds(training_patterns(episodes, vocab_codes), k, seed)
+    patterns = assign_folds(training_patterns(episodes, vocab_codes), k, seed, folds)
     n_parts = partitions or episodes.sparkSession.sparkContext.defaultParallelism
     patterns = patterns.repartition(max(n_parts, 1), "combo")
     if checkpoint:
