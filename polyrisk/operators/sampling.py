@@ -181,6 +181,7 @@ def sampling_error(
     seed: int = 42,
     min_count: int = 2,
     combo_col: str = "combo",
+    exact: bool = False,
 ) -> DataFrame:
     """Risk on a row sample minus risk on all rows, per shared combination: J3 + D5.
 
@@ -191,11 +192,43 @@ def sampling_error(
     (n > min_count) is applied after it, and fractions are unpivoted:
     a single shuffle for all fractions, no join.  A combination absent from
     a sample has no row for that fraction (inner-join semantics).
+
+    ``exact=True`` draws fixed-size samples as the reference does (exactly
+    round(f * n) of the n frequent episodes, nested across fractions): the
+    frequency filter moves before sampling (one semi-join), and each
+    fraction's sample is everything before one exact cut point of the hash
+    order (see ``exact_row_sample``).
     """
-    bucket = episode_bucket(seed)
+    if exact:
+        from polyrisk.operators.patterns import frequent_episodes
+
+        key = _episode_key()
+        episodes = (
+            frequent_episodes(episodes, min_count, combo_col)
+            .withColumn("_h1", hash_unit(seed, key))
+            .withColumn("_key", key)
+        )
+        n_all = episodes.count()
+        ranks = [round(f * n_all) for f in fractions]
+        inner = sorted({r for r in ranks if 0 < r < n_all})
+        cut_at = dict(zip(inner, _ordered_cut_points(episodes, seed, inner))) if inner else {}
+
+        def inside_of(i, fraction):
+            r = ranks[i]
+            if r <= 0:
+                return F.lit(False)
+            if r >= n_all:
+                return F.lit(True)
+            return ~_at_or_after(cut_at[r], seed)
+    else:
+        bucket = episode_bucket(seed)
+
+        def inside_of(i, fraction):
+            return bucket < F.lit(unit_threshold(fraction))
+
     aggs = [F.count(F.lit(1)).alias("n"), F.sum("outcome").cast("bigint").alias("n_pos")]
     for i, fraction in enumerate(fractions):
-        inside = bucket < F.lit(unit_threshold(fraction))
+        inside = inside_of(i, fraction)
         aggs.append(F.count_if(inside).alias(f"_n{i}"))
         aggs.append(F.sum(F.when(inside, F.col("outcome")).otherwise(0)).cast("bigint").alias(f"_p{i}"))
     per_combo = episodes.groupBy(F.col(combo_col).alias("combo")).agg(*aggs).where(F.col("n") > min_count)

@@ -249,6 +249,13 @@ def _errors(spark, sf_dir):
     )
 
 
+def q_sampling_error_exact(spark, sf_dir):
+    errors = S.sampling_error(
+        _episodes(spark, sf_dir), P.ERROR_FRACTIONS, P.ERROR_SEED, P.MIN_COMBO_COUNT, exact=True
+    )
+    return _show_combo(errors)
+
+
 def q_sampling_error(spark, sf_dir):
     return _show_combo(_errors(spark, sf_dir))
 
@@ -339,6 +346,7 @@ RELATIONAL: dict[str, Query] = {
     "kfold_assignment_exact": q_kfold_assignment_exact,
     "sampling_error": q_sampling_error,
     "sampling_error_wide": q_sampling_error_wide,
+    "sampling_error_exact": q_sampling_error_exact,
     "sampling_error_box": q_sampling_error_box,
     "sampling_error_kde": q_sampling_error_kde,
     "bce_constant_model": q_bce_constant_model,

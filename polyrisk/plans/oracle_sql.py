@@ -317,6 +317,22 @@ FROM patterns"""
         for f in P.ERROR_FRACTIONS
     )
     sql["sampling_error_wide"] = err + f"SELECT combo, {wide_cols} FROM err GROUP BY combo"
+    ekey_e = "CAST(e.subject_id AS VARCHAR) || '|' || CAST(e.episode_id AS VARCHAR)"
+    fvalues = ", ".join(f"(CAST({f!r} AS DOUBLE))" for f in P.ERROR_FRACTIONS)
+    sql["sampling_error_exact"] = with_base(brand, PATTERNS_CTE) + f""", frequent AS (
+  SELECT e.*, {_bucket(P.ERROR_SEED, ekey_e)} AS h1,
+         CAST(('0x' || substr(md5('{P.ERROR_SEED}|' || {ekey_e}), 9, 8)) AS BIGINT) AS h2, {ekey_e} AS k
+  FROM episodes e JOIN patterns p ON e.combo = p.combo WHERE p.n > {P.MIN_COMBO_COUNT}),
+ranked AS (SELECT *, row_number() OVER (ORDER BY h1, h2, k) AS rn, count(*) OVER () AS n_all FROM frequent),
+fractions AS (SELECT * FROM (VALUES {fvalues}) t(fraction)),
+sampled AS (
+  SELECT f.fraction, r.combo, count(*) AS n_sample, CAST(sum(r.outcome) AS BIGINT) AS n_pos_sample
+  FROM ranked r JOIN fractions f ON r.rn <= round_even(f.fraction * r.n_all, 0)
+  GROUP BY f.fraction, r.combo)
+SELECT s.fraction, s.combo, p.n, s.n_sample, p.risk AS risk_full,
+       CAST(s.n_pos_sample AS DOUBLE) / CAST(s.n_sample AS DOUBLE) AS risk_sample,
+       p.risk - CAST(s.n_pos_sample AS DOUBLE) / CAST(s.n_sample AS DOUBLE) AS error
+FROM sampled s JOIN patterns p ON s.combo = p.combo"""
     sql["sampling_error_box"] = err + f""", q AS (
   SELECT fraction, count(error) AS n, quantile_cont(error, 0.25) AS q1, quantile_cont(error, 0.5) AS median,
          quantile_cont(error, 0.75) AS q3 FROM err GROUP BY fraction)

@@ -85,3 +85,14 @@ def test_exact_kfold_sizes(spark):
     sizes = sorted((r.fold, r["count"]) for r in pt.groupBy("fold").count().collect())
     assert sizes == [(i, n // 3 + (1 if i < n % 3 else 0)) for i in range(3)]
     assert pt.groupBy("combo").agg(F.countDistinct("fold").alias("k")).where("k != 1").count() == 0
+
+
+def test_sampling_error_exact_sizes(spark):
+    from polyrisk.operators.patterns import frequent_episodes
+
+    eps = tables.episodes(spark, SF, "type")
+    n = frequent_episodes(eps, 2).count()
+    err = S.sampling_error(eps, (0.25, 0.5, 1.0), seed=42, exact=True)
+    sizes = {r.fraction: r.s for r in err.groupBy("fraction").agg(F.sum("n_sample").alias("s")).collect()}
+    assert sizes == {f: round(f * n) for f in (0.25, 0.5, 1.0)}
+    assert err.where("fraction = 1.0 AND error != 0").count() == 0
