@@ -39,6 +39,43 @@ def group_sample(
     return episodes.where(combo_bucket(seed, combo_col) < F.lit(unit_threshold(fraction)))
 
 
+def _combo_cut(episodes: DataFrame, fraction: float, seed: int, combo_col: str):
+    """(m, cut tuple or None, r): the hash-order cut after exactly
+    round(fraction * m) of the m distinct combinations."""
+    combos = (
+        episodes.select(combo_key(combo_col).alias("_key"))
+        .distinct()
+        .withColumn("_h1", hash_unit(seed, F.col("_key")))
+    )
+    m = combos.count()
+    r = round(fraction * m)
+    cut = _ordered_cut_points(combos, seed, [r])[0] if 0 < r < m else None
+    return m, cut, r
+
+
+def _combo_selected(episodes: DataFrame, fraction: float, seed: int, combo_col: str) -> Column:
+    m, cut, r = _combo_cut(episodes, fraction, seed, combo_col)
+    if r <= 0:
+        return F.lit(False)
+    if r >= m:
+        return F.lit(True)
+    key = combo_key(combo_col)
+    t, h2, k = cut
+    h1c, h2c = hash_unit(seed, key), second_bucket(seed, key)
+    after = (h1c > F.lit(t)) | ((h1c == F.lit(t)) & ((h2c > F.lit(h2)) | ((h2c == F.lit(h2)) & (key >= F.lit(k)))))
+    return ~after
+
+
+def group_sample_exact(
+    episodes: DataFrame, fraction: float, seed: int = DEFAULT_SEED, combo_col: str = "combo"
+) -> DataFrame:
+    """Exactly round(fraction * m) of the m distinct combinations, with all
+    their rows (the reference samples its distinct combination hashes with
+    a fixed size): J1 exact.  One exact cut point of the combinations' hash
+    order, then a narrow filter on each row's own combination: no join."""
+    return episodes.where(_combo_selected(episodes, fraction, seed, combo_col))
+
+
 def holdout_unseen(
     episodes: DataFrame, fraction: float, seed: int = DEFAULT_SEED, combo_col: str = "combo"
 ) -> DataFrame:

@@ -227,6 +227,10 @@ def q_group_sample(spark, sf_dir):
     return _episode_out(S.group_sample(_episodes(spark, sf_dir), P.SAMPLE_FRACTION, P.SAMPLE_SEED))
 
 
+def q_group_sample_exact(spark, sf_dir):
+    return _episode_out(S.group_sample_exact(_episodes(spark, sf_dir), P.SAMPLE_FRACTION, P.SAMPLE_SEED))
+
+
 def q_holdout_unseen(spark, sf_dir):
     return _episode_out(S.holdout_unseen(_episodes(spark, sf_dir), P.SAMPLE_FRACTION, P.SAMPLE_SEED))
 
@@ -340,6 +344,7 @@ RELATIONAL: dict[str, Query] = {
     "vocab_align_lenient": q_vocab_align_lenient,
     "combo_frequency": q_combo_frequency,
     "group_sample": q_group_sample,
+    "group_sample_exact": q_group_sample_exact,
     "holdout_unseen": q_holdout_unseen,
     "row_sample_exact": q_row_sample_exact,
     "kfold_assignment": q_kfold_assignment,

@@ -302,6 +302,13 @@ aligned AS (
 ranked AS (SELECT *, row_number() OVER (ORDER BY h1, h2, k) AS rn, count(*) OVER () AS n FROM keyed)
 SELECT subject_id, episode_id, outcome, combo, n_codes FROM ranked
 WHERE rn <= round_even(CAST({P.SAMPLE_FRACTION!r} AS DOUBLE) * n, 0)"""
+    sql["group_sample_exact"] = with_base(brand) + f""", combos AS (
+  SELECT combo, row_number() OVER (ORDER BY {_bucket(P.SAMPLE_SEED, "combo")},
+         CAST(('0x' || substr(md5('{P.SAMPLE_SEED}|' || combo), 9, 8)) AS BIGINT), combo) AS rn,
+         count(*) OVER () AS m
+  FROM (SELECT DISTINCT combo FROM episodes))
+SELECT e.* FROM episodes e JOIN combos c ON e.combo = c.combo
+WHERE c.rn <= round_even(CAST({P.SAMPLE_FRACTION!r} AS DOUBLE) * c.m, 0)"""
     sql["kfold_assignment_exact"] = with_base(brand, PATTERNS_CTE) + f"""SELECT combo, n, n_pos, risk,
   CAST(ntile({P.N_SPLITS}) OVER (ORDER BY {_bucket(P.SAMPLE_SEED, "combo")},
        CAST(('0x' || substr(md5('{P.SAMPLE_SEED}|' || combo), 9, 8)) AS BIGINT), combo) - 1 AS INTEGER) AS fold

@@ -96,3 +96,14 @@ def test_sampling_error_exact_sizes(spark):
     sizes = {r.fraction: r.s for r in err.groupBy("fraction").agg(F.sum("n_sample").alias("s")).collect()}
     assert sizes == {f: round(f * n) for f in (0.25, 0.5, 1.0)}
     assert err.where("fraction = 1.0 AND error != 0").count() == 0
+
+
+def test_group_sample_exact_count_of_combinations(spark):
+    eps = tables.episodes(spark, SF, "brand")
+    m = eps.select("combo").distinct().count()
+    for f in (0.4, 0.5):
+        picked = S.group_sample_exact(eps, f, 40)
+        assert picked.select("combo").distinct().count() == round(f * m)
+        # whole combinations only
+        full = eps.join(picked.select("combo").distinct(), "combo").count()
+        assert full == picked.count()
