@@ -79,12 +79,20 @@ def run_training(
     seed: int = 40,
     model: str = "network",
     epoch_choices=SR.EPOCH_CHOICES,
+    exact_sample: bool = True,
 ) -> TrainingRun:
     """Entry 2: sample combinations, search with group K-fold, refit the best
     configuration on all sampled combinations, write trials, best
-    parameters, loss curve, weights and the seen-combination scores."""
+    parameters, loss curve, weights and the seen-combination scores.
+
+    ``exact_sample`` takes exactly round(fraction * m) of the m
+    combinations (as the reference does); otherwise each combination is
+    kept with probability ``fraction`` (hash threshold, no extra job)."""
     spark = episodes.sparkSession
-    sampled = S.group_sample(episodes, fraction, seed)
+    if exact_sample:
+        sampled = S.group_sample_exact(episodes, fraction, seed)
+    else:
+        sampled = S.group_sample(episodes, fraction, seed)
     patterns, blocks = TR.prepare(sampled, vocab, k=n_splits, seed=seed)
     try:
         trials = SR.trial_table(spark, n_trials, seed, model=model, epoch_choices=epoch_choices)
