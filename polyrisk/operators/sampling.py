@@ -76,6 +76,13 @@ def group_sample_exact(
     return episodes.where(_combo_selected(episodes, fraction, seed, combo_col))
 
 
+def holdout_unseen_exact(
+    episodes: DataFrame, fraction: float, seed: int = DEFAULT_SEED, combo_col: str = "combo"
+) -> DataFrame:
+    """The complement of ``group_sample_exact``: J5 / D4 exact."""
+    return episodes.where(~_combo_selected(episodes, fraction, seed, combo_col))
+
+
 def holdout_unseen(
     episodes: DataFrame, fraction: float, seed: int = DEFAULT_SEED, combo_col: str = "combo"
 ) -> DataFrame:

@@ -231,6 +231,10 @@ def q_group_sample_exact(spark, sf_dir):
     return _episode_out(S.group_sample_exact(_episodes(spark, sf_dir), P.SAMPLE_FRACTION, P.SAMPLE_SEED))
 
 
+def q_holdout_unseen_exact(spark, sf_dir):
+    return _episode_out(S.holdout_unseen_exact(_episodes(spark, sf_dir), P.SAMPLE_FRACTION, P.SAMPLE_SEED))
+
+
 def q_holdout_unseen(spark, sf_dir):
     return _episode_out(S.holdout_unseen(_episodes(spark, sf_dir), P.SAMPLE_FRACTION, P.SAMPLE_SEED))
 
@@ -346,6 +350,7 @@ RELATIONAL: dict[str, Query] = {
     "group_sample": q_group_sample,
     "group_sample_exact": q_group_sample_exact,
     "holdout_unseen": q_holdout_unseen,
+    "holdout_unseen_exact": q_holdout_unseen_exact,
     "row_sample_exact": q_row_sample_exact,
     "kfold_assignment": q_kfold_assignment,
     "kfold_assignment_exact": q_kfold_assignment_exact,

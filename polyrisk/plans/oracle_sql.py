@@ -309,6 +309,9 @@ WHERE rn <= round_even(CAST({P.SAMPLE_FRACTION!r} AS DOUBLE) * n, 0)"""
   FROM (SELECT DISTINCT combo FROM episodes))
 SELECT e.* FROM episodes e JOIN combos c ON e.combo = c.combo
 WHERE c.rn <= round_even(CAST({P.SAMPLE_FRACTION!r} AS DOUBLE) * c.m, 0)"""
+    sql["holdout_unseen_exact"] = sql["group_sample_exact"].replace(
+        "WHERE c.rn <= round_even(", "WHERE c.rn > round_even("
+    )
     sql["kfold_assignment_exact"] = with_base(brand, PATTERNS_CTE) + f"""SELECT combo, n, n_pos, risk,
   CAST(ntile({P.N_SPLITS}) OVER (ORDER BY {_bucket(P.SAMPLE_SEED, "combo")},
        CAST(('0x' || substr(md5('{P.SAMPLE_SEED}|' || combo), 9, 8)) AS BIGINT), combo) - 1 AS INTEGER) AS fold
