@@ -113,13 +113,13 @@ def score_new_dataset(episodes: DataFrame, params, activation: str, vocab: list[
 
 
 def q_logistic_holdout_scores(spark, sf_dir):
-    """Fit on a 40% sample of combinations, score the unseen ones (J5 + K14)."""
-    from polyrisk.operators.sampling import holdout_unseen
+    """Fit on exactly 40% of the combinations, score the unseen ones (J5 + K14)."""
+    from polyrisk.operators.sampling import group_sample_exact, holdout_unseen_exact
 
     ep = _episodes(spark, sf_dir)
     vocab = observed_vocabulary(ep)
-    seen = TR.training_patterns(group_sample(ep, P.SAMPLE_FRACTION, P.SAMPLE_SEED), vocab)
-    unseen = TR.training_patterns(holdout_unseen(ep, P.SAMPLE_FRACTION, P.SAMPLE_SEED), vocab)
+    seen = TR.training_patterns(group_sample_exact(ep, P.SAMPLE_FRACTION, P.SAMPLE_SEED), vocab)
+    unseen = TR.training_patterns(holdout_unseen_exact(ep, P.SAMPLE_FRACTION, P.SAMPLE_SEED), vocab)
     feats, model = LG.fit_logistic(seen, vocab)
     return LG.score_logistic(feats, model, unseen)
 
