@@ -34,13 +34,16 @@ def _path(root: str, name: str) -> str:
     return os.path.join(root, name)
 
 
-def run_statistics(exposure_rows: DataFrame, out_dir: str, thres: int = 0, vocab: DataFrame | None = None) -> dict:
+def run_statistics(exposure_rows: DataFrame, out_dir: str, thres: int = 0, vocab: DataFrame | None = None,
+                   reference_names: bool = False) -> dict:
     """Entry 1: distinct exposures -> episodes (multi-hot) -> statistics and
     screen -> two-step exclusion -> cleaned episodes; plus the plot tables.
 
     With ``vocab`` the episodes are first aligned strictly (a listed code
-    that never occurs is an error, as in the reference).
+    that never occurs is an error, as in the reference).  With
+    ``reference_names`` the CSV outputs use the reference's column names.
     """
+    names = sinks.with_reference_names if reference_names else (lambda df: df)
     episodes = build_episodes(exposure_rows)
     if vocab is not None:
         episodes = align_strict(episodes, vocab)
@@ -48,9 +51,9 @@ def run_statistics(exposure_rows: DataFrame, out_dir: str, thres: int = 0, vocab
     sinks.write_episodes(episodes, _path(out_dir, "episodes"))
     res = run_screening(episodes, thres)
     sinks.write_csv(dataset_profile(exposure_rows, episodes), _path(out_dir, "profile"))
-    sinks.write_csv(res.code_stats, _path(out_dir, "code_probabilities"))
-    sinks.write_screens(res.screen, _path(out_dir, "screens"))
-    sinks.write_csv(res.excluded_counts(), _path(out_dir, "excluded_counts"))
+    sinks.write_csv(names(res.code_stats), _path(out_dir, "code_probabilities"))
+    sinks.write_screens(names(res.screen), _path(out_dir, "screens"))
+    sinks.write_csv(names(res.excluded_counts()), _path(out_dir, "excluded_counts"))
     sinks.write_episodes(res.cleaned, _path(out_dir, "cleaned"))
     sinks.write_csv(D.ranked_probability_curve(res.code_stats), _path(out_dir, "probability_curve"))
     sinks.write_csv(D.ranked_count_curve(res.code_stats), _path(out_dir, "count_curve"))

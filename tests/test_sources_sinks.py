@@ -82,3 +82,11 @@ def test_multi_hot_reader_without_keys(spark, tmp_path):
     rows = sorted((tuple(r.combo), r.outcome) for r in eps.collect())
     assert rows == [((), 0), (("A", "C"), 1), (("B",), 1)]
     assert eps.select("episode_id").distinct().count() == 3
+
+
+def test_reference_names(spark, golden_episodes):
+    from polyrisk.operators.contingency import code_contingency
+
+    cols = sinks.with_reference_names(code_contingency(golden_episodes)).columns
+    assert cols == ["medicament", "count_diagnosis_0", "count_diagnosis_1", "proba_healthy_nodrug",
+                    "proba_healthy_drug", "proba_nothealthy_nodrug", "proba_nothealthy_drug"]
