@@ -10,26 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polyrisk.formats import REFERENCE_NAMES
 from polyrisk.functions import combo_key
 
 # Same bound Spark applies to pivot value lists.
 MAX_WIDE_COLUMNS = 10000
 
-# The reference's output column names, for consumers of its files.
-REFERENCE_NAMES = {
-    "subject_id": "ID",
-    "episode_id": "fin_grossesse",
-    "code": "medicament",
-    "outcome": "diagnosis",
-    "count_outcome_0": "count_diagnosis_0",
-    "count_outcome_1": "count_diagnosis_1",
-    "p_neg_nodrug": "proba_healthy_nodrug",
-    "p_neg_drug": "proba_healthy_drug",
-    "p_pos_nodrug": "proba_nothealthy_nodrug",
-    "p_pos_drug": "proba_nothealthy_drug",
-}
-
-
 def with_reference_names(df: DataFrame) -> DataFrame:
     """Rename canonical columns to the reference's file column names."""
     for ours, theirs in REFERENCE_NAMES.items():

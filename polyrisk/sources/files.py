@@ -11,10 +11,10 @@ import ast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Column names of the reference's raw long table, and the
-# vocabulary entries that are not codes.
-RAW_COLUMNS = {"subject_id": "ID", "episode_id": "fin_grossesse", "code": "medicament", "outcome": "diagnosis"}
-NON_CODE_ENTRIES = ("risk", "diagnosis")
+from polyrisk.formats import NON_CODE_ENTRIES, REFERENCE_NAMES
+
+# The reference's raw long table: its names for the four canonical columns.
+RAW_COLUMNS = {c: REFERENCE_NAMES[c] for c in ("subject_id", "episode_id", "code", "outcome")}
 
 
 def read_long_csv(
