@@ -60,10 +60,7 @@ def _combo_selected(episodes: DataFrame, fraction: float, seed: int, combo_col:
     if r >= m:
         return F.lit(True)
     key = combo_key(combo_col)
-    t, h2, k = cut
-    h1c, h2c = hash_unit(seed, key), second_bucket(seed, key)
-    after = (h1c > F.lit(t)) | ((h1c == F.lit(t)) & ((h2c > F.lit(h2)) | ((h2c == F.lit(h2)) & (key >= F.lit(k)))))
-    return ~after
+    return ~_at_or_after(cut, seed, hash_unit(seed, key), key)
 
 
 def group_sample_exact(
@@ -185,9 +182,11 @@ def _ordered_cut_points(keyed: DataFrame, seed: int, ranks: list[int]) -> list[t
     return cuts
 
 
-def _at_or_after(cut: tuple, seed: int) -> Column:
+def _at_or_after(cut: tuple, seed: int, h1c: Column | None = None, keyc: Column | None = None) -> Column:
+    """Whether a row's (bucket, second bucket, key) is at or after ``cut``."""
     t, h2, key = cut
-    h1c, keyc = F.col("_h1"), F.col("_key")
+    h1c = F.col("_h1") if h1c is None else h1c
+    keyc = F.col("_key") if keyc is None else keyc
     h2c = second_bucket(seed, keyc)
     return (h1c > F.lit(t)) | (
         (h1c == F.lit(t)) & ((h2c > F.lit(h2)) | ((h2c == F.lit(h2)) & (keyc >= F.lit(key))))
