@@ -51,14 +51,16 @@ def exposures_of(episodes: DataFrame) -> DataFrame:
     return episodes.select(*EPISODE_KEYS, F.explode("combo").alias("code"))
 
 
-def dataset_profile(raw_rows: DataFrame, episodes: DataFrame) -> DataFrame:
+def dataset_profile(raw_rows: DataFrame | None, episodes: DataFrame, n_raw=None) -> DataFrame:
     """Dataset counts printed by the reference's cleaning step: E16 + E6.
 
     One row: raw rows, distinct exposures, episodes, subjects, codes and the
     class balance.  The raw count and the code count are scalar subqueries,
-    so the whole profile is a single lazy plan.
+    so the whole profile is a single lazy plan; ``n_raw`` may supply the raw
+    count as a column (e.g. ``sources.tables.raw_row_count(...).scalar()``).
     """
-    n_raw = raw_rows.agg(F.count(F.lit(1))).scalar()
+    if n_raw is None:
+        n_raw = raw_rows.agg(F.count(F.lit(1))).scalar()
     n_codes = exposures_of(episodes).agg(F.count_distinct("code")).scalar()
     return episodes.agg(
         F.count(F.lit(1)).alias("n_episodes"),

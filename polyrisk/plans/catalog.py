@@ -59,7 +59,8 @@ def q_multi_hot_wide(spark, sf_dir):
 
 
 def q_dataset_profile(spark, sf_dir):
-    return E.dataset_profile(tables.exposure_rows(spark, sf_dir, P.CODE), _episodes(spark, sf_dir))
+    n_raw = tables.raw_row_count(spark, sf_dir).scalar()
+    return E.dataset_profile(None, _episodes(spark, sf_dir), n_raw=n_raw)
 
 
 def q_code_contingency(spark, sf_dir):

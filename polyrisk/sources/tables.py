@@ -57,6 +57,26 @@ def exposure_rows(spark: SparkSession, sf_dir: str, code: str = "brand") -> Data
     )
 
 
+def raw_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row, ``n_rows_raw``: the number of rows of ``exposure_rows``.
+
+    Counted without materialising the join: sum over line items of (part
+    rows with that key) x (order rows with that key).  Line items cross the
+    order-key shuffle only as partial sums, so this costs what the episode
+    build costs, not a raw three-way join.
+    """
+    line = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    part_rows = read_table(spark, sf_dir, "part").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("p_rows"))
+    per_order = (
+        line.join(part_rows, line.l_partkey == part_rows.p_partkey)
+        .groupBy("l_orderkey")
+        .agg(F.sum("p_rows").alias("lines"))
+    )
+    order_rows = read_table(spark, sf_dir, "orders").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("o_rows"))
+    joined = order_rows.join(per_order, order_rows.o_orderkey == per_order.l_orderkey)
+    return joined.agg(F.sum(F.col("lines") * F.col("o_rows")).cast("bigint").alias("n_rows_raw"))
+
+
 def exposures(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFrame:
     """Distinct (subject_id, episode_id, code, outcome): E1.
 

@@ -45,3 +45,9 @@ def test_hot_keys_exact(spark, tmp_path):
     assert max(got.values()) >= len(ex.o_orderkey.unique()) // 3  # the hot combination is there
     stats = {r.code: r.count_outcome_0 + r.count_outcome_1 for r in C.code_contingency(eps).collect()}
     assert stats == ex.groupby("p_brand").size().to_dict()
+
+
+def test_raw_row_count_with_copies(spark, tmp_path):
+    root = str(tmp_path)
+    _write_tables(spark, root, n_orders=600)
+    assert tables.raw_row_count(spark, root).first().n_rows_raw == tables.exposure_rows(spark, root, "brand").count()
