@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from polyrisk.llm.common import crc_mod
 
 #: Where the public tokenizer files lie is a parameter of the operators.
 TOKENIZERS = "/opt/tokenizers"
@@ -14,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyrisk.llm.langid import predict, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    model = train(docs.where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull()), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polyrisk.llm.packing import pack
 
@@ -22,6 +34,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op8_best_fit_packing": op8_best_fit_packing,
     }
 
