@@ -51,17 +51,35 @@ FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.node = d.doc_id
 """
 
 
+#: Demonstration key; a real run takes its own from a secret store.
+PII_KEY = "polyrisk-demonstration-key"
+
+
+def op4_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyrisk.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polyrisk.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyrisk.llm.htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op4_pii_feistel": op4_pii_feistel,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
