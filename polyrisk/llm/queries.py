@@ -61,6 +61,22 @@ def op4_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+#: Target share of tokens by domain (quality and toxicity as labelled).
+TARGETS = {"q1_t0": 0.95, "q0_t0": 0.04, "q1_t1": 0.005, "q0_t1": 0.005}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) from the labels table; rows with a null label have no domain."""
+    return labels.select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("_t"), F.col("toxic").cast("string")).alias("domain"))
+
+
+def op6_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyrisk.llm.mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text"), domains(table(spark, sf_dir, "labels")), TARGETS)
+    return mixed.select("doc_id", "n_tokens", "posterior", "rate", "copies")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polyrisk.llm.packing import pack
 
@@ -78,6 +94,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_pii_feistel": op4_pii_feistel,
+        "op6_mixing_weights": op6_mixing_weights,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op10_html_extraction": op10_html_extraction,
     }
