@@ -77,12 +77,51 @@ def op6_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", "posterior", "rate", "copies")
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyrisk.llm.hamming import sign_codes, top_k
+
+    codes = sign_codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return top_k(codes, codes.where("id % 20 = 0"), k=10)
+
+
+OP7_SQL = """
+WITH c AS (
+  SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS code
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+d AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id, CAST(hamming(q.code, c.code) AS INTEGER) AS distance
+  FROM c q JOIN c ON q.vec_id <> c.vec_id AND len(q.code) = len(c.code) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM d)
+SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
+"""
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polyrisk.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op9_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyrisk.llm.lattice import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+n AS (SELECT *, sqrt(list_dot_product(e, e)) AS s FROM v),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.s > 0 AND b.s > 0 AND list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.98),
+r AS (SELECT vec_id AS node, vec_id AS low FROM embeddings UNION SELECT l.a, r.low FROM r JOIN l ON l.b = r.node),
+m AS (SELECT node, min(low) AS low FROM r GROUP BY node),
+c AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT m.node AS vec_id, coalesce(c.n, 0) AS n_links, m.low AS component_id, m.node = m.low AS kept FROM m LEFT JOIN c ON c.a = m.node
+"""
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polyrisk.llm.htmltext import extract
 
@@ -95,10 +134,12 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_pii_feistel": op4_pii_feistel,
         "op6_mixing_weights": op6_mixing_weights,
+        "op7_exact_top_k": op7_exact_top_k,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_lattice_near_dedup": op9_lattice_near_dedup,
         "op10_html_extraction": op10_html_extraction,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": OP3_SQL}
+    return {"op3_minhash_near_dedup": OP3_SQL, "op7_exact_top_k": OP7_SQL, "op9_lattice_near_dedup": OP9_SQL}
