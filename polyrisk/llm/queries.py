@@ -26,6 +26,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyrisk.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polyrisk.llm.neardup import near_duplicates
 
@@ -131,6 +137,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_pii_feistel": op4_pii_feistel,
         "op6_mixing_weights": op6_mixing_weights,
