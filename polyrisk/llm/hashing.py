@@ -68,23 +68,26 @@ def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` (A-Z as a-z) and each row's first word.
-
-    Returns (hash per word, bounds) with row r's words at bounds[r]:bounds[r+1].
-    """
-    buf, offsets = string_buffer(column)
+def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words ``[^\\x20\\x09-\\x0D]+``; none crosses a row's bounds."""
     solid = ~SPACE[buf]
     before = np.zeros(len(buf), bool)
     before[1:] = solid[:-1]
-    heads = offsets[:-1][offsets[:-1] < len(buf)]
-    before[heads] = False
-    starts = np.flatnonzero(solid & ~before)
+    before[offsets[:-1][offsets[:-1] < len(buf)]] = False
     after = np.zeros(len(buf), bool)
     after[:-1] = solid[1:]
     tails = offsets[1:] - 1
     after[tails[tails >= 0]] = False
-    ends = np.flatnonzero(solid & ~after) + 1
+    return np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+
+
+def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (A-Z as a-z) and each row's first word.
+
+    Returns (hash per word, bounds) with row r's words at bounds[r]:bounds[r+1].
+    """
+    buf, offsets = string_buffer(column)
+    starts, ends = word_spans(buf, offsets)
     hashes = window_hashes(prefix_sums(buf, LOWER_TABLE), starts, ends)
     return hashes, np.searchsorted(starts, offsets)
 

@@ -67,6 +67,12 @@ def op4_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op5_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyrisk.llm.pitmanyor import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0)
+
+
 #: Target share of tokens by domain (quality and toxicity as labelled).
 TARGETS = {"q1_t0": 0.95, "q0_t0": 0.04, "q1_t1": 0.005, "q0_t1": 0.005}
 
@@ -140,6 +146,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_pii_feistel": op4_pii_feistel,
+        "op5_pitman_yor_lm": op5_pitman_yor_lm,
         "op6_mixing_weights": op6_mixing_weights,
         "op7_exact_top_k": op7_exact_top_k,
         "op8_best_fit_packing": op8_best_fit_packing,
