@@ -72,6 +72,8 @@ class Classifier:
     def posteriors(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(rows x domains, tokens)."""
         sets, tokens = features(column)
+        if not self.domains:
+            return np.zeros((len(sets), 0)), tokens
         sizes = np.array([len(s) for s in sets])
         scores = np.tile(np.log(self.prior), (len(sets), 1))
         filled = np.flatnonzero(sizes)
