@@ -12,6 +12,9 @@ every "without the code" count is a total minus a "with the code" count.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,7 +194,10 @@ def exclude_exposed(episodes: DataFrame, codes, method: str = "inline") -> DataF
             .select(*EPISODE_KEYS)
             .distinct()
         )
-        return episodes.join(exposed, EPISODE_KEYS, "left_anti")
+        # Null-safe: a null subject or episode is a key value like any other.
+        exposed = exposed.select(*(F.col(k).alias(f"x_{k}") for k in EPISODE_KEYS))
+        same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"x_{k}")) for k in EPISODE_KEYS))
+        return episodes.join(exposed, same, "left_anti")
     raise ValueError(f"method must be 'inline' or 'join', got {method!r}")
 
 

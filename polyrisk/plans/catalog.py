@@ -368,10 +368,6 @@ RELATIONAL: dict[str, Query] = {
 
 def all_queries() -> dict[str, Query]:
     """Relational queries plus the model-fitting ones (which have no SQL twin)."""
-    out = dict(RELATIONAL)
-    try:
-        from polyrisk.plans.modeling import MODEL_QUERIES
-    except ImportError:  # model layer not built yet
-        return out
-    out.update(MODEL_QUERIES)
-    return out
+    from polyrisk.plans.modeling import MODEL_QUERIES
+
+    return {**RELATIONAL, **MODEL_QUERIES}
