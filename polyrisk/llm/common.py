@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from polyrisk.session import ensure_checkpoint_dir
 
 #: Bytes of text that a Python worker turns into numpy arrays at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

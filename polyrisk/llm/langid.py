@@ -30,7 +30,7 @@ STRETCH = 32
 #: Probability of a letter that the vocabulary lacks, and the least of any piece.
 UNKNOWN = 1e-7
 #: Words whose scores a Python worker keeps; the store is emptied when it grows past this.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 UNDETERMINED = "und"
 
 
@@ -173,6 +173,11 @@ class Model:
             self.known.update(zip(fresh, range(self.used, need), strict=True))
             self.used = need
 
+    def forget(self) -> None:
+        """Free the kept scores: a Python worker lives on after a task and works for others."""
+        self.known.clear()
+        self.store = None
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """(language, posterior) of each text; texts without letters are undetermined with score 0."""
         words = [stretches(t) for t in texts]
@@ -266,6 +271,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for part in text_slices(batches, "__text"):
             langs, scores = shared.value.predict(pc.fill_null(part.column("__text"), "").to_pylist())
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(langs, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
+        shared.value.forget()
 
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.withColumn("__text", F.col(text_col)).mapInArrow(score, schema)
