@@ -37,7 +37,7 @@ def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
             x[0] = 1
             out.append(np.cumprod(x, dtype=np.uint64))
         have = (out[0], out[1])
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _powers[base] = have
     return have
 
