@@ -2,6 +2,7 @@
 
 from polyrisk.functions.expr import (
     bce_terms,
+    combo_identity,
     combo_key,
     hash_unit,
     penalised_bce_terms,
@@ -12,6 +13,7 @@ from polyrisk.functions.expr import (
 
 __all__ = [
     "bce_terms",
+    "combo_identity",
     "combo_key",
     "hash_unit",
     "penalised_bce_terms",

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from polyrisk.functions import combo_key
 from polyrisk.ml import kernels as K
 from polyrisk.operators.patterns import combo_patterns
+from polyrisk.operators.contingency import is_listed
 from polyrisk.operators.sampling import combo_bucket, kfold_assign_exact
 from polyrisk.session import cut_lineage
 
@@ -49,13 +50,13 @@ def training_patterns(episodes: DataFrame, vocab_codes: list[str]) -> DataFrame:
     Columns: combo ARRAY<STRING> (aligned), idx ARRAY<INT> (0-based vocabulary
     positions), risk, n, n_pos.
     """
-    vocab = F.array(*[F.lit(c) for c in vocab_codes])
+    places = F.create_map(*(F.lit(x) for at, c in enumerate(vocab_codes) for x in (c, at)))
     full = combo_patterns(episodes)
-    aligned = full.select(F.array_intersect("combo", vocab).alias("combo"), "risk", "n", "n_pos")
+    aligned = full.select(F.filter("combo", lambda c: is_listed(c, vocab_codes)).alias("combo"), "risk", "n", "n_pos")
     grouped = aligned.groupBy("combo", "risk").agg(
         F.sum("n").cast("bigint").alias("n"), F.sum("n_pos").cast("bigint").alias("n_pos")
     )
-    idx = F.transform("combo", lambda c: (F.array_position(vocab, c) - 1).cast("int"))
+    idx = F.transform("combo", lambda c: F.element_at(places, c))
     return grouped.withColumn("idx", idx)
 
 

@@ -102,120 +102,80 @@ def codes_in(screened: DataFrame, screen: str) -> DataFrame:
     return screened.where(F.col("screen") == screen).select("code")
 
 
-# Inlined code lists are bounded by the code vocabulary; the guard fails a
-# query (on the executors, before anything reaches the driver) whose list is
-# longer, for which ``exclude_exposed(method="join")`` is the way.
-MAX_INLINE_CODES = 100_000
+#: Longer code lists are joined; shorter ones become literals of the plan (one hash lookup for each code).
+INLINE_CODES = 10_000
 
 
-def _guarded(arrays: Column, n: Column) -> Column:
-    return F.when(n > MAX_INLINE_CODES, F.raise_error(F.lit(
-        f"more than {MAX_INLINE_CODES} codes to inline; use the join-based operators"
-    ))).otherwise(arrays)
+def inline_codes(codes) -> list[str] | None:
+    """The distinct codes of a per-code table, or None where there are more than ``INLINE_CODES``.
 
+    A list is returned as it is.  No more than the bound reaches the driver.
+    """
+    if not isinstance(codes, DataFrame):
+        return list(codes)
+    rows = codes.select("code").where(F.col("code").isNotNull()).distinct().limit(INLINE_CODES + 1).collect()
+    return sorted(r.code for r in rows) if len(rows) <= INLINE_CODES else None
 
-def screen_code_sets(screened: DataFrame) -> Column:
-    """The kept / removed / end code lists of a screen as one struct-valued
-    scalar subquery (one small job for all three lists)."""
-    lists = [
-        F.sort_array(F.collect_set(F.when(F.col("screen") == s, F.col("code")))).alias(s)
-        for s in (SCREEN_KEPT, SCREEN_REMOVED, SCREEN_END)
-    ]
-    probe = screened.limit(MAX_INLINE_CODES + 1)  # size probe, not a result cap
-    return probe.agg(_guarded(F.struct(*lists), F.count(F.lit(1)))).scalar()
 
+def fetch_screen_code_sets(screened: DataFrame) -> dict[str, list[str] | DataFrame]:
+    """The kept / removed / end lists of a screen: fetched in one small job, or
+    as per-code tables where there are more codes than may be inlined."""
+    labels = (SCREEN_KEPT, SCREEN_REMOVED, SCREEN_END)
+    rows = screened.where(F.col("screen").isNotNull()).select("screen", "code").limit(INLINE_CODES + 1).collect()
+    if len(rows) > INLINE_CODES:
+        return {s: codes_in(screened, s) for s in labels}
+    return {s: sorted(r.code for r in rows if r.screen == s) for s in labels}
 
-def fetch_screen_code_sets(screened: DataFrame) -> dict[str, Column]:
-    """The kept / removed / end lists fetched now, as literal arrays.
 
-    One small job over the per-code table (size-guarded like the subquery
-    form); downstream plans then carry literals instead of nested scalar
-    subqueries, which Spark would otherwise re-plan inside every further
-    subquery built on them.
-    """
-    sets = screened.limit(MAX_INLINE_CODES + 1).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[
-            F.sort_array(F.collect_set(F.when(F.col("screen") == s, F.col("code")))).alias(s)
-            for s in (SCREEN_KEPT, SCREEN_REMOVED, SCREEN_END)
-        ],
-    ).first()
-    if sets.n > MAX_INLINE_CODES:
-        raise ValueError(f"more than {MAX_INLINE_CODES} codes to inline; use the join-based operators")
-    return {
-        s: F.array(*[F.lit(c) for c in sets[s]]).cast("array<string>")
-        for s in (SCREEN_KEPT, SCREEN_REMOVED, SCREEN_END)
-    }
-
-
-def literal_code_array(codes: DataFrame) -> Column:
-    """The codes of a per-code table fetched now (bounded, size-guarded) as a
-    literal array: the eager counterpart of ``code_array``."""
-    rows = codes.select("code").distinct().limit(MAX_INLINE_CODES + 1).collect()  # size probe
-    if len(rows) > MAX_INLINE_CODES:
-        raise ValueError(f"more than {MAX_INLINE_CODES} codes to inline; use the join-based operators")
-    return F.array(*[F.lit(c) for c in sorted(r.code for r in rows if r.code is not None)]).cast("array<string>")
-
-
-def _as_array(codes) -> Column:
-    return codes if isinstance(codes, Column) else code_array(codes)
-
-
-def code_array(codes: DataFrame) -> Column:
-    """The codes of a per-code table as one array-valued scalar subquery.
-
-    Bounded by the number of distinct codes of the vocabulary (a per-code
-    table never has more rows); the array is computed once per query and
-    inlined into the consuming expressions, so no shuffle of episodes is
-    needed to test membership.
-    """
-    probe = codes.select("code").limit(MAX_INLINE_CODES + 1)  # size probe, not a result cap
-    return probe.agg(_guarded(F.sort_array(F.collect_set("code")), F.count(F.lit(1)))).scalar()
+def is_listed(code: Column, codes: list[str]) -> Column:
+    return code.isin(codes) if codes else F.lit(False)
+
+
+def same_episode(prefix: str) -> Column:
+    """Null-safe: a null subject or episode is a key value like any other."""
+    return reduce(and_, (F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in EPISODE_KEYS))
+
+
+def _listed_exposures(episodes: DataFrame, codes: DataFrame) -> DataFrame:
+    return exposures_of(episodes).join(codes.select("code").distinct(), "code", "left_semi")
 
 
 def exclude_exposed(episodes: DataFrame, codes, method: str = "inline") -> DataFrame:
     """Drop every episode exposed to any listed code: D3.
 
-    ``inline`` filters with ``arrays_overlap`` against the code array (a
-    narrow, shuffle-free filter).  ``join`` is for code lists that are not
-    bounded by a vocabulary: exposed episode keys are found by a semi-join
-    and removed with an anti-join.  Removing the code's column is implied:
-    no surviving episode contains it.
+    ``codes`` is a per-code table or a list.  ``inline`` is a narrow filter
+    (``exists`` with a hashed IN list) that shuffles nothing; tables of more
+    than ``INLINE_CODES`` codes and ``join`` find the exposed episodes' keys by
+    a semi-join and remove them with an anti-join.  Removing the code's column
+    is implied: no surviving episode contains it.
     """
-    if method == "inline":
-        overlap = F.arrays_overlap("combo", _as_array(codes))
-        return episodes.where(~F.coalesce(overlap, F.lit(False)))
-    if method == "join":
-        if isinstance(codes, Column):
-            raise ValueError("method='join' needs the codes as a DataFrame")
-        exposed = (
-            exposures_of(episodes)
-            .join(codes.select("code"), "code", "left_semi")
-            .select(*EPISODE_KEYS)
-            .distinct()
-        )
-        # Null-safe: a null subject or episode is a key value like any other.
-        exposed = exposed.select(*(F.col(k).alias(f"x_{k}") for k in EPISODE_KEYS))
-        same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"x_{k}")) for k in EPISODE_KEYS))
-        return episodes.join(exposed, same, "left_anti")
-    raise ValueError(f"method must be 'inline' or 'join', got {method!r}")
+    if method not in ("inline", "join"):
+        raise ValueError(f"method must be 'inline' or 'join', got {method!r}")
+    listed = inline_codes(codes) if method == "inline" else None
+    if listed is not None:
+        exposed = F.exists("combo", lambda c: is_listed(c, listed))
+        return episodes.where(~F.coalesce(exposed, F.lit(False)))
+    if not isinstance(codes, DataFrame):
+        raise ValueError("method='join' needs the codes as a DataFrame")
+    exposed = _listed_exposures(episodes, codes).select(*(F.col(k).alias(f"x_{k}") for k in EPISODE_KEYS)).distinct()
+    return episodes.join(exposed, same_episode("x_"), "left_anti")
 
 
 def exclusion_counts(episodes: DataFrame, codes) -> DataFrame:
     """Episodes exposed to each listed code, counted on the input: E10.
 
-    ``codes`` is a per-code DataFrame or an array column.  Every listed code
-    gets a row, with 0 when no episode contains it.
+    ``codes`` is a per-code table or a list.  Every listed code gets a row,
+    with 0 when no episode contains it.
     """
-    arr = _as_array(codes)
-    counts = (
-        exposures_of(episodes)
-        .where(F.array_contains(arr, F.col("code")))
-        .groupBy("code")
-        .agg(F.count(F.lit(1)).alias("n_excluded"))
-    )
-    listed = episodes.sparkSession.range(1).select(F.explode(arr).alias("code"))
-    return listed.join(counts, "code", "left").select(
+    listed = inline_codes(codes)
+    if listed is None:
+        exposures, rows = _listed_exposures(episodes, codes), codes.select("code").where(F.col("code").isNotNull()).distinct()
+    else:
+        exposures = exposures_of(episodes).where(is_listed(F.col("code"), listed))
+        literals = F.array(*[F.lit(c) for c in sorted(set(listed))]).cast("array<string>")
+        rows = episodes.sparkSession.range(1).select(F.explode(literals).alias("code"))
+    counts = exposures.groupBy("code").agg(F.count(F.lit(1)).alias("n_excluded"))
+    return rows.join(counts, "code", "left").select(
         "code", F.coalesce("n_excluded", F.lit(0)).cast("bigint").alias("n_excluded")
     )
 
@@ -224,7 +184,17 @@ def restrict_codes(episodes: DataFrame, codes) -> DataFrame:
     """Keep only listed codes in each combination (column projection C1/C4).
 
     Episodes stay even when nothing is left (the reference keeps all-zero
-    rows after projecting columns).
+    rows after projecting columns).  A narrow filter for lists that may be
+    inlined; longer tables meet the exploded codes in a semi-join, and the
+    combinations are gathered again by episode key.
     """
-    combo = F.array_intersect("combo", _as_array(codes))
-    return episodes.withColumn("combo", combo).withColumn("n_codes", F.size("combo"))
+    listed = inline_codes(codes)
+    if listed is not None:
+        combo = F.filter("combo", lambda c: is_listed(c, listed))
+        return episodes.withColumn("combo", combo).withColumn("n_codes", F.size("combo"))
+    kept = _listed_exposures(episodes, codes).groupBy(*(F.col(k).alias(f"x_{k}") for k in EPISODE_KEYS))
+    kept = kept.agg(F.sort_array(F.collect_set("code")).alias("x_combo"))
+    joined = episodes.join(kept, same_episode("x_"), "left")
+    combo = F.coalesce("x_combo", F.array().cast("array<string>"))
+    out = joined.withColumn("combo", combo).withColumn("n_codes", F.size("combo"))
+    return out.select(*episodes.columns)

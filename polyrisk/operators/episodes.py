@@ -81,4 +81,4 @@ def dataset_profile(raw_rows: DataFrame | None, episodes: DataFrame, n_raw=None)
 
 def sort_by_size(episodes: DataFrame) -> DataFrame:
     """Episodes ordered by number of codes: F4 (for display/sinks only)."""
-    return episodes.orderBy("n_codes", "subject_id", "episode_id")
+    return episodes.orderBy("n_codes", "subject_id", "episode_id", "outcome")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyrisk.operators.contingency import _as_array
+from polyrisk.operators.contingency import restrict_codes
 
 MAX_COMBINATION_SIZE = 20
 
@@ -28,6 +28,12 @@ def co_exposure_histogram(episodes: DataFrame, max_size: int = MAX_COMBINATION_S
     return exploded.groupBy("code").agg(*counts)
 
 
+def co_exposure_long(episodes: DataFrame) -> DataFrame:
+    """(code, n_codes, episodes) for every combination size that occurs: E12 without a largest size."""
+    exploded = episodes.select(F.explode("combo").alias("code"), F.size("combo").alias("n_codes"))
+    return exploded.groupBy("code", "n_codes").agg(F.count(F.lit(1)).alias("episodes"))
+
+
 def co_exposure_grid(histogram: DataFrame, max_size: int = 15, keep=("code",)) -> DataFrame:
     """Long form (code, n_codes, episodes) for sizes 1..max_size: F7 (5 x 3 grid)."""
     cells = F.array(
@@ -49,11 +55,8 @@ def record_size_histogram(episodes: DataFrame, include_outcome: bool = False) ->
 def codes_per_episode(episodes: DataFrame, codes) -> DataFrame:
     """Per episode, how many of the listed codes it has; episodes with none
     are absent (they had no rows after the membership filter): E4 + D2."""
-    kept = F.size(F.array_intersect("combo", _as_array(codes)))
-    return (
-        episodes.select("subject_id", "episode_id", "outcome", kept.alias("n_codes"))
-        .where(F.col("n_codes") > 0)
-    )
+    kept = restrict_codes(episodes, codes)
+    return kept.select("subject_id", "episode_id", "outcome", "n_codes").where(F.col("n_codes") > 0)
 
 
 def size_by_class(sizes: DataFrame) -> DataFrame:

@@ -14,18 +14,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyrisk.functions import combo_key, hash_unit, ratio, unit_threshold
+from polyrisk.functions import combo_identity, hash_unit, ratio, unit_threshold
 
 DEFAULT_SEED = 40  # the reference's sample_random_state (config)
 
 
 def combo_bucket(seed: int, combo_col: str = "combo") -> Column:
-    return hash_unit(seed, combo_key(combo_col))
+    return hash_unit(seed, combo_identity(combo_col))
 
 
 def episode_bucket(seed: int) -> Column:
-    key = F.concat_ws("|", F.col("subject_id").cast("string"), F.col("episode_id").cast("string"))
-    return hash_unit(seed, key)
+    return hash_unit(seed, _episode_key())
 
 
 def group_sample(
@@ -43,14 +42,13 @@ def _combo_cut(episodes: DataFrame, fraction: float, seed: int, combo_col: str):
     """(m, cut tuple or None, r): the hash-order cut after exactly
     round(fraction * m) of the m distinct combinations."""
     combos = (
-        episodes.select(combo_key(combo_col).alias("_key"))
+        episodes.select(combo_identity(combo_col).alias("_key"))
         .distinct()
         .withColumn("_h1", hash_unit(seed, F.col("_key")))
     )
-    m = combos.count()
+    m, cuts = _hash_order(combos, seed, lambda m: [round(fraction * m)])
     r = round(fraction * m)
-    cut = _ordered_cut_points(combos, seed, [r])[0] if 0 < r < m else None
-    return m, cut, r
+    return m, cuts.get(r), r
 
 
 def _combo_selected(episodes: DataFrame, fraction: float, seed: int, combo_col: str) -> Column:
@@ -59,7 +57,7 @@ def _combo_selected(episodes: DataFrame, fraction: float, seed: int, combo_col:
         return F.lit(False)
     if r >= m:
         return F.lit(True)
-    key = combo_key(combo_col)
+    key = combo_identity(combo_col)
     return ~_at_or_after(cut, seed, hash_unit(seed, key), key)
 
 
@@ -97,7 +95,8 @@ def kfold_assign(patterns: DataFrame, k: int = 3, seed: int = DEFAULT_SEED, comb
 
 
 def _episode_key() -> Column:
-    return F.concat_ws("|", F.col("subject_id").cast("string"), F.col("episode_id").cast("string"))
+    """Subject, episode and outcome: conflicting outcomes are two episodes."""
+    return F.concat_ws("|", *(F.col(k).cast("string") for k in ("subject_id", "episode_id", "outcome")))
 
 
 def second_bucket(seed: int, key: Column) -> Column:
@@ -111,75 +110,56 @@ def exact_row_sample(episodes: DataFrame, fraction: float, seed: int = DEFAULT_S
     ``sample(frac=...)`` returns; Python rounding, half to even): J2 exact-n.
 
     The episodes with the smallest (hash bucket, second bucket, key) are
-    taken.  No global sort: the k-th smallest bucket is found by the exact
-    order-statistic refinement (distributed histograms), rows below it are
-    selected by a filter, and only the few rows tied on that bucket
-    (about n / 2**32 of them) are ordered, on the driver, to fill the count.
+    taken.  No global sort: the cut of the hash order is found by distributed
+    histograms (``_hash_order``), and a filter takes the rows before it.
     """
-    from polyrisk.operators.describe import _group_bounds, order_statistics
-    from pyspark import StorageLevel
-    from pyspark.sql import types as T
-
-    spark = episodes.sparkSession
     key = _episode_key()
     keyed = episodes.withColumn("_h1", hash_unit(seed, key)).withColumn("_key", key)
-    base = keyed.select(F.lit(0).alias("_g"), F.col("_h1").cast("double").alias("_v"))
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        groups = _group_bounds(base)
-        n = groups[0].n if groups else 0
-        k = round(fraction * n)
-        if k <= 0:
-            return episodes.where(F.lit(False))
-        if k >= n:
-            return episodes
-        (t, below), = order_statistics(spark, base, T.IntegerType(), groups, {0: [k - 1]}).values()
-    finally:
-        base.unpersist()
-    need = k - below
-    ties = (
-        keyed.where(F.col("_h1") == F.lit(int(t)))
-        .select(second_bucket(seed, F.col("_key")).alias("_h2"), "_key")
-        .orderBy("_h2", "_key")
-        .limit(need)  # the sample's own size: the first ``need`` tied rows
-        .collect()
-    )
-    chosen = F.array(*[F.lit(r._key) for r in ties]).cast("array<string>")
-    picked = (F.col("_h1") < F.lit(int(t))) | (
-        (F.col("_h1") == F.lit(int(t))) & F.array_contains(chosen, F.col("_key"))
-    )
-    return keyed.where(picked).drop("_h1", "_key")
+    n, cuts = _hash_order(keyed, seed, lambda n: [round(fraction * n)])
+    k = round(fraction * n)
+    if k <= 0:
+        return episodes.where(F.lit(False))
+    if k >= n:
+        return episodes
+    return keyed.where(~_at_or_after(cuts[k], seed)).drop("_h1", "_key")
 
 
-def _ordered_cut_points(keyed: DataFrame, seed: int, ranks: list[int]) -> list[tuple]:
-    """The (bucket, second bucket, key) tuples at the given 0-based ranks of
-    the order by (_h1, second bucket, _key), found without a global sort."""
-    from polyrisk.operators.describe import _group_bounds, order_statistics
+def _hash_order(keyed: DataFrame, seed: int, ranks_of) -> tuple[int, dict[int, tuple]]:
+    """(n, rank -> cut) of the order by (_h1, second bucket, _key).
+
+    ``ranks_of(n)`` names the wanted 0-based ranks; those outside 1..n-1 need
+    no cut and get none.  The input is computed once; the rows tied on all cut
+    buckets (about n / 2**32 for each) are fetched by one job.
+    """
     from pyspark import StorageLevel
     from pyspark.sql import types as T
 
-    spark = keyed.sparkSession
-    base = keyed.select(F.lit(0).alias("_g"), F.col("_h1").cast("double").alias("_v"))
+    from polyrisk.operators.describe import _group_bounds, order_statistics
+
+    base = keyed.select(F.lit(0).alias("_g"), F.col("_h1").cast("double").alias("_v"), "_key")
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         groups = _group_bounds(base)
-        stats = order_statistics(spark, base, T.IntegerType(), groups, {0: ranks})
+        n = groups[0].n if groups else 0
+        ranks = sorted({r for r in ranks_of(n) if 0 < r < n})
+        if not ranks:
+            return n, {}
+        stats = order_statistics(keyed.sparkSession, base.select("_g", "_v"), T.IntegerType(), groups, {0: ranks})
+        buckets = sorted({stats[(0, r)][0] for r in ranks})
+        tied = base.where(F.col("_v").isin(buckets)).groupBy("_v", second_bucket(seed, F.col("_key")).alias("_h2"), "_key")
+        tied = sorted((r._v, r._h2, r._key, r.c) for r in tied.agg(F.count(F.lit(1)).alias("c")).collect())
     finally:
         base.unpersist()
-    cuts = []
-    for r in ranks:
-        t, below = stats[(0, r)]
-        # rows tied on this bucket: about n / 2**32 of them
-        tied = (
-            keyed.where(F.col("_h1") == F.lit(int(t)))
-            .select(second_bucket(seed, F.col("_key")).alias("_h2"), "_key")
-            .orderBy("_h2", "_key")
-            .limit(r - below + 1)  # up to the cut row itself
-            .collect()
-        )
-        row = tied[r - below]
-        cuts.append((int(t), int(row._h2), row._key))
-    return cuts
+    cuts = {}
+    for rank in ranks:
+        value, at = stats[(0, rank)]
+        for v, h2, key, c in tied:
+            if v == value:
+                at += c
+                if at > rank:
+                    cuts[rank] = (int(v), int(h2), key)
+                    break
+    return n, cuts
 
 
 def _at_or_after(cut: tuple, seed: int, h1c: Column | None = None, keyc: Column | None = None) -> Column:
@@ -193,23 +173,31 @@ def _at_or_after(cut: tuple, seed: int, h1c: Column | None = None, keyc: Column
     )
 
 
-def kfold_assign_exact(patterns: DataFrame, k: int = 3, seed: int = DEFAULT_SEED, combo_col: str = "combo") -> DataFrame:
-    """Group K-fold with exactly equal fold sizes (the first n % k folds one
+def kfold_assign_exact(
+    patterns: DataFrame, k: int = 3, seed: int = DEFAULT_SEED, combo_col: str = "combo", risk_col: str | None = None
+) -> DataFrame:
+    """Group K-fold with exactly equal fold sizes (the first m % k folds one
     larger, as a shuffled K-fold split makes them): J4 exact variant.
 
-    Combinations are ordered by (hash bucket, second bucket, key); the k - 1
-    fold boundaries are exact order statistics of that order (distributed
-    histogram refinement plus the few rows tied on a bucket), and each
-    combination's fold is the number of boundaries at or before it: one
-    narrow projection, no global sort or window.
+    The m distinct groups (combinations, or combination and ``risk_col``: S9)
+    are ordered by (hash bucket, second bucket, key); the k - 1 fold boundaries
+    are exact order statistics of that order, and a row's fold is the number
+    of boundaries at or before its group: no global sort or window.  Fewer
+    groups than folds would leave a fold empty, which is an error.
     """
-    key = combo_key(combo_col)
+    key = combo_identity(combo_col)
+    if risk_col:
+        # A rate's first 53 binary places: exact in every engine, distinct for all counts below 2**26.
+        key = F.concat_ws("|", key, F.floor(F.col(risk_col) * F.lit(float(1 << 53))).cast("string"))
     keyed = patterns.withColumn("_h1", hash_unit(seed, key)).withColumn("_key", key)
-    n = keyed.count()
-    sizes = [n // k + (1 if i < n % k else 0) for i in range(k)]
-    starts = [sum(sizes[:i]) for i in range(1, k) if sizes[i] > 0]
-    cuts = _ordered_cut_points(keyed, seed, starts) if n else []
-    fold = sum((_at_or_after(c, seed).cast("int") for c in cuts), F.lit(0))
+
+    def starts(m: int) -> list[int]:
+        return [i * (m // k) + min(i, m % k) for i in range(1, k)]
+
+    m, cuts = _hash_order(keyed.select("_h1", "_key").distinct(), seed, starts)
+    if 0 < m < k:
+        raise ValueError(f"{m} groups cannot fill {k} folds")
+    fold = sum((_at_or_after(c, seed).cast("int") for c in cuts.values()), F.lit(0))
     return keyed.withColumn("fold", fold.cast("int")).drop("_h1", "_key")
 
 
@@ -251,10 +239,8 @@ def sampling_error(
             .withColumn("_h1", hash_unit(seed, key))
             .withColumn("_key", key)
         )
-        n_all = episodes.count()
+        n_all, cut_at = _hash_order(episodes, seed, lambda n: [round(f * n) for f in fractions])
         ranks = [round(f * n_all) for f in fractions]
-        inner = sorted({r for r in ranks if 0 < r < n_all})
-        cut_at = dict(zip(inner, _ordered_cut_points(episodes, seed, inner))) if inner else {}
 
         def inside_of(i, fraction):
             r = ranks[i]

@@ -3,9 +3,7 @@
     vocabulary  position INT (1-based), code STRING
 
 A vocabulary is a small per-code table (bounded by the number of distinct
-codes), so ordering it with a global window is cheap; it is never joined
-row-by-row against episodes but inlined as one array where membership is
-tested.
+codes), so ordering it with a global window is cheap.
 """
 
 from __future__ import annotations
@@ -13,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyrisk.operators.contingency import _as_array
+from polyrisk.operators.contingency import restrict_codes
 from polyrisk.operators.episodes import exposures_of
 
 
@@ -68,15 +66,14 @@ def vocab_diff(observed: DataFrame, vocab: DataFrame) -> DataFrame:
     return missing.unionByName(unknown)
 
 
-def align_lenient(episodes: DataFrame, vocab, combo_col: str = "combo") -> DataFrame:
+def align_lenient(episodes: DataFrame, vocab) -> DataFrame:
     """Lenient alignment: drop unknown codes, keep everything else: C4 (+ C16).
 
     In long form zero-filling a missing code is implicit (absence is 0) and
     column order is a property of the vocabulary, applied at the wide sink.
     Episodes whose codes are all unknown stay, with an empty combination.
     """
-    aligned = F.array_intersect(combo_col, _as_array(vocab))
-    return episodes.withColumn(combo_col, aligned).withColumn("n_codes", F.size(combo_col))
+    return restrict_codes(episodes, vocab)
 
 
 class VocabularyMismatch(ValueError):

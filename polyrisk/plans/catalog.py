@@ -109,6 +109,10 @@ def q_co_exposure_histogram(spark, sf_dir):
     return H.co_exposure_histogram(E.non_empty(_episodes(spark, sf_dir)))
 
 
+def q_co_exposure_long(spark, sf_dir):
+    return H.co_exposure_long(E.non_empty(_episodes(spark, sf_dir)))
+
+
 def q_record_size_histogram(spark, sf_dir):
     return H.record_size_histogram(_screening(spark, sf_dir).cleaned)
 
@@ -128,7 +132,7 @@ def q_record_size_equal_width(spark, sf_dir):
 def _kept_sizes(spark, sf_dir):
     ep = _episodes(spark, sf_dir)
     screen = C.screen_codes(C.code_contingency(ep), P.THRES)
-    return H.codes_per_episode(ep, C.literal_code_array(C.codes_in(screen, C.SCREEN_KEPT)))
+    return H.codes_per_episode(ep, C.codes_in(screen, C.SCREEN_KEPT))
 
 
 def q_codes_per_episode_by_class(spark, sf_dir):
@@ -213,13 +217,67 @@ def _aligned(spark, sf_dir):
     ep = _episodes(spark, sf_dir)
     a, _ = _vocabularies(ep)
     risk_rows = PT.attach_risk(ep, PT.combo_patterns(ep))
-    return V.align_lenient(risk_rows, C.literal_code_array(a))
+    return V.align_lenient(risk_rows, a)
 
 
 def q_vocab_align_lenient(spark, sf_dir):
     return _show_combo(_aligned(spark, sf_dir).select("subject_id", "episode_id", "outcome", "combo", "n_codes", "risk"))
 
 
+def q_vocab_align_strict(spark, sf_dir):
+    """Strict alignment to the elevated-risk vocabulary; fails if a listed code never occurs."""
+    ep = _episodes(spark, sf_dir)
+    return _episode_out(V.align_strict(ep, _vocabularies(ep)[1]))
+
+
+def q_vocab_stripped(spark, sf_dir):
+    """Codes as named in the wide table and without that mark again."""
+    codes = E.exposures_of(_episodes(spark, sf_dir)).select("code").distinct()
+    marked = V.add_prefix(codes).select(F.col("code").alias("column"), "code")
+    return V.strip_prefix(marked)
+
+
+def q_episodes_by_size(spark, sf_dir):
+    return _episode_out(E.sort_by_size(_episodes(spark, sf_dir)))
+
+
+def q_kfold_assignment_aligned(spark, sf_dir):
+    """Exact folds of the distinct (aligned combination, risk) pairs: S9."""
+    pairs = PT.risk_frequency(_aligned(spark, sf_dir))
+    return _show_combo(S.kfold_assign_exact(pairs, P.N_SPLITS, P.SAMPLE_SEED, risk_col="risk"))
+
+
+def q_logistic_zero_gradient(spark, sf_dir):
+    """Mean loss gradient of the logistic model at zero weights, by code."""
+    pt = _patterns(spark, sf_dir)
+    rows = pt.agg(F.sum("n")).scalar()
+    per_code = pt.select(F.explode("combo").alias("code"), "n", "n_pos").groupBy("code")
+    return per_code.agg((F.sum(F.col("n") * 0.5 - F.col("n_pos")) / rows).alias("gradient"))
+
+
+def _fixed_scores(ep: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Risk by fixed weights: a code's log odds with it less those without it."""
+    stats = C.code_contingency(ep)
+    odds = F.log(F.col("p_pos_drug") / F.col("p_neg_drug")) - F.log(F.col("p_pos_nodrug") / F.col("p_neg_nodrug"))
+    weights = stats.select("code", F.coalesce(odds, F.lit(0.0)).alias("w"))
+    terms = patterns.select("combo", F.explode("combo").alias("code")).join(weights, "code")
+    sums = terms.groupBy("combo").agg(F.sum("w").alias("z"))
+    joined = patterns.join(sums, "combo", "left")
+    score = round_half_even(1 / (1 + F.exp(-F.coalesce("z", F.lit(0.0)))), P.DENSITY_DECIMALS)
+    return joined.select("combo", "n", F.col("risk").alias("risk_true"), score.alias("risk_predicted"))
+
+
+def q_logistic_fixed_scores(spark, sf_dir):
+    ep = _episodes(spark, sf_dir)
+    return _show_combo(_fixed_scores(ep, PT.combo_patterns(ep)))
+
+
+def q_calibration_fixed(spark, sf_dir):
+    ep = _episodes(spark, sf_dir)
+    table = D.calibration_table(_fixed_scores(ep, PT.combo_patterns(ep)))
+    return _show_combo(table.withColumn("log_count", round_half_even("log_count", P.DENSITY_DECIMALS)))
+
+
 def q_combo_frequency(spark, sf_dir):
     return _show_combo(PT.risk_frequency(_aligned(spark, sf_dir)))
 
@@ -347,6 +405,14 @@ RELATIONAL: dict[str, Query] = {
     "vocab_union": q_vocab_union,
     "vocab_diff": q_vocab_diff,
     "vocab_align_lenient": q_vocab_align_lenient,
+    "vocab_align_strict": q_vocab_align_strict,
+    "vocab_stripped": q_vocab_stripped,
+    "episodes_by_size": q_episodes_by_size,
+    "co_exposure_long": q_co_exposure_long,
+    "kfold_assignment_aligned": q_kfold_assignment_aligned,
+    "logistic_zero_gradient": q_logistic_zero_gradient,
+    "logistic_fixed_scores": q_logistic_fixed_scores,
+    "calibration_fixed": q_calibration_fixed,
     "combo_frequency": q_combo_frequency,
     "group_sample": q_group_sample,
     "group_sample_exact": q_group_sample_exact,

@@ -150,7 +150,7 @@ def _bce(n: str, pos: str, p: str) -> str:
 
 def sampling_error_cte(seed: int, fractions, min_count: int) -> str:
     values = ", ".join(f"(CAST({f!r} AS DOUBLE))" for f in fractions)
-    bucket = _bucket(seed, "CAST(e.subject_id AS VARCHAR) || '|' || CAST(e.episode_id AS VARCHAR)")
+    bucket = _bucket(seed, "CAST(e.subject_id AS VARCHAR) || '|' || CAST(e.episode_id AS VARCHAR) || '|' || CAST(e.outcome AS VARCHAR)")
     return f"""{PATTERNS_CTE},
 frequent AS (SELECT e.*, {bucket} AS h FROM episodes e JOIN patterns p ON e.combo = p.combo WHERE p.n > {min_count}),
 fractions AS (SELECT * FROM (VALUES {values}) t(fraction)),
@@ -287,6 +287,42 @@ aligned AS (
     sql["vocab_align_lenient"] = aligned + "SELECT * FROM aligned"
     sql["combo_frequency"] = aligned + "SELECT combo, risk, count(*) AS n FROM aligned GROUP BY combo, risk"
 
+    sql["vocab_align_strict"] = with_base(brand, vocab_ctes()) + """SELECT e.subject_id, e.episode_id, e.outcome,
+  coalesce(string_agg(x.code, '|' ORDER BY x.code), '') AS combo, CAST(count(x.code) AS INTEGER) AS n_codes
+FROM episodes e LEFT JOIN (SELECT * FROM exposures WHERE code IN (SELECT code FROM vocab_b)) x
+  ON e.subject_id = x.subject_id AND e.episode_id = x.episode_id AND e.outcome = x.outcome
+GROUP BY e.subject_id, e.episode_id, e.outcome"""
+    sql["vocab_stripped"] = with_base(brand) + """SELECT DISTINCT '_' || code AS "column", replace('_' || code, '_', '') AS code
+FROM exposures WHERE code IS NOT NULL"""
+    sql["episodes_by_size"] = with_base(brand) + "SELECT * FROM episodes ORDER BY n_codes, subject_id, episode_id, outcome"
+    sql["co_exposure_long"] = with_base(brand) + """SELECT x.code, e.n_codes, count(*) AS episodes
+FROM exposures x JOIN ne e ON x.subject_id = e.subject_id AND x.episode_id = e.episode_id AND x.outcome = e.outcome
+WHERE x.code IS NOT NULL GROUP BY x.code, e.n_codes"""
+    gkey = "(combo || '|' || CAST(CAST(floor(risk * 9007199254740992.0) AS BIGINT) AS VARCHAR))"
+    sql["kfold_assignment_aligned"] = aligned.rstrip("\n") + f""",
+pairs AS (SELECT combo, risk, count(*) AS n FROM aligned GROUP BY combo, risk)
+SELECT combo, risk, n, CAST(ntile({P.N_SPLITS}) OVER (ORDER BY {_bucket(P.SAMPLE_SEED, gkey)},
+  CAST(('0x' || substr(md5('{P.SAMPLE_SEED}|' || {gkey}), 9, 8)) AS BIGINT), {gkey}) - 1 AS INTEGER) AS fold
+FROM pairs"""
+    sql["logistic_zero_gradient"] = with_base(brand) + """SELECT code,
+  (count(*) * 0.5::DOUBLE - sum(outcome)) / (SELECT count(*) FROM episodes) AS gradient
+FROM exposures WHERE code IS NOT NULL GROUP BY code"""
+    scores = with_base(brand, STATS_CTE, PATTERNS_CTE).rstrip("\n") + f""",
+weights AS (
+  SELECT code, CASE WHEN p_pos_drug > 0 AND p_neg_drug > 0 AND p_pos_nodrug > 0 AND p_neg_nodrug > 0
+    THEN ln(p_pos_drug / p_neg_drug) - ln(p_pos_nodrug / p_neg_nodrug) ELSE 0.0 END AS w FROM stats),
+combos AS (SELECT DISTINCT e.combo, x.code FROM episodes e JOIN exposures x
+  ON x.subject_id = e.subject_id AND x.episode_id = e.episode_id AND x.outcome = e.outcome),
+z AS (SELECT c.combo, sum(w.w) AS z FROM combos c JOIN weights w ON c.code = w.code GROUP BY c.combo),
+scored AS (
+  SELECT p.combo, p.n, p.risk AS risk_true, round_even(1 / (1 + exp(-coalesce(z.z, 0.0))), {P.DENSITY_DECIMALS}) AS risk_predicted
+  FROM patterns p LEFT JOIN z ON p.combo = z.combo)
+"""
+    sql["logistic_fixed_scores"] = scores + "SELECT * FROM scored"
+    sql["calibration_fixed"] = scores + (
+        f"SELECT *, round_even(ln(CAST(least(n, 20) AS DOUBLE)), {P.DENSITY_DECIMALS}) AS log_count FROM scored"
+    )
+
     bucket = _bucket(P.SAMPLE_SEED, "combo")
     sql["group_sample"] = with_base(brand) + (
         f"SELECT * FROM episodes WHERE {bucket} < {_threshold(P.SAMPLE_FRACTION)}"
@@ -294,7 +330,7 @@ aligned AS (
     sql["holdout_unseen"] = with_base(brand) + (
         f"SELECT * FROM episodes WHERE {bucket} >= {_threshold(P.SAMPLE_FRACTION)}"
     )
-    ekey = "CAST(subject_id AS VARCHAR) || '|' || CAST(episode_id AS VARCHAR)"
+    ekey = "CAST(subject_id AS VARCHAR) || '|' || CAST(episode_id AS VARCHAR) || '|' || CAST(outcome AS VARCHAR)"
     sql["row_sample_exact"] = with_base(brand) + f""", keyed AS (
   SELECT *, {_bucket(P.ERROR_SEED, ekey)} AS h1,
          CAST(('0x' || substr(md5('{P.ERROR_SEED}|' || {ekey}), 9, 8)) AS BIGINT) AS h2, {ekey} AS k
@@ -327,7 +363,7 @@ FROM patterns"""
         for f in P.ERROR_FRACTIONS
     )
     sql["sampling_error_wide"] = err + f"SELECT combo, {wide_cols} FROM err GROUP BY combo"
-    ekey_e = "CAST(e.subject_id AS VARCHAR) || '|' || CAST(e.episode_id AS VARCHAR)"
+    ekey_e = "CAST(e.subject_id AS VARCHAR) || '|' || CAST(e.episode_id AS VARCHAR) || '|' || CAST(e.outcome AS VARCHAR)"
     fvalues = ", ".join(f"(CAST({f!r} AS DOUBLE))" for f in P.ERROR_FRACTIONS)
     sql["sampling_error_exact"] = with_base(brand, PATTERNS_CTE) + f""", frequent AS (
   SELECT e.*, {_bucket(P.ERROR_SEED, ekey_e)} AS h1,

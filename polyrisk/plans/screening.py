@@ -6,10 +6,9 @@
              -> project combinations to 'kept' codes
 
 Order matters: the second set of counts is taken over the survivors of the
-first exclusion.  The per-code screen is a small table whose three code
-lists are fetched once (one bounded, size-guarded row) and enter the episode
-filters as literal arrays, so the episode table is scanned, never shuffled,
-by the exclusions; everything else stays lazy.
+first exclusion.  The screen's three code lists are fetched once and enter
+the episode filters as IN lists, so the exclusions scan the episode table and
+never shuffle it; longer lists than may be inlined are joined.
 """
 
 from __future__ import annotations
@@ -29,7 +28,6 @@ from polyrisk.operators.contingency import (
     exclusion_counts,
     fetch_screen_code_sets,
     restrict_codes,
-    screen_code_sets,
     screen_codes,
 )
 from polyrisk.operators.episodes import non_empty
@@ -55,21 +53,13 @@ class ScreeningResult:
         return first.unionByName(second)
 
 
-def run_screening(episodes: DataFrame, thres: int = 0, lists: str = "literal") -> ScreeningResult:
-    """``lists="literal"`` fetches the three code lists once (one small job)
-    and inlines them as literal arrays; ``"subquery"`` keeps the whole chain
-    lazy with one struct-valued scalar subquery."""
+def run_screening(episodes: DataFrame, thres: int = 0) -> ScreeningResult:
+    """The whole chain; the three code lists are fetched once, in one small job."""
     base = non_empty(episodes)
     stats = code_contingency(base, require_non_empty=False)
     screen = screen_codes(stats, thres)
-    if lists == "literal":
-        sets = fetch_screen_code_sets(screen)
-        removed, end, kept = sets[SCREEN_REMOVED], sets[SCREEN_END], sets[SCREEN_KEPT]
-    elif lists == "subquery":
-        sets = screen_code_sets(screen)
-        removed, end, kept = (sets.getField(s) for s in (SCREEN_REMOVED, SCREEN_END, SCREEN_KEPT))
-    else:
-        raise ValueError("lists must be 'literal' or 'subquery'")
+    sets = fetch_screen_code_sets(screen)
+    removed, end, kept = sets[SCREEN_REMOVED], sets[SCREEN_END], sets[SCREEN_KEPT]
     removed_counts = exclusion_counts(base, removed)
     after_removed = exclude_exposed(base, removed)
     end_counts = exclusion_counts(after_removed, end)

@@ -70,7 +70,7 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
-    if not spark.sparkContext.master.startswith("local") and fallback is None:
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError(
             "spark.checkpoint.dir is not set: configure a shared folder (e.g. on the "
             "cluster file system) so lineage cuts survive lost executors"

@@ -66,7 +66,8 @@ def raw_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     build costs, not a raw three-way join.
     """
     line = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    part_rows = read_table(spark, sf_dir, "part").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("p_rows"))
+    # Grouped by code too, so that the join gets an exchange of its own, which AQE can split.
+    part_rows = read_table(spark, sf_dir, "part").groupBy("p_partkey", "p_brand").agg(F.count(F.lit(1)).alias("p_rows"))
     per_order = (
         line.join(part_rows, line.l_partkey == part_rows.p_partkey)
         .groupBy("l_orderkey")
@@ -74,13 +75,14 @@ def raw_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     order_rows = read_table(spark, sf_dir, "orders").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("o_rows"))
     joined = order_rows.join(per_order, order_rows.o_orderkey == per_order.l_orderkey)
-    return joined.agg(F.sum(F.col("lines") * F.col("o_rows")).cast("bigint").alias("n_rows_raw"))
+    total = F.sum(F.col("lines") * F.col("o_rows")).cast("bigint")
+    return joined.agg(F.coalesce(total, F.lit(0).cast("bigint")).alias("n_rows_raw"))
 
 
 def exposures(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFrame:
     """Distinct (subject_id, episode_id, code, outcome): E1.
 
-    Equal to ``exposure_rows(...).distinct()`` but derived from the per-order
+    Equal to the distinct ``exposure_rows(...)`` with a subject and an episode, but derived from the per-order
     code sets of ``episodes`` (same shuffles: the line items move twice, as
     partial sets the second time) instead of a distinct over the raw join,
     which would shuffle line-item-sized data a third time.  A NULL code is
@@ -98,10 +100,10 @@ def episodes(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFrame
 
     Plan shape, chosen for a lineitem table far larger than the others:
 
-    1. ``part`` is grouped by its key into a set of codes.  Copies of a part
-       collapse map-side, and the result is already hash-partitioned on the
-       join key, so the line-item join moves only line items (AQE broadcasts
-       the part side instead when its measured size is small).
+    1. ``part`` is reduced to distinct (key, code) rows: copies of a part
+       collapse map-side.  The join then has an exchange of its own on each
+       side, so AQE splits the partition of a hot part key (or broadcasts the
+       part side when its measured size is small).
     2. Line items are grouped per order *before* meeting ``orders``: the
        partial ``collect_set`` runs map-side, so a hot order (even a third of
        all line items) reaches the shuffle as one small set per map task.
@@ -129,16 +131,13 @@ def _episode_rows(spark: SparkSession, sf_dir: str, code: str) -> DataFrame:
     )
     part = (
         read_table(spark, sf_dir, "part")
-        .groupBy("p_partkey")
-        .agg(F.collect_set(F.col(code_column(code))).alias("p_codes"),
-             F.max(F.col(code_column(code)).isNull()).alias("p_null"))
+        .select("p_partkey", F.col(code_column(code)).alias("code"))
+        .distinct()
     )
     # a part whose code is NULL still exposes its line items (empty code set)
-    coded = line.join(part, line.l_partkey == part.p_partkey).select(
-        "l_orderkey", F.explode_outer("p_codes").alias("code"), "p_null"
-    )
+    coded = line.join(part, line.l_partkey == part.p_partkey).select("l_orderkey", "code")
     per_order = coded.groupBy("l_orderkey").agg(
-        F.collect_set("code").alias("codes"), F.max("p_null").alias("has_null")
+        F.collect_set("code").alias("codes"), F.max(F.col("code").isNull()).alias("has_null")
     )
     variants = (
         read_table(spark, sf_dir, "orders")
@@ -176,11 +175,7 @@ def materialised_episodes(spark: SparkSession, sf_dir: str, code: str = "brand")
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), code)
     path = _MATERIALISED.get(key)
     if path is None:
-        try:
-            folder = ensure_checkpoint_dir(spark)
-        except RuntimeError:
-            # no shared folder configured on a cluster: build inside each plan
-            return episodes(spark, sf_dir, code)
+        folder = ensure_checkpoint_dir(spark)
         path = f"{folder.rstrip('/')}/episodes-{code}-{uuid.uuid4().hex}"
         episodes(spark, sf_dir, code).write.parquet(path)
         _MATERIALISED[key] = path

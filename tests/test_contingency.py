@@ -79,12 +79,34 @@ def test_exclusion_counts_include_unseen_codes(golden_episodes, spark):
     assert got == {"A": 5, "Q": 0}
 
 
-def test_inline_code_lists_are_size_guarded(spark, golden_episodes, monkeypatch):
-
-    monkeypatch.setattr(C, "MAX_INLINE_CODES", 2)
-    codes = spark.createDataFrame([("A",), ("B",), ("C",)], "code string")
-    with pytest.raises(Exception) as err:
-        C.exclude_exposed(golden_episodes, codes).count()
-    assert "inline" in str(err.value)
-    # the join-based method has no such bound
-    assert C.exclude_exposed(golden_episodes, codes, "join").count() == 2
+def test_long_code_lists_are_joined_with_the_same_result(spark, golden_episodes, monkeypatch):
+    from polyrisk.operators import histograms as H
+    from polyrisk.operators import vocab as V
+
+    codes = spark.createDataFrame([("A",), ("B",), ("C",), ("A",), (None,)], "code string")
+
+    def snapshot():
+        rows = lambda df: sorted(map(repr, map(tuple, df.collect())))
+        screened = run_screening(golden_episodes, thres=2)
+        return (
+            rows(C.exclude_exposed(golden_episodes, codes)),
+            rows(C.exclusion_counts(golden_episodes, codes)),
+            rows(C.restrict_codes(golden_episodes, codes)),
+            rows(V.align_lenient(golden_episodes, codes)),
+            rows(H.codes_per_episode(golden_episodes, codes)),
+            rows(screened.cleaned),
+            rows(screened.excluded_counts()),
+        )
+
+    inlined = snapshot()
+    monkeypatch.setattr(C, "INLINE_CODES", 1)
+    assert snapshot() == inlined
+    assert len(inlined[0]) == 2
+
+
+def test_empty_code_list(spark, golden_episodes):
+    codes = spark.createDataFrame([], "code string")
+    n = golden_episodes.count()
+    assert C.exclude_exposed(golden_episodes, codes).count() == n
+    assert C.restrict_codes(golden_episodes, codes).where("n_codes = 0").count() == n
+    assert C.exclusion_counts(golden_episodes, codes).count() == 0

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from polyrisk.operators import sampling as S
@@ -61,11 +62,11 @@ def test_exact_row_sample_size_and_order(spark):
     import hashlib
 
     eps = tables.episodes(spark, SF, "brand")
-    rows = eps.select("subject_id", "episode_id").collect()
+    rows = eps.select("subject_id", "episode_id", "outcome").collect()
     n = len(rows)
 
     def order_key(r, seed=42):
-        key = f"{r.subject_id}|{r.episode_id}"
+        key = f"{r.subject_id}|{r.episode_id}|{r.outcome}"
         d = hashlib.md5(f"{seed}|{key}".encode()).hexdigest()
         return (int(d[:8], 16), int(d[8:16], 16), key)
 
@@ -107,3 +108,37 @@ def test_group_sample_exact_count_of_combinations(spark):
         # whole combinations only
         full = eps.join(picked.select("combo").distinct(), "combo").count()
         assert full == picked.count()
+
+
+def test_exact_samples_with_conflicting_outcomes(spark):
+    eps = spark.createDataFrame(
+        [(i, i, o, [f"C{i % 3}"], 1) for i in range(40) for o in (0, 1)],
+        "subject_id long, episode_id long, outcome int, combo array<string>, n_codes int",
+    )
+    for f in (25 / 80, 41 / 80, 57 / 80):
+        assert S.exact_row_sample(eps, f, 42).count() == round(f * 80)
+        err = S.sampling_error(eps, (f,), seed=42, exact=True)
+        assert err.agg(F.sum("n_sample")).first()[0] == round(f * 80)
+
+
+def test_a_delimiter_in_a_code_does_not_join_combinations(spark):
+    combos = [["A|B"], ["A", "B"], ["A\\pB"], ["A\\", "B"], [""], []]
+    eps = spark.createDataFrame([(i, i, 0, c, len(c)) for i, c in enumerate(combos)],
+                                "subject_id long, episode_id long, outcome int, combo array<string>, n_codes int")
+    for f in (1 / 6, 0.5, 5 / 6):
+        assert S.group_sample_exact(eps, f, 40).count() == round(f * 6)
+        assert S.holdout_unseen_exact(eps, f, 40).count() == 6 - round(f * 6)
+
+
+def test_exact_folds_of_groups(spark):
+    """Many risks of one combination: groups are the distinct keys, not the rows."""
+    rows = [(["A"], i / 16, 1) for i in range(15)] + [([f"B{i}"], 0.5, 1) for i in range(6)]
+    df = spark.createDataFrame(rows, "combo array<string>, risk double, n long")
+    whole = S.kfold_assign_exact(df, 3, 40)
+    assert whole.groupBy("combo").agg(F.countDistinct("fold").alias("k")).where("k != 1").count() == 0
+    groups = whole.select("combo", "fold").distinct().groupBy("fold").count().collect()
+    assert sorted((r.fold, r["count"]) for r in groups) == [(0, 3), (1, 2), (2, 2)]
+    pairs = S.kfold_assign_exact(df, 3, 40, risk_col="risk").groupBy("fold").count().collect()
+    assert sorted((r.fold, r["count"]) for r in pairs) == [(0, 7), (1, 7), (2, 7)]
+    with pytest.raises(ValueError):
+        S.kfold_assign_exact(df.limit(2), 3, 40, risk_col="risk")

@@ -51,3 +51,37 @@ def test_raw_row_count_with_copies(spark, tmp_path):
     root = str(tmp_path)
     _write_tables(spark, root, n_orders=600)
     assert tables.raw_row_count(spark, root).first().n_rows_raw == tables.exposure_rows(spark, root, "brand").count()
+
+
+def test_hot_part_key_is_split(spark, tmp_path):
+    """Two thirds of the line items on one part, no broadcasts: the part join is a split skew join."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.files.maxPartitionBytes": "64k",
+        "spark.sql.files.openCostInBytes": "4k",
+    }
+    root = str(tmp_path)
+    spark.range(300).selectExpr("id AS p_partkey", "concat('B', id % 5) AS p_brand", "'T' AS p_type").write.parquet(f"{root}/part.parquet")
+    spark.range(20000).selectExpr("id AS o_orderkey", "id % 97 AS o_custkey", "'F' AS o_orderstatus").write.parquet(f"{root}/orders.parquet")
+    lines = spark.range(120000).selectExpr("id % 20000 AS l_orderkey", "IF(id % 3 < 2, 7, id % 300) AS l_partkey")
+    lines.repartition(8).write.parquet(f"{root}/lineitem.parquet")
+    want = {(r.o_orderkey, r.c) for r in lines.join(spark.read.parquet(f"{root}/part.parquet"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.sort_array(F.collect_set("p_brand")), "|").alias("c")).collect()}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for df in (tables.episodes(spark, root, "brand"), tables.raw_row_count(spark, root)):
+            rows = df.collect()
+            assert "SortMergeJoin(skew=true)" in df._jdf.queryExecution().executedPlan().toString()
+            if "combo" in df.columns:
+                assert {(r.episode_id, "|".join(r.combo)) for r in rows} == want
+            else:
+                assert rows[0].n_rows_raw == 120000
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
