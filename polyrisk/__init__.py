@@ -3,7 +3,7 @@
 Subpackages: ``sources`` (inputs), ``operators`` (DataFrame operators),
 ``functions`` (column expressions), ``ml`` (distributed model fitting),
 ``plans`` (workflows, registered queries and their SQL twins),
-``streaming`` (incremental combination risk); ``sinks`` writes outputs.
+``sinks`` writes outputs.
 """
 
 __version__ = "0.1.0"

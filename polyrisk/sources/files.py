@@ -114,10 +114,9 @@ def read_loss_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("Epoch").cast("int").alias("epoch"), number.cast("double").alias("loss_train"))
 
 
-def read_best_params(path: str) -> dict:
+def read_best_params(spark: SparkSession, path: str) -> dict:
     """Best-parameter file (a Python dict literal, one line): A5/B5.
 
     A configuration file of a few bytes, parsed on the driver.
     """
-    with open(path, encoding="utf-8") as fh:
-        return ast.literal_eval(fh.read().strip())
+    return ast.literal_eval(spark.read.text(path, wholetext=True).first().value.strip())

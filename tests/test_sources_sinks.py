@@ -54,10 +54,10 @@ def test_loss_and_trial_readers(spark, tmp_path):
     assert [r.rank for r in rows] == [1, 2]
 
 
-def test_best_params_reader(tmp_path):
+def test_best_params_reader(spark, tmp_path):
     p = tmp_path / "params.txt"
     p.write_text("{'epoch': 500, 'activation': 'RELU', 'layers': 1, 'hidden_dim_1': 100, 'learning_rate': 0.0027}")
-    assert files.read_best_params(str(p))["hidden_dim_1"] == 100
+    assert files.read_best_params(spark, str(p))["hidden_dim_1"] == 100
 
 
 def test_screen_sink_partitions(spark, tmp_path, golden_episodes):
