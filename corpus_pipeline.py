@@ -32,10 +32,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id.
 
+    Near duplicates share at least 0.8 of their five-word shingles; 30 bands
+    of 5 rows let a pair at that similarity slip with a chance below 1e-5.
     Rows that repeat an id and its text are one document; rows without an id
     are all kept.
     """
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = near_duplicates(docs, percent=80, bands=30, rows=5).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text"))
     named = named.dropDuplicates(["doc_id", "__text"]).select(*COLUMNS)
     return named.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
