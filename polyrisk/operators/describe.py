@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from polyrisk.functions import round_half_even
+from polyrisk.session import cut_lineage
 
 WHISKER = 1.5
 KDE_GRID = 200
@@ -26,8 +27,10 @@ KDE_CUT = 3.0
 
 
 QUANTILE_BINS = 1024
-QUANTILE_FETCH_BUDGET = 1_000_000  # values fetched to the driver, all targets together
-QUANTILE_MAX_GROUPS = 1_000        # per-group state lives on the driver
+#: Values of one interval that a task sorts at the end of a quantile search.
+QUANTILE_SORT_ROWS = 100_000
+#: Values fetched by ``order_statistics``, all ranks together.
+ORDER_FETCH_BUDGET = 1_000_000
 
 
 def exact_quantiles(
@@ -36,48 +39,80 @@ def exact_quantiles(
     group_col: str,
     probs,
     bins: int = QUANTILE_BINS,
-    exact_limit: int | None = None,
+    exact_limit: int = QUANTILE_SORT_ROWS,
 ) -> DataFrame:
     """Exact quantiles (linear interpolation between order statistics) per group.
 
-    No group is ever gathered in one task.  Each needed order statistic
-    (rank r of its group) starts with the interval [min, max] of its group;
-    every round is one distributed aggregation that histograms the values
-    still inside an interval into ``bins`` equal-width bins, keeping count,
-    min and max per bin.  The bin holding rank r becomes the new interval,
-    bounded by actual data values, so membership stays exact.  Once an
-    interval holds at most ``exact_limit`` values (or a single repeated
-    value) those values are fetched and the statistic read off.  The driver
-    keeps a few numbers per target; groups are expected to be few (e.g. one
-    per sampling fraction), and each round moves at most targets x bins
-    summary rows.  By default ``exact_limit`` is derived from a total fetch
-    budget, so the values reaching the driver are bounded by a constant
-    whatever the data size.  Result: (group, prob, value).
+    No group is ever gathered in one task, and any number of groups will do:
+    the state is a table.  Each needed order statistic (rank r of its group)
+    starts with the interval [min, max] of its group; every round is one
+    aggregation that histograms the values still inside an interval into
+    ``bins`` equal-width bins, keeping count, min and max per bin.  The bin
+    holding rank r becomes the new interval, bounded by actual data values, so
+    membership stays exact and the interval gets narrower.  Once an interval
+    holds at most ``exact_limit`` values (or a single repeated value), its
+    values are sorted and the statistic read off.
+
+    Null and NaN are not values; an infinite value is an error.  Result:
+    (group, prob, value).
     """
-    spark = values.sparkSession
-    g_type = values.schema[group_col].dataType
-    base = values.select(F.col(group_col).alias("_g"), F.col(value_col).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull()
-    )
+    base = values.select(F.col(group_col).alias("_g"), F.col(value_col).cast("double").alias("_v"))
     # Several small jobs read the values: keep them (two columns) for the
     # duration instead of recomputing their lineage each round.
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    base = base.where(F.col("_v").isNotNull() & ~F.isnan("_v")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _select_quantiles(spark, base, g_type, group_col, probs, bins, exact_limit)
+        return _select_quantiles(base, group_col, probs, bins, exact_limit)
     finally:
         base.unpersist()
 
 
-def _group_bounds(base) -> list:
-    groups = (
-        base.groupBy("_g")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-        .limit(QUANTILE_MAX_GROUPS + 1)  # size probe, not a result cap
-        .collect()
-    )
-    if len(groups) > QUANTILE_MAX_GROUPS:
-        raise ValueError(f"exact order statistics support at most {QUANTILE_MAX_GROUPS} groups")
-    return groups
+def _in_intervals(base: DataFrame, state: DataFrame) -> DataFrame:
+    """Values with each distinct interval of ``state`` that holds them (closed at both ends)."""
+    intervals = state.select(F.col("_g").alias("_ig"), "_lo", "_hi").distinct()
+    return base.join(intervals, F.col("_g").eqNullSafe(F.col("_ig")) & F.col("_v").between(F.col("_lo"), F.col("_hi"))).drop("_ig")
+
+
+def _select_quantiles(base: DataFrame, group_col: str, probs, bins: int, exact_limit: int) -> DataFrame:
+    groups = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    groups = cut_lineage(groups)
+    if groups.where("_lo = double('-infinity') OR _hi = double('infinity')").limit(1).count():
+        raise ValueError("quantiles need finite values")
+    wanted = groups.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    wanted = wanted.withColumn("_pos", F.col("prob") * (F.col("_n") - 1))
+    wanted = wanted.select("_g", "prob", "_pos", F.floor("_pos").alias("_r0"), F.ceil("_pos").alias("_r1"))
+    ranks = wanted.select("_g", F.explode(F.array("_r0", "_r1")).alias("_r")).distinct()
+    same = F.col("_g").eqNullSafe(F.col("_sg"))
+    state = ranks.join(groups.withColumnRenamed("_g", "_sg"), same).drop("_sg").withColumn("_below", F.lit(0).cast("bigint"))
+    still = (F.col("_n") > exact_limit) & (F.col("_lo") < F.col("_hi"))
+    # Half of each bound where the width itself would overflow.
+    scale = F.when(F.col("_hi") / 2 - F.col("_lo") / 2 > 8e307, 0.5).otherwise(1.0)
+    place = (F.col("_v") * scale - F.col("_lo") * scale) / (F.col("_hi") * scale - F.col("_lo") * scale)
+    while state.where(still).limit(1).count():
+        open_ = state.where(still)
+        hist = _in_intervals(base, open_).groupBy("_g", "_lo", "_hi", F.least(F.floor(place * bins), F.lit(bins - 1)).alias("_b"))
+        hist = hist.agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+        # At most ``bins`` rows of an interval are added up here.
+        before = F.sum("_c").over(Window.partitionBy("_g", "_lo", "_hi").orderBy("_b")) - F.col("_c")
+        hist = hist.withColumn("_before", before).withColumnsRenamed({"_g": "_sg", "_lo": "_slo", "_hi": "_shi"})
+        start = F.col("_below") + F.col("_before")
+        hit = same & (F.col("_lo") == F.col("_slo")) & (F.col("_hi") == F.col("_shi")) & F.col("_r").between(start, start + F.col("_c") - 1)
+        narrowed = open_.join(hist, hit).select("_g", "_r", F.col("_c").alias("_n"), F.col("_mn").alias("_lo"), F.col("_mx").alias("_hi"), start.alias("_below"))
+        state = cut_lineage(narrowed.unionByName(state.where(~still)))
+    order = F.row_number().over(Window.partitionBy("_g", "_lo", "_hi").orderBy("_v")) - 1
+    ranked = _in_intervals(base, state.where("_lo < _hi")).withColumn("_at", order).withColumnsRenamed({"_g": "_sg", "_lo": "_slo", "_hi": "_shi"})
+    read = same & (F.col("_lo") == F.col("_slo")) & (F.col("_hi") == F.col("_shi")) & (F.col("_r") - F.col("_below") == F.col("_at"))
+    found = state.where("_lo < _hi").join(ranked, read).select("_g", "_r", "_v")
+    found = found.unionByName(state.where("_lo = _hi").select("_g", "_r", F.col("_lo").alias("_v")))
+    for k in (0, 1):
+        one = found.select(F.col("_g").alias("_sg"), F.col("_r").alias(f"_r{k}"), F.col("_v").alias(f"_v{k}"))
+        wanted = wanted.join(one, same & (wanted[f"_r{k}"] == one[f"_r{k}"])).drop("_sg", one[f"_r{k}"])
+    value = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_pos") - F.col("_r0"))
+    return cut_lineage(wanted.select(F.col("_g").alias(group_col), "prob", value.alias("value")))
+
+
+def group_bounds(base) -> list:
+    """(_g, n, lo, hi) of each group; for callers that made the groups themselves."""
+    return base.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
 
 
 def order_statistics(spark, base, g_type, groups, ranks: dict, bins: int = QUANTILE_BINS,
@@ -86,11 +121,12 @@ def order_statistics(spark, base, g_type, groups, ranks: dict, bins: int = QUANT
 
     ``groups``: rows (_g, n, lo, hi); ``ranks``: group -> 0-based ranks.
     Returns (group, rank) -> (value, number of values strictly below it),
-    by the interval refinement described in ``exact_quantiles``.
+    by the interval refinement described in ``exact_quantiles``, with the state
+    on the driver: for a few ranks of a few groups.
     """
     if exact_limit is None:
         n_targets = max(1, sum(len(set(r)) for r in ranks.values()))
-        exact_limit = max(1_000, QUANTILE_FETCH_BUDGET // n_targets)
+        exact_limit = max(1, ORDER_FETCH_BUDGET // n_targets)
 
     # state per (group, rank): [lo, hi, below, count]; targets share intervals
     state: dict = {}
@@ -149,36 +185,16 @@ def order_statistics(spark, base, g_type, groups, ranks: dict, bins: int = QUANT
     return out
 
 
-def _select_quantiles(spark, base, g_type, group_col, probs, bins, exact_limit) -> DataFrame:
-    groups = _group_bounds(base)
-    wanted, ranks = [], {}
-    for row in groups:
-        for p in probs:
-            pos = p * (row.n - 1)
-            lo_r, hi_r = math.floor(pos), math.ceil(pos)
-            wanted.append((row._g, p, pos, lo_r, hi_r))
-            ranks.setdefault(row._g, set()).update((lo_r, hi_r))
-    stats = order_statistics(spark, base, g_type, groups, ranks, bins, exact_limit)
-    rows = []
-    for g, p, pos, lo_r, hi_r in wanted:
-        x_lo, x_hi = stats[(g, lo_r)][0], stats[(g, hi_r)][0]
-        rows.append((g, float(p), x_lo + (x_hi - x_lo) * (pos - lo_r)))
-    schema = T.StructType(
-        [T.StructField(group_col, g_type), T.StructField("prob", T.DoubleType()), T.StructField("value", T.DoubleType())]
-    )
-    # a local relation: independent of the cached values released afterwards
-    return spark.createDataFrame(rows, schema)
-
-
 def box_stats(values: DataFrame, value_col: str, group_col: str, whis: float = WHISKER) -> DataFrame:
     """Quartiles (linear interpolation), 1.5 IQR whiskers and outlier count: E19.
 
     Quartiles come from ``exact_quantiles`` (no group gathered in one task);
     whiskers are the most extreme values inside the fences and outliers the
     values beyond them, one aggregation over the values joined with the
-    per-group quartile row (a table of one row per group).
+    per-group quartile row (a table of one row per group).  Null and NaN are
+    not values.
     """
-    values = values.select(group_col, value_col)
+    values = values.select(group_col, value_col).where(~F.isnan(F.col(value_col).cast("double")))
     q = exact_quantiles(values, value_col, group_col, (0.25, 0.5, 0.75))
     quart = q.groupBy(group_col).agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]

@@ -51,26 +51,29 @@ def exposures_of(episodes: DataFrame) -> DataFrame:
     return episodes.select(*EPISODE_KEYS, F.explode("combo").alias("code"))
 
 
-def dataset_profile(raw_rows: DataFrame | None, episodes: DataFrame, n_raw=None) -> DataFrame:
+def dataset_profile(raw_rows: DataFrame | None, episodes: DataFrame, n_raw=None, n_distinct=None) -> DataFrame:
     """Dataset counts printed by the reference's cleaning step: E16 + E6.
 
     One row: raw rows, distinct exposures, episodes, subjects, codes and the
     class balance.  The raw count and the code count are scalar subqueries,
-    so the whole profile is a single lazy plan; ``n_raw`` may supply the raw
-    count as a column (e.g. ``sources.tables.raw_row_count(...).scalar()``).
+    so the whole profile is a single lazy plan; ``n_raw`` and ``n_distinct``
+    may supply the counts of raw and distinct rows as columns (e.g.
+    ``sources.tables.raw_row_count(...).scalar()``).  Distinct rows are
+    counted before rows with a null key are dropped.
     """
     if n_raw is None:
         n_raw = raw_rows.agg(F.count(F.lit(1))).scalar()
+    if n_distinct is None:
+        n_distinct = distinct_exposures(raw_rows).agg(F.count(F.lit(1))).scalar()
     n_codes = exposures_of(episodes).agg(F.count_distinct("code")).scalar()
     return episodes.agg(
         F.count(F.lit(1)).alias("n_episodes"),
-        F.sum("n_codes").cast("bigint").alias("n_exposures"),
         F.count_distinct("subject_id").alias("n_subjects"),
         F.count_if(F.col("outcome") == 1).alias("n_outcome_1"),
         F.count_if(F.col("outcome") == 0).alias("n_outcome_0"),
     ).select(
         n_raw.alias("n_rows_raw"),
-        "n_exposures",
+        n_distinct.alias("n_exposures"),
         "n_episodes",
         "n_subjects",
         n_codes.alias("n_codes"),

@@ -134,12 +134,12 @@ def _hash_order(keyed: DataFrame, seed: int, ranks_of) -> tuple[int, dict[int, t
     from pyspark import StorageLevel
     from pyspark.sql import types as T
 
-    from polyrisk.operators.describe import _group_bounds, order_statistics
+    from polyrisk.operators.describe import group_bounds, order_statistics
 
     base = keyed.select(F.lit(0).alias("_g"), F.col("_h1").cast("double").alias("_v"), "_key")
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        groups = _group_bounds(base)
+        groups = group_bounds(base)
         n = groups[0].n if groups else 0
         ranks = sorted({r for r in ranks_of(n) if 0 < r < n})
         if not ranks:

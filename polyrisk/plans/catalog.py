@@ -24,6 +24,7 @@ from polyrisk.operators import sampling as S
 from polyrisk.operators import vocab as V
 from polyrisk.plans import params as P
 from polyrisk.plans.screening import run_screening
+from polyrisk.session import cut_lineage
 from polyrisk.sinks import multi_hot
 from polyrisk.sources import tables
 
@@ -60,7 +61,8 @@ def q_multi_hot_wide(spark, sf_dir):
 
 def q_dataset_profile(spark, sf_dir):
     n_raw = tables.raw_row_count(spark, sf_dir).scalar()
-    return E.dataset_profile(None, _episodes(spark, sf_dir), n_raw=n_raw)
+    n_distinct = tables.distinct_row_count(spark, sf_dir, P.CODE).scalar()
+    return E.dataset_profile(None, _episodes(spark, sf_dir), n_raw=n_raw, n_distinct=n_distinct)
 
 
 def q_code_contingency(spark, sf_dir):
@@ -179,7 +181,7 @@ def q_frequent_combo_episodes(spark, sf_dir):
 def _vocabularies(ep: DataFrame):
     """Vocabulary A: codes with at least average frequency, most frequent first.
     Vocabulary B: codes riskier with than without, by P(pos | code) descending."""
-    stats = C.code_contingency(ep)
+    stats = cut_lineage(C.code_contingency(ep))  # one row a code, counted once for both lists
     freq = stats.select("code", (F.col("count_outcome_0") + F.col("count_outcome_1")).alias("n_exp"))
     totals = freq.agg(F.struct(F.sum("n_exp").alias("total"), F.count(F.lit(1)).alias("m"))).scalar()
     frequent = freq.where(F.col("n_exp") * totals.getField("m") >= totals.getField("total"))
@@ -433,7 +435,8 @@ RELATIONAL: dict[str, Query] = {
 
 
 def all_queries() -> dict[str, Query]:
-    """Relational queries plus the model-fitting ones (which have no SQL twin)."""
+    """Relational queries, format round trips and the model-fitting ones (which have no SQL twin)."""
     from polyrisk.plans.modeling import MODEL_QUERIES
+    from polyrisk.plans.roundtrips import FORMAT_QUERIES
 
-    return {**RELATIONAL, **MODEL_QUERIES}
+    return {**RELATIONAL, **FORMAT_QUERIES, **MODEL_QUERIES}

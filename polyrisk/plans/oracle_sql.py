@@ -12,15 +12,18 @@ from __future__ import annotations
 
 from polyrisk.plans import params as P
 
-POSITIVE = "CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS INTEGER)"
+POSITIVE = "CAST(o_orderstatus = 'F' AS INTEGER)"
 
 
 def exposures_cte(code_col: str) -> str:
-    return f"""exposures AS (
+    """Row-distinct exposures, then (as the reference's grouping does) without null keys."""
+    return f"""distinct_rows AS (
   SELECT DISTINCT o_custkey AS subject_id, o_orderkey AS episode_id, {code_col} AS code,
          {POSITIVE} AS outcome
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
-  WHERE o_custkey IS NOT NULL AND o_orderkey IS NOT NULL)"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+exposures AS (
+  SELECT * FROM distinct_rows
+  WHERE subject_id IS NOT NULL AND episode_id IS NOT NULL AND outcome IS NOT NULL)"""
 
 
 EPISODES_CTE = """episodes AS (
@@ -170,7 +173,7 @@ def build() -> dict[str, str]:
     sql: dict[str, str] = {}
     thres = P.THRES
 
-    sql["exposures_distinct"] = with_base(brand) + "SELECT * FROM exposures"
+    sql["exposures_distinct"] = with_base(brand) + "SELECT * FROM distinct_rows"
     sql["episodes"] = with_base(brand) + "SELECT * FROM episodes"
 
     wide = ", ".join(
@@ -180,7 +183,7 @@ def build() -> dict[str, str]:
 
     sql["dataset_profile"] = with_base(brand) + """SELECT
   (SELECT count(*) FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey) AS n_rows_raw,
-  CAST(sum(n_codes) AS BIGINT) AS n_exposures, count(*) AS n_episodes, count(DISTINCT subject_id) AS n_subjects,
+  (SELECT count(*) FROM distinct_rows) AS n_exposures, count(*) AS n_episodes, count(DISTINCT subject_id) AS n_subjects,
   (SELECT count(DISTINCT code) FROM exposures) AS n_codes,
   count(*) FILTER (WHERE outcome = 0) AS n_outcome_0, count(*) FILTER (WHERE outcome = 1) AS n_outcome_1
 FROM episodes"""
@@ -415,4 +418,11 @@ SELECT o.n_rows, o.p,
 FROM patterns pt, overall o GROUP BY o.n_rows, o.p"""
     sql["entropy_floor"] = with_base(brand, PATTERNS_CTE) + f"""SELECT CAST(sum(n) AS BIGINT) AS n_rows,
   round_even(sum({_bce('n', 'n_pos', 'risk')}) / sum(n), {L}) AS loss FROM patterns"""
+    # A file that is written and read back holds the table it was made from.
+    sql["format_long_csv"] = sql["exposures_distinct"]
+    sql["format_multi_hot_csv"] = sql["episodes"]
+    sql["format_vocabulary_json"] = sql["vocab_frequent"]
+    sql["format_code_stats_csv"] = sql["code_contingency"]
+    sql["format_screens_csv"] = sql["code_risk_screen"] + " WHERE screen IS NOT NULL"
+    sql["format_scores_csv"] = sql["logistic_fixed_scores"]
     return sql

@@ -10,11 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyrisk.formats import REFERENCE_NAMES
+from polyrisk.formats import CODE_PREFIX, REFERENCE_NAMES
 from polyrisk.functions import combo_key
 
-# Same bound Spark applies to pivot value lists.
-MAX_WIDE_COLUMNS = 10000
 
 def with_reference_names(df: DataFrame) -> DataFrame:
     """Rename canonical columns to the reference's file column names."""
@@ -25,15 +23,8 @@ def with_reference_names(df: DataFrame) -> DataFrame:
 
 
 def vocabulary_codes(vocab: DataFrame) -> list[str]:
-    """Ordered code list of a vocabulary, size-checked before it reaches the driver.
-
-    A vocabulary has one row per code; at most MAX_WIDE_COLUMNS + 1 rows are
-    fetched, so an unbounded table fails fast instead of flooding the driver.
-    """
-    rows = vocab.orderBy("position").select("code").limit(MAX_WIDE_COLUMNS + 1).collect()
-    if len(rows) > MAX_WIDE_COLUMNS:
-        raise ValueError(f"vocabulary exceeds {MAX_WIDE_COLUMNS} codes; keep the long form")
-    return [r.code for r in rows]
+    """Ordered code list of a vocabulary: the header of the wide table, one entry a column."""
+    return [r.code for r in vocab.orderBy("position").select("code").collect()]
 
 
 def multi_hot(episodes: DataFrame, vocab: DataFrame, prefix: str = "_") -> DataFrame:
@@ -77,3 +68,10 @@ def write_multi_hot_csv(episodes: DataFrame, vocab: DataFrame, path: str, mode:
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON object per row (best parameters B5)."""
     df.write.mode(mode).json(path)
+
+
+def write_vocabulary_json(vocab: DataFrame, path: str, mode: str = "overwrite", prefix: str = CODE_PREFIX) -> None:
+    """``{"columns": [...]}``: the marked code columns in vocabulary order, one document."""
+    ordered = F.sort_array(F.collect_list(F.struct("position", "code")))
+    names = F.transform(ordered, lambda x: F.concat(F.lit(prefix), x["code"]))
+    vocab.agg(names.alias("columns")).write.mode(mode).json(path)

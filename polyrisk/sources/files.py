@@ -45,33 +45,50 @@ def read_multi_hot_csv(
     outcome_column: str = "diagnosis",
     prefix: str = "_",
     ignore: tuple[str, ...] = ("risk",),
+    subject_type: str = "bigint",
 ) -> DataFrame:
     """Wide 0/1 table -> episodes (subject_id, episode_id, outcome, combo, n_codes): A2.
 
     Each row's code set is built by one projection (no unpivot to rows x
     codes): ``array_compact`` of the codes whose cell is 1.  All-zero rows
-    become empty combinations.  Without key columns (the reference drops
-    them before training), rows get a generated episode id.
+    become empty combinations.  The column mark is removed wherever it stands,
+    as in the vocabulary reader.  Without key columns (the reference drops
+    them before training), a row's episode id is the hash of its content and
+    its number among the rows of equal content, so it depends neither on the
+    files nor on a retry.
     """
     wide = spark.read.option("header", True).option("inferSchema", False).csv(path)
     keys = [c for c in key_columns if c in wide.columns]
     code_cols = [c for c in wide.columns if c not in keys and c != outcome_column and c not in ignore]
     present = [
-        F.when(F.col(f"`{c}`").cast("int") == 1, F.lit(c[len(prefix):] if c.startswith(prefix) else c))
+        F.when(F.col(f"`{c}`").cast("int") == 1, F.lit(c.replace(prefix, "") if prefix else c))
         for c in code_cols
     ]
     combo = F.sort_array(F.array_compact(F.array(*present))) if present else F.array().cast("array<string>")
-    subject = F.col(keys[0]).cast("bigint") if len(keys) >= 1 else F.lit(None).cast("bigint")
-    episode = F.col(keys[1]) if len(keys) >= 2 else F.monotonically_increasing_id().cast("string")
-    out = wide.select(
-        subject.alias("subject_id"),
-        episode.alias("episode_id"),
-        F.col(outcome_column).cast("int").alias("outcome"),
-        combo.alias("combo"),
-    )
+    subject = (F.col(f"`{keys[0]}`") if keys else F.lit(None)).cast(subject_type)
+    outcome = F.col(f"`{outcome_column}`").cast("int").alias("outcome")
+    if len(keys) >= 2:
+        out = wide.select(subject.alias("subject_id"), F.col(f"`{keys[1]}`").alias("episode_id"), outcome, combo.alias("combo"))
+    else:
+        out = _numbered(wide.select(subject.alias("subject_id"), outcome, combo.alias("combo")))
     return out.withColumn("n_codes", F.size("combo"))
 
 
+def _numbered(rows: DataFrame, block: int = 100_000) -> DataFrame:
+    """(subject_id, episode_id, outcome, combo) with ids made from each row's content.
+
+    Equal rows are counted (partial sums map-side) and written out again with
+    numbers, in blocks that are dealt out anew, so no task holds a frequent one.
+    """
+    content = F.sha2(F.to_json(F.struct("subject_id", "outcome", "combo")), 256)
+    counts = rows.groupBy("subject_id", "outcome", "combo").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = counts.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / block)))).repartition("subject_id", "outcome", "combo", "_b")
+    first = F.col("_b") * block
+    numbers = F.explode(F.sequence(first + 1, F.least(first + block, "_n")))
+    numbered = blocks.withColumn("_i", numbers)
+    return numbered.select("subject_id", F.concat_ws("-", content, F.col("_i").cast("string")).alias("episode_id"), "outcome", "combo")
+
+
 def read_vocabulary_json(spark: SparkSession, path: str, prefix: str = "_") -> DataFrame:
     """``{"columns": [...]}`` -> vocabulary (position 1..m, code): A3 (+ C3 strip).
 

@@ -5,7 +5,7 @@ Mapping (FIXTURES.md §3):
     subject_id  <- o_custkey
     episode_id  <- o_orderkey
     code        <- p_brand (25 values) or p_type (6 values)
-    outcome     <- 1 when o_orderstatus = 'F' else 0
+    outcome     <- 1 when o_orderstatus = 'F' else 0 (null for a null status)
 
 ``exposure_rows`` is the literal three-way join, ``exposures`` its distinct
 rows.  ``episodes`` builds the same episodes as
@@ -38,7 +38,7 @@ def code_column(code: str) -> str:
 
 
 def _outcome(status_col: str = "o_orderstatus"):
-    return F.when(F.col(status_col) == POSITIVE_STATUS, 1).otherwise(0).cast("int")
+    return (F.col(status_col) == POSITIVE_STATUS).cast("int")
 
 
 def exposure_rows(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFrame:
@@ -82,11 +82,12 @@ def raw_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exposures(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFrame:
     """Distinct (subject_id, episode_id, code, outcome): E1.
 
-    Equal to the distinct ``exposure_rows(...)`` with a subject and an episode, but derived from the per-order
+    Equal to ``exposure_rows(...).distinct()``, but derived from the per-order
     code sets of ``episodes`` (same shuffles: the line items move twice, as
     partial sets the second time) instead of a distinct over the raw join,
-    which would shuffle line-item-sized data a third time.  A NULL code is
-    kept as its own row, as a distinct over the raw rows keeps it.
+    which would shuffle line-item-sized data a third time.  A NULL code,
+    subject or outcome is kept, as a distinct over the raw rows keeps it;
+    rows with a null key go when episodes are built.
     """
     ep = _episode_rows(spark, sf_dir, code)
     codes = F.when(F.col("has_null"), F.concat(F.col("codes"), F.array(F.lit(None).cast("string")))).otherwise(
@@ -95,6 +96,13 @@ def exposures(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFram
     return ep.select("subject_id", "episode_id", F.explode(codes).alias("code"), "outcome")
 
 
+def distinct_row_count(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFrame:
+    """One row, ``n_exposures``: the number of rows of ``exposures``, before the key filter."""
+    rows = F.size("codes") + F.col("has_null").cast("int")
+    total = _episode_rows(spark, sf_dir, code).agg(F.sum(rows).alias("n"))
+    return total.select(F.coalesce("n", F.lit(0)).cast("bigint").alias("n_exposures"))
+
+
 def episodes(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFrame:
     """One row per (subject_id, episode_id, outcome) with its sorted code set.
 
@@ -116,14 +124,14 @@ def episodes(spark: SparkSession, sf_dir: str, code: str = "brand") -> DataFrame
     Null keys are dropped (the reference's group-by drops them); a null code
     leaves an episode with an empty combination.
     """
-    ep = _episode_rows(spark, sf_dir, code)
+    ep = _episode_rows(spark, sf_dir, code).where(F.col("subject_id").isNotNull() & F.col("outcome").isNotNull())
     combo = F.sort_array(F.col("codes"))
     return ep.select("subject_id", "episode_id", "outcome", combo.alias("combo"), F.size(combo).alias("n_codes"))
 
 
 def _episode_rows(spark: SparkSession, sf_dir: str, code: str) -> DataFrame:
     """(subject_id, episode_id, outcome, codes, has_null) per episode, built
-    as described in ``episodes``."""
+    as described in ``episodes``; a null subject or outcome is still there."""
     line = (
         read_table(spark, sf_dir, "lineitem")
         .select("l_orderkey", "l_partkey")
@@ -141,7 +149,7 @@ def _episode_rows(spark: SparkSession, sf_dir: str, code: str) -> DataFrame:
     )
     variants = (
         read_table(spark, sf_dir, "orders")
-        .where(F.col("o_orderkey").isNotNull() & F.col("o_custkey").isNotNull())
+        .where(F.col("o_orderkey").isNotNull())
         .groupBy("o_orderkey")
         .agg(F.collect_set(F.struct(F.col("o_custkey").alias("subject_id"), _outcome().alias("outcome"))).alias("v"))
     )

@@ -57,3 +57,18 @@ def test_exact_quantiles_match_numpy(spark, limit, bins):
     for frac, data in ((0.5, a), (1.0, b)):
         for p in probs:
             assert got[(frac, p)] == pytest.approx(np.percentile(data, p * 100), abs=1e-12)
+
+
+def test_exact_quantiles_of_many_groups_nan_and_wide_values(spark):
+    rows = [(g, float(v)) for g in range(1_500) for v in (g, g + 1, g + 4)]
+    rows += [(-1, float("nan")), (-1, 2.0), (None, 7.0)]
+    wide = [-1.7e308, -1.0, 0.0, 2.0, 1.7e308]
+    rows += [(-2, v) for v in wide]
+    df = spark.createDataFrame(rows, "g int, x double")
+    got = {(r.g, r.prob): r.value for r in D.exact_quantiles(df, "x", "g", (0.5, 0.75), bins=4, exact_limit=2).collect()}
+    assert len(got) == 2 * 1_503
+    assert all(got[(g, 0.5)] == g + 1 and got[(g, 0.75)] == g + 2.5 for g in range(1_500))
+    assert got[(-1, 0.5)] == 2.0 and got[(None, 0.5)] == 7.0
+    assert got[(-2, 0.5)] == 0.0 and got[(-2, 0.75)] == 2.0
+    with pytest.raises(ValueError):
+        D.exact_quantiles(spark.createDataFrame([(1, float("inf"))], "g int, x double"), "x", "g", (0.5,))

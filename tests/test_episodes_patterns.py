@@ -96,3 +96,19 @@ def test_exposures_equal_distinct_raw_rows_with_null_codes(spark, tmp_path):
         assert sorted(map(tuple, fast.collect()), key=repr) == sorted(map(tuple, slow.collect()), key=repr)
     eps = {r.episode_id: tuple(r.combo) for r in tables.episodes(spark, root, "brand").collect()}
     assert eps == {10: ("A",), 11: (), 12: ("A", "B")}
+
+
+def test_null_keys_count_as_rows_but_make_no_episode(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, 2), (4, 1), (None, 1)], "l_orderkey bigint, l_partkey bigint").write.parquet(f"{sf}/lineitem.parquet")
+    spark.createDataFrame([(1, "A"), (2, None)], "p_partkey bigint, p_brand string").write.parquet(f"{sf}/part.parquet")
+    orders = [(1, 10, "F"), (2, None, "O"), (3, 11, "O"), (4, 12, None)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string").write.parquet(f"{sf}/orders.parquet")
+    rows = tables.exposure_rows(spark, sf)
+    distinct = {tuple(r) for r in tables.exposures(spark, sf).collect()}
+    assert distinct == {tuple(r) for r in rows.distinct().collect()}
+    assert distinct == {(10, 1, "A", 1), (None, 2, "A", 0), (11, 3, None, 0), (12, 4, "A", None)}
+    got = {tuple(r) for r in tables.episodes(spark, sf).select("subject_id", "outcome", "n_codes").collect()}
+    assert got == {(10, 1, 1), (11, 0, 0)}
+    assert tables.distinct_row_count(spark, sf).first().n_exposures == 4
+    assert tables.raw_row_count(spark, sf).first().n_rows_raw == 5

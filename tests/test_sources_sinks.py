@@ -1,8 +1,6 @@
 import json
 import os
 
-import pytest
-
 from polyrisk import sinks
 from polyrisk.sources import files
 
@@ -68,11 +66,10 @@ def test_screen_sink_partitions(spark, tmp_path, golden_episodes):
     assert sorted(d for d in os.listdir(out) if d.startswith("screen=")) == ["screen=end", "screen=kept", "screen=removed"]
 
 
-def test_vocabulary_size_guard(spark, monkeypatch):
-    monkeypatch.setattr(sinks, "MAX_WIDE_COLUMNS", 2)
-    vocab = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "position int, code string")
-    with pytest.raises(ValueError):
-        sinks.vocabulary_codes(vocab)
+def test_vocabulary_of_any_size(spark):
+    vocab = spark.range(12_000).selectExpr("cast(12000 - id as int) as position", "concat('C', id) as code")
+    codes = sinks.vocabulary_codes(vocab)
+    assert len(codes) == 12_000 and codes[0] == "C11999" and codes[-1] == "C0"
 
 
 def test_multi_hot_reader_without_keys(spark, tmp_path):
@@ -84,6 +81,24 @@ def test_multi_hot_reader_without_keys(spark, tmp_path):
     assert eps.select("episode_id").distinct().count() == 3
 
 
+def test_multi_hot_reader_ids_do_not_depend_on_files(spark, tmp_path):
+    rows = ["1,0,1", "1,0,1", "0,1,0", "1,0,1"]
+    one, two = tmp_path / "one", tmp_path / "two"
+    for folder, parts in ((one, [rows]), (two, [rows[2:], rows[:1], rows[1:2]])):
+        folder.mkdir()
+        for i, part in enumerate(parts):
+            (folder / f"part-{i}.csv").write_text("\n".join(["_A_1,_B,diagnosis", *part]) + "\n")
+    a, b = (sorted(tuple(r) for r in files.read_multi_hot_csv(spark, str(p)).select("episode_id", "outcome", "n_codes").collect()) for p in (one, two))
+    assert a == b and len({x[0] for x in a}) == 4
+    assert {tuple(r.combo) for r in files.read_multi_hot_csv(spark, str(one)).collect()} == {("A1",), ("B",)}
+
+
+def test_multi_hot_reader_string_subjects(spark, tmp_path):
+    p = tmp_path / "wide.csv"
+    p.write_text("ID,fin_grossesse,_A,diagnosis\nx-1,2020-01-01,1,1\n")
+    assert files.read_multi_hot_csv(spark, str(p), subject_type="string").first().subject_id == "x-1"
+
+
 def test_reference_names(spark, golden_episodes):
     from polyrisk.operators.contingency import code_contingency
 
