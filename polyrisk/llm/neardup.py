@@ -100,6 +100,84 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+#: Slots of the shingle counts that order a set from rare to common; collisions change the order, not the result.
+SLOT_BITS = 16
+#: Buckets of at most so many classes are finished by comparing all their pairs.
+SMALL = 32
+
+
+def _slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each slot (a fixed number of slots)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for items in batch.column("items"):
+                held += np.bincount(np.frombuffer(items.as_buffer(), np.uint64) >> np.uint64(64 - SLOT_BITS), minlength=len(held))
+        found = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(held[found])], names=["slot", "n"])
+
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    for r in sets.select("items").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[r["slot"]] = r["n"]
+    return out
+
+
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) among ``sets(cls, items, root, minor)``: every pair that can reach ``percent`` is there.
+
+    With shingles in one order for all sets, rare ones first, a pair over the
+    threshold shares one of the smaller set's first n - ceil(2tn / (1 + t)) + 1
+    and the larger set's first n - ceil(tn) + 1.  Pairs with the same root, and
+    those where neither is ``minor``, are left out.
+    """
+    counts = _slot_counts(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, items in enumerate(batch.column("items")):
+                found = np.frombuffer(items.as_buffer(), np.uint64)
+                n = len(found)
+                probe, lead = n + (-percent * n // 100) + 1, n + (-2 * percent * n // (100 + percent)) + 1
+                first = found[np.lexsort((found, counts[found >> np.uint64(64 - SLOT_BITS)]))[:probe]]
+                same = pa.array(np.full(len(first), i))
+                columns = [pa.array(first.view(np.int64)), *(batch.column(c).take(same) for c in ("cls", "root", "minor")), pa.array(np.full(len(first), n)), pa.array(np.arange(len(first)) < lead)]
+                yield pa.RecordBatch.from_arrays(columns, names=["item", "cls", "root", "minor", "n", "lead"])
+
+    rare = materialise(sets.select("cls", "root", "minor", "items").mapInArrow(run, "item bigint, cls binary, root binary, minor boolean, n bigint, lead boolean"), "neardup-rare")
+    p = rare.select("item", *(F.col(c).alias(f"p_{c}") for c in ("cls", "root", "minor", "n")))
+    fits = F.expr(f"root <> p_root AND struct(n, cls) < struct(p_n, p_cls) AND 100 * n >= {percent} * p_n")
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right, "item").where(fits).select(F.col("cls").alias("a"), F.col("p_cls").alias("b"))
+
+    lead = rare.where("lead")
+    return meet(lead.where("minor"), p).union(meet(lead.where("NOT minor"), p.where("p_minor"))).distinct()
+
+
+def finish(buckets: DataFrame, roots: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links between components that the star-shaped candidates left out.
+
+    Buckets of at most ``SMALL`` classes compare all pairs of several
+    components; the classes of larger ones are joined on their rare shingles.
+    Both are complete, so no pair of a bucket is left undecided.
+    """
+    placed = buckets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    by_root = placed.groupBy("key", "root").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    # A pair of two components has at least one class outside the bucket's largest one.
+    mixed = by_root.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("parts")).where("parts > 1").select("key", "major")
+    placed = materialise(placed.where("n > 2").join(mixed, "key"), "neardup-mixed")
+    x, y = (placed.where(f"n <= {SMALL}").select("key", F.col("cls").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    pairs = x.join(y, "key").where("a_root <> b_root AND a < b").select("a", "b").distinct()
+    large = placed.where(f"n > {SMALL}").groupBy("cls", "root").agg(F.max(F.col("root") != F.col("major")).alias("minor"))
+    if large.limit(1).count():
+        large = materialise(sets.join(large, "cls"), "neardup-large")
+        pairs = pairs.union(prefix_pairs(large, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"), "neardup-tried")
+    return materialise(verify(pairs, sets, percent), "neardup-links")
+
+
 def near_duplicates(
     docs: DataFrame,
     percent: int = 85,
@@ -112,12 +190,13 @@ def near_duplicates(
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Texts with equal shingle sets are one class.  Classes that share a band
-    bucket are linked to the bucket's centre only (star-shaped candidates), so
+    bucket are linked to the bucket's centre first (star-shaped candidates), so
     candidates grow with bucket size, not its square.  The first centre is the
     class that meets most others over all its buckets; every further round
     takes another centre in each bucket that still holds several components,
-    until a round adds no link.  Candidates count as links only after
-    comparing the full sets.
+    until a round adds no link.  What the buckets still hold in several
+    components is then decided in whole by :func:`finish`.  Candidates count
+    as links only after comparing the full sets.
 
     Rows with an empty set (null or blank text) stay alone.  Repeated rows and
     ids fall together; rows without an id are in no group: their component is
@@ -153,6 +232,9 @@ def near_duplicates(
         if not fresh.limit(1).count():
             break
         tried, links = tried.union(more), links.union(fresh)
+    fresh = finish(buckets, roots, tried.union(more), sets, percent)
+    if fresh.limit(1).count():
+        roots = materialise(connected_components(links.union(fresh)), "neardup-roots")
     first = roots.join(classes.select(F.col("cls").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("low"))
     lows = roots.join(first, "root").select(F.col("node").alias("cls"), "low")
     lows = classes.select("cls", "rep").join(lows, "cls", "left").select("cls", F.coalesce("low", "rep").alias("low"))
