@@ -32,32 +32,35 @@ BOILER = frozenset(
     "newsletter subscribe subscription signup login search share sharing social related recommended recommendations widget widgets pagination pager skip contentinfo complementary hidden".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus discussion replies reply respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Lines(HTMLParser):
-    """Turns a page's events into lines: [text parts, tags, boilerplate?, main element or 0]."""
+    """Turns a page's events into lines: [text parts, tags, boilerplate?, main element or 0, element]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, drops, marks a comment, main
+        self.open: list[tuple[str, bool, bool, int, int]] = []  # tag, drops, marks a comment, main, element
+        #: Parent and tag of each element that is not inline, in the page's order; 0 is the page.
+        self.parents, self.tags = [0], [""]
         self.fresh()
         self.mains = 0
 
     def fresh(self) -> None:
-        top = self.open[-1] if self.open else ("", False, False, 0)
+        top = self.open[-1] if self.open else ("", False, False, 0, 0)
         if self.lines and not self.lines[-1][0]:
-            self.lines[-1][2:] = [top[1], top[3]]
+            self.lines[-1][2:] = [top[1], top[3], top[4]]
         else:
-            self.lines.append([[], 0, top[1], top[3]])
+            self.lines.append([[], 0, top[1], top[3], top[4]])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ENDS_P:
             self._end(("p",))
         if tag in SIBLINGS:
             self._end(SIBLINGS[tag])
-        top = self.open[-1] if self.open else ("", False, False, 0)
+        top = self.open[-1] if self.open else ("", False, False, 0, 0)
         names: set[str] = set()
         gone = False
         for key, value in attrs:
@@ -77,7 +80,12 @@ class Lines(HTMLParser):
                 self.mains += 1
                 main = self.mains
         if tag not in VOID:
-            self.open.append((tag, drops, remark, main))
+            element = top[4]
+            if tag not in INLINE:
+                self.parents.append(element)
+                self.tags.append(tag)
+                element = len(self.tags) - 1
+            self.open.append((tag, drops, remark, main, element))
         if tag not in INLINE:
             self.fresh()
         self.lines[-1][1] += 1
@@ -105,9 +113,9 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not data.isspace() or self.lines[-1][0]:
-            top = self.open[-1] if self.open else ("", False, False, 0)
+            top = self.open[-1] if self.open else ("", False, False, 0, 0)
             if not self.lines[-1][0]:
-                self.lines[-1][2:] = [top[1], top[3]]
+                self.lines[-1][2:] = [top[1], top[3], top[4]]
             if not top[1]:
                 self.lines[-1][0].append(data)
                 self.lines[-1][2] = False
@@ -134,6 +142,31 @@ def clusters(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return smoothed > threshold if (smoothed > threshold).any() else np.ones(len(ratios), bool)
 
 
+def region(parser: Lines, kept: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Which lines lie in the article of a page without article or main elements.
+
+    The article is the smallest element around all content lines.  It grows
+    to its parent while it holds one line only, and, if it holds no heading
+    before the content, to the smallest element around that does.
+    """
+    parents, where = parser.parents, np.array([line[4] for line in parser.lines])
+    last = list(range(len(parents)))  # elements are numbered in the page's order
+    for e in range(len(parents) - 1, 0, -1):
+        last[parents[e]] = max(last[parents[e]], last[e])
+
+    def inside(e: int) -> np.ndarray:
+        return (where >= e) & (where <= last[e])
+
+    lines, first = where[content], int(np.flatnonzero(content)[0])
+    e, end, held = int(lines.min()), int(lines.max()), np.sort(where[kept])
+    heads = [int(where[i]) for i in np.flatnonzero(kept[:first]) if parser.tags[where[i]] in HEADINGS]
+    while e and (last[e] < end or np.searchsorted(held, last[e], "right") - np.searchsorted(held, e) < 2):
+        e = parents[e]
+    while e and heads and not any(e <= h <= last[e] for h in heads):
+        e = parents[e]
+    return inside(e)
+
+
 def main_text(html: str, sigma: float = 1.0) -> str:
     """The article of one page ("" if there is none).
 
@@ -141,8 +174,8 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     comments and the like count as no text).  The ratios are smoothed and cut
     into content and other lines.  Content lines choose the regions: the
     article or main elements they lie in, or, on a page without such, the
-    stretch from the first to the last content line.  Of a chosen region
-    every line is kept, short ones too, but for the boilerplate inside it.
+    element around them all (see :func:`region`).  Of a chosen region every
+    line is kept, short ones too, but for the boilerplate inside it.
     """
     parser = Lines()
     parser.feed(html)
@@ -159,8 +192,8 @@ def main_text(html: str, sigma: float = 1.0) -> str:
         regions = {line[3] for line, r in zip(parser.lines, ratios, strict=True) if r} - {0}
     if regions:
         return " ".join(t for t, line in zip(texts, parser.lines, strict=True) if t and not line[2] and line[3])
-    found = np.flatnonzero(content)
-    return " ".join(t for t, line in zip(texts[found[0] : found[-1] + 1], parser.lines[found[0] : found[-1] + 1], strict=True) if t and not line[2])
+    kept = np.array([bool(t) and not line[2] for t, line in zip(texts, parser.lines, strict=True)])
+    return " ".join(texts[i] for i in np.flatnonzero(kept & region(parser, kept, content)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sigma: float = 1.0) -> DataFrame:

@@ -22,3 +22,18 @@ def test_near_duplicates_inside_hot_buckets(spark, n):
     frame = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in near_duplicates(frame, width=1).collect()}
     assert got == dict(enumerate(want))
+
+
+def test_html_keeps_short_lines_at_both_ends():
+    from polyrisk.llm.htmltext import main_text
+
+    body = "".join(f"<p>{('word%d ' % i) * 30}</p>" for i in range(8))
+    tail = "".join(f"<p>{'x' * n}</p>" for n in (30, 25, 20, 15))
+    want = " ".join(["Heading", "By a writer", *(" ".join([f"word{i}"] * 30) for i in range(8)), *("x" * n for n in (30, 25, 20, 15))])
+    menu, foot = "<div id=sidebar><p>menu</p></div>", "<div class=footer>foot</div>"
+    # In one element; the heading in another one; everything right below the body.
+    assert main_text(f"<body>{menu}<div><h1>Heading</h1><p>By a writer</p>{body}{tail}</div><div>other</div>{foot}") == want
+    assert main_text(f"<body>{menu}<div><div><h1>Heading</h1><p>By a writer</p></div><div>{body}{tail}</div></div>{foot}") == want
+    assert main_text(f"<body>{menu}<h1>Heading</h1><p>By a writer</p>{body}{tail}{foot}") == want
+    # One long line: the short closing paragraph beside it stays.
+    assert main_text("<div><div>" + "word " * 60 + "</div><div>short end</div></div>") == ("word " * 60) + "short end"
