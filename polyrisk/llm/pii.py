@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
-PHONE = r"\+\d{1,3} ?\(\d{3}\) ?\d{3}[- ]\d{4}(?!\d)"
+#: With a country code: groups of digits (at least eight in all), or all digits in one.
+WORLD_PHONE = r"(?=\+(?:[ .()-]{0,3}\d){8})\+\d{1,3}(?:[ .-]?\(\d{1,4}\)[ .-]?|[ .-])\d{1,12}(?:[ .-]\d{2,8}){0,5}(?!\d)|\+\d{8,15}(?!\d)"
+US_PHONE = r"(?<![\d-])(?<!\d\.)(?:1[-. ])?(?:\(\d{3}\)[ -]?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!-?\d)"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
+SLASH_DATE = r"(?<![\d/])(?:\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4})(?![\d/])"
+DOT_DATE = r"(?<![\d.])(?:\d{4}\.\d{1,2}\.\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4})(?!\.?\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?![\d-])"
-ANY = "|".join((EMAIL, PHONE, DATE, SSN, IPV4, CARD))
-#: Dates are permuted within one Gregorian cycle of 400 years: 146097 = 189 * 773 days from here.
+CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5}|(?:\d{4}[ -]){4}\d{3})(?![\d-])"
+ANY = "|".join((EMAIL, WORLD_PHONE, DATE, SLASH_DATE, DOT_DATE, SSN, US_PHONE, IPV4, CARD))
+#: Dates are permuted within their Gregorian cycle of 400 years: 146097 = 189 * 773 days, counted from here.
 FIRST_DAY, DAYS = "1900-01-01", (189, 773)
+#: What the cycles leave at both ends, as (first day, grid): the years 1 to 299 and 9900 to 9999.
+ENDS = ((-4 * 146097 - 7 * 15601, (7, 15601)), (20 * 146097, (92, 397)))
 #: Social security numbers: 898 areas (not 000, 666, 900-999) by 99 groups, 9999 serials.
 AREA_GROUPS, SERIALS = 898 * 99, 9999
 
@@ -112,10 +118,15 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    """The ten national digits are permuted; country code and layout stay."""
-    at = F.instr(value, "(")
-    national = F.substring(value, at, F.length(value))
-    return F.concat(F.substring(value, F.lit(1), at - 1), _let(permute_string(F.regexp_replace(national, r"[^0-9]", ""), key, "phone"), lambda d: _refill(national, d)))
+    """The national digits are permuted; country code and layout stay.
+
+    Where nothing parts the country code from the rest, its first digit stays.
+    """
+    code = F.regexp_extract(value, r"^(?:\+\d{1,3}(?=[ .(-])|\+\d|1(?=[-. ]))?", 0)
+    return _let(
+        F.struct(code.alias("code"), F.substring(value, F.length(code) + 1, F.length(value)).alias("rest")),
+        lambda v: F.concat(v["code"], _let(permute_string(F.regexp_replace(v["rest"], r"[^0-9]", ""), key, "phone"), lambda d: _refill(v["rest"], d))),
+    )
 
 
 def _ipv4(value: Column, key: str) -> Column:
@@ -127,11 +138,53 @@ def _ipv4(value: Column, key: str) -> Column:
     return F.when(valid, _let(moved, lambda s: F.concat_ws(".", *((F.floor(s[h] / 256) if k == 0 else s[h] % 256).cast("string") for h in ("x", "y") for k in (0, 1))))).otherwise(value)
 
 
+def _move_day(day: Column, key: str) -> Column:
+    """A keyed permutation of the days of the years 1 to 9999, as days from ``FIRST_DAY``."""
+
+    def moved(start: Column, grid: tuple[int, int], kind: str) -> Column:
+        at = permute_numbers(F.floor((day - start) / grid[1]), (day - start) % grid[1], *grid, key, kind)
+        return _let(at, lambda s: start + s["x"] * grid[1] + s["y"])
+
+    (low, low_grid), (high, high_grid) = ENDS
+    cycle = F.floor(day / (DAYS[0] * DAYS[1])) * (DAYS[0] * DAYS[1])
+    return (
+        F.when(day < low + low_grid[0] * low_grid[1], moved(F.lit(low), low_grid, "date-low"))
+        .when(day >= high, moved(F.lit(high), high_grid, "date-high"))
+        .otherwise(moved(cycle, DAYS, "date"))
+        .cast("bigint")
+    )
+
+
 def _date(value: Column, key: str) -> Column:
-    """Real days from 1900 to 2299 move within these 400 years."""
-    day = F.datediff(F.try_to_date(value, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
-    moved = permute_numbers(F.floor(day / DAYS[1]), day % DAYS[1], *DAYS, key, "date")
-    return F.when(day.between(0, DAYS[0] * DAYS[1] - 1), _let(moved, lambda s: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (s["x"] * DAYS[1] + s["y"]).cast("int")), "yyyy-MM-dd"))).otherwise(value)
+    """Real days of the years 1 to 9999 move within their cycle of 400 years.
+
+    Dates with the year last are read as day.month.year with dots and as
+    month/day/year with slashes, or day/month/year where only that is a date.
+    The latter move on until they land on such a date again, so that no two
+    dates meet.  Days and months come out with two digits.
+    """
+    mark = F.regexp_extract(value, r"[-/.]", 0)
+    part = F.split(value, r"[-/.]")
+    iso = lambda y, m, d: F.try_to_date(F.concat_ws("-", part[y], F.lpad(part[m], 2, "0"), F.lpad(part[d], 2, "0")), "yyyy-MM-dd")
+    year_first, dots = F.length(part[0]) == 4, mark == "."
+    start = F.lit(FIRST_DAY).cast("date")
+    us = iso(2, 0, 1)
+
+    def write(day: Column, order: str) -> Column:
+        made = F.date_format(F.date_add(start, day.cast("int")), "yyyy-MM-dd")
+        first, second, third = (F.split(made, "-")["ymd".index(c)] for c in order)
+        return F.concat(first, mark, second, mark, third)
+
+    def made(date: Column, order: str) -> Column:
+        return F.when(date.isNotNull(), _let(_move_day(F.datediff(date, start).cast("bigint"), key), lambda d: write(d, order))).otherwise(value)
+
+    def walk(date: Column) -> Column:
+        late = lambda day: F.dayofmonth(F.date_add(start, day.cast("int"))) > 12
+        step = lambda day, turn: F.when((turn > 0) & late(day), day).otherwise(_move_day(day, key))
+        end = F.aggregate(F.sequence(F.lit(0), F.lit(60)), F.datediff(date, start).cast("bigint"), step)
+        return F.when(date.isNotNull(), _let(end, lambda d: write(d, "dmy"))).otherwise(value)
+
+    return F.when(year_first, made(iso(0, 1, 2), "ymd")).when(dots, made(iso(2, 1, 0), "dmy")).when(us.isNotNull(), made(us, "mdy")).otherwise(walk(iso(2, 1, 0)))
 
 
 def _ssn(value: Column, key: str) -> Column:
@@ -157,8 +210,8 @@ def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one match of ``ANY`` (the value itself where it isn't valid)."""
     return (
         F.when(value.contains("@"), _email(value, key))
-        .when(value.startswith("+"), _phone(value, key))
-        .when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), _date(value, key))
+        .when(value.startswith("+") | value.rlike(f"^(?:{US_PHONE})$"), _phone(value, key))
+        .when(value.rlike(f"^(?:{DATE}|{SLASH_DATE}|{DOT_DATE})$"), _date(value, key))
         .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), _ssn(value, key))
         .when(value.contains("."), _ipv4(value, key))
         .otherwise(_card(value, key))
@@ -168,11 +221,11 @@ def pseudonym(value: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the personal data in ``text_col`` replaced; all other columns stay.
 
-    Handled: e-mail addresses, phone numbers with country code and area in
-    brackets, IPv4 addresses, ISO dates, US social security numbers and
-    payment card numbers.  Numbers and dates are replaced only if valid (Luhn,
-    octets, calendar, number ranges).  Text lengths stay, but for IPv4
-    addresses.  Null and empty texts stay; rows are independent of each other,
+    Handled: e-mail addresses, phone numbers with a country code or in US
+    layouts, IPv4 addresses, dates in digits with a year of four digits, US
+    social security numbers and payment card numbers.  Numbers and dates are
+    replaced only if valid (Luhn, octets, calendar, number ranges).  Text
+    lengths stay, but for IPv4 addresses and for days and months of one digit.  Null and empty texts stay; rows are independent of each other,
     so repeated rows, extra columns and empty tables need no care.
     """
     if {"__gaps", "__found", "__new"} & set(docs.columns):

@@ -37,3 +37,32 @@ def test_html_keeps_short_lines_at_both_ends():
     assert main_text(f"<body>{menu}<h1>Heading</h1><p>By a writer</p>{body}{tail}{foot}") == want
     # One long line: the short closing paragraph beside it stays.
     assert main_text("<div><div>" + "word " * 60 + "</div><div>short end</div></div>") == ("word " * 60) + "short end"
+
+
+def test_pii_common_layouts(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from polyrisk.llm.pii import FIRST_DAY, _move_day, pseudonymise
+
+    values = "(555) 123-4567|555-123-4567|+1-555-123-4567|+1 (555) 123-4567|1-555-123-4567|555.123.4567|+44 20 7946 0958|+442079460958|3782 822463 10005|1899-05-01|0004-02-29|9999-12-31|12/31/1999|31/12/1999|31.12.1999|1999/12/31|30/02/1999|1.2.3"
+    frame = spark.createDataFrame([(i, f"at {v}, or") for i, v in enumerate(values.split("|"))], "doc_id int, text string")
+    got = [r.text for r in pseudonymise(frame, "k").orderBy("doc_id").collect()]
+    assert all(t.startswith("at ") and t.endswith(", or") for t in got)
+    got = [t[3:-4] for t in got]
+    for new, old in zip(got[:-2], values.split("|"), strict=False):
+        assert new != old and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", old), (new, old)
+    assert got[-2:] == ["30/02/1999", "1.2.3"]
+    national = [re.sub(r"\D", "", t)[-10:] for t in got[:6]]
+    assert len(set(national)) == 1 and got[6].startswith("+44 ") and got[2].startswith("+1-")
+    # One day in several layouts has one pseudonym; day/month dates stay apart from month/day ones.
+    iso = [re.split(r"\D", got[k]) for k in (12, 14, 15)]
+    assert (iso[0][2], iso[0][0], iso[0][1]) == tuple(iso[2]) == tuple(reversed(iso[1]))
+    assert int(got[13][:2]) > 12
+    for low, high in ((-693595, -584388), (2921940, 2958464), (-146097, -140000)):
+        days = spark.range(low, high).select(_move_day(F.col("id"), "k").alias("d"))
+        n, first, last = days.agg(F.countDistinct("d"), F.min("d"), F.max("d")).first()
+        assert n == high - low and low <= first and last < (high if high != -140000 else 0)
+    ends = spark.sql(f"SELECT datediff(DATE '0001-01-01', DATE '{FIRST_DAY}'), datediff(DATE '9999-12-31', DATE '{FIRST_DAY}')").first()
+    assert tuple(ends) == (-693595, 2958463)
