@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyrisk.llm.common import crc_mod
+from polyrisk.llm.common import crc_mod, materialise
 
 #: Where the public tokenizer files lie is a parameter of the operators.
 TOKENIZERS = "/opt/tokenizers"
@@ -140,6 +140,28 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op13_prefix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyrisk.llm.prefixtrees import RepeatedWindows
+
+    found = RepeatedWindows(table(spark, sf_dir, "documents"), width=13)
+    out = materialise(found.texts().select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")), "op13")
+    found.release()
+    return out
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+f AS (SELECT g, min(doc_id) AS low FROM v GROUP BY g),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM v JOIN f USING (g) WHERE low < doc_id),
+k AS (
+  SELECT t.doc_id, count(x.p) AS n_removed, string_agg(t.word, ' ' ORDER BY t.p) FILTER (x.p IS NULL) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) t LEFT JOIN x ON x.doc_id = t.doc_id AND x.p = t.p GROUP BY t.doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -152,8 +174,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_lattice_near_dedup": op9_lattice_near_dedup,
         "op10_html_extraction": op10_html_extraction,
+        "op13_prefix_tree_dedup": op13_prefix_tree_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": OP3_SQL, "op7_exact_top_k": OP7_SQL, "op9_lattice_near_dedup": OP9_SQL}
+    return {"op3_minhash_near_dedup": OP3_SQL, "op7_exact_top_k": OP7_SQL, "op9_lattice_near_dedup": OP9_SQL, "op13_prefix_tree_dedup": OP13_SQL}
