@@ -140,6 +140,36 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyrisk.llm.convtrie import graft, prefix_trie, turn_lists
+
+    return prefix_trie(graft(turn_lists(table(spark, sf_dir, "conversations"))))
+
+
+OP12_SQL = r"""
+WITH o AS (
+  SELECT conv_id, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, md5(length(r)::VARCHAR || ':' || r || x)) AS own
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+h AS (
+  SELECT conv_id, own, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii((conv_id::VARCHAR)[i])::BIGINT),
+    lambda crc, byte: list_reduce([xor(crc, byte)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)), 4294967295::BIGINT) % 4 AS h
+  FROM o),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS s FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, s, d, s[1:d] AS k FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM c)),
+n AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = len(s)), '')) AS ends_sha256,
+    CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(k[d].x, '[^\x20\x09-\x0D]+')) END AS words
+  FROM p GROUP BY k, d),
+t AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(t.n_children, 0) AS n_children FROM n LEFT JOIN t USING (k)),
+u AS (
+  SELECT k[1:a] AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM m) GROUP BY 1)
+SELECT m.conv_id, m.d AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.n_leaves::BIGINT AS n_leaves, u.saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN u USING (k) LEFT JOIN m q ON m.d > 0 AND q.k = m.k[1:m.d - 1]
+"""
+
+
 def op13_prefix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polyrisk.llm.prefixtrees import RepeatedWindows
 
@@ -174,9 +204,10 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_lattice_near_dedup": op9_lattice_near_dedup,
         "op10_html_extraction": op10_html_extraction,
+        "op12_conversation_trie": op12_conversation_trie,
         "op13_prefix_tree_dedup": op13_prefix_tree_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": OP3_SQL, "op7_exact_top_k": OP7_SQL, "op9_lattice_near_dedup": OP9_SQL, "op13_prefix_tree_dedup": OP13_SQL}
+    return {"op3_minhash_near_dedup": OP3_SQL, "op7_exact_top_k": OP7_SQL, "op9_lattice_near_dedup": OP9_SQL, "op12_conversation_trie": OP12_SQL, "op13_prefix_tree_dedup": OP13_SQL}
