@@ -140,6 +140,32 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyrisk.llm.ranked import rank
+
+    return rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+q AS (
+  SELECT row_number() OVER () AS item, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM benchmark),
+p AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY r, doc_id, n, term),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (
+  SELECT q.item, q.item_id, p.r, p.doc_id, CAST(sum(CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN f USING (term) CROSS JOIN c WHERE p.doc_id IS NOT NULL GROUP BY q.item, q.item_id, p.r, p.doc_id),
+t AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM t WHERE rank <= 10
+"""
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polyrisk.llm.convtrie import graft, prefix_trie, turn_lists
 
@@ -204,10 +230,11 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_lattice_near_dedup": op9_lattice_near_dedup,
         "op10_html_extraction": op10_html_extraction,
+        "op11_ranked_search": op11_ranked_search,
         "op12_conversation_trie": op12_conversation_trie,
         "op13_prefix_tree_dedup": op13_prefix_tree_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": OP3_SQL, "op7_exact_top_k": OP7_SQL, "op9_lattice_near_dedup": OP9_SQL, "op12_conversation_trie": OP12_SQL, "op13_prefix_tree_dedup": OP13_SQL}
+    return {"op3_minhash_near_dedup": OP3_SQL, "op7_exact_top_k": OP7_SQL, "op9_lattice_near_dedup": OP9_SQL, "op11_ranked_search": OP11_SQL, "op12_conversation_trie": OP12_SQL, "op13_prefix_tree_dedup": OP13_SQL}
