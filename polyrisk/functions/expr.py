@@ -33,12 +33,12 @@ def combo_key(combo: str | Column, sep: str = "|") -> Column:
 def combo_identity(combo: str | Column) -> Column:
     """A text that names a code array: no two arrays share it, whatever their codes hold.
 
-    Equal to :func:`combo_key` where no code is empty or holds ``|`` or a
-    backslash (its DuckDB twin then holds too).
+    Equal to :func:`combo_key` where no code is null or empty or holds ``|`` or
+    a backslash (its DuckDB twin then holds too).
     """
     escaped = F.transform(
         _col(combo),
-        lambda c: F.when(c == "", F.lit("\\e")).otherwise(
+        lambda c: F.when(c.isNull(), F.lit("\\n")).when(c == "", F.lit("\\e")).otherwise(
             F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\p"))
         ),
     )

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyrisk.functions import combo_key
+from polyrisk.ml.weights import NotConverged
 
 
 def featurizer(vocab_codes: list[str], input_col: str = "combo") -> CountVectorizerModel:
@@ -54,6 +55,8 @@ def fit_logistic(patterns: DataFrame, vocab_codes: list[str], max_iter: int = 10
         model = lr.fit(rows)
     finally:
         rows.unpersist()
+    if model.summary.totalIterations >= max_iter:
+        raise NotConverged(f"no optimum within {max_iter} iterations")
     return feats, model
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from polyrisk.functions import round_half_even
+from polyrisk.operators.scan import ranked, running_min
 from polyrisk.session import cut_lineage
 
 WHISKER = 1.5
@@ -287,30 +288,25 @@ def kernel_density(
 
 
 def rank_codes(code_stats: DataFrame, order_cols: list) -> DataFrame:
-    """0-based rank of each code under ``order_cols`` (ties by code): F1.
-
-    Only for per-code tables (one row per code): the global window is tiny.
-    """
-    window = Window.orderBy(*order_cols, F.asc("code"))
-    return code_stats.withColumn("rank", F.row_number().over(window) - 1)
+    """0-based rank of each code under ``order_cols`` (ties by code): F1."""
+    return ranked(code_stats, [*order_cols, F.asc("code")])
 
 
 def ranked_probability_curve(code_stats: DataFrame) -> DataFrame:
     """P(pos | code) with and without the code, codes by P(neg | code) ascending: L2."""
-    ranked = rank_codes(code_stats, [F.asc_nulls_last("p_neg_drug")])
-    return ranked.select("rank", "code", "p_pos_nodrug", "p_pos_drug")
+    curve = rank_codes(code_stats, [F.asc_nulls_last("p_neg_drug")])
+    return curve.select("rank", "code", "p_pos_nodrug", "p_pos_drug")
 
 
 def ranked_count_curve(code_stats: DataFrame) -> DataFrame:
     """Exposed counts by class in the same order: L3."""
-    ranked = rank_codes(code_stats, [F.asc_nulls_last("p_neg_drug")])
-    return ranked.select("rank", "code", "count_outcome_0", "count_outcome_1")
+    curve = rank_codes(code_stats, [F.asc_nulls_last("p_neg_drug")])
+    return curve.select("rank", "code", "count_outcome_0", "count_outcome_1")
 
 
 def running_best(trials: DataFrame) -> DataFrame:
-    """Objective per trial and the best so far, in trial order: L7 (small trial table)."""
-    window = Window.orderBy("trial_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return trials.select("trial_id", "value", F.min("value").over(window).alias("best_value"))
+    """Objective per trial and the best so far, in trial order: L7."""
+    return running_min(trials.select("trial_id", "value"), [F.asc("trial_id")], "value", "best_value")
 
 
 def calibration_table(scores: DataFrame, count_cap: int = 20) -> DataFrame:

@@ -95,8 +95,11 @@ def kfold_assign(patterns: DataFrame, k: int = 3, seed: int = DEFAULT_SEED, comb
 
 
 def _episode_key() -> Column:
-    """Subject, episode and outcome: conflicting outcomes are two episodes."""
-    return F.concat_ws("|", *(F.col(k).cast("string") for k in ("subject_id", "episode_id", "outcome")))
+    """Subject, episode and outcome: conflicting outcomes are two episodes.
+
+    One text for each triple, whatever marks or nulls the ids hold.
+    """
+    return combo_identity(F.array(*(F.col(k).cast("string") for k in ("subject_id", "episode_id", "outcome"))))
 
 
 def second_bucket(seed: int, key: Column) -> Column:

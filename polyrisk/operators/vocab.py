@@ -2,17 +2,18 @@
 
     vocabulary  position INT (1-based), code STRING
 
-A vocabulary is a small per-code table (bounded by the number of distinct
-codes), so ordering it with a global window is cheap.
+Positions come from sorted ranges (``operators.scan``), so a vocabulary may
+have any number of codes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyrisk.operators.contingency import restrict_codes
 from polyrisk.operators.episodes import exposures_of
+from polyrisk.operators.scan import ranked
 
 
 def add_prefix(codes: DataFrame, prefix: str = "_", col: str = "code") -> DataFrame:
@@ -27,8 +28,7 @@ def strip_prefix(codes: DataFrame, col: str = "code", char: str = "_") -> DataFr
 
 def ordered_vocabulary(codes: DataFrame, order_cols: list) -> DataFrame:
     """Number distinct codes 1..m in the given order (ties broken by code)."""
-    window = Window.orderBy(*order_cols, F.asc("code"))
-    return codes.select(F.row_number().over(window).alias("position"), "code")
+    return ranked(codes, [*order_cols, F.asc("code")], "position", start=1).select("position", "code")
 
 
 def frequency_vocabulary(episodes: DataFrame) -> DataFrame:

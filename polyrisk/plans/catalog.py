@@ -9,12 +9,14 @@ engines compare strings.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyrisk.functions import bce_terms, combo_key, penalised_bce_terms, ratio, round_half_even
+from polyrisk.functions import bce_terms, combo_key, hash_unit, penalised_bce_terms, ratio, round_half_even, unit_threshold
+from polyrisk.ml import weights as W
 from polyrisk.operators import contingency as C
 from polyrisk.operators import describe as D
 from polyrisk.operators import episodes as E
@@ -23,8 +25,9 @@ from polyrisk.operators import patterns as PT
 from polyrisk.operators import sampling as S
 from polyrisk.operators import vocab as V
 from polyrisk.plans import params as P
+from polyrisk.plans.scoring import score_episodes
 from polyrisk.plans.screening import run_screening
-from polyrisk.session import cut_lineage
+from polyrisk.session import cut_lineage, ensure_checkpoint_dir
 from polyrisk.sinks import multi_hot
 from polyrisk.sources import tables
 
@@ -258,15 +261,39 @@ def q_logistic_zero_gradient(spark, sf_dir):
 
 
 def _fixed_scores(ep: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Risk by fixed weights: a code's log odds with it less those without it."""
-    stats = C.code_contingency(ep)
-    odds = F.log(F.col("p_pos_drug") / F.col("p_neg_drug")) - F.log(F.col("p_pos_nodrug") / F.col("p_neg_nodrug"))
-    weights = stats.select("code", F.coalesce(odds, F.lit(0.0)).alias("w"))
-    terms = patterns.select("combo", F.explode("combo").alias("code")).join(weights, "code")
-    sums = terms.groupBy("combo").agg(F.sum("w").alias("z"))
-    joined = patterns.join(sums, "combo", "left")
-    score = round_half_even(1 / (1 + F.exp(-F.coalesce("z", F.lit(0.0)))), P.DENSITY_DECIMALS)
-    return joined.select("combo", "n", F.col("risk").alias("risk_true"), score.alias("risk_predicted"))
+    """Risk by the closed-form model of the same episodes."""
+    scores = W.score_patterns(patterns, W.log_odds_weights(C.code_contingency(ep)))
+    return scores.withColumn("risk_predicted", round_half_even("risk_predicted", P.DENSITY_DECIMALS))
+
+
+def q_logistic_gradient(spark, sf_dir):
+    """Gradient of the fitted logistic model, by code: zero where the fit is the optimum (K1)."""
+    pt = cut_lineage(_patterns(spark, sf_dir))
+    gradient = W.loss_gradient(pt, W.fit_logistic_weights(pt))
+    code = F.coalesce("code", F.lit("(intercept)"))
+    return gradient.select(code.alias("code"), "n", "n_pos", (F.round("gradient", P.GRADIENT_DECIMALS) + F.lit(0.0)).alias("gradient"))
+
+
+def q_feature_indices(spark, sf_dir):
+    """Columns of each combination in the model's sparse rows."""
+    pt = _patterns(spark, sf_dir)
+    rows = W.feature_rows(pt, W.code_index(pt))
+    return _show_combo(rows.select("combo", "n", "n_pos", F.explode("indices").alias("index")))
+
+
+def _halves(ep: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Episodes of either half of the subjects."""
+    first = hash_unit(P.SAMPLE_SEED, "subject_id") < F.lit(unit_threshold(0.5))
+    return ep.where(first), ep.where(~first)
+
+
+def q_stored_model_new_scores(spark, sf_dir):
+    """A model of one half of the subjects, stored, read and applied to the other half."""
+    seen, new = _halves(_episodes(spark, sf_dir))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    W.write_weights(W.log_odds_weights(C.code_contingency(seen)), path)
+    scores = score_episodes(new, W.read_weights(spark, path))
+    return _show_combo(scores.withColumn("risk_predicted", round_half_even("risk_predicted", P.DENSITY_DECIMALS)))
 
 
 def q_logistic_fixed_scores(spark, sf_dir):
@@ -413,6 +440,9 @@ RELATIONAL: dict[str, Query] = {
     "co_exposure_long": q_co_exposure_long,
     "kfold_assignment_aligned": q_kfold_assignment_aligned,
     "logistic_zero_gradient": q_logistic_zero_gradient,
+    "logistic_gradient": q_logistic_gradient,
+    "feature_indices": q_feature_indices,
+    "stored_model_new_scores": q_stored_model_new_scores,
     "logistic_fixed_scores": q_logistic_fixed_scores,
     "calibration_fixed": q_calibration_fixed,
     "combo_frequency": q_combo_frequency,

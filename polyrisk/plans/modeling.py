@@ -2,10 +2,11 @@
 
 Registered model queries (no SQL twin; checked by row counts and unit tests):
 
-    logistic_scores     MLlib logistic on patterns -> predicted risk per pattern
+    logistic_scores     fitted logistic model -> predicted risk per pattern
+    logistic_holdout_scores, logistic_fold_losses   the same on held-out combinations
     network_scores      network fitted with the best published configuration
     network_loss_curve  its per-epoch training loss
-    calibration_table   true vs predicted risk with the colour-scale value
+    calibration_table   true vs predicted risk of the logistic model with the colour-scale value
 
 ``run_cv_search`` (the full 20-trial search) and its running best are entry
 points only: at their full size they are too long for a registered query.
@@ -17,14 +18,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyrisk.ml import logistic as LG
+from polyrisk.functions import combo_key
 from polyrisk.ml import search as SR
 from polyrisk.ml import train as TR
+from polyrisk.ml import weights as W
 from polyrisk.operators import describe as D
 from polyrisk.operators.episodes import exposures_of
+from polyrisk.operators.patterns import combo_patterns
 from polyrisk.operators.sampling import group_sample
 from polyrisk.plans import params as P
 from polyrisk.plans.catalog import _episodes
+from polyrisk.plans.scoring import fold_losses, score_episodes
+from polyrisk.session import cut_lineage
 
 # The best published configuration of the reference (one of its two runs).
 BEST_NETWORK = {"epoch": 500, "activation": "RELU", "layers": 1, "hidden_dim_1": 100,
@@ -87,15 +92,14 @@ def q_network_loss_curve(spark, sf_dir):
 
 
 def q_calibration_table(spark, sf_dir):
-    return D.calibration_table(q_network_scores(spark, sf_dir))
+    return D.calibration_table(q_logistic_scores(spark, sf_dir))
 
 
 def q_logistic_scores(spark, sf_dir):
-    ep = _episodes(spark, sf_dir)
-    vocab = observed_vocabulary(ep)
-    patterns = TR.training_patterns(ep, vocab)
-    feats, model = LG.fit_logistic(patterns, vocab)
-    return LG.score_logistic(feats, model, patterns)
+    """The fitted logistic model on the combinations it has seen."""
+    patterns = cut_lineage(combo_patterns(_episodes(spark, sf_dir)))
+    scores = W.score_patterns(patterns, W.fit_logistic_weights(patterns))
+    return scores.withColumn("combo", combo_key("combo"))
 
 
 def score_new_dataset(episodes: DataFrame, params, activation: str, vocab: list[str]) -> DataFrame:
@@ -113,11 +117,14 @@ def q_logistic_holdout_scores(spark, sf_dir):
     from polyrisk.operators.sampling import group_sample_exact, holdout_unseen_exact
 
     ep = _episodes(spark, sf_dir)
-    vocab = observed_vocabulary(ep)
-    seen = TR.training_patterns(group_sample_exact(ep, P.SAMPLE_FRACTION, P.SAMPLE_SEED), vocab)
-    unseen = TR.training_patterns(holdout_unseen_exact(ep, P.SAMPLE_FRACTION, P.SAMPLE_SEED), vocab)
-    feats, model = LG.fit_logistic(seen, vocab)
-    return LG.score_logistic(feats, model, unseen)
+    weights = W.fit_logistic_weights(combo_patterns(group_sample_exact(ep, P.SAMPLE_FRACTION, P.SAMPLE_SEED)))
+    scores = score_episodes(holdout_unseen_exact(ep, P.SAMPLE_FRACTION, P.SAMPLE_SEED), weights)
+    return scores.withColumn("combo", combo_key("combo"))
+
+
+def q_logistic_fold_losses(spark, sf_dir):
+    """Held-out loss of the logistic model in each fold."""
+    return fold_losses(combo_patterns(_episodes(spark, sf_dir)), P.N_SPLITS, P.SAMPLE_SEED)
 
 
 def run_cv_search(episodes: DataFrame, n_trials: int = CV_TRIALS, k: int = P.N_SPLITS,
@@ -135,6 +142,7 @@ def run_cv_search(episodes: DataFrame, n_trials: int = CV_TRIALS, k: int = P.N_S
 MODEL_QUERIES = {
     "logistic_scores": q_logistic_scores,
     "logistic_holdout_scores": q_logistic_holdout_scores,
+    "logistic_fold_losses": q_logistic_fold_losses,
     "network_scores": q_network_scores,
     "network_loss_curve": q_network_loss_curve,
     "calibration_table": q_calibration_table,

@@ -310,6 +310,35 @@ FROM pairs"""
     sql["logistic_zero_gradient"] = with_base(brand) + """SELECT code,
   (count(*) * 0.5::DOUBLE - sum(outcome)) / (SELECT count(*) FROM episodes) AS gradient
 FROM exposures WHERE code IS NOT NULL GROUP BY code"""
+    sql["logistic_gradient"] = with_base(brand) + """SELECT code, count(*) AS n, CAST(sum(outcome) AS BIGINT) AS n_pos, 0.0::DOUBLE AS gradient
+FROM exposures WHERE code IS NOT NULL GROUP BY code
+UNION ALL SELECT '(intercept)', count(*), CAST(sum(outcome) AS BIGINT), 0.0::DOUBLE FROM episodes"""
+    sql["feature_indices"] = with_base(brand, PATTERNS_CTE) + """, columns AS (
+  SELECT code, CAST(row_number() OVER (ORDER BY code) - 1 AS INTEGER) AS index
+  FROM (SELECT DISTINCT code FROM exposures WHERE code IS NOT NULL)),
+pairs AS (SELECT DISTINCT e.combo, x.code FROM episodes e JOIN exposures x
+  ON x.subject_id = e.subject_id AND x.episode_id = e.episode_id AND x.outcome = e.outcome)
+SELECT p.combo, p.n, p.n_pos, c.index FROM patterns p JOIN pairs q ON p.combo = q.combo JOIN columns c ON c.code = q.code"""
+    half = f"{_bucket(P.SAMPLE_SEED, 'CAST(subject_id AS VARCHAR)')} < {_threshold(0.5)}"
+    stats_a = STATS_CTE.replace("FROM ne)", "FROM ne_a)").replace("FROM exposures", "FROM exposures_a")
+    sql["stored_model_new_scores"] = with_base(brand) + f""", ne_a AS (SELECT * FROM ne WHERE {half}),
+exposures_a AS (SELECT * FROM exposures WHERE {half}), {stats_a},
+weights AS (
+  SELECT code, CASE WHEN p_pos_drug > 0 AND p_neg_drug > 0 AND p_pos_nodrug > 0 AND p_neg_nodrug > 0
+    THEN ln(p_pos_drug / p_neg_drug) - ln(p_pos_nodrug / p_neg_nodrug) ELSE 0.0 END AS w FROM stats),
+new AS (SELECT * FROM episodes WHERE NOT ({half})),
+risks AS (SELECT combo, CAST(sum(outcome) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS risk FROM new GROUP BY combo),
+aligned AS (
+  SELECT e.subject_id, e.episode_id, e.outcome, r.risk, coalesce(string_agg(DISTINCT w.code, '|' ORDER BY w.code), '') AS combo
+  FROM new e JOIN risks r ON e.combo = r.combo JOIN exposures x
+    ON x.subject_id = e.subject_id AND x.episode_id = e.episode_id AND x.outcome = e.outcome
+  LEFT JOIN weights w ON w.code = x.code GROUP BY e.subject_id, e.episode_id, e.outcome, r.risk),
+terms AS (SELECT DISTINCT a.combo, w.code, w.w FROM aligned a JOIN exposures x
+  ON x.subject_id = a.subject_id AND x.episode_id = a.episode_id AND x.outcome = a.outcome JOIN weights w ON w.code = x.code),
+z AS (SELECT combo, sum(w) AS z FROM terms GROUP BY combo),
+pairs AS (SELECT combo, risk, count(*) AS n FROM aligned GROUP BY combo, risk)
+SELECT p.combo, p.n, p.risk AS risk_true, round_even(1 / (1 + exp(-coalesce(z.z, 0.0))), {P.DENSITY_DECIMALS}) AS risk_predicted
+FROM pairs p LEFT JOIN z ON z.combo = p.combo"""
     scores = with_base(brand, STATS_CTE, PATTERNS_CTE).rstrip("\n") + f""",
 weights AS (
   SELECT code, CASE WHEN p_pos_drug > 0 AND p_neg_drug > 0 AND p_pos_nodrug > 0 AND p_neg_nodrug > 0

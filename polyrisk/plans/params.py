@@ -15,6 +15,7 @@ ERROR_SEED = 42           # sampling-error study random_state
 ERROR_FRACTIONS = (0.25, 0.5, 0.75, 1.0)
 QUANTILE_DECIMALS = 12
 DENSITY_DECIMALS = 9
+GRADIENT_DECIMALS = 6
 LOSS_DECIMALS = 10      # sums of ~1e4 logs: keep far above summation-order noise
 
 # Registered queries read episodes materialised once per session (the

@@ -129,9 +129,8 @@ def run_scoring(episodes: DataFrame, model_dir: str, activation: str, vocab: lis
 
 
 def run_sampling_study(episodes: DataFrame, out_dir: str, fractions=(0.25, 0.5, 0.75, 1.0), seed: int = 42) -> None:
-    """Entry 4: frequency filter, risk error per fraction, densities, box statistics."""
-    errors = S.sampling_error(episodes, fractions, seed)
-    errors = cut_lineage(errors)
+    """Entry 4: frequency filter, risk error on samples of fixed size, densities, box statistics."""
+    errors = cut_lineage(S.sampling_error(episodes, fractions, seed, exact=True))
     sinks.write_csv(errors, _path(out_dir, "errors"))
     sinks.write_csv(S.errors_wide(errors, fractions), _path(out_dir, "errors_wide"))
     sinks.write_csv(D.kernel_density(errors, "error", "fraction"), _path(out_dir, "densities"))

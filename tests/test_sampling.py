@@ -142,3 +142,14 @@ def test_exact_folds_of_groups(spark):
     assert sorted((r.fold, r["count"]) for r in pairs) == [(0, 7), (1, 7), (2, 7)]
     with pytest.raises(ValueError):
         S.kfold_assign_exact(df.limit(2), 3, 40, risk_col="risk")
+
+
+def test_exact_row_sample_of_text_ids_with_marks_and_nulls(spark):
+    """Ids that read alike when joined, and null ids, are different episodes."""
+    rows = [(a, b, i % 2, ["c"], 1) for i in range(10) for a, b in ((f"{i}|2", "3"), (f"{i}", "2|3"), (None, f"{i}"), (f"{i}", None))]
+    eps = spark.createDataFrame(rows, "subject_id string, episode_id string, outcome int, combo array<string>, n_codes int")
+    for fraction, want in ((11 / 40, 11), (25 / 40, 25), (1.0, 40)):
+        sample = S.exact_row_sample(eps, fraction, 3)
+        assert sample.count() == want == sample.distinct().count()
+    full = S.sampling_error(eps, (0.5,), 3, exact=True).collect()
+    assert [(r.n, r.n_sample) for r in full] == [(40, 20)]
