@@ -1,9 +1,8 @@
 """Distribution summaries and ranked curves (the tables behind each figure).
 
 Box statistics and kernel densities are grouped summaries; neither collects
-a group's values anywhere: quartiles use Spark's exact ``percentile``
-aggregate (its state is a value -> count map, so repeated values collapse),
-and the density is accumulated as per-partition partial sums on a fixed grid.
+a group's values anywhere: quartiles are read off counts inside sketched
+brackets, and the density is accumulated as per-partition partial sums on a fixed grid.
 """
 
 from __future__ import annotations
@@ -20,95 +19,77 @@ from pyspark.sql import types as T
 
 from polyrisk.functions import round_half_even
 from polyrisk.operators.scan import ranked, running_min
-from polyrisk.session import cut_lineage
+from polyrisk.session import materialise
 
 WHISKER = 1.5
 KDE_GRID = 200
 KDE_CUT = 3.0
 
 
-QUANTILE_BINS = 1024
-#: Values of one interval that a task sorts at the end of a quantile search.
-QUANTILE_SORT_ROWS = 100_000
+HISTOGRAM_BINS = 1024
 #: Values fetched by ``order_statistics``, all ranks together.
 ORDER_FETCH_BUDGET = 1_000_000
+#: Relative precision of the sketch that brackets a quantile: a bracket has about 4 / SKETCH of a group's values.
+SKETCH = 10_000
 
 
-def exact_quantiles(
-    values: DataFrame,
-    value_col: str,
-    group_col: str,
-    probs,
-    bins: int = QUANTILE_BINS,
-    exact_limit: int = QUANTILE_SORT_ROWS,
-) -> DataFrame:
-    """Exact quantiles (linear interpolation between order statistics) per group.
-
-    No group is ever gathered in one task, and any number of groups will do:
-    the state is a table.  Each needed order statistic (rank r of its group)
-    starts with the interval [min, max] of its group; every round is one
-    aggregation that histograms the values still inside an interval into
-    ``bins`` equal-width bins, keeping count, min and max per bin.  The bin
-    holding rank r becomes the new interval, bounded by actual data values, so
-    membership stays exact and the interval gets narrower.  Once an interval
-    holds at most ``exact_limit`` values (or a single repeated value), its
-    values are sorted and the statistic read off.
-
-    Null and NaN are not values; an infinite value is an error.  Result:
-    (group, prob, value).
+def exact_quantiles(values: DataFrame, value_col: str, group_col: str, probs, sketch: int = SKETCH) -> DataFrame:
+    """Exact quantiles (linear interpolation between order statistics) per group: (group, prob, value).
+
+    Two passes over the values.  The first makes a mergeable sketch a group,
+    whose rank error is known, and so a bracket of values around each quantile
+    (a group of up to ten times ``sketch`` values is its own bracket).  The
+    second counts each distinct value inside the brackets, and the others
+    between them; running sums of these counts name the values at the wanted
+    ranks.  No group is gathered in one task and any number of groups will do.
+
+    Null and NaN are not values; an infinite value is an error.
     """
-    base = values.select(F.col(group_col).alias("_g"), F.col(value_col).cast("double").alias("_v"))
-    # Several small jobs read the values: keep them (two columns) for the
-    # duration instead of recomputing their lineage each round.
-    base = base.where(F.col("_v").isNotNull() & ~F.isnan("_v")).persist(StorageLevel.MEMORY_AND_DISK)
+    base = _numbers(values, value_col, group_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _select_quantiles(base, group_col, probs, bins, exact_limit)
+        return materialise(_bracketed_quantiles(base, probs, sketch).withColumnRenamed("_g", group_col), "quantiles")
     finally:
         base.unpersist()
 
 
-def _in_intervals(base: DataFrame, state: DataFrame) -> DataFrame:
-    """Values with each distinct interval of ``state`` that holds them (closed at both ends)."""
-    intervals = state.select(F.col("_g").alias("_ig"), "_lo", "_hi").distinct()
-    return base.join(intervals, F.col("_g").eqNullSafe(F.col("_ig")) & F.col("_v").between(F.col("_lo"), F.col("_hi"))).drop("_ig")
+def _numbers(values: DataFrame, value_col: str, group_col: str) -> DataFrame:
+    base = values.select(F.col(group_col).alias("_g"), F.col(value_col).cast("double").alias("_v"))
+    return base.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
 
-def _select_quantiles(base: DataFrame, group_col: str, probs, bins: int, exact_limit: int) -> DataFrame:
-    groups = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    groups = cut_lineage(groups)
-    if groups.where("_lo = double('-infinity') OR _hi = double('infinity')").limit(1).count():
+def _bracketed_quantiles(base: DataFrame, probs, sketch: int) -> DataFrame:
+    probs = sorted({float(p) for p in probs})
+    edges = [[min(1.0, max(0.0, p + side * 2 / sketch)) for p in probs] for side in (-1, 1)]
+    low, high = (F.percentile_approx("_v", F.array(*map(F.lit, e)), sketch) for e in edges)
+    groups = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), low.alias("_lo"), high.alias("_hi"))
+    groups = materialise(groups, "brackets")
+    if groups.where("_min = double('-infinity') OR _max = double('infinity')").limit(1).count():
         raise ValueError("quantiles need finite values")
-    wanted = groups.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    wanted = wanted.withColumn("_pos", F.col("prob") * (F.col("_n") - 1))
-    wanted = wanted.select("_g", "prob", "_pos", F.floor("_pos").alias("_r0"), F.ceil("_pos").alias("_r1"))
-    ranks = wanted.select("_g", F.explode(F.array("_r0", "_r1")).alias("_r")).distinct()
-    same = F.col("_g").eqNullSafe(F.col("_sg"))
-    state = ranks.join(groups.withColumnRenamed("_g", "_sg"), same).drop("_sg").withColumn("_below", F.lit(0).cast("bigint"))
-    still = (F.col("_n") > exact_limit) & (F.col("_lo") < F.col("_hi"))
-    # Half of each bound where the width itself would overflow.
-    scale = F.when(F.col("_hi") / 2 - F.col("_lo") / 2 > 8e307, 0.5).otherwise(1.0)
-    place = (F.col("_v") * scale - F.col("_lo") * scale) / (F.col("_hi") * scale - F.col("_lo") * scale)
-    while state.where(still).limit(1).count():
-        open_ = state.where(still)
-        hist = _in_intervals(base, open_).groupBy("_g", "_lo", "_hi", F.least(F.floor(place * bins), F.lit(bins - 1)).alias("_b"))
-        hist = hist.agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
-        # At most ``bins`` rows of an interval are added up here.
-        before = F.sum("_c").over(Window.partitionBy("_g", "_lo", "_hi").orderBy("_b")) - F.col("_c")
-        hist = hist.withColumn("_before", before).withColumnsRenamed({"_g": "_sg", "_lo": "_slo", "_hi": "_shi"})
-        start = F.col("_below") + F.col("_before")
-        hit = same & (F.col("_lo") == F.col("_slo")) & (F.col("_hi") == F.col("_shi")) & F.col("_r").between(start, start + F.col("_c") - 1)
-        narrowed = open_.join(hist, hit).select("_g", "_r", F.col("_c").alias("_n"), F.col("_mn").alias("_lo"), F.col("_mx").alias("_hi"), start.alias("_below"))
-        state = cut_lineage(narrowed.unionByName(state.where(~still)))
-    order = F.row_number().over(Window.partitionBy("_g", "_lo", "_hi").orderBy("_v")) - 1
-    ranked = _in_intervals(base, state.where("_lo < _hi")).withColumn("_at", order).withColumnsRenamed({"_g": "_sg", "_lo": "_slo", "_hi": "_shi"})
-    read = same & (F.col("_lo") == F.col("_slo")) & (F.col("_hi") == F.col("_shi")) & (F.col("_r") - F.col("_below") == F.col("_at"))
-    found = state.where("_lo < _hi").join(ranked, read).select("_g", "_r", "_v")
-    found = found.unionByName(state.where("_lo = _hi").select("_g", "_r", F.col("_lo").alias("_v")))
-    for k in (0, 1):
-        one = found.select(F.col("_g").alias("_sg"), F.col("_r").alias(f"_r{k}"), F.col("_v").alias(f"_v{k}"))
-        wanted = wanted.join(one, same & (wanted[f"_r{k}"] == one[f"_r{k}"])).drop("_sg", one[f"_r{k}"])
-    value = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_pos") - F.col("_r0"))
-    return cut_lineage(wanted.select(F.col("_g").alias(group_col), "prob", value.alias("value")))
+
+    def end(i: int, side: str, limit: str, edge: float):
+        whole = F.lit(edge in (0.0, 1.0)) | (F.col("_n") <= 10 * sketch)
+        return F.when(whole, F.col(limit)).otherwise(F.col(side)[i])
+
+    ends = [(end(i, "_lo", "_min", edges[0][i]), end(i, "_hi", "_max", edges[1][i])) for i in range(len(probs))]
+    inside, after = F.lit(False), F.lit(0)
+    for lo, hi in ends:
+        inside, after = inside | F.col("_v").between(lo, hi), after + (F.col("_v") < lo).cast("int")
+    joined = base.join(groups.withColumnRenamed("_g", "_bg"), F.col("_g").eqNullSafe(F.col("_bg")))
+    # The brackets that begin after a value order the counts; values outside of brackets follow those inside.
+    counts = joined.groupBy("_g", "_n", after.alias("_after"), F.when(inside, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_g").orderBy(F.desc("_after"), F.asc_nulls_last("_v")))
+    counts = counts.withColumn("_upto", upto)
+
+    def at(rank):
+        return F.max(F.when((rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto")), F.col("_v")))
+
+    found = []
+    for p in probs:
+        place = F.lit(p) * (F.col("_n") - 1)
+        found.append(F.struct(F.lit(p).alias("prob"), F.max(place).alias("place"), at(F.floor(place)).alias("v0"), at(F.ceil(place)).alias("v1")))
+    rows = counts.groupBy("_g").agg(F.array(*found).alias("_q")).select("_g", F.inline("_q"))
+    value = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("place") - F.floor("place"))
+    return rows.select("_g", "prob", F.coalesce(value, F.raise_error(F.lit("a rank outside of its bracket")).cast("double")).alias("value"))
 
 
 def group_bounds(base) -> list:
@@ -116,14 +97,16 @@ def group_bounds(base) -> list:
     return base.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
 
 
-def order_statistics(spark, base, g_type, groups, ranks: dict, bins: int = QUANTILE_BINS,
+def order_statistics(spark, base, g_type, groups, ranks: dict, bins: int = HISTOGRAM_BINS,
                      exact_limit: int | None = None) -> dict:
     """Exact order statistics of ``base`` (columns ``_g``, ``_v`` double).
 
     ``groups``: rows (_g, n, lo, hi); ``ranks``: group -> 0-based ranks.
     Returns (group, rank) -> (value, number of values strictly below it),
-    by the interval refinement described in ``exact_quantiles``, with the state
-    on the driver: for a few ranks of a few groups.
+    for a few ranks of a few groups: the state is on the driver.  Each rank's
+    interval starts as [lo, hi] of its group; a round histograms the values in
+    the open intervals and narrows each to the bin that holds its rank, until
+    its values can be fetched or are all equal.
     """
     if exact_limit is None:
         n_targets = max(1, sum(len(set(r)) for r in ranks.values()))
@@ -189,27 +172,30 @@ def order_statistics(spark, base, g_type, groups, ranks: dict, bins: int = QUANT
 def box_stats(values: DataFrame, value_col: str, group_col: str, whis: float = WHISKER) -> DataFrame:
     """Quartiles (linear interpolation), 1.5 IQR whiskers and outlier count: E19.
 
-    Quartiles come from ``exact_quantiles`` (no group gathered in one task);
+    Quartiles are those of ``exact_quantiles`` (no group gathered in one task);
     whiskers are the most extreme values inside the fences and outliers the
     values beyond them, one aggregation over the values joined with the
-    per-group quartile row (a table of one row per group).  Null and NaN are
-    not values.
+    per-group quartile row.  Null and NaN are not values.
     """
-    values = values.select(group_col, value_col).where(~F.isnan(F.col(value_col).cast("double")))
-    q = exact_quantiles(values, value_col, group_col, (0.25, 0.5, 0.75))
-    quart = q.groupBy(group_col).agg(
-        *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
-    )
-    fenced = values.join(quart, group_col).withColumn("_iqr", F.col("q3") - F.col("q1"))
-    lo_fence = F.col("q1") - F.col("_iqr") * whis
-    hi_fence = F.col("q3") + F.col("_iqr") * whis
-    v = F.col(value_col)
-    return fenced.groupBy(group_col, "q1", "median", "q3").agg(
-        F.count(v).alias("n"),
-        F.min(F.when(v >= lo_fence, v)).alias("whisker_lo"),
-        F.max(F.when(v <= hi_fence, v)).alias("whisker_hi"),
-        F.count_if((v < lo_fence) | (v > hi_fence)).alias("n_outliers"),
-    )
+    base = _numbers(values, value_col, group_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        q = _bracketed_quantiles(base, (0.25, 0.5, 0.75), SKETCH).withColumnRenamed("_g", "_qg")
+        quart = q.groupBy("_qg").agg(
+            *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
+        )
+        fenced = base.join(quart, F.col("_g").eqNullSafe(F.col("_qg"))).withColumn("_iqr", F.col("q3") - F.col("q1"))
+        lo_fence = F.col("q1") - F.col("_iqr") * whis
+        hi_fence = F.col("q3") + F.col("_iqr") * whis
+        v = F.col("_v")
+        box = fenced.groupBy(F.col("_g").alias(group_col), "q1", "median", "q3").agg(
+            F.count(v).alias("n"),
+            F.min(F.when(v >= lo_fence, v)).alias("whisker_lo"),
+            F.max(F.when(v <= hi_fence, v)).alias("whisker_hi"),
+            F.count_if((v < lo_fence) | (v > hi_fence)).alias("n_outliers"),
+        )
+        return materialise(box, "box")
+    finally:
+        base.unpersist()
 
 
 def _kde_partials(grid_size: int):

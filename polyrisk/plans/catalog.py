@@ -181,25 +181,30 @@ def q_frequent_combo_episodes(spark, sf_dir):
     return _episode_out(PT.frequent_episodes(_episodes(spark, sf_dir), P.MIN_COMBO_COUNT))
 
 
-def _vocabularies(ep: DataFrame):
+def _vocabularies(ep: DataFrame, which: str = "ab"):
     """Vocabulary A: codes with at least average frequency, most frequent first.
-    Vocabulary B: codes riskier with than without, by P(pos | code) descending."""
-    stats = cut_lineage(C.code_contingency(ep))  # one row a code, counted once for both lists
-    freq = stats.select("code", (F.col("count_outcome_0") + F.col("count_outcome_1")).alias("n_exp"))
-    totals = freq.agg(F.struct(F.sum("n_exp").alias("total"), F.count(F.lit(1)).alias("m"))).scalar()
-    frequent = freq.where(F.col("n_exp") * totals.getField("m") >= totals.getField("total"))
-    vocab_a = V.ordered_vocabulary(frequent, [F.desc("n_exp")])
-    elevated = stats.where(F.col("p_pos_drug") > F.col("p_pos_nodrug"))
-    vocab_b = V.ordered_vocabulary(elevated, [F.desc("p_pos_drug")])
+    Vocabulary B: codes riskier with than without, by P(pos | code) descending.
+    Those not named in ``which`` are None."""
+    stats = C.code_contingency(ep)
+    if which == "ab":
+        stats = cut_lineage(stats)  # one row a code, counted once for both lists
+    vocab_a = vocab_b = None
+    if "a" in which:
+        freq = stats.select("code", (F.col("count_outcome_0") + F.col("count_outcome_1")).alias("n_exp"))
+        totals = freq.agg(F.struct(F.sum("n_exp").alias("total"), F.count(F.lit(1)).alias("m"))).scalar()
+        frequent = freq.where(F.col("n_exp") * totals.getField("m") >= totals.getField("total"))
+        vocab_a = V.ordered_vocabulary(frequent, [F.desc("n_exp")])
+    if "b" in which:
+        vocab_b = V.ordered_vocabulary(stats.where(F.col("p_pos_drug") > F.col("p_pos_nodrug")), [F.desc("p_pos_drug")])
     return vocab_a, vocab_b
 
 
 def q_vocab_frequent(spark, sf_dir):
-    return _vocabularies(_episodes(spark, sf_dir))[0]
+    return _vocabularies(_episodes(spark, sf_dir), "a")[0]
 
 
 def q_vocab_elevated(spark, sf_dir):
-    return _vocabularies(_episodes(spark, sf_dir))[1]
+    return _vocabularies(_episodes(spark, sf_dir), "b")[1]
 
 
 def q_vocab_common(spark, sf_dir):
@@ -214,13 +219,13 @@ def q_vocab_union(spark, sf_dir):
 
 def q_vocab_diff(spark, sf_dir):
     ep = _episodes(spark, sf_dir)
-    a, _ = _vocabularies(ep)
+    a, _ = _vocabularies(ep, "a")
     return V.vocab_diff(E.exposures_of(ep), a)
 
 
 def _aligned(spark, sf_dir):
     ep = _episodes(spark, sf_dir)
-    a, _ = _vocabularies(ep)
+    a, _ = _vocabularies(ep, "a")
     risk_rows = PT.attach_risk(ep, PT.combo_patterns(ep))
     return V.align_lenient(risk_rows, a)
 
@@ -232,7 +237,7 @@ def q_vocab_align_lenient(spark, sf_dir):
 def q_vocab_align_strict(spark, sf_dir):
     """Strict alignment to the elevated-risk vocabulary; fails if a listed code never occurs."""
     ep = _episodes(spark, sf_dir)
-    return _episode_out(V.align_strict(ep, _vocabularies(ep)[1]))
+    return _episode_out(V.align_strict(ep, _vocabularies(ep, "b")[1]))
 
 
 def q_vocab_stripped(spark, sf_dir):
