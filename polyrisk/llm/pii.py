@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
+#: Possessive, as nothing follows: the labels of a host are matched in a loop, however many there are.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++"
 #: With a country code: groups of digits (at least eight in all), or all digits in one.
 WORLD_PHONE = r"(?=\+(?:[ .()-]{0,3}\d){8})\+\d{1,3}(?:[ .-]?\(\d{1,4}\)[ .-]?|[ .-])\d{1,12}(?:[ .-]\d{2,8}){0,5}(?!\d)|\+\d{8,15}(?!\d)"
 US_PHONE = r"(?<![\d-])(?<!\d\.)(?:1[-. ])?(?:\(\d{3}\)[ -]?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!-?\d)"
@@ -225,16 +226,18 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     layouts, IPv4 addresses, dates in digits with a year of four digits, US
     social security numbers and payment card numbers.  Numbers and dates are
     replaced only if valid (Luhn, octets, calendar, number ranges).  Text
-    lengths stay, but for IPv4 addresses and for days and months of one digit.  Null and empty texts stay; rows are independent of each other,
-    so repeated rows, extra columns and empty tables need no care.
+    lengths stay, but for IPv4 addresses and for days and months of one digit.
+    Null and empty texts stay; rows are independent of each other, so repeated
+    rows, extra columns of any name and empty tables need no care.
     """
-    if {"__gaps", "__found", "__new"} & set(docs.columns):
-        raise ValueError("column names __gaps, __found and __new are used inside")
-    text = F.col(text_col)
+    name = "__found"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    text, matches = F.col(text_col), F.col(name)
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     gaps = F.split(text, ANY, -1)
     # One gap more than matches: gap, pseudonym, gap, ..., gap.
-    parts = F.transform(gaps, lambda g, i: F.when(i < F.size("__found"), F.concat(g, pseudonym(F.get(F.col("__found"), i), key))).otherwise(g))
+    parts = F.transform(gaps, lambda g, i: F.when(i < F.size(matches), F.concat(g, pseudonym(F.get(matches, i), key))).otherwise(g))
     has = text.rlike("[0-9@]") & text.rlike(ANY)
-    out = docs.withColumn("__found", F.when(has, found))
-    return out.withColumn(text_col, F.when(F.col("__found").isNull(), text).otherwise(F.array_join(parts, ""))).drop("__found")
+    out = docs.withColumn(name, F.when(has, found))
+    return out.withColumn(text_col, F.when(matches.isNull(), text).otherwise(F.array_join(parts, ""))).drop(name)
