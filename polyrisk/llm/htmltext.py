@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -32,35 +33,42 @@ BOILER = frozenset(
     "newsletter subscribe subscription signup login search share sharing social related recommended recommendations widget widgets pagination pager skip contentinfo complementary hidden".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus discussion replies reply respond".split())
+#: Names that an article's own sections have as well; inside an article the clusters decide on them.
+DOUBTFUL = frozenset("discussion alert alerts".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+#: What a line lies in outside of all elements.
+NOTHING = ("", False, False, 0, 0, False)
+
+
 class Lines(HTMLParser):
-    """Turns a page's events into lines: [text parts, tags, boilerplate?, main element or 0, element]."""
+    """Turns a page's events into lines: [text parts, tags, boilerplate?, main element or 0, element, doubtful?]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self.open: list[tuple[str, bool, bool, int, int]] = []  # tag, drops, marks a comment, main, element
+        self.open: list[tuple[str, bool, bool, int, int, bool]] = []  # tag, drops, marks a comment, main, element, doubtful
+        self.held: Counter[str] = Counter()  # tags in ``open``
         #: Parent and tag of each element that is not inline, in the page's order; 0 is the page.
         self.parents, self.tags = [0], [""]
         self.fresh()
         self.mains = 0
 
     def fresh(self) -> None:
-        top = self.open[-1] if self.open else ("", False, False, 0, 0)
+        top = self.open[-1] if self.open else NOTHING
         if self.lines and not self.lines[-1][0]:
-            self.lines[-1][2:] = [top[1], top[3], top[4]]
+            self.lines[-1][2:] = [top[1], *top[3:]]
         else:
-            self.lines.append([[], 0, top[1], top[3], top[4]])
+            self.lines.append([[], 0, top[1], *top[3:]])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ENDS_P:
             self._end(("p",))
         if tag in SIBLINGS:
             self._end(SIBLINGS[tag])
-        top = self.open[-1] if self.open else ("", False, False, 0, 0)
+        top = self.open[-1] if self.open else NOTHING
         names: set[str] = set()
         gone = False
         for key, value in attrs:
@@ -68,9 +76,11 @@ class Lines(HTMLParser):
                 names.update(w.lower() for w in _WORDS.findall(value))
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and value and "display:none" in value.replace(" ", "").lower()):
                 gone = True
+        main, doubtful = top[3], top[5]
+        if main and names & DOUBTFUL:
+            names, doubtful = names - DOUBTFUL, True
         remark = top[2] or bool(names & COMMENTS)
         drops = top[1] or gone or tag in DROPPED or (bool(names & BOILER) and tag not in ("html", "body"))
-        main = top[3]
         if tag == "header" and not main:
             drops = True
         if (tag in MAIN or "main" in names and tag in ("div", "section")) and not remark and not gone:
@@ -85,7 +95,8 @@ class Lines(HTMLParser):
                 self.parents.append(element)
                 self.tags.append(tag)
                 element = len(self.tags) - 1
-            self.open.append((tag, drops, remark, main, element))
+            self.open.append((tag, drops, remark, main, element, doubtful))
+            self.held[tag] += 1
         if tag not in INLINE:
             self.fresh()
         self.lines[-1][1] += 1
@@ -93,29 +104,43 @@ class Lines(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # <![ and a word that no standard has: skipped to the next >
+            return self.parse_bogus_comment(i)
+
+    def _close(self, k: int) -> None:
+        for element in self.open[k:]:
+            self.held[element[0]] -= 1
+        del self.open[k:]
+
     def _end(self, tags: tuple[str, ...]) -> None:
+        if not any(self.held[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, -1, -1):
             name = self.open[k][0]
             if name in tags:
-                del self.open[k:]
+                self._close(k)
                 return
             if name in SCOPE:
                 return
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                break
+        if self.held[tag]:
+            k = len(self.open) - 1
+            while self.open[k][0] != tag:
+                k -= 1
+            self._close(k)
         if tag not in INLINE:
             self.fresh()
         self.lines[-1][1] += 1
 
     def handle_data(self, data: str) -> None:
         if not data.isspace() or self.lines[-1][0]:
-            top = self.open[-1] if self.open else ("", False, False, 0, 0)
+            top = self.open[-1] if self.open else NOTHING
             if not self.lines[-1][0]:
-                self.lines[-1][2:] = [top[1], top[3], top[4]]
+                self.lines[-1][2:] = [top[1], *top[3:]]
             if not top[1]:
                 self.lines[-1][0].append(data)
                 self.lines[-1][2] = False
@@ -127,8 +152,12 @@ def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def clusters(ratios: np.ndarray, sigma: float) -> np.ndarray:
-    """Which lines lie in content: smoothed ratio over a threshold between two cluster means."""
+def clusters(ratios: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """(lines in content, lines that are content by their own ratio as well).
+
+    Content is where the smoothed ratio is over a threshold between two
+    cluster means; smoothing takes in short lines beside long ones.
+    """
     smoothed = smooth(ratios, sigma)
     threshold = smoothed.std()
     for _ in range(20):
@@ -139,7 +168,8 @@ def clusters(ratios: np.ndarray, sigma: float) -> np.ndarray:
         if abs(moved - threshold) < 1e-9:
             break
         threshold = moved
-    return smoothed > threshold if (smoothed > threshold).any() else np.ones(len(ratios), bool)
+    content = smoothed > threshold if (smoothed > threshold).any() else np.ones(len(ratios), bool)
+    return content, content & (ratios > threshold)
 
 
 def region(parser: Lines, kept: np.ndarray, content: np.ndarray) -> np.ndarray:
@@ -173,25 +203,30 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     A line's ratio is its text length over its tags (lines of menus, adverts,
     comments and the like count as no text).  The ratios are smoothed and cut
     into content and other lines.  Content lines choose the regions: the
-    article or main elements they lie in, or, on a page without such, the
+    article or main elements that long ones lie in, or, on a page without such, the
     element around them all (see :func:`region`).  Of a chosen region every
-    line is kept, short ones too, but for the boilerplate inside it.
+    line is kept, short ones too, but for the boilerplate inside it; sections
+    whose name an article's own may have keep their content lines.  A page
+    that the parser can't read to its end is taken as far as it goes.
     """
     parser = Lines()
-    parser.feed(html)
-    parser.close()
+    try:
+        parser.feed(html)
+        parser.close()
+    except AssertionError:
+        pass
     texts = [" ".join("".join(line[0]).split()) for line in parser.lines]
     ratios = np.array([0.0 if line[2] else len(t) / max(line[1], 1) for t, line in zip(texts, parser.lines, strict=True)])
     if not ratios.any():
         return ""
-    content = clusters(ratios, sigma) & (ratios > 0)
+    content, core = (mask & (ratios > 0) for mask in clusters(ratios, sigma))
     if not content.any():
         content = ratios > 0
-    regions = {parser.lines[i][3] for i in np.flatnonzero(content)} - {0}
+    regions = {parser.lines[i][3] for i in np.flatnonzero(core if core.any() else content)} - {0}
     if not regions and parser.mains:
         regions = {line[3] for line, r in zip(parser.lines, ratios, strict=True) if r} - {0}
     if regions:
-        return " ".join(t for t, line in zip(texts, parser.lines, strict=True) if t and not line[2] and line[3])
+        return " ".join(t for t, line, c in zip(texts, parser.lines, content, strict=True) if t and not line[2] and line[3] in regions and (c or not line[5]))
     kept = np.array([bool(t) and not line[2] for t, line in zip(texts, parser.lines, strict=True)])
     return " ".join(texts[i] for i in np.flatnonzero(kept & region(parser, kept, content)))
 
