@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from polyrisk.llm import hashing as H
-from polyrisk.llm.common import materialise, release, text_slices
+from polyrisk.llm.common import materialise, text_slices
 
 #: Hashed features of the classifier; its tables hold so many numbers per domain.
 FEATURES = 1 << 16
@@ -189,10 +190,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], id_col
 
     Null and empty texts have no tokens, the prior as posterior, and some
     rate that no total depends on.  Equal texts get equal rates; repeated rows
-    get equal copies.  Without any label all rates are 1.
+    get equal copies.  Without any label all rates are 1.  Columns of the input
+    that are named like one of the results give way to it.
     """
-    if {"n_tokens", "posterior", "rate", "copies", "__text"} & set(docs.columns):
-        raise ValueError("rename the columns n_tokens, posterior, rate and copies of the input first")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_tokens", "posterior", "rate", "copies")])
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     model = fit_classifier(plain, labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("domain").cast("string").alias("domain")), **options)
     missing = set(model.domains) - set(targets)
@@ -201,27 +202,30 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], id_col
     weights = np.array([float(targets[d]) for d in model.domains])
     if (weights < 0).any() or (len(weights) and not weights.sum()):
         raise ValueError("target weights are nonnegative and not all zero")
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded: FEATURES rows, one column a domain
-    rates = Rates([])
-    if model.domains:
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: FEATURES rows, one column a domain
+    names = docs.columns
+    text_at = names.index(text_col)
 
-        def soften(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in text_slices(batches):
+    def soften(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # By place, as names may differ in case only.
+            batch = pa.RecordBatch.from_arrays([*batch.columns, batch.column(text_at)], names=[*(f"c{i}" for i in range(len(names))), "text"])
+            for part in text_slices([batch]):
                 p, n = shared.value.posteriors(part.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array(n.astype(float)), pa.array(list(p), pa.list_(pa.float64()))], names=["n", "p"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], names=[*names, "n_tokens", "posterior"])
 
-        soft = materialise(plain.mapInArrow(soften, "n double, p array<double>"), "mixing-soft")
-        rates = fit_rates(soft, weights / weights.sum())
-        release(soft)
-    names = docs.columns
+    # Posteriors are the dear part: they are made once, and kept with the rows that they belong to.
+    schema = StructType([*docs.schema.fields, StructField("n_tokens", LongType()), StructField("posterior", ArrayType(DoubleType()))])
+    soft = materialise(docs.mapInArrow(soften, schema), "mixing-soft")
+    rate = F.lit(1.0)
+    if model.domains:
+        rates = fit_rates(soft.select(F.col("n_tokens").cast("double").alias("n"), F.col("posterior").alias("p")), weights / weights.sum())
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "__text"):
-            p, n = shared.value.posteriors(part.column("__text"))
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64())), pa.array(rates.of(p) if len(shared.value.domains) else np.ones(len(n)))], names=[*names, "n_tokens", "posterior", "rate"])
+        @F.pandas_udf("double")
+        def rate_of(p: pd.Series) -> pd.Series:
+            return pd.Series(rates.of(np.stack(p.to_numpy())) if len(p) else np.zeros(0))
 
-    schema = StructType([*docs.schema.fields, StructField("n_tokens", LongType()), StructField("posterior", ArrayType(DoubleType())), StructField("rate", DoubleType())])
-    out = docs.withColumn("__text", F.col(text_col)).mapInArrow(rate, schema)
+        rate = rate_of("posterior")
     unit = F.pmod(F.xxhash64(F.lit(29), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    out = soft.withColumn("rate", rate)
     return out.withColumn("copies", (F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("bigint")).cast("int"))

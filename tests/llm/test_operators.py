@@ -208,6 +208,8 @@ def test_mixing(spark, docs):
     assert abs(got[0] - 0.1) < 1e-4 and abs(got[1] - 0.9) < 1e-4
     assert out.where("rate < 0 OR abs(copies - rate) >= 1").count() == 0 and out.count() == 303
     assert mix(docs, labels.limit(0), {}).where("rate <> 1").count() == 0
+    clash = mix(frame.withColumn("Rate", F.lit("x")).withColumn("copies", F.lit(9)), labels, {"bad": 0.1, "good": 0.9})
+    assert sorted(r.copies for r in clash.collect()) == sorted(r.copies for r in out.collect())
     assert mix(empty(spark), labels, {"bad": 0.1, "good": 0.9}).count() == 0
 
 
