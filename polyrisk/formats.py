@@ -22,3 +22,6 @@ REFERENCE_NAMES = {
 # that code columns carry in the wide file.
 NON_CODE_ENTRIES = ("risk", "diagnosis")
 CODE_PREFIX = "_"
+
+#: Options under which texts with quotes, marks and blanks at their ends keep them.
+CSV_TEXT = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}

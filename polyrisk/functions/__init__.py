@@ -2,6 +2,7 @@
 
 from polyrisk.functions.expr import (
     bce_terms,
+    combo_from_text,
     combo_identity,
     combo_key,
     hash_unit,
@@ -13,6 +14,7 @@ from polyrisk.functions.expr import (
 
 __all__ = [
     "bce_terms",
+    "combo_from_text",
     "combo_identity",
     "combo_key",
     "hash_unit",

@@ -45,6 +45,18 @@ def combo_identity(combo: str | Column) -> Column:
     return F.array_join(escaped, "|")
 
 
+def combo_from_text(text: str | Column) -> Column:
+    """The code array that :func:`combo_identity` wrote as ``text``."""
+
+    def code(c: Column) -> Column:
+        # Between escaped backslashes, the only backslash left is that of an escaped bar.
+        plain = F.transform(F.split(c, r"\\\\"), lambda x: F.replace(x, F.lit("\\p"), F.lit("|")))
+        return F.when(c == "\\n", F.lit(None)).when(c == "\\e", F.lit("")).otherwise(F.array_join(plain, "\\"))
+
+    none = F.array().cast("array<string>")
+    return F.when(_col(text) == "", none).otherwise(F.transform(F.split(_col(text), r"\|"), code))
+
+
 def hash_unit(seed: int, key: str | Column) -> Column:
     """Deterministic bucket in [0, 2**32) of ``key`` under ``seed``.
 

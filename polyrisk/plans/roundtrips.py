@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from polyrisk import sinks
 from polyrisk.operators import episodes as E
 from polyrisk.operators import vocab as V
+from polyrisk.operators.patterns import combo_patterns
 from polyrisk.plans import catalog as Q
 from polyrisk.plans import params as P
 from polyrisk.session import ensure_checkpoint_dir
@@ -67,8 +68,11 @@ def q_format_screens_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_format_scores_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored combinations."""
-    return _csv(Q.q_logistic_fixed_scores(spark, sf_dir), "scores")
+    """Scored combinations, with their codes read back as arrays."""
+    ep, path = Q._episodes(spark, sf_dir), _path(spark, "scores")
+    scores = Q._fixed_scores(ep, combo_patterns(ep))
+    sinks.write_csv(scores, path)
+    return Q._show_combo(files.read_csv(spark, path, scores.schema))
 
 
 FORMAT_QUERIES = {

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyrisk.formats import CODE_PREFIX, REFERENCE_NAMES
-from polyrisk.functions import combo_key
+from polyrisk.formats import CODE_PREFIX, CSV_TEXT, REFERENCE_NAMES
+from polyrisk.functions import combo_identity
 
 
 def with_reference_names(df: DataFrame) -> DataFrame:
@@ -45,12 +45,15 @@ def write_episodes(episodes: DataFrame, path: str, mode: str = "overwrite") -> N
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with header; arrays become '|'-joined strings.  B2, B3, B4, B6, B7."""
+    """CSV with header; arrays become one text each, which names them.  B2, B3, B4, B6, B7.
+
+    ``sources.files.read_csv`` gives the arrays back, whatever their codes hold.
+    """
     out = df
     for field in df.schema.fields:
         if field.dataType.typeName() == "array":
-            out = out.withColumn(field.name, combo_key(field.name))
-    out.write.mode(mode).option("header", True).csv(path)
+            out = out.withColumn(field.name, combo_identity(field.name))
+    out.write.mode(mode).options(**CSV_TEXT).csv(path)
 
 
 def write_screens(screen: DataFrame, path: str, mode: str = "overwrite") -> None:

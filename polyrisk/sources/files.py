@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import ast
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from polyrisk.formats import NON_CODE_ENTRIES, REFERENCE_NAMES
+from polyrisk.formats import CSV_TEXT, NON_CODE_ENTRIES, REFERENCE_NAMES
+from polyrisk.functions import combo_from_text
+from polyrisk.operators.scan import ranked
 
 # The reference's raw long table: its names for the four canonical columns.
 RAW_COLUMNS = {c: REFERENCE_NAMES[c] for c in ("subject_id", "episode_id", "code", "outcome")}
@@ -99,8 +102,18 @@ def read_vocabulary_json(spark: SparkSession, path: str, prefix: str = "_") -> D
     codes = entries.where(~F.col("entry").isin(*NON_CODE_ENTRIES)).select(
         "pos", F.replace(F.col("entry"), F.lit(prefix), F.lit("")).alias("code")
     )
-    window = Window.orderBy("pos")
-    return codes.select(F.row_number().over(window).alias("position"), "code")
+    return ranked(codes, [F.asc("pos")], "position", start=1).select("position", "code")
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A table of ``sinks.write_csv`` under its own schema: array columns are read from their text.
+
+    An empty text is an empty array, as a null one is written alike.
+    """
+    plain = StructType([StructField(f.name, StringType()) if f.dataType.typeName() == "array" else f for f in schema])
+    raw = spark.read.schema(plain).options(**CSV_TEXT, multiLine=True).csv(path)
+    arrays = [f.name for f in schema if f.dataType.typeName() == "array"]
+    return raw.withColumns({c: combo_from_text(F.coalesce(c, F.lit(""))) for c in arrays}).select(*schema.names)
 
 
 def read_trials_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -121,7 +134,7 @@ def read_trials_csv(spark: SparkSession, path: str) -> DataFrame:
         *[F.col(c).cast("double").alias(c) for c in raw.columns if c == "learning_rate_penalty"],
         F.col("value").cast("double").alias("value"),
     )
-    return typed.withColumn("rank", F.row_number().over(Window.orderBy("_order"))).drop("_order")
+    return ranked(typed, [F.asc("_order")], start=1).drop("_order")
 
 
 def read_loss_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import json
 import os
 
+from pyspark.sql import functions as F
+
 from polyrisk import sinks
 from polyrisk.sources import files
 
@@ -105,3 +107,20 @@ def test_reference_names(spark, golden_episodes):
     cols = sinks.with_reference_names(code_contingency(golden_episodes)).columns
     assert cols == ["medicament", "count_diagnosis_0", "count_diagnosis_1", "proba_healthy_nodrug",
                     "proba_healthy_drug", "proba_nothealthy_nodrug", "proba_nothealthy_drug"]
+
+
+def test_combinations_survive_csv(spark, tmp_path):
+    """Codes with bars, backslashes, quotes, commas, blanks and line ends, empty and null ones."""
+    from polyrisk import sinks
+    from polyrisk.functions import combo_from_text, combo_identity
+    from polyrisk.sources import files
+
+    combos = [[], [""], ["A", "B"], ["A|B"], ["|"], ["\\"], ["\\p"], ["\\\\p", "|\\"], ["\\e", "", "e"], ["a\nb", 'q"q', "x,y"], [" pad ", "\t"], [None, "n"], ["\\n"]]
+    df = spark.createDataFrame([(i, c, 0.5) for i, c in enumerate(combos)], "id int, combo array<string>, risk double").repartition(3)
+    texts = {tuple(r.c): r.t for r in df.select(F.col("combo").alias("c"), combo_identity("combo").alias("t")).collect()}
+    assert len(set(texts.values())) == len(combos)
+    back = {r.id: r.c for r in df.select("id", combo_from_text(combo_identity("combo")).alias("c")).collect()}
+    assert back == dict(enumerate(combos))
+    path = str(tmp_path / "scores")
+    sinks.write_csv(df, path)
+    assert {r.id: (r.combo, r.risk) for r in files.read_csv(spark, path, df.schema).collect()} == {i: (c, 0.5) for i, c in enumerate(combos)}
