@@ -75,14 +75,14 @@ def fit_logistic_weights(patterns: DataFrame, max_iter: int = MAX_ITER, tol: flo
     Patterns with one outcome only have no finite fit, and an optimiser that
     does not come to an end gives no model: both are errors.
     """
-    index = code_index(patterns)
-    features = materialise(feature_rows(patterns, index), "features")
-    size, n, n_pos = features.agg(F.max(F.array_max("indices")) + 1, F.sum("n"), F.sum("n_pos")).first()
+    n, n_pos = patterns.agg(F.sum("n"), F.sum("n_pos")).first()
     if not n_pos or n_pos == n:
         raise ValueError("a fit needs both outcomes")
+    index = code_index(patterns)
+    size = index.count()
     if not size:
         raise ValueError("a fit needs at least one code")
-    rows = sparse_rows(features, size).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = sparse_rows(feature_rows(patterns, index), size).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = LogisticRegression(weightCol="weight", regParam=reg, standardization=False, maxIter=max_iter, tol=tol).fit(rows)
     finally:
@@ -107,11 +107,13 @@ def linear_scores(patterns: DataFrame, weights: DataFrame) -> DataFrame:
     Codes without a weight add nothing (lenient alignment); a model without
     intercept has 0.
     """
-    known = weights.where("code IS NOT NULL")
-    intercept = weights.where("code IS NULL").agg(F.coalesce(F.max("weight"), F.lit(0.0))).scalar()
-    terms = patterns.select("combo").distinct().select("combo", F.explode_outer("combo").alias("code"))
-    sums = terms.join(known, "code", "left").groupBy("combo").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("_z"))
-    risk = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("_z") + intercept)))
+    # The intercept is the weight of the null code, which every combination has once.
+    codes = F.explode(F.concat(F.array_compact("combo"), F.array(F.lit(None).cast("string"))))
+    terms = patterns.select("combo").distinct().select("combo", codes.alias("code"))
+    known = weights.select(F.col("code").alias("_known"), "weight")
+    terms = terms.join(known, F.col("code").eqNullSafe(F.col("_known")), "left")
+    sums = terms.groupBy("combo").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("_z"))
+    risk = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_z")))
     return patterns.join(sums, "combo").withColumn("risk_predicted", risk).drop("_z")
 
 
