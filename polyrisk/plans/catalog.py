@@ -27,7 +27,7 @@ from polyrisk.operators import vocab as V
 from polyrisk.plans import params as P
 from polyrisk.plans.scoring import score_episodes
 from polyrisk.plans.screening import run_screening
-from polyrisk.session import cut_lineage, ensure_checkpoint_dir
+from polyrisk.session import cut_lineage, ensure_checkpoint_dir, materialise
 from polyrisk.sinks import multi_hot
 from polyrisk.sources import tables
 
@@ -273,7 +273,7 @@ def _fixed_scores(ep: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def q_logistic_gradient(spark, sf_dir):
     """Gradient of the fitted logistic model, by code: zero where the fit is the optimum (K1)."""
-    pt = cut_lineage(_patterns(spark, sf_dir))
+    pt = materialise(_patterns(spark, sf_dir), "patterns")
     gradient = W.loss_gradient(pt, W.fit_logistic_weights(pt))
     code = F.coalesce("code", F.lit("(intercept)"))
     return gradient.select(code.alias("code"), "n", "n_pos", (F.round("gradient", P.GRADIENT_DECIMALS) + F.lit(0.0)).alias("gradient"))

@@ -29,7 +29,7 @@ from polyrisk.operators.sampling import group_sample
 from polyrisk.plans import params as P
 from polyrisk.plans.catalog import _episodes
 from polyrisk.plans.scoring import fold_losses, score_episodes
-from polyrisk.session import cut_lineage
+from polyrisk.session import materialise
 
 # The best published configuration of the reference (one of its two runs).
 BEST_NETWORK = {"epoch": 500, "activation": "RELU", "layers": 1, "hidden_dim_1": 100,
@@ -97,7 +97,7 @@ def q_calibration_table(spark, sf_dir):
 
 def q_logistic_scores(spark, sf_dir):
     """The fitted logistic model on the combinations it has seen."""
-    patterns = cut_lineage(combo_patterns(_episodes(spark, sf_dir)))
+    patterns = materialise(combo_patterns(_episodes(spark, sf_dir)), "patterns")
     scores = W.score_patterns(patterns, W.fit_logistic_weights(patterns))
     return scores.withColumn("combo", combo_key("combo"))
 
