@@ -104,6 +104,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 SLOT_BITS = 16
 #: Buckets of at most so many classes are finished by comparing all their pairs.
 SMALL = 32
+#: Rounds of new centres go on while more than one in so many compared pairs is a link.
+PRODUCTIVE = 20
 
 
 def _slot_counts(sets: DataFrame) -> np.ndarray:
@@ -123,13 +125,26 @@ def _slot_counts(sets: DataFrame) -> np.ndarray:
     return out
 
 
+def _size_blocks(last: int) -> np.ndarray:
+    """First sizes of the blocks, each a tenth longer than the one before, up to ``last``."""
+    edges = [1]
+    while edges[-1] <= last:
+        edges.append(max(edges[-1] + 1, edges[-1] * 11 // 10))
+    return np.array(edges, np.int64)
+
+
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b) among ``sets(cls, items, root, minor)``: every pair that can reach ``percent`` is there.
 
-    With shingles in one order for all sets, rare ones first, a pair over the
-    threshold shares one of the smaller set's first n - ceil(2tn / (1 + t)) + 1
-    and the larger set's first n - ceil(tn) + 1.  Pairs with the same root, and
-    those where neither is ``minor``, are left out.
+    A pair of m and n >= m shingles over the threshold has at least
+    o = ceil(t(m + n) / (1 + t)) in common.  With shingles in one order for all
+    sets, rare ones first, it shares one of the first m - o + 1 of the smaller
+    and n - o + 1 of the larger set.  The larger set gives a prefix of its own
+    for each block of sizes its partner may have, so a shingle that many sets
+    hold late in their order meets none of the sets that hold it early but
+    are too long for it; within a block the exact sizes and places decide.
+    Pairs with the same root, and those where neither is ``minor``, are left
+    out.
     """
     counts = _slot_counts(sets)
 
@@ -138,21 +153,42 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
             for i, items in enumerate(batch.column("items")):
                 found = np.frombuffer(items.as_buffer(), np.uint64)
                 n = len(found)
-                probe, lead = n + (-percent * n // 100) + 1, n + (-2 * percent * n // (100 + percent)) + 1
-                first = found[np.lexsort((found, counts[found >> np.uint64(64 - SLOT_BITS)]))[:probe]]
-                same = pa.array(np.full(len(first), i))
-                columns = [pa.array(first.view(np.int64)), *(batch.column(c).take(same) for c in ("cls", "root", "minor")), pa.array(np.full(len(first), n)), pa.array(np.arange(len(first)) < lead)]
-                yield pa.RecordBatch.from_arrays(columns, names=["item", "cls", "root", "minor", "n", "lead"])
-
-    rare = materialise(sets.select("cls", "root", "minor", "items").mapInArrow(run, "item bigint, cls binary, root binary, minor boolean, n bigint, lead boolean"), "neardup-rare")
-    p = rare.select("item", *(F.col(c).alias(f"p_{c}") for c in ("cls", "root", "minor", "n")))
-    fits = F.expr(f"root <> p_root AND struct(n, cls) < struct(p_n, p_cls) AND 100 * n >= {percent} * p_n")
+                edges = _size_blocks(n)
+                ranked = found[np.lexsort((found, counts[found >> np.uint64(64 - SLOT_BITS)]))].view(np.int64)
+                least = -(-percent * n // 100)
+                own = int(np.searchsorted(edges, n, "right")) - 1
+                # (block, length of the prefix, whether this set is the smaller one)
+                cuts = [(own, n + (-2 * percent * n // (100 + percent)) + 1, True)]
+                for block in range(int(np.searchsorted(edges, least, "right")) - 1, own + 1):
+                    cuts.append((block, n + (-percent * (n + max(least, int(edges[block]))) // (100 + percent)) + 1, False))
+                sizes = [length for _, length, _ in cuts]
+                same = pa.array(np.full(sum(sizes), i))
+                columns = [
+                    pa.array(np.concatenate([ranked[:k] for k in sizes])),
+                    pa.array(np.repeat([block for block, _, _ in cuts], sizes).astype(np.int32)),
+                    pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])),
+                    *(batch.column(c).take(same) for c in ("cls", "root", "minor")),
+                    pa.array(np.full(sum(sizes), n)),
+                    pa.array(np.repeat([smaller for _, _, smaller in cuts], sizes)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["item", "block", "place", "cls", "root", "minor", "n", "smaller"])
+
+    rare = sets.select("cls", "root", "minor", "items").mapInArrow(run, "item bigint, block int, place int, cls binary, root binary, minor boolean, n bigint, smaller boolean")
+    rare = materialise(rare, "neardup-rare")
+    p = rare.where("NOT smaller").select("item", "block", *(F.col(c).alias(f"p_{c}") for c in ("place", "cls", "root", "minor", "n")))
+    fits = F.expr(
+        f"root <> p_root AND struct(n, cls) < struct(p_n, p_cls) AND 100 * n >= {percent} * p_n"
+        f" AND {100 + percent} * least(n - place, p_n - p_place) >= {percent} * (n + p_n)"
+    )
 
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, "item").where(fits).select(F.col("cls").alias("a"), F.col("p_cls").alias("b"))
+        return left.join(right, ["item", "block"]).where(fits).select(F.col("cls").alias("a"), F.col("p_cls").alias("b"))
 
-    lead = rare.where("lead")
-    return meet(lead.where("minor"), p).union(meet(lead.where("NOT minor"), p.where("p_minor"))).distinct()
+    lead = rare.where("smaller")
+    pairs = meet(lead.where("minor"), p).union(meet(lead.where("NOT minor"), p.where("p_minor"))).distinct()
+    pairs = materialise(pairs, "neardup-pairs")
+    release(rare)
+    return pairs
 
 
 def finish(buckets: DataFrame, roots: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,12 +206,18 @@ def finish(buckets: DataFrame, roots: DataFrame, tried: DataFrame, sets: DataFra
     x, y = (placed.where(f"n <= {SMALL}").select("key", F.col("cls").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
     pairs = x.join(y, "key").where("a_root <> b_root AND a < b").select("a", "b").distinct()
     large = placed.where(f"n > {SMALL}").groupBy("cls", "root").agg(F.max(F.col("root") != F.col("major")).alias("minor"))
+    scratch = [placed]
     if large.limit(1).count():
         large = materialise(sets.join(large, "cls"), "neardup-large")
-        pairs = pairs.union(prefix_pairs(large, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+        rare = prefix_pairs(large, percent)
+        scratch += [large, rare]
+        pairs = pairs.union(rare.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"), "neardup-tried")
-    return materialise(verify(pairs, sets, percent), "neardup-links")
+    links = materialise(verify(pairs, sets, percent), "neardup-links")
+    for table in [*scratch, pairs]:
+        release(table)
+    return links
 
 
 def near_duplicates(
@@ -194,9 +236,10 @@ def near_duplicates(
     candidates grow with bucket size, not its square.  The first centre is the
     class that meets most others over all its buckets; every further round
     takes another centre in each bucket that still holds several components,
-    until a round adds no link.  What the buckets still hold in several
-    components is then decided in whole by :func:`finish`.  Candidates count
-    as links only after comparing the full sets.
+    as long as one in ``PRODUCTIVE`` of its pairs is a link, so the rounds
+    are about as many as a bucket holds large groups.  What the buckets still
+    hold in several components is then decided in whole by :func:`finish`.
+    Candidates count as links only after comparing the full sets.
 
     Rows with an empty set (null or blank text) stay alone.  Repeated rows and
     ids fall together; rows without an id are in no group: their component is
@@ -219,22 +262,28 @@ def near_duplicates(
     sets = materialise(sets.groupBy("cls").agg(F.first("items").alias("items")), "neardup-sets")
     tried = materialise(pairs, "neardup-tried")
     links = materialise(verify(tried, sets, percent), "neardup-links")
-    turn = 0
+    turn, productive = 0, True
     while True:
-        turn += 1
         roots = materialise(connected_components(links), "neardup-roots")
+        if not productive:
+            break
+        turn += 1
         placed = buckets.select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("cls", "root"), F.xxhash64("cls", F.lit(turn))).alias("c")).where("lo <> hi").select("key", "c")
         more = placed.join(mixed, "key").where("root <> c.root").select(F.col("cls").alias("a"), F.col("c.cls").alias("b")).distinct()
-        more = more.join(tried, ["a", "b"], "left_anti")
-        more = materialise(more, "neardup-tried")
+        more = materialise(more.join(tried, ["a", "b"], "left_anti"), "neardup-tried")
         fresh = materialise(verify(more, sets, percent), "neardup-links")
-        if not fresh.limit(1).count():
+        n_more, n_fresh = more.count(), fresh.count()
+        tried = tried.union(more)
+        productive = n_fresh * PRODUCTIVE > n_more
+        if not n_fresh:
             break
-        tried, links = tried.union(more), links.union(fresh)
-    fresh = finish(buckets, roots, tried.union(more), sets, percent)
+        links = links.union(fresh)
+    fresh = finish(buckets, roots, tried, sets, percent)
     if fresh.limit(1).count():
         roots = materialise(connected_components(links.union(fresh)), "neardup-roots")
+    for scratch in (buckets, sets, tried, links, fresh):
+        release(scratch)
     first = roots.join(classes.select(F.col("cls").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("low"))
     lows = roots.join(first, "root").select(F.col("node").alias("cls"), "low")
     lows = classes.select("cls", "rep").join(lows, "cls", "left").select("cls", F.coalesce("low", "rep").alias("low"))
