@@ -25,7 +25,7 @@ from polyrisk.operators import describe as D
 from polyrisk.operators import histograms as H
 from polyrisk.operators import sampling as S
 from polyrisk.operators.episodes import build_episodes, dataset_profile
-from polyrisk.operators.vocab import align_strict
+from polyrisk.operators.vocab import align_lenient, align_strict
 from polyrisk.plans.screening import run_screening
 from polyrisk.session import cut_lineage
 
@@ -84,18 +84,19 @@ def run_training(
     epoch_choices=SR.EPOCH_CHOICES,
     exact_sample: bool = True,
 ) -> TrainingRun:
-    """Entry 2: sample combinations, search with group K-fold, refit the best
+    """Entry 2: align to ``vocab``, sample combinations, search with group K-fold, refit the best
     configuration on all sampled combinations, write trials, best
     parameters, loss curve, weights and the seen-combination scores.
 
     ``exact_sample`` takes exactly round(fraction * m) of the m
-    combinations (as the reference does); otherwise each combination is
+    aligned combinations (as the reference does); otherwise each combination is
     kept with probability ``fraction`` (hash threshold, no extra job)."""
     spark = episodes.sparkSession
+    aligned = align_lenient(episodes, spark.createDataFrame([(c,) for c in vocab], "code string"))
     if exact_sample:
-        sampled = S.group_sample_exact(episodes, fraction, seed)
+        sampled = S.group_sample_exact(aligned, fraction, seed)
     else:
-        sampled = S.group_sample(episodes, fraction, seed)
+        sampled = S.group_sample(aligned, fraction, seed)
     patterns, blocks = TR.prepare(sampled, vocab, k=n_splits, seed=seed)
     try:
         trials = SR.trial_table(spark, n_trials, seed, model=model, epoch_choices=epoch_choices)

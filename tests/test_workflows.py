@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from polyrisk.plans import workflows as W
@@ -33,3 +34,21 @@ def test_training_scoring_and_sampling_workflows(spark, tmp_path):
     W.run_sampling_study(tables.episodes(spark, SF, "type"), str(tmp_path / "errors"))
     box = spark.read.option("header", True).csv(str(tmp_path / "errors" / "box"))
     assert box.count() == 4
+
+
+def test_training_samples_aligned_combinations(spark, tmp_path, monkeypatch):
+    """The size of the sample follows the combinations that the vocabulary leaves."""
+    eps = spark.createDataFrame(
+        [(str(i), "1", [f"c{i % 4}", f"other{i}"], i % 2) for i in range(40)],
+        "subject_id string, episode_id string, combo array<string>, outcome int",
+    )
+    seen = {}
+
+    def stop(sampled, vocab, **_):
+        seen["combos"] = {tuple(r.combo) for r in sampled.select("combo").collect()}
+        raise StopIteration
+
+    monkeypatch.setattr(W.TR, "prepare", stop)
+    with pytest.raises(StopIteration):
+        W.run_training(eps, [f"c{i}" for i in range(4)], str(tmp_path), fraction=0.5)
+    assert len(seen["combos"]) == 2 and seen["combos"] < {(f"c{i}",) for i in range(4)}
