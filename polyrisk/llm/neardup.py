@@ -14,6 +14,10 @@ from polyrisk.llm.common import materialise, release, text_slices
 from polyrisk.llm.components import connected_components
 
 
+#: Bytes of text whose shingles a Python worker holds at once.
+TEXT_BYTES = 1 << 18
+
+
 class Signer:
     """Band keys of a shingle set: one permutation cut into bins, empty bins filled from others."""
 
@@ -59,7 +63,7 @@ def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=TEXT_BYTES):
             sets = _sets(part, width)
             keys = [signer.keys(s).astype(np.int64) if len(s) else None for s in sets]
             names = [set_key(s) if len(s) else None for s in sets]
@@ -72,7 +76,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     """(cls, n, items): the sorted 64-bit shingles of each text that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=TEXT_BYTES):
             sets = [s for s in _sets(part, width) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "items"])
 
