@@ -11,9 +11,9 @@ Plan of a training job:
    turned into cached numpy blocks, one or more per partition.
 3. Every epoch is one Spark job: the current weights of all bundled models
    (trials x folds) are broadcast, each task runs forward/backward for every
-   model over its blocks, and per-model gradient and loss sums come back
-   through ``treeReduce``.  The driver holds only the weights (bounded by the
-   architecture, not by the data) and applies the Adam step.
+   model over its blocks, and per-model gradient and loss sums are merged by
+   tasks into one set.  The driver receives that and holds the weights (both
+   bounded by the architecture, not by the data) and applies the Adam step.
 
 A model sees a pattern in training iff the pattern's fold differs from the
 model's held-out fold, and in validation iff it is equal, so all folds of all
@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import warnings
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark import StorageLevel, cloudpickle
@@ -122,14 +123,32 @@ def run_pass(blocks, payload: list[dict], tree_depth: int = 1) -> list[dict]:
     """One Spark job: every model of ``payload`` over every block, summed.
 
     The payload (weights of the bundled models) is broadcast once per pass
-    and destroyed afterwards.
+    and destroyed afterwards.  The partitions' sums are merged by tasks, in
+    ``tree_depth`` levels and in the order of the partitions, so the driver
+    receives one set of sums a pass, however many partitions there are.
     """
-    sc = blocks.context
-    bc = sc.broadcast(payload)
+    bc = blocks.context.broadcast(payload)
+    left = blocks.getNumPartitions()
+    width = max(2, math.ceil(left ** (1 / tree_depth)))
+
+    def passed(at, part):
+        sums = [K.block_pass(b, bc.value) for b in part]
+        return [(at, reduce(K.merge_results, sums))] if sums else []
+
+    def merged(group):
+        return group[0], reduce(K.merge_results, [sums for _, sums in sorted(group[1], key=lambda one: one[0])])
+
     try:
-        return blocks.map(lambda b: K.block_pass(b, bc.value)).treeReduce(K.merge_results, depth=tree_depth)
+        sums = blocks.mapPartitionsWithIndex(passed)
+        while left > 1:
+            left = math.ceil(left / width)
+            sums = sums.map(lambda one: (one[0] // width, one)).groupByKey(left).map(merged)
+        found = sums.values().collect()
     finally:
         bc.destroy()
+    if not found:
+        raise ValueError("no patterns to train on")
+    return found[0]
 
 
 def fit_models(blocks, n_features: int, specs: list[ModelSpec], init: list | None = None,
@@ -137,9 +156,8 @@ def fit_models(blocks, n_features: int, specs: list[ModelSpec], init: list | Non
     """Train every spec together, one Spark job per epoch (plus one final
     validation pass).  ``init`` optionally injects starting weights.
 
-    Partial sums are combined with a plain reduce for few partitions and a
-    two-level tree beyond that, so the driver never merges more than a few
-    dozen gradient sets per epoch.
+    Partial sums are merged by one task for few partitions and in two levels
+    beyond that; the driver receives one gradient set per model and epoch.
 
     ``keep="last"`` returns the weights after the final update (what the
     reference saves); ``keep="best"`` returns the weights that achieved the
@@ -196,7 +214,7 @@ def prepare(episodes: DataFrame, vocab_codes: list[str], k: int | None = None, s
     """Training patterns with folds, checkpointed, and their cached blocks.
 
     ``partitions`` sets how many tasks run each epoch (default: the
-    cluster's default parallelism).  Every partition sends one partial
+    cluster's default parallelism).  Every partition shuffles one partial
     gradient per model and epoch, so per-epoch traffic is partitions x
     bundled model size: for wide models on a large cluster, use about one
     partition per executor (each task's BLAS uses the executor's cores).

@@ -258,3 +258,26 @@ def test_float32_training_tracks_float64(spark, golden_episodes):
     blocks.unpersist()
     assert np.allclose(r64.train_loss, r32.train_loss, rtol=1e-4)
     assert np.allclose(r64.params[0][0], r32.params[0][0], atol=1e-3)
+
+
+def test_partitions_are_merged_by_tasks_not_by_the_driver(spark, monkeypatch):
+    """However many partitions there are, the driver receives one set of sums a pass."""
+    import os
+
+    driver, merge = os.getpid(), K.merge_results
+
+    def merged_in_a_task(a, b):
+        assert os.getpid() != driver
+        return merge(a, b)
+
+    monkeypatch.setattr(K, "merge_results", merged_in_a_task)
+    rng = np.random.default_rng(5)
+    rows = [(sorted(rng.choice(4, 2, replace=False).tolist()), 3.0, float(i % 4), (i % 4) / 3, None) for i in range(40)]
+    spec = {"params": K.init_params(4, (3,), seed=11), "activation": "RELU", "fold": -1, "grad": True}
+    whole = K.block_pass(K.rows_to_block(rows, 4), [spec])[0]
+    for parts, depth in ((1, 1), (10, 1), (10, 2)):
+        blocks = spark.sparkContext.parallelize(range(10), parts).map(lambda i: K.rows_to_block(rows[4 * i : 4 * i + 4], 4))
+        got = TR.run_pass(blocks, [spec], depth)[0]
+        assert got["train_n"] == whole["train_n"] and got["train_hard"] == pytest.approx(whole["train_hard"])
+        for (a, b), (c, d) in zip(got["grads"], whole["grads"]):
+            assert np.allclose(a, c) and np.allclose(b, d)
