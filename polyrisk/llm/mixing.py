@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from polyrisk.llm import hashing as H
-from polyrisk.llm.common import materialise, text_slices
+from polyrisk.llm.common import materialise, release, text_slices
 
 #: Hashed features of the classifier; its tables hold so many numbers per domain.
 FEATURES = 1 << 16
+#: Documents of a block of tokens and posteriors.
+POINTS = 1 << 14
 #: Bytes that belong to a plain word: ASCII letters and all of any other script.
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -30,7 +32,7 @@ def features(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     follow a word, upper-case words, and a word that repeats the one before.
     """
     buf, offsets = H.string_buffer(column)
-    tokens = np.diff(H.words(column)[1])
+    tokens = np.diff(np.searchsorted(H.word_spans(buf, offsets)[0], offsets))
     owner = np.zeros(len(buf) + 1, np.int64)
     np.add.at(owner, offsets[1:-1], 1)
     owner = np.cumsum(owner)[:-1]
@@ -131,6 +133,31 @@ class Rates:
         return x
 
 
+def packed_points(soft: DataFrame, k: int) -> DataFrame:
+    """(n, p) of all rows of ``soft`` as binary blocks, kept in a table of their own.
+
+    A round of :func:`fit_rates` reads these alone: without the texts beside
+    them they make few files and few tasks.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            p = np.asarray(batch.column("p").flatten())
+            for i in range(0, len(n), POINTS):
+                blocks = [n[i : i + POINTS].tobytes(), p[i * k : (i + POINTS) * k].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blocks], names=["n", "p"])
+
+    return materialise(soft.mapInArrow(pack, "n binary, p binary"), "mixing-points")
+
+
+def _points(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(tokens, posteriors) of the documents of each block."""
+    for batch in batches:
+        for n, p in zip(batch.column("n"), batch.column("p"), strict=True):
+            yield np.frombuffer(n.as_buffer()), np.frombuffer(p.as_buffer()).reshape(-1, k)
+
+
 def fit_rates(soft: DataFrame, weights: np.ndarray, rounds: int = 60, tolerance: float = 1e-7) -> Rates:
     """Projected-gradient least squares for nonnegative rates; ``soft`` has n and p (array).
 
@@ -141,23 +168,24 @@ def fit_rates(soft: DataFrame, weights: np.ndarray, rounds: int = 60, tolerance:
     that returns one small vector per task; no rate is ever stored.
     """
     k = len(weights)
+    points = packed_points(soft, k)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k, k))
-        for batch in batches:
-            p = np.asarray(batch.column("p").flatten()).reshape(-1, k)
-            total += (p * batch.column("n").to_numpy()[:, None]).T @ p
+        for n, p in _points(batches, k):
+            total += (p * n[:, None]).T @ p
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(total.ravel())], names=["i", "v"])
 
     def summed(run, size: int) -> np.ndarray:
         out = np.zeros(size)
-        for r in soft.mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        for r in points.mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
             out[r["i"]] = r["v"]
         return out
 
     gram = summed(moments, k * k).reshape(k, k)
     total = gram.sum()  # posteriors sum to one, so this is the number of tokens
     if not total:
+        release(points)
         return Rates([])
     metric = np.linalg.pinv(gram + 1e-9 * total * np.eye(k))
     goal, rates, before = weights * total, Rates([]), np.inf
@@ -165,9 +193,8 @@ def fit_rates(soft: DataFrame, weights: np.ndarray, rounds: int = 60, tolerance:
 
         def expected(batches: Iterator[pa.RecordBatch], now=rates) -> Iterator[pa.RecordBatch]:
             out = np.zeros(k)
-            for batch in batches:
-                p = np.asarray(batch.column("p").flatten()).reshape(-1, k)
-                out += (batch.column("n").to_numpy() * now.of(p)) @ p
+            for n, p in _points(batches, k):
+                out += (n * now.of(p)) @ p
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(out)], names=["i", "v"])
 
         residual = summed(expected, k) - goal
@@ -176,6 +203,7 @@ def fit_rates(soft: DataFrame, weights: np.ndarray, rounds: int = 60, tolerance:
             break
         before = size
         rates = Rates([*rates.steps, metric @ residual])
+    release(points)
     return rates
 
 

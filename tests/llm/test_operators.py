@@ -328,3 +328,23 @@ def test_pipeline(spark):
         counts.append(docs.count())
     assert counts[0] >= 0.95 * 200 and counts[1] <= counts[0] and counts[2] == counts[1]
     assert P.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+
+
+def test_mixing_rounds_read_points_alone(spark, monkeypatch):
+    """A round of the fit reads packed (n, p) blocks, not the rows with their texts."""
+    from polyrisk.llm import mixing as M
+
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 500)
+    n = rng.integers(0, 50, 500).astype(float)
+    monkeypatch.setattr(M, "POINTS", 64)
+    frame = spark.createDataFrame([(float(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n double, p array<double>").repartition(7)
+    points = M.packed_points(frame, 3)
+    assert points.columns == ["n", "p"] and points.rdd.getNumPartitions() <= 7
+    got = [(a, *b) for r in points.collect() for a, b in zip(np.frombuffer(r.n), np.frombuffer(r.p).reshape(-1, 3), strict=True)]
+    assert sorted(got) == sorted((a, *b) for a, b in zip(n, p, strict=True))
+    goal = np.array([0.7, 0.2, 0.1])
+    rates = M.fit_rates(frame, goal)
+    totals = (n * rates.of(p)) @ p
+    assert np.abs(totals / n.sum() - goal).max() < 1e-4
+    assert M.fit_rates(frame.where("n = 0"), goal).steps == []
