@@ -1,15 +1,17 @@
 """Hierarchical Pitman-Yor language model, trained by Gibbs sweeps in Spark.
 
-Restaurants: one for each class of the word before (its last letters), all
-with the same parent, the unigram restaurant, whose base is uniform over the
-vocabulary and one unknown word.  A sweep seats the customers of every
+Restaurants: one for each word that comes before (and one for the start of a
+text), all with the same parent, the unigram restaurant, whose base is uniform
+over the vocabulary and one unknown word.  A sweep seats the customers of every
 (context, word) again, one after another, given the other restaurants'
 totals of the sweep before; tables of the contexts are the customers of the
 parent.  Predictive probabilities are averaged over several seatings.
 
 The text is read into chunks.  A chunk sends each of its distinct (word,
-context) keys with its training count to the bucket of the word's hash, and
-gets one probability for each back; tokens themselves never travel.
+context) pairs with its training count to the bucket of the word's hash, and
+gets one probability for each back; tokens themselves never travel.  A bucket
+holds all contexts of its words; the contexts' totals are summed in buckets of
+the context's hash, and each bucket gets back those that it asked for.
 """
 
 from __future__ import annotations
@@ -31,53 +33,71 @@ from polyrisk.llm.common import materialise, scratch_path, shuffle_partitions, t
 
 #: Text bytes of a chunk, and of the slices that are hashed at once.
 CHUNK_BYTES, SLICE = 6 << 20, 1 << 20
-#: Context classes; one byte of a key.
-CONTEXTS = 128
-START = 255
-KEY_BYTES = 7
-END = int(H.finalise(np.array([0xE0D], np.uint64))[0])
-LOW = np.uint64(0xFF)
-DOC_ROWS = "chunk bigint, ids array<bigint>, held array<boolean>, sizes array<bigint>, tokens binary, keys binary, counts binary"
-
-
-def tokens_of(column: pa.Array, tail: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, tokens per row): each word and then one end, as word hash (56 bits) and context class."""
+#: Words are known by the upper 48 bits of a hash.
+WORD_BITS, WORD_BYTES = np.uint64(0xFFFFFFFFFFFF0000), 6
+END, START = H.finalise(np.array([0xE0D, 0x57A27], np.uint64)) & WORD_BITS
+#: (word, context) pairs of a bucket, counted once for each chunk.
+BUCKET_PAIRS = 500_000
+DOC_ROWS = "chunk bigint, ids array<bigint>, held array<boolean>, sizes array<bigint>, tokens binary, words binary, contexts binary, tails binary, counts binary"
+SENT_ROWS = "bucket int, chunk bigint, first bigint, n bigint, words binary, contexts binary, counts binary"
+PAIR_ROWS = "bucket int, chunk bigint, first bigint, n bigint, place binary, words binary, word binary, contexts binary, context binary, counts binary"
+ASK_ROWS = "part int, bucket int, contexts binary, customers binary, tables binary, sums array<double>"
+REPLY_ROWS = "bucket int, part int, customers binary, tables binary"
+STATE_ROWS = "bucket int, part int, tables binary, root_tables binary, sums array<double>"
+
+
+def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, contexts, tokens per row): each word and then one end, and the word before each or the start."""
     buf, offsets = H.string_buffer(column)
     starts, ends = H.word_spans(buf, offsets)
-    sums = H.prefix_sums(buf, H.LOWER_TABLE)
-    hashes, bounds = H.window_hashes(sums, starts, ends), np.searchsorted(starts, offsets)
+    hashes, bounds = H.window_hashes(H.prefix_sums(buf, H.LOWER_TABLE), starts, ends), np.searchsorted(starts, offsets)
     rows = len(offsets) - 1
     sizes = np.diff(bounds) + 1
-    at = np.arange(len(hashes)) + np.repeat(np.arange(rows), np.diff(bounds))
     words = np.full(len(hashes) + rows, END, np.uint64)
-    words[at] = hashes
-    tails = H.window_hashes(sums, np.maximum(starts, ends - tail), ends)
-    context = np.zeros(len(words) + 1, np.uint64)
-    context[at + 1] = (tails >> np.uint64(40)) % np.uint64(CONTEXTS)
-    firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    context = context[:-1]
-    context[firsts[: len(sizes)]] = START
-    return (words & ~LOW) | context, sizes
+    words[np.arange(len(hashes)) + np.repeat(np.arange(rows), np.diff(bounds))] = hashes & WORD_BITS
+    contexts = np.concatenate([[START], words])[:-1]
+    contexts[np.cumsum(sizes) - sizes] = START
+    return words, contexts, sizes
+
+
+def packed(words: np.ndarray) -> bytes:
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - WORD_BYTES :].tobytes()
+
+
+def unpacked(parts: list[bytes]) -> np.ndarray:
+    found = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, WORD_BYTES)
+    out = np.zeros((len(found), 8), np.uint8)
+    out[:, 8 - WORD_BYTES :] = found
+    return out.view("<u8").ravel()
+
+
+def numbers(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), "<u4").astype(np.int64)
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of whole documents: each token's place among the chunk's distinct keys, and these with training counts."""
+    """Chunks of whole documents: each token's place among the chunk's distinct pairs, and these with training counts.
+
+    Pairs stand in the order of (word, context); ``words`` are the distinct
+    words (and the start), ``contexts`` tells how many pairs each has, and
+    ``tails`` which word is the context of each pair.
+    """
     chunk, held_bytes, parts = TaskContext.get().partitionId() << 33, 0, []
 
     def flush() -> pa.RecordBatch:
-        keys = np.concatenate([p[0] for p in parts])
-        sizes = np.concatenate([p[1] for p in parts])
-        held = [h for p in parts for h in p[3]]
-        distinct, place = np.unique(keys, return_inverse=True)
+        sizes = np.concatenate([p[2] for p in parts])
+        held = [h for p in parts for h in p[4]]
+        words, at = np.unique(np.concatenate([p[k] for k in (0, 1) for p in parts]), return_inverse=True)
+        pairs, place = np.unique(at[: len(at) // 2] * len(words) + at[len(at) // 2 :], return_inverse=True)
         train = np.repeat(~np.array(held, bool), sizes)
-        counts = np.bincount(place[train], minlength=len(distinct)).astype("<u4")
-        columns = [[chunk], [[i for p in parts for i in p[2]]], [held], [sizes], [place.astype("<u4").tobytes()], [distinct.astype("<u8").tobytes()], [counts.tobytes()]]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+        counts = np.bincount(place[train], minlength=len(pairs))
+        packs = [place, words, np.bincount(pairs // len(words), minlength=len(words)), pairs % len(words), counts]
+        columns = [[chunk], [[i for p in parts for i in p[3]]], [held], [sizes], *([x.astype("<u8" if x is words else "<u4").tobytes()] for x in packs)]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())] + [pa.binary()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in DOC_ROWS.split(", ")])
 
     for part in text_slices(batches, limit=SLICE):
-        keys, sizes = tokens_of(part.column("text"))
-        parts.append((keys, sizes, part.column("doc_id").to_pylist(), part.column("held").to_pylist()))
+        parts.append((*tokens_of(part.column("text")), part.column("doc_id").to_pylist(), part.column("held").to_pylist()))
         held_bytes += part.column("text").nbytes
         if held_bytes >= CHUNK_BYTES:
             yield flush()
@@ -101,28 +121,37 @@ def cut_keys(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
         yield int(b), int(cuts[b]), int(cuts[b + 1])
 
 
-@dataclass
-class Bucket:
-    """All keys of some words: words are numbered, a word's contexts stand together."""
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The distinct pairs of a bucket with their counts in one row, and a row of places among them for each chunk."""
+    words, word = np.unique(unpacked(pdf["words"]), return_inverse=True)
+    contexts, context = np.unique(unpacked(pdf["contexts"]), return_inverse=True)
+    pairs, place = np.unique(word * len(contexts) + context, return_inverse=True)
+    counts = np.bincount(place, numbers(pdf["counts"]), minlength=len(pairs))
+    whole = {"bucket": int(pdf["bucket"].iloc[0]), "chunk": -1, "first": 0, "n": len(pairs), "words": packed(words), "contexts": packed(contexts)}
+    whole |= {k: v.astype("<u4").tobytes() for k, v in (("word", pairs // len(contexts)), ("context", pairs % len(contexts)), ("counts", counts))}
+    ends = np.cumsum(pdf["n"].to_numpy())
+    out = pdf[["bucket", "chunk", "first", "n"]].copy()
+    out["place"] = [place[e - n : e].astype("<u4").tobytes() for e, n in zip(ends, pdf["n"], strict=True)]
+    out = pd.concat([pd.DataFrame([whole]), out], ignore_index=True).reindex(columns=[c.split()[0] for c in PAIR_ROWS.split(", ")])
+    return out.astype(object).where(out.notna(), None)
 
-    key: np.ndarray
-    place: np.ndarray
-    count: np.ndarray
+
+class Bucket:
+    """All pairs of some words: words and contexts are numbered in the order of their hashes."""
 
     def __init__(self, pdf: pd.DataFrame):
-        packed = np.frombuffer(b"".join(pdf["keys"]), np.uint8).reshape(-1, KEY_BYTES)
-        keys = np.zeros((len(packed), 8), np.uint8)
-        keys[:, :KEY_BYTES] = packed
-        counts = np.frombuffer(b"".join(pdf["counts"]), "<u4")
-        self.key, self.place = np.unique(keys.view("<u8").ravel(), return_inverse=True)
-        self.count = np.bincount(self.place, counts, minlength=len(self.key)).astype(np.int64)
-        self.context = (self.key & LOW).astype(np.int64)
-        words = self.key >> np.uint64(8)
-        self.word = np.cumsum(np.concatenate([[True], words[1:] != words[:-1]])) - 1 if len(words) else np.zeros(0, np.int64)
-        self.words = int(self.word[-1]) + 1 if len(words) else 0
+        row = pdf[pdf["chunk"] == -1].iloc[0]
+        self.number = int(row["bucket"])
+        self.contexts = unpacked([row["contexts"]])
+        self.word, self.context, self.count = (numbers([row[c]]) for c in ("word", "context", "counts"))
+        self.words = len(row["words"]) // WORD_BYTES
         self.seen = np.flatnonzero(self.count)
         self.word_count = np.bincount(self.word, self.count, minlength=self.words).astype(np.int64)
 
+    def by_context(self, values: np.ndarray | None = None) -> np.ndarray:
+        """Sums over the seen pairs of each context."""
+        return np.bincount(self.context[self.seen], values, minlength=len(self.contexts)).astype(np.int64)
+
 
 def seat(rng: np.random.Generator, customers: np.ndarray, fresh: np.ndarray, discount: float) -> np.ndarray:
     """Tables after seating all customers of each dish, one after another.
@@ -150,56 +179,89 @@ def seat(rng: np.random.Generator, customers: np.ndarray, fresh: np.ndarray, dis
 
 @dataclass
 class Totals:
-    """Sums over all buckets: bounded by the number of contexts."""
+    """Sums over all buckets."""
 
-    customers: np.ndarray  # by context
-    tables: np.ndarray  # by context
+    root_customers: float
     root_tables: float
     words: int
     discount: float
     root_discount: float
     strength: float = 1.0
 
-    @property
-    def root_customers(self) -> float:
-        return float(self.tables.sum())
-
     def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """Predictive probability of each word in the unigram restaurant."""
         base = 1.0 / (self.words + 1)
         spare = self.strength + self.root_discount * self.root_tables
         return (np.maximum(customers - self.root_discount * tables, 0) + spare * base) / (self.strength + self.root_customers)
 
-    def leaf(self, context: np.ndarray, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        spare = self.strength + self.discount * self.tables[context]
-        return (np.maximum(customers - self.discount * tables, 0) + spare * parent) / (self.strength + self.customers[context])
+    def leaf(self, customers: np.ndarray, tables: np.ndarray, all_customers: np.ndarray, all_tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """Predictive probability of pairs, given their contexts' totals and their words' probabilities in the parent."""
+        spare = self.strength + self.discount * all_tables
+        return (np.maximum(customers - self.discount * tables, 0) + spare * parent) / (self.strength + all_customers)
 
 
-def _sweep(bucket: Bucket, number: int, turn: int, totals: Totals, tables: np.ndarray, root_tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng([number, turn])
+def _sweep(bucket: Bucket, turn: int, totals: Totals, all_tables: np.ndarray, tables: np.ndarray, root_tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([bucket.number, turn])
     seen, word, context = bucket.seen, bucket.word[bucket.seen], bucket.context[bucket.seen]
     parent = totals.root(np.bincount(word, tables, minlength=bucket.words), root_tables)
-    fresh = (totals.strength + totals.discount * totals.tables[context]) * parent[word]
+    fresh = (totals.strength + totals.discount * all_tables[context]) * parent[word]
     tables = seat(rng, bucket.count[seen], fresh, totals.discount)
     eaters = np.bincount(word, tables, minlength=bucket.words).astype(np.int64)
     spare = (totals.strength + totals.root_discount * totals.root_tables) / (totals.words + 1)
     return tables, seat(rng, eaters, np.full(len(eaters), spare), totals.root_discount)
 
 
-def _sweeper(now: Totals, turn: int):
+def _sweeper(now: Totals, turn: int, parts: int):
+    """Seats a bucket again; a row of tables, and a row of their sums by context for each part of the contexts."""
+
     def sweep(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        b, number = Bucket(pdf), int(pdf["bucket"].iloc[0])
-        if len(before):
-            tables, root_tables = (np.frombuffer(before[c].iloc[0], "<u4").astype(np.int64) for c in ("tables", "root_tables"))
+        b = Bucket(pdf)
+        state, replies = before[before["part"] < 0], before[before["part"] >= 0].sort_values("part")
+        if len(state):
+            tables, root_tables = (numbers(state[c]) for c in ("tables", "root_tables"))
         else:
             tables, root_tables = np.ones(len(b.seen), np.int64), (b.word_count > 0).astype(np.int64)
-        tables, root_tables = _sweep(b, number, turn, now, tables, root_tables)
-        sums = np.append(np.bincount(b.context[b.seen], tables, minlength=len(now.tables)), root_tables.sum())
-        return pd.DataFrame({"bucket": [number], "turn": [turn], "tables": [tables.astype("<u4").tobytes()], "root_tables": [root_tables.astype("<u4").tobytes()], "sums": [sums]})
+        tables, root_tables = _sweep(b, turn, now, numbers(replies["tables"]), tables, root_tables)
+        sums = b.by_context(tables).astype("<u4")
+        out = [(b.number, -1, tables.astype("<u4").tobytes(), root_tables.astype("<u4").tobytes(), [tables.sum(), root_tables.sum()])]
+        out += [(b.number, k, sums[x:y].tobytes(), None, None) for k, x, y in cut_keys(b.contexts, parts)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in STATE_ROWS.split(", ")])
 
     return sweep
 
 
+def _asker(parts: int):
+    """What a bucket asks of each part of the contexts, and a row of its share of the first totals."""
+
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = Bucket(pdf)
+        c, contexts = b.count[b.seen], np.bincount(b.word[b.seen], minlength=b.words)
+        sums = [float(v) for v in (c.sum(), len(c), (b.word_count > 0).sum(), (c == 1).sum(), (c == 2).sum(), (contexts == 1).sum(), (contexts == 2).sum())]
+        customers, tables = (v.astype("<u4") for v in (b.by_context(c), b.by_context()))
+        out = [(-1, b.number, None, None, None, sums)]
+        out += [(k, b.number, packed(b.contexts[x:y]), customers[x:y].tobytes(), tables[x:y].tobytes(), None) for k, x, y in cut_keys(b.contexts, parts)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in ASK_ROWS.split(", ")])
+
+    return ask
+
+
+def _reply(asks: pd.DataFrame, swept: pd.DataFrame | None = None) -> pd.DataFrame:
+    """The totals of the contexts that each bucket asked for, after a sweep or before the first."""
+    asks = asks.sort_values("bucket", ignore_index=True)
+    found, at = np.unique(unpacked(asks["contexts"]), return_inverse=True)
+    ends = np.cumsum([len(x) // WORD_BYTES for x in asks["contexts"]])
+    cuts = list(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True))
+    out = asks[["bucket", "part"]].copy()
+    out["customers"] = None
+    if swept is None:
+        total = np.bincount(at, numbers(asks["customers"]), minlength=len(found)).astype("<u4")[at]
+        out["customers"] = [total[x:y].tobytes() for x, y in cuts]
+    tables = asks["tables"] if swept is None else swept.sort_values("bucket")["tables"]
+    total = np.bincount(at, numbers(tables), minlength=len(found)).astype("<u4")[at]
+    out["tables"] = [total[x:y].tobytes() for x, y in cuts]
+    return out
+
+
 def score_texts(
     docs: DataFrame,
     held_out: Column,
@@ -223,75 +285,66 @@ def score_texts(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held"), F.col(text_col).alias("text"))
     chunks = _bucketed(rows.mapInArrow(_tokenise, DOC_ROWS), "chunk", "pitmanyor_chunks")
-    number = max(1, -(-(chunks.agg(F.sum(F.length("keys"))).first()[0] or 0) // (8 * 500_000)))
+    number = max(1, -(-(chunks.agg(F.sum(F.length("tails"))).first()[0] or 0) // (4 * BUCKET_PAIRS)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, counts = (np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in (("keys", "<u8"), ("counts", "<u4")))
-                out = [(b, batch.column("chunk")[i].as_py(), x, y - x, keys[x:y].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes(), counts[x:y].tobytes()) for b, x, y in cut_keys(keys, number)]
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "chunk", "first", "n", "keys", "counts"])
-
-    sent = chunks.select("chunk", "keys", "counts").mapInArrow(send, "bucket int, chunk bigint, first bigint, n bigint, keys binary, counts binary")
-    sent = _bucketed(sent.repartition(shuffle_partitions(spark), "bucket"), "bucket", "pitmanyor_keys")
-
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = Bucket(pdf)
-        c, w = b.count[b.seen], b.word_count[b.word_count > 0]
-        width = START + 1
-        values = [np.bincount(b.context[b.seen], c, minlength=width), np.bincount(b.context[b.seen], minlength=width), [len(w), (c == 1).sum(), (c == 2).sum()]]
-        contexts = [np.bincount(b.word[b.seen], minlength=b.words)]
-        values.append([(contexts[0] == 1).sum(), (contexts[0] == 2).sum()])
-        flat = np.concatenate([np.asarray(v, float) for v in values])
-        return pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
-
-    def total(df: DataFrame, size: int) -> np.ndarray:
-        out = np.zeros(size)
-        for r in df.groupBy("i").agg(F.sum("v").alias("v")).collect():
-            out[r["i"]] = r["v"]
-        return out
-
-    width = START + 1
-    got = total(sent.groupBy("bucket").applyInPandas(first, "i int, v double"), 2 * width + 5)
-    words, n1, n2, w1, w2 = got[2 * width :]
+                words, each, tails, counts = (np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in (("words", "<u8"), ("contexts", "<u4"), ("tails", "<u4"), ("counts", "<u4")))
+                heads = np.repeat(words, each)
+                out = [(b, batch.column("chunk")[i].as_py(), x, y - x, packed(heads[x:y]), packed(words[tails[x:y]]), counts[x:y].tobytes()) for b, x, y in cut_keys(heads, number)]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SENT_ROWS.split(", ")])
+
+    sent = chunks.select("chunk", "words", "contexts", "tails", "counts").mapInArrow(send, SENT_ROWS)
+    pairs = _bucketed(sent.repartition(shuffle_partitions(spark), "bucket").groupBy("bucket").applyInPandas(_merge, PAIR_ROWS), "bucket", "pitmanyor_pairs")
+    merged = pairs.where("chunk = -1")
+    asks = _bucketed(merged.groupBy("bucket").applyInPandas(_asker(number), ASK_ROWS).repartition(shuffle_partitions(spark), "part"), "part", "pitmanyor_contexts")
+
+    def total(df: DataFrame, size: int) -> list[float]:
+        found = df.where("part < 0").agg(*(F.sum(F.col("sums")[i]) for i in range(size))).first()
+        return [x or 0.0 for x in found]
+
+    tokens, seen_pairs, words, n1, n2, w1, w2 = total(asks, 7)
+    asks = asks.where("part >= 0")
     # Discounts from how many dishes were ordered once and twice.
     share = lambda once, twice: float(np.clip((once + 1) / (once + 2 * twice + 2), 0.05, 0.95))
-    totals = Totals(got[:width], got[width : 2 * width], words, int(words), share(n1, n2), share(w1, w2))
-    train_tokens = int(totals.customers.sum())
-    state, kept = None, []
+    totals = Totals(seen_pairs, words, int(words), share(n1, n2), share(w1, w2))
+    train_tokens = int(tokens)
+    customers = materialise(asks.groupBy("part").applyInPandas(lambda pdf: _reply(pdf), REPLY_ROWS), "pitmanyor-totals")
+    given, kept = customers.select("bucket", "part", "tables", F.lit(None).cast("binary").alias("root_tables")), []
     for turn in range(burn_in + samples):
-
-        schema = "bucket int, turn int, tables binary, root_tables binary, sums array<double>"
-        if state is None:
-            state = spark.createDataFrame([], schema)
-        state = materialise(sent.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInPandas(_sweeper(totals, turn), schema), "pitmanyor-state")
-        sums = total(state.select(F.posexplode("sums").alias("i", "v")), width + 1)
-        totals = Totals(totals.customers, sums[:width], sums[width], totals.words, totals.discount, totals.root_discount)
+        swept = materialise(merged.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInPandas(_sweeper(totals, turn, number), STATE_ROWS), "pitmanyor-state")
+        root_customers, root_tables = total(swept, 2)
+        totals = Totals(root_customers, root_tables, totals.words, totals.discount, totals.root_discount)
+        by_context = materialise(asks.groupBy("part").cogroup(swept.where("part >= 0").groupBy("part")).applyInPandas(_reply, REPLY_ROWS), "pitmanyor-totals")
+        given = swept.where("part < 0").select("bucket", "part", "tables", "root_tables").unionByName(by_context.select("bucket", "part", "tables"), allowMissingColumns=True)
         if turn >= burn_in:
-            kept.append((turn, totals, state))
-    seatings = kept[0][2]
-    for _, _, more in kept[1:]:
-        seatings = seatings.unionByName(more)
+            kept.append((turn, totals, given))
+    seatings = customers.select("bucket", "part", F.col("customers").alias("tables"), F.lit(-1).alias("turn"), F.lit(None).cast("binary").alias("root_tables"))
+    for turn, _, more in kept:
+        seatings = seatings.unionByName(more.withColumn("turn", F.lit(turn)))
     by_turn = {turn: t for turn, t, _ in kept}
 
     def answer(pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         b = Bucket(pdf)
-        prob = np.zeros(len(b.key))
-        for turn, tables, root_tables in zip(states["turn"], states["tables"], states["root_tables"], strict=True):
-            now, t = by_turn[turn], np.zeros(len(b.key))
-            t[b.seen] = np.frombuffer(tables, "<u4")
-            root = now.root(np.bincount(b.word, t, minlength=b.words), np.frombuffer(root_tables, "<u4"))
-            prob += now.leaf(b.context, b.count, t, root[b.word])
-        logs = np.log10(prob / len(states)).astype("<f4")[b.place]
-        seen = b.word_count[b.word].astype("<u4")[b.place]
-        ends = np.cumsum(pdf["n"].to_numpy())
-        out = pdf[["chunk", "first"]].copy()
-        out["logs"] = [logs[e - n : e].tobytes() for e, n in zip(ends, pdf["n"], strict=True)]
-        out["seen"] = [seen[e - n : e].tobytes() for e, n in zip(ends, pdf["n"], strict=True)]
+        prob = np.zeros(len(b.word))
+        states = states.sort_values("part")
+        of_contexts = lambda turn: numbers(states[(states["turn"] == turn) & (states["part"] >= 0)]["tables"])[b.context]
+        all_customers = of_contexts(-1)
+        for turn, now in by_turn.items():
+            state, t = states[(states["turn"] == turn) & (states["part"] < 0)], np.zeros(len(b.word))
+            t[b.seen] = numbers(state["tables"])
+            root = now.root(np.bincount(b.word, t, minlength=b.words), numbers(state["root_tables"]))
+            prob += now.leaf(b.count, t, all_customers, of_contexts(turn), root[b.word])
+        logs, seen = np.log10(prob / len(by_turn)).astype("<f4"), b.word_count[b.word].astype("<u4")
+        chunk_rows = pdf[pdf["chunk"] >= 0]
+        places = [np.frombuffer(p, "<u4") for p in chunk_rows["place"]]
+        out = chunk_rows[["chunk", "first"]].copy()
+        out["logs"], out["seen"] = [logs[p].tobytes() for p in places], [seen[p].tobytes() for p in places]
         return out
 
-    answers = sent.groupBy("bucket").cogroup(seatings.groupBy("bucket")).applyInPandas(answer, "chunk bigint, first bigint, logs binary, seen binary")
+    answers = pairs.groupBy("bucket").cogroup(seatings.groupBy("bucket")).applyInPandas(answer, "chunk bigint, first bigint, logs binary, seen binary")
     answers = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("first", "logs", "seen"))).alias("parts"))
     vocabulary = int(words)
 

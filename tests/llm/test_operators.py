@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -348,3 +349,23 @@ def test_mixing_rounds_read_points_alone(spark, monkeypatch):
     totals = (n * rates.of(p)) @ p
     assert np.abs(totals / n.sum() - goal).max() < 1e-4
     assert M.fit_rates(frame.where("n = 0"), goal).steps == []
+
+
+def test_language_model_contexts_are_whole_words(spark, monkeypatch):
+    """The restaurant of a word is that of the whole word before it, also over many buckets."""
+    from polyrisk.llm import pitmanyor as P
+
+    words, contexts, sizes = P.tokens_of(pa.array(["Xab p", None, "yab  p xab"]))
+    assert sizes.tolist() == [3, 1, 4] and (words[2], words[3], words[7]) == (P.END,) * 3
+    assert contexts[[0, 3, 4]].tolist() == [P.START] * 3
+    assert contexts[1] == words[0] == words[6] != words[4] == contexts[5] and contexts[7] == words[6]
+    assert (P.unpacked([P.packed(words)]) == words).all()
+    rng = random.Random(3)
+    rows = [(i, text, False) for i, text in enumerate(["xab p"] * 40 + ["yab q"] * 40 + [prose(rng, 30) for _ in range(60)])]
+    rows += [(900, "xab p", True), (901, "xab q", True), (902, "unseen words", True), (903, "yab q", True)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, held boolean")
+    whole = {r.doc_id: r.score for r in P.score_texts(frame, F.col("held")).collect()}
+    assert whole[900] > whole[901] + 1 and whole[903] > whole[901] + 1
+    monkeypatch.setattr(P, "BUCKET_PAIRS", 100)
+    cut = {r.doc_id: r.score for r in P.score_texts(frame, F.col("held")).collect()}
+    assert cut.keys() == whole.keys() and all(abs(cut[i] - whole[i]) < 0.02 * abs(whole[i]) + 0.1 for i in whole)
