@@ -10,14 +10,18 @@ parent.  Predictive probabilities are averaged over several seatings.
 The text is read into chunks.  A chunk sends each of its distinct (word,
 context) pairs with its training count to the bucket of the word's hash, and
 gets one probability for each back; tokens themselves never travel.  A bucket
-holds all contexts of its words; the contexts' totals are summed in buckets of
+holds all contexts of its words; the contexts' totals are summed in parts by
 the context's hash, and each bucket gets back those that it asked for.
+
+A chunk keeps its tokens as ranks by frequency, and finds its pairs in them
+again when it needs them.  All numbers are written as compressed byte planes,
+sorted ones as steps, and scratch that no later sweep reads is deleted.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyrisk.llm import hashing as H
-from polyrisk.llm.common import materialise, scratch_path, shuffle_partitions, text_slices
+from polyrisk.llm.common import materialise, release, scratch_path, shuffle_partitions, text_slices
 
 #: Text bytes of a chunk, and of the slices that are hashed at once.
 CHUNK_BYTES, SLICE = 6 << 20, 1 << 20
@@ -38,11 +42,14 @@ WORD_BITS, WORD_BYTES = np.uint64(0xFFFFFFFFFFFF0000), 6
 END, START = H.finalise(np.array([0xE0D, 0x57A27], np.uint64)) & WORD_BITS
 #: (word, context) pairs of a bucket, counted once for each chunk.
 BUCKET_PAIRS = 500_000
-DOC_ROWS = "chunk bigint, ids array<bigint>, held array<boolean>, sizes array<bigint>, tokens binary, words binary, contexts binary, tails binary, counts binary"
-SENT_ROWS = "bucket int, chunk bigint, first bigint, n bigint, words binary, contexts binary, counts binary"
-PAIR_ROWS = "bucket int, chunk bigint, first bigint, n bigint, place binary, words binary, word binary, contexts binary, context binary, counts binary"
+#: Parts of the contexts are fewer than buckets, which ask for far fewer contexts than they have pairs.
+BUCKETS_PER_PART = 8
+DOC_ROWS = "chunk bigint, ids array<bigint>, held array<boolean>, sizes array<bigint>, tokens binary, words binary, pairs bigint"
+SENT_ROWS = "bucket int, chunk bigint, first bigint, n bigint, words binary, runs binary, contexts binary, counts binary"
+PAIR_ROWS = "bucket int, chunk bigint, first bigint, n bigint, place binary, contexts binary, runs binary, context binary, counts binary"
 ASK_ROWS = "part int, bucket int, contexts binary, customers binary, tables binary, sums array<double>"
-REPLY_ROWS = "bucket int, part int, customers binary, tables binary"
+PART_ROWS = "part int, bucket int, places binary, customers binary, tables binary, sums array<double>"
+REPLY_ROWS = "bucket int, part int, tables binary"
 STATE_ROWS = "bucket int, part int, tables binary, root_tables binary, sums array<double>"
 
 
@@ -71,29 +78,67 @@ def unpacked(parts: list[bytes]) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def numbers(parts: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), "<u4").astype(np.int64)
+def squeezed(values: np.ndarray, steps: bool = False) -> bytes:
+    """Whole numbers below 2**48, or the steps between them, as compressed planes of their bytes."""
+    values = np.diff(values.astype(np.int64), prepend=0) if steps else values
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].T.tobytes()
+    return len(values).to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
-def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of whole documents: each token's place among the chunk's distinct pairs, and these with training counts.
+def numbers(parts: Iterable[bytes], steps: bool = False) -> np.ndarray:
+    """The numbers of all parts, which :func:`squeezed` wrote."""
+    found = [np.zeros(0, np.int64)]
+    for part in parts:
+        size = int.from_bytes(part[:4], "little")
+        planes = np.frombuffer(pa.decompress(part[4:], size * WORD_BYTES, "zstd", asbytes=True), np.uint8).reshape(WORD_BYTES, size)
+        out = np.zeros((size, 8), np.uint8)
+        out[:, :WORD_BYTES] = planes.T
+        out = out.view("<i8").ravel()
+        found.append(np.cumsum(out) & ((1 << 8 * WORD_BYTES) - 1) if steps else out)
+    return np.concatenate(found)
 
-    Pairs stand in the order of (word, context); ``words`` are the distinct
-    words (and the start), ``contexts`` tells how many pairs each has, and
-    ``tails`` which word is the context of each pair.
-    """
+
+def runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first places, lengths) of the runs of equal neighbours."""
+    heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
+    return heads, np.diff(heads, append=len(values))
+
+
+class Pairs:
+    """A chunk's distinct pairs in the order of (word, context), each token's place among them, and training counts."""
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, held: np.ndarray):
+        order = np.argsort(words)
+        number = np.empty_like(order)
+        number[order] = np.arange(len(order))
+        self.words, at = words[order], number[tokens]
+        before = np.concatenate([[0], at])[:-1]
+        before[np.cumsum(sizes) - sizes] = np.searchsorted(self.words, START)
+        pairs, self.place = np.unique(at * len(words) + before, return_inverse=True)
+        self.word, self.context = np.divmod(pairs, len(words))
+        self.counts = np.bincount(self.place[np.repeat(~held, sizes)], minlength=len(pairs))
+
+    @classmethod
+    def of_row(cls, batch: pa.RecordBatch, i: int) -> Pairs:
+        sizes, held = (pc.list_flatten(batch.column(c).slice(i, 1)).to_numpy(zero_copy_only=False) for c in ("sizes", "held"))
+        return cls(unpacked([batch.column("words")[i].as_py()]), numbers([batch.column("tokens")[i].as_py()]), sizes, held)
+
+
+def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of whole documents: each token's rank among the chunk's distinct words, by frequency, and these (and the start)."""
     chunk, held_bytes, parts = TaskContext.get().partitionId() << 33, 0, []
 
     def flush() -> pa.RecordBatch:
         sizes = np.concatenate([p[2] for p in parts])
         held = [h for p in parts for h in p[4]]
-        words, at = np.unique(np.concatenate([p[k] for k in (0, 1) for p in parts]), return_inverse=True)
-        pairs, place = np.unique(at[: len(at) // 2] * len(words) + at[len(at) // 2 :], return_inverse=True)
-        train = np.repeat(~np.array(held, bool), sizes)
-        counts = np.bincount(place[train], minlength=len(pairs))
-        packs = [place, words, np.bincount(pairs // len(words), minlength=len(words)), pairs % len(words), counts]
-        columns = [[chunk], [[i for p in parts for i in p[3]]], [held], [sizes], *([x.astype("<u8" if x is words else "<u4").tobytes()] for x in packs)]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())] + [pa.binary()] * 5
+        words, at = np.unique(np.concatenate([*(p[0] for p in parts), [START]]), return_inverse=True)
+        order = np.argsort(-np.bincount(at[:-1], minlength=len(words)), kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        words, tokens = words[order], rank[at[:-1]]
+        pairs = len(Pairs(words, tokens, sizes, np.array(held, bool)).word)
+        columns = [[chunk], [[i for p in parts for i in p[3]]], [held], [sizes], [squeezed(tokens)], [packed(words)], [pairs]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in DOC_ROWS.split(", ")])
 
     for part in text_slices(batches, limit=SLICE):
@@ -123,15 +168,16 @@ def cut_keys(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     """The distinct pairs of a bucket with their counts in one row, and a row of places among them for each chunk."""
-    words, word = np.unique(unpacked(pdf["words"]), return_inverse=True)
-    contexts, context = np.unique(unpacked(pdf["contexts"]), return_inverse=True)
+    words, word = np.unique(numbers(pdf["words"], steps=True), return_inverse=True)
+    word = np.repeat(word, numbers(pdf["runs"]))
+    contexts, context = np.unique(numbers(pdf["contexts"], steps=True), return_inverse=True)
     pairs, place = np.unique(word * len(contexts) + context, return_inverse=True)
     counts = np.bincount(place, numbers(pdf["counts"]), minlength=len(pairs))
-    whole = {"bucket": int(pdf["bucket"].iloc[0]), "chunk": -1, "first": 0, "n": len(pairs), "words": packed(words), "contexts": packed(contexts)}
-    whole |= {k: v.astype("<u4").tobytes() for k, v in (("word", pairs // len(contexts)), ("context", pairs % len(contexts)), ("counts", counts))}
+    whole = {"bucket": int(pdf["bucket"].iloc[0]), "chunk": -1, "first": 0, "n": len(pairs), "contexts": squeezed(contexts, steps=True)}
+    whole |= {"runs": squeezed(np.bincount(pairs // len(contexts))), "context": squeezed(pairs % len(contexts), steps=True), "counts": squeezed(counts)}
     ends = np.cumsum(pdf["n"].to_numpy())
     out = pdf[["bucket", "chunk", "first", "n"]].copy()
-    out["place"] = [place[e - n : e].astype("<u4").tobytes() for e, n in zip(ends, pdf["n"], strict=True)]
+    out["place"] = [squeezed(place[e - n : e], steps=True) for e, n in zip(ends, pdf["n"], strict=True)]
     out = pd.concat([pd.DataFrame([whole]), out], ignore_index=True).reindex(columns=[c.split()[0] for c in PAIR_ROWS.split(", ")])
     return out.astype(object).where(out.notna(), None)
 
@@ -142,9 +188,9 @@ class Bucket:
     def __init__(self, pdf: pd.DataFrame):
         row = pdf[pdf["chunk"] == -1].iloc[0]
         self.number = int(row["bucket"])
-        self.contexts = unpacked([row["contexts"]])
-        self.word, self.context, self.count = (numbers([row[c]]) for c in ("word", "context", "counts"))
-        self.words = len(row["words"]) // WORD_BYTES
+        self.contexts = numbers([row["contexts"]], steps=True).astype(np.uint64) << np.uint64(16)
+        self.context, self.count, runs = numbers([row["context"]], steps=True), numbers([row["counts"]]), numbers([row["runs"]])
+        self.words, self.word = len(runs), np.repeat(np.arange(len(runs)), runs)
         self.seen = np.flatnonzero(self.count)
         self.word_count = np.bincount(self.word, self.count, minlength=self.words).astype(np.int64)
 
@@ -222,9 +268,9 @@ def _sweeper(now: Totals, turn: int, parts: int):
         else:
             tables, root_tables = np.ones(len(b.seen), np.int64), (b.word_count > 0).astype(np.int64)
         tables, root_tables = _sweep(b, turn, now, numbers(replies["tables"]), tables, root_tables)
-        sums = b.by_context(tables).astype("<u4")
-        out = [(b.number, -1, tables.astype("<u4").tobytes(), root_tables.astype("<u4").tobytes(), [tables.sum(), root_tables.sum()])]
-        out += [(b.number, k, sums[x:y].tobytes(), None, None) for k, x, y in cut_keys(b.contexts, parts)]
+        sums = b.by_context(tables)
+        out = [(b.number, -1, squeezed(tables), squeezed(root_tables), [tables.sum(), root_tables.sum()])]
+        out += [(b.number, k, squeezed(sums[x:y]), None, None) for k, x, y in cut_keys(b.contexts, parts)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in STATE_ROWS.split(", ")])
 
     return sweep
@@ -237,28 +283,39 @@ def _asker(parts: int):
         b = Bucket(pdf)
         c, contexts = b.count[b.seen], np.bincount(b.word[b.seen], minlength=b.words)
         sums = [float(v) for v in (c.sum(), len(c), (b.word_count > 0).sum(), (c == 1).sum(), (c == 2).sum(), (contexts == 1).sum(), (contexts == 2).sum())]
-        customers, tables = (v.astype("<u4") for v in (b.by_context(c), b.by_context()))
+        customers, tables = b.by_context(c), b.by_context()
+        keys = b.contexts >> np.uint64(16)
         out = [(-1, b.number, None, None, None, sums)]
-        out += [(k, b.number, packed(b.contexts[x:y]), customers[x:y].tobytes(), tables[x:y].tobytes(), None) for k, x, y in cut_keys(b.contexts, parts)]
+        out += [(k, b.number, squeezed(keys[x:y], steps=True), squeezed(customers[x:y]), squeezed(tables[x:y]), None) for k, x, y in cut_keys(b.contexts, parts)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in ASK_ROWS.split(", ")])
 
     return ask
 
 
-def _reply(asks: pd.DataFrame, swept: pd.DataFrame | None = None) -> pd.DataFrame:
-    """The totals of the contexts that each bucket asked for, after a sweep or before the first."""
-    asks = asks.sort_values("bucket", ignore_index=True)
-    found, at = np.unique(unpacked(asks["contexts"]), return_inverse=True)
-    ends = np.cumsum([len(x) // WORD_BYTES for x in asks["contexts"]])
-    cuts = list(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True))
-    out = asks[["bucket", "part"]].copy()
-    out["customers"] = None
-    if swept is None:
-        total = np.bincount(at, numbers(asks["customers"]), minlength=len(found)).astype("<u4")[at]
-        out["customers"] = [total[x:y].tobytes() for x, y in cuts]
-    tables = asks["tables"] if swept is None else swept.sort_values("bucket")["tables"]
-    total = np.bincount(at, numbers(tables), minlength=len(found)).astype("<u4")[at]
-    out["tables"] = [total[x:y].tobytes() for x, y in cuts]
+def _part(asks: pd.DataFrame) -> pd.DataFrame:
+    """Where the contexts of each bucket stand among all of a part, and their totals before the first sweep."""
+    asks, names = asks.sort_values("bucket", ignore_index=True), [c.split()[0] for c in PART_ROWS.split(", ")]
+    if asks["part"].iloc[0] < 0:
+        return asks.reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
+    contexts = [numbers([x], steps=True) for x in asks["contexts"]]
+    found, at = np.unique(np.concatenate(contexts), return_inverse=True)
+    ends = np.cumsum([len(x) for x in contexts])
+    out = asks[["part", "bucket"]].copy()
+    out["places"] = [squeezed(at[e - len(x) : e], steps=True) for e, x in zip(ends, contexts, strict=True)]
+    for column in ("customers", "tables"):
+        total = np.bincount(at, numbers(asks[column]), minlength=len(found)).astype(np.int64)[at]
+        out[column] = [squeezed(total[e - len(x) : e]) for e, x in zip(ends, contexts, strict=True)]
+    out["sums"] = None
+    return out[names]
+
+
+def _reply(asks: pd.DataFrame, swept: pd.DataFrame) -> pd.DataFrame:
+    """The totals after a sweep of the contexts that each bucket asked for."""
+    places = [numbers([x], steps=True) for x in asks.sort_values("bucket")["places"]]
+    swept = swept.sort_values("bucket", ignore_index=True)
+    total = np.bincount(np.concatenate(places), numbers(swept["tables"])).astype(np.int64)
+    out = swept[["bucket", "part"]].copy()
+    out["tables"] = [squeezed(total[x]) for x in places]
     return out
 
 
@@ -285,21 +342,27 @@ def score_texts(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held"), F.col(text_col).alias("text"))
     chunks = _bucketed(rows.mapInArrow(_tokenise, DOC_ROWS), "chunk", "pitmanyor_chunks")
-    number = max(1, -(-(chunks.agg(F.sum(F.length("tails"))).first()[0] or 0) // (4 * BUCKET_PAIRS)))
+    number = max(1, -(-(chunks.agg(F.sum("pairs")).first()[0] or 0) // BUCKET_PAIRS))
+    parts = -(-number // BUCKETS_PER_PART)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                words, each, tails, counts = (np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in (("words", "<u8"), ("contexts", "<u4"), ("tails", "<u4"), ("counts", "<u4")))
-                heads = np.repeat(words, each)
-                out = [(b, batch.column("chunk")[i].as_py(), x, y - x, packed(heads[x:y]), packed(words[tails[x:y]]), counts[x:y].tobytes()) for b, x, y in cut_keys(heads, number)]
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                pairs, out = Pairs.of_row(batch, i), []
+                keys = (pairs.words >> np.uint64(16)).astype(np.int64)
+                for b, x, y in cut_keys(pairs.words[pairs.word], number):
+                    heads, runs = runs_of(pairs.word[x:y])
+                    words, contexts = keys[pairs.word[x:y][heads]], keys[pairs.context[x:y]]
+                    cell = (squeezed(words, steps=True), squeezed(runs), squeezed(contexts, steps=True), squeezed(pairs.counts[x:y]))
+                    out.append((b, batch.column("chunk")[i].as_py(), x, y - x, *cell))
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SENT_ROWS.split(", ")])
 
-    sent = chunks.select("chunk", "words", "contexts", "tails", "counts").mapInArrow(send, SENT_ROWS)
+    sent = chunks.select("chunk", "held", "sizes", "tokens", "words").mapInArrow(send, SENT_ROWS)
     pairs = _bucketed(sent.repartition(shuffle_partitions(spark), "bucket").groupBy("bucket").applyInPandas(_merge, PAIR_ROWS), "bucket", "pitmanyor_pairs")
-    merged = pairs.where("chunk = -1")
-    asks = _bucketed(merged.groupBy("bucket").applyInPandas(_asker(number), ASK_ROWS).repartition(shuffle_partitions(spark), "part"), "part", "pitmanyor_contexts")
+    merged = pairs.where("chunk = -1").drop("place")
+    asks = merged.groupBy("bucket").applyInPandas(_asker(parts), ASK_ROWS).repartition(shuffle_partitions(spark), "part")
+    asks = _bucketed(asks.groupBy("part").applyInPandas(_part, PART_ROWS), "part", "pitmanyor_contexts")
 
     def total(df: DataFrame, size: int) -> list[float]:
         found = df.where("part < 0").agg(*(F.sum(F.col("sums")[i]) for i in range(size))).first()
@@ -311,17 +374,22 @@ def score_texts(
     share = lambda once, twice: float(np.clip((once + 1) / (once + 2 * twice + 2), 0.05, 0.95))
     totals = Totals(seen_pairs, words, int(words), share(n1, n2), share(w1, w2))
     train_tokens = int(tokens)
-    customers = materialise(asks.groupBy("part").applyInPandas(lambda pdf: _reply(pdf), REPLY_ROWS), "pitmanyor-totals")
-    given, kept = customers.select("bucket", "part", "tables", F.lit(None).cast("binary").alias("root_tables")), []
+    places = asks.select("part", "bucket", "places")
+    given, kept, old = asks.select("bucket", "part", "tables", F.lit(None).cast("binary").alias("root_tables")), [], []
     for turn in range(burn_in + samples):
-        swept = materialise(merged.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInPandas(_sweeper(totals, turn, number), STATE_ROWS), "pitmanyor-state")
+        swept = materialise(merged.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInPandas(_sweeper(totals, turn, parts), STATE_ROWS), "pitmanyor-state")
         root_customers, root_tables = total(swept, 2)
         totals = Totals(root_customers, root_tables, totals.words, totals.discount, totals.root_discount)
-        by_context = materialise(asks.groupBy("part").cogroup(swept.where("part >= 0").groupBy("part")).applyInPandas(_reply, REPLY_ROWS), "pitmanyor-totals")
+        by_context = materialise(places.groupBy("part").cogroup(swept.where("part >= 0").groupBy("part")).applyInPandas(_reply, REPLY_ROWS), "pitmanyor-totals")
         given = swept.where("part < 0").select("bucket", "part", "tables", "root_tables").unionByName(by_context.select("bucket", "part", "tables"), allowMissingColumns=True)
+        for df in old:
+            release(df)
+        old = []
         if turn >= burn_in:
             kept.append((turn, totals, given))
-    seatings = customers.select("bucket", "part", F.col("customers").alias("tables"), F.lit(-1).alias("turn"), F.lit(None).cast("binary").alias("root_tables"))
+        else:
+            old = [swept, by_context]
+    seatings = asks.select("bucket", "part", F.col("customers").alias("tables"), F.lit(-1).alias("turn"), F.lit(None).cast("binary").alias("root_tables"))
     for turn, _, more in kept:
         seatings = seatings.unionByName(more.withColumn("turn", F.lit(turn)))
     by_turn = {turn: t for turn, t, _ in kept}
@@ -337,11 +405,12 @@ def score_texts(
             t[b.seen] = numbers(state["tables"])
             root = now.root(np.bincount(b.word, t, minlength=b.words), numbers(state["root_tables"]))
             prob += now.leaf(b.count, t, all_customers, of_contexts(turn), root[b.word])
-        logs, seen = np.log10(prob / len(by_turn)).astype("<f4"), b.word_count[b.word].astype("<u4")
+        logs = np.log10(prob / len(by_turn)).astype("<f4")
         chunk_rows = pdf[pdf["chunk"] >= 0]
-        places = [np.frombuffer(p, "<u4") for p in chunk_rows["place"]]
+        places = [numbers([p], steps=True) for p in chunk_rows["place"]]
         out = chunk_rows[["chunk", "first"]].copy()
-        out["logs"], out["seen"] = [logs[p].tobytes() for p in places], [seen[p].tobytes() for p in places]
+        out["logs"] = [squeezed(logs[p].view("<u4")) for p in places]
+        out["seen"] = [squeezed(b.word_count[b.word[p][runs_of(b.word[p])[0]]]) for p in places]
         return out
 
     answers = pairs.groupBy("bucket").cogroup(seatings.groupBy("bucket")).applyInPandas(answer, "chunk bigint, first bigint, logs binary, seen binary")
@@ -351,11 +420,12 @@ def score_texts(
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                parts = batch.column("parts")[i]
-                logs = np.concatenate([np.frombuffer(p["logs"].as_buffer(), "<f4") for p in parts]).astype(float)
-                seen = np.concatenate([np.frombuffer(p["seen"].as_buffer(), "<u4") for p in parts]).astype(float)
+                pairs, parts = Pairs.of_row(batch, i), batch.column("parts")[i].as_py()
+                logs = numbers(p["logs"] for p in parts).astype("<u4").view("<f4").astype(float)
+                each = runs_of(pairs.word)[1]
+                seen = np.repeat(numbers(p["seen"] for p in parts), each).astype(float)
                 base = np.log10((seen + 0.1) / (train_tokens + 0.1 * (vocabulary + 1)))
-                place = np.frombuffer(batch.column("tokens")[i].as_buffer(), "<u4")
+                place = pairs.place
                 sizes = pc.list_flatten(batch.column("sizes").slice(i, 1)).to_numpy()
                 heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 rows = len(sizes)
@@ -372,5 +442,5 @@ def score_texts(
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    joined = chunks.select("chunk", "ids", "held", "sizes", "tokens").join(answers.hint("shuffle_merge"), "chunk")
+    joined = chunks.select("chunk", "ids", "held", "sizes", "tokens", "words").join(answers.hint("shuffle_merge"), "chunk")
     return joined.mapInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -369,3 +370,22 @@ def test_language_model_contexts_are_whole_words(spark, monkeypatch):
     monkeypatch.setattr(P, "BUCKET_PAIRS", 100)
     cut = {r.doc_id: r.score for r in P.score_texts(frame, F.col("held")).collect()}
     assert cut.keys() == whole.keys() and all(abs(cut[i] - whole[i]) < 0.02 * abs(whole[i]) + 0.1 for i in whole)
+
+
+def test_language_model_keeps_its_scratch_small(spark, monkeypatch):
+    """Written numbers come back; files of past sweeps go, and what stays is well below the text."""
+    from polyrisk.llm import pitmanyor as P
+    from polyrisk.session import ensure_checkpoint_dir
+
+    for values in (np.zeros(0, np.int64), np.array([5, 0, 1 << 40, 7, (1 << 48) - 1, 3]), np.arange(1000) * 70_000):
+        assert all((P.numbers([P.squeezed(values, steps=s), P.squeezed(values[:2], steps=s)], steps=s) == np.concatenate([values, values[:2]])).all() for s in (False, True))
+    top = ensure_checkpoint_dir(spark).removeprefix("file:")
+    left = lambda: {f: f.stat().st_size for f in Path(top).rglob("pitmanyor*/part-*")}
+    rng, before = np.random.default_rng(4), left()
+    texts = [" ".join(f"word{w}" for w in rng.zipf(1.3, 400) % 50_000) for _ in range(1500)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    monkeypatch.setattr(P, "BUCKET_PAIRS", 60_000)
+    assert P.score_texts(frame, F.col("doc_id") % 10 == 0).where("score < base_score").count() < 1500
+    after = left()
+    size = sum(n for f, n in after.items() if f not in before)
+    assert size < 0.6 * sum(map(len, texts))
