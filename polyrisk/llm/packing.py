@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from polyrisk.llm.common import materialise, text_slices
 
-#: Token ids by unit, kept in each Python worker; emptied when it grows past this.
-CACHE_UNITS = 800_000
+#: Units whose token ids a Python worker keeps (the store is emptied when it is full), and the longest of them.
+CACHE_UNITS, CACHE_CHARS = 100_000, 64
 
 # Fixed value: how a byte-level vocabulary of this kind cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,7 +57,11 @@ def load_encoder(path: str) -> Callable[[str], list[int]]:
 
 
 class _Units(dict):
-    """Token bytes (little-endian uint32) of a space plus a unit, made when first asked for."""
+    """Token bytes (little-endian uint32) of a space plus a unit, made when first asked for.
+
+    A Python worker lives on after a task and works for others, so what it
+    keeps is bounded at every moment, in number and in length.
+    """
 
     def __init__(self, encode: Callable[[str], list[int]]):
         super().__init__()
@@ -67,7 +71,11 @@ class _Units(dict):
         return array("I", self.encode(text)).tobytes()
 
     def __missing__(self, unit: str) -> bytes:
-        found = self[unit] = self.ids(" " + unit)
+        found = self.ids(" " + unit)
+        if len(unit) <= CACHE_CHARS:
+            if len(self) >= CACHE_UNITS:
+                self.clear()
+            self[unit] = found
         return found
 
 
@@ -87,10 +95,7 @@ def tokenise(texts: list[str], path: str) -> list[bytes]:
     """
     if path not in _units:
         _units[path] = _Units(load_encoder(path))
-    units = _units[path]
-    if len(units) > CACHE_UNITS:
-        units.clear()
-    out = []
+    units, out = _units[path], []
     for text in texts:
         if _SPACE_FIRST.search(text) and _LONE_SPACE.search(text):
             out.append(units.ids(text))

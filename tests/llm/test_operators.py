@@ -233,6 +233,20 @@ def test_hamming(spark):
     assert top_k(codes.limit(0), codes, 3).count() == 0
 
 
+def test_what_a_worker_keeps_of_a_tokenizer_is_bounded(monkeypatch):
+    from polyrisk.llm import packing
+
+    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    encode = packing.load_encoder(path)
+    monkeypatch.setattr(packing, "CACHE_UNITS", 50)
+    monkeypatch.setattr(packing, "_units", {})
+    texts = [" ".join(f"w{i % 7} n{i}" for i in range(k, k + 300)) for k in (0, 200)] + [f"a {'long' * 1000} b"]
+    for text in texts:
+        assert np.frombuffer(packing.tokenise([text], path)[0], "<u4").tolist() == encode(text)
+        assert 0 < len(packing._units[path]) <= 50
+    assert max(map(len, packing._units[path])) <= packing.CACHE_CHARS
+
+
 def test_packing(spark, docs, texts):
     from tokenizers import Tokenizer
 
