@@ -253,7 +253,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], id_col
         def rate_of(p: pd.Series) -> pd.Series:
             return pd.Series(rates.of(np.stack(p.to_numpy())) if len(p) else np.zeros(0))
 
-        rate = rate_of("posterior")
+        # So marked, a filter on copies evaluates it once a row: else each task keeps a second Python worker busy.
+        rate = rate_of.asNondeterministic()("posterior")
     unit = F.pmod(F.xxhash64(F.lit(29), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     out = soft.withColumn("rate", rate)
     return out.withColumn("copies", (F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("bigint")).cast("int"))

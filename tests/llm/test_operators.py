@@ -233,6 +233,17 @@ def test_hamming(spark):
     assert top_k(codes.limit(0), codes, 3).count() == 0
 
 
+def test_rates_are_evaluated_once_below_a_filter_on_copies(spark):
+    from polyrisk.llm.mixing import mix
+
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "BAD BAD!!") for i in range(8)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, "good" if i % 2 else "bad") for i in range(4)], "doc_id bigint, domain string")
+    mixed = mix(docs, labels, {"good": 0.9, "bad": 0.1})
+    kept = mixed.where("copies > 0").select("doc_id", "copies")
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(kept.collect()) == sorted((r.doc_id, r.copies) for r in mixed.collect() if r.copies > 0)
+
+
 def test_what_a_worker_keeps_of_a_tokenizer_is_bounded(monkeypatch):
     from polyrisk.llm import packing
 
