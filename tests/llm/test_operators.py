@@ -109,6 +109,22 @@ def test_repeats_edges(spark, docs, texts):
     assert remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_at_400_bytes(spark, tmp_path):
+    """Passages of over 50 words go from 400 bytes on and stay below; n_bytes is the size of the input."""
+    from polyrisk.llm.queries import op2_suffix_array_dedup
+
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    short, full = words(67)[:399], words(67)[:400]
+    assert min(len(short.split()), len(full.split())) > 50
+    texts = [f"{words(90)} {i}{passage}{i} {words(90)}" for i, passage in enumerate([short, short, full, full, words(67), words(67)])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(op2_suffix_array_dedup(spark, str(tmp_path)).collect())
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == brute_repeats(texts, 400)
+    assert [r.n_removed for r in rows] == [0, 0, 400, 400, 0, 0]
+    assert [r.n_bytes for r in rows] == [len(t) for t in texts]
+
+
 def shingle_set(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1)))}
